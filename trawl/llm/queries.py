@@ -25,6 +25,25 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import events_of, format_conversations, loss_text, parse
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") + 1).cast("int")).alias("role"), F.lit(odd).alias("text"))
+    chats = format_conversations(events_of(rows.unionByName(more)))
+    read = chats.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    lines = F.array_join(F.transform("turns", lambda m: F.concat(m.role, F.lit("\n"), m.text, F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -35,7 +54,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 OP1_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-      ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) g FROM w),
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) g FROM w),
 n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= 75 * (u.n + v.n - c)),
@@ -48,9 +67,9 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 OP2_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM benchmark),
-bw AS (SELECT DISTINCT item_id, least(13, len(ws)) k, unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2), i -> array_to_string(ws[i:i + least(13, len(ws)) - 1], ' '))) g FROM b WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, least(13, len(ws)) k, unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(13, len(ws)) - 1], ' '))) g FROM b WHERE len(ws) > 0),
 ks AS (SELECT DISTINCT k FROM bw),
-dw AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) i, unnest(list_transform(range(1, len(ws) - k + 2), i -> array_to_string(ws[i:i + k - 1], ' '))) g FROM d, ks WHERE len(ws) >= k),
+dw AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) i, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) g FROM d, ks WHERE len(ws) >= k),
 m AS (SELECT doc_id, dw.k, i, item_id FROM dw JOIN bw USING (k, g)),
 h AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest(range(i, i + k)) p FROM m) GROUP BY 1),
 t AS (SELECT doc_id, count(*) n, string_agg(x, ',' ORDER BY x) ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) x FROM m) GROUP BY 1)
@@ -59,6 +78,30 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+#: formatted_chars: 14 characters of marks a turn ("### ", ": ", "</turn>" and a line feed), and one more for each escaped character.
+OP3_SQL = r"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+g AS (SELECT conv_id, count(*) n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) t,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') l,
+  sum(14 + length(role) + length(text) + length(role || text) - length(translate(role || text, '\#<:', ''))) f FROM m GROUP BY 1)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(t) AS turns_sha256, length(l)::BIGINT AS loss_chars, sha256(l) AS loss_sha256, f::BIGINT AS formatted_chars FROM g
+"""
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT z, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 w FROM d GROUP BY source),
+-- the level at which every source below some source's cap by weight is capped, and that one isn't
+lv AS (SELECT max(l) lvl FROM (SELECT a.w, a.z, ((SELECT sum(z) FROM s) - coalesce(sum(3 * b.z) FILTER (WHERE (3 * b.z) / b.w < (3 * a.z) / a.w), 0)) / sum(b.w) FILTER (WHERE (3 * b.z) / b.w >= (3 * a.z) / a.w) l
+  FROM s a, s b GROUP BY a.source, a.w, a.z) WHERE l * w <= 3 * z),
+t AS (SELECT source, z, least(3 * z, lvl * w)::DOUBLE target, ('0x' || substr(md5('/' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE u FROM s, lv),
+k AS (SELECT *, ceil(sqrt(count(*) OVER (PARTITION BY source, size)))::BIGINT b FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % b, doc_id) rk FROM k)
+SELECT doc_id, size, z AS source_size, target,
+  ((floor(u + CASE WHEN z > 0 THEN target / z ELSE 0 END * rk) - floor(u + CASE WHEN z > 0 THEN target / z ELSE 0 END * (rk - 1)))::BIGINT * size)::BIGINT AS taken
+FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op10_mixing": OP10_SQL}
