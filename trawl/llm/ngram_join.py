@@ -35,6 +35,7 @@ from .components import connected_components
 from .packed import PACKED, PACKED_DDL, PAIRS, PAIRS_DDL, candidates, pack
 
 BAND_GROWTH = 1.6
+MOST_SHARED = 32
 _SEG, _BAND = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
@@ -57,16 +58,17 @@ def differences(a, b, num: int, den: int):
 def allocate(high: int, need: int, log_sets: int) -> tuple[int, int]:
     """(segments, neighbourhood segments at the front) of a band; need: credits that its largest pairs ask for.
 
-    cost = rows indexed + expected chance candidates; a chance match of a segment of c elements among N sets is taken as N * 0.002**c.
+    cost = rows indexed + 0.4 for each chance candidate. A segment of c elements is taken to meet N * 0.0003**c others by chance, `MOST_SHARED`
+    at most, as more are compared in blocks.
     """
-    n_sets, best = float(10**log_sets), None
+    best = None
     for slack in (1.15, 1.35, 1.6):
-        for share in (0.0, 0.25, 0.5, 1.0):
+        for share in (0.0, 0.0625, 0.125, 0.25, 0.5, 1.0):
             m = 1
             while m + math.floor(share * m) < need * slack:
                 m += max(1, m // 16)
             double, c = math.floor(share * m), high / m
-            chance = lambda k: 0.002**k
+            chance = lambda k: min(MOST_SHARED, 10.0**log_sets * 0.0003**k)
             rows = matches = 0.0
             p = math.exp(-c)
             for k in range(1, 40):
@@ -74,7 +76,7 @@ def allocate(high: int, need: int, log_sets: int) -> tuple[int, int]:
                 rows += p * ((m - double) + double * (1 + k * (k > 1)))
                 matches += p * ((m - double) * chance(k) + double * (chance(k) + k * chance(max(1, k - 1)) * (k > 1)))
             spent = min(1.0, need / max(1e-9, (m + double) * (1 - math.exp(-c))))
-            cost = rows * spent + n_sets * matches * spent * 0.05 + 2 * m * math.exp(-c)
+            cost = rows * spent + matches * spent * 0.4 + 2 * m * math.exp(-c)
             if best is None or cost < best[0]:
                 best = cost, m, double
     return best[1], best[2]
@@ -330,7 +332,7 @@ def _block_exactly(num: int, den: int):
     return run
 
 
-def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, most_shared: int = 32, block: int = 4096, small_block: int = 512) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, most_shared: int = MOST_SHARED, block: int = 4096, small_block: int = 512) -> DataFrame:
     """docs (doc_id long, text string, ...) to one row (doc_id, n_shingles, component_id) for each.
 
     Two rows link when den * |intersection| >= num * |union| of their distinct `width`-word shingles (lower-cased A-Z,
