@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
@@ -180,3 +181,31 @@ def set_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[some] = mix(np.add.reduceat(mix(h ^ U64(0x2545F4914F6CDD1D)), offsets[:-1][some]) + sizes[some].astype(U64))
         out[some & (out == 0)] = U64(1)
     return out
+
+
+class Bitmap:
+    """A set of longs as a bitmap of one hash, of a fixed size whatever the set: has() may be true for others, never false for a member.
+
+    Built by a distributed OR over 64-bit pieces; 2**bits bits (2 MB at the default) are all that reaches the driver and is broadcast. It only spares
+    rows a join; where so many members fill it that it passes everything, results stay the same.
+    """
+
+    def __init__(self, df: DataFrame, column: str, bits: int = 24, hashed: bool = False):
+        """hashed: the column holds 64-bit hashes already."""
+        spark = df.sparkSession
+        at = F.pmod(F.col(column) if hashed else F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))
+        pieces = df.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("piece")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("x")).toArrow()
+        words = np.zeros((1 << bits) // 64, dtype=np.int64)
+        words[pieces.column("piece").to_numpy()] = pieces.column("x").to_numpy()
+        self.bits, self.shared = bits, spark.sparkContext.broadcast(words)
+
+    def has(self, hashed: Column) -> Column:
+        """hashed: F.xxhash64 of the column."""
+        shared, mask = self.shared, (1 << self.bits) - 1
+
+        @F.arrow_udf("boolean")
+        def member(h: pa.Array) -> pa.Array:
+            at = h.to_numpy(zero_copy_only=False) & mask
+            return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+        return member(hashed)

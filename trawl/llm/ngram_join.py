@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_WORDS, U64, Words, checkpointed, mix, set_keys, shingle_hashes, shuffle_partitions, slices, text_buffer
 from .components import connected_components
 from .packed import PACKED, PACKED_DDL, PAIRS, PAIRS_DDL, candidates, pack
+from .similar_sets import differences, exact_links, odd_sketch, probable_links
 
 BAND_GROWTH = 1.6
 MOST_SHARED = 32
@@ -49,11 +50,6 @@ def bands(largest: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def differences(a, b, num: int, den: int):
-    """The most elements in which sets of these sizes differ at that similarity."""
-    return (den - num) * (a + b) // (den + num)
-
-
 @lru_cache(maxsize=4096)
 def allocate(high: int, need: int, log_sets: int) -> tuple[int, int]:
     """(segments, neighbourhood segments at the front) of a band; need: credits that its largest pairs ask for.
@@ -137,30 +133,6 @@ def signatures(h: np.ndarray, offsets: np.ndarray, num: int, den: int, log_sets:
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
-def sketch_bits(n: int) -> int:
-    return 64 << max(0, math.ceil(math.log2(max(1, n * 1.2 / 64))))
-
-
-def odd_sketch(h: np.ndarray) -> bytes:
-    """The parity of hashed elements, in a power of two of at least 1.2 bits for each; larger ones fold into smaller ones."""
-    bits = sketch_bits(len(h))
-    ones = np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(ones.astype(np.uint8), bitorder="little").tobytes()
-
-
-def _fold(x: bytes, size: int) -> int:
-    value, at = int.from_bytes(x, "little"), len(x)
-    while at > size:
-        at //= 2
-        value = (value >> (8 * at)) ^ (value & ((1 << (8 * at)) - 1))
-    return value
-
-
-def _may_link(sa: bytes, sb: bytes, na: int, nb: int, num: int, den: int) -> bool:
-    size = min(len(sa), len(sb))
-    return (_fold(sa, size) ^ _fold(sb, size)).bit_count() <= differences(na, nb, num, den)
-
-
 def _index(width: int, num: int, den: int, buckets: int, log_sets: int):
     """documents (doc_id, text) to packed signatures and, in bucket -1 - b, packed node rows."""
 
@@ -215,62 +187,6 @@ def _find(most: int, num: int, den: int):
     return run
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _by_sketch(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, sa, sb = (batch.column(k).to_pylist() for k in ("a", "b", "na", "nb", "sa", "sb"))
-            kept = [i for i in range(len(a)) if _may_link(sa[i], sb[i], na[i], nb[i], num, den)]
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-
-    return run
-
-
-class _Forest:
-    """Union-find over row numbers; add() tells whether the edge joins two trees."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = x = self.parent[self.parent[x]]
-        return x
-
-    def add(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.parent[max(x, y)] = min(x, y)
-        return x != y
-
-
-def _block_by_sketch(num: int, den: int):
-    """Rows (low, high, block, node, n, sketch) of a pair of blocks to a spanning forest of the pairs that may link."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        low, high = (k.as_py() for k in key[1:3])
-        node, n, block, raw = (table.column(c).to_pylist() for c in ("node", "n", "block", "sketch"))
-        order = sorted(range(len(node)), key=lambda i: (n[i], node[i]))
-        words = min(len(raw[i]) for i in order) // 8
-        folded = np.array([np.frombuffer(_fold(raw[i], 8 * words).to_bytes(8 * words, "little"), dtype=np.uint64) for i in order])
-        size, side = np.array([n[i] for i in order]), np.array([block[i] for i in order])
-        trees, out = _Forest(len(order)), []
-        for i in range(len(order) - 1):
-            stop = int(np.searchsorted(size, size[i] * den // num, "right"))
-            others = slice(i + 1, stop)
-            apart = np.bitwise_count(folded[others] ^ folded[i]).sum(axis=1, dtype=np.int64)
-            near = apart <= differences(size[i], size[others], num, den)
-            if low != high:
-                near &= side[others] != side[i]
-            for j in np.flatnonzero(near) + i + 1:
-                if trees.add(i, int(j)):
-                    out.append((node[order[i]], node[order[j]]))
-        return pa.Table.from_pylist([{"a": a, "b": b} for a, b in out], schema=_EDGES)
-
-    return run
-
-
 def _sets(width: int):
     """Rows (component, key, text) to their shingle sets; rows whose text has another key, after a repeated doc_id, go."""
     schema = pa.schema([("component", pa.int64()), ("key", pa.int64()), ("shingles", pa.binary())])
@@ -286,52 +202,6 @@ def _sets(width: int):
     return run
 
 
-def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return den * both >= num * (len(x) + len(y) - both)
-
-
-def _with_representative(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, other = batch.column("shingles").to_pylist(), batch.column("of_first").to_pylist()
-            linked = [_linked(np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64), num, den) for x, y in zip(own, other, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("key"), batch.column("first_key"), pa.array(linked)], names=["component", "key", "first_key", "linked"])
-
-    return run
-
-
-def _block_exactly(num: int, den: int):
-    """Rows (role, key, linked, shingles) of a block of unlinked sets (role 0) and one of all sets (role 1) of a component to the links that join trees."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        role, keys, linked, raw = (table.column(c).to_pylist() for c in ("role", "key", "linked", "shingles"))
-        sets = [np.frombuffer(x, dtype=U64) for x in raw]
-        ones = [i for i in range(len(keys)) if role[i] == 1]
-        number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-        trees, out, hub = _Forest(len(number) + 1), [], len(number)
-        for i in range(len(keys)):
-            if linked[i]:
-                trees.add(number[keys[i]], hub)
-        if not ones:
-            return _EDGES.empty_table()
-        flat = np.concatenate([sets[i] for i in ones])
-        owner = np.repeat(np.arange(len(ones)), [len(sets[i]) for i in ones])
-        order = np.argsort(flat, kind="stable")
-        flat, owner, size = flat[order], owner[order], np.array([len(sets[i]) for i in ones])
-        for i in (i for i in range(len(keys)) if role[i] == 0):
-            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            count = hi - lo
-            at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            both = np.bincount(owner[at], minlength=len(ones))
-            for j in np.flatnonzero(den * both >= num * (size + len(sets[i]) - both)):
-                if trees.add(number[keys[i]], number[keys[ones[j]]]):
-                    out.append((keys[i], keys[ones[j]]))
-        return pa.Table.from_pylist([{"a": a, "b": b} for a, b in out], schema=_EDGES)
-
-    return run
-
-
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, most_shared: int = MOST_SHARED, block: int = 4096, small_block: int = 512) -> DataFrame:
     """docs (doc_id long, text string, ...) to one row (doc_id, n_shingles, component_id) for each.
 
@@ -349,35 +219,11 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den
 
     members = found.where("key is not null").select("doc_id", "key", "n")
     nodes = found.where("key is not null and n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"))
-    right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"))
-    pairs = found.where("not hot").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
-    cold = pairs.join(left, "a").join(right, "b").where("sa is not null and sb is not null").mapInArrow(_by_sketch(num, den), "a long, b long")
-    hot = found.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("nb").alias("n"))
-    blocks = hot.groupBy("sig").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = (
-        hot.join(blocks, "sig")
-        .join(nodes.select(F.col("key").alias("node"), "sketch"), "node")
-        .where("sketch is not null")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "sketch")
-    )
-    warm = dealt.groupBy("sig", "low", "high").applyInArrow(_block_by_sketch(num, den), "a long, b long")
-    groups = checkpointed(connected_components(cold.unionByName(warm)))
+    groups = checkpointed(connected_components(probable_links(found, nodes, num, den, block)))
 
     wanted = groups.join(nodes.select(F.col("key").alias("node"), "doc_id"), "node").select("doc_id", F.col("node").alias("key"), "component")
     sets = checkpointed(source.join(wanted, "doc_id").select("component", "key", "text").mapInArrow(_sets(width), "component long, key long, shingles binary"))
-    firsts = sets.where("key = component").dropDuplicates(["key"]).select("component", F.col("key").alias("first_key"), F.col("shingles").alias("of_first"))
-    told = checkpointed(sets.dropDuplicates(["key"]).join(firsts, "component").mapInArrow(_with_representative(num, den), "component long, key long, first_key long, linked boolean"))
-    loose = told.groupBy("component").agg(F.count_if(~F.col("linked")).alias("s"), F.count("*").alias("t")).where("s > 0").select("component", F.ceil(F.col("s") / small_block).cast("int").alias("s"), F.ceil(F.col("t") / block).cast("int").alias("t"))
-    rest = sets.dropDuplicates(["key"]).join(told.select("key", "linked"), "key").join(loose, "component")
-    row, column = F.pmod(F.xxhash64("key"), F.col("s")).cast("int"), F.pmod(F.xxhash64("key"), F.col("t")).cast("int")
-    asks = rest.where("not linked").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select("component", row.alias("i"), "j", F.lit(0).alias("role"), "key", "linked", "shingles")
-    answers = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("component", "i", column.alias("j"), F.lit(1).alias("role"), "key", "linked", "shingles")
-    more = asks.unionByName(answers).groupBy("component", "i", "j").applyInArrow(_block_exactly(num, den), "a long, b long")
-    links = told.where("linked and key != first_key").select(F.col("key").alias("a"), F.col("first_key").alias("b")).unionByName(more)
-    labels = connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    labels = connected_components(exact_links(sets, num, den, block, small_block)).select(F.col("node").alias("key"), F.col("component").alias("label"))
 
     known = nodes.select("key", "doc_id").join(labels, "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
     least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -43,6 +43,16 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edit_and_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document: its lines, those that go, and for each of them the line (document and number) that stays."""
+    from .line_dedup import repeated_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", "first_doc_id", "first_number"))).alias("gone"))
+    counts = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    return counts.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), "gone")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
