@@ -43,6 +43,12 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edit_and_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its lines, those that go, and for each of them the line (document and number) that stays."""
     from .line_dedup import repeated_lines
