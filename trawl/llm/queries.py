@@ -37,6 +37,15 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch
+    from .warc import read_archives, write_archives
+
+    path = scratch(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages")).write.parquet(path)
+    return read_archives(spark.read.parquet(path), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import compare_with_edit_and_next
 
@@ -110,6 +119,16 @@ g AS (SELECT conv_id, count(*) n_turns, string_agg(role || chr(10) || text || ch
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(t) AS turns_sha256, length(l)::BIGINT AS loss_chars, sha256(l) AS loss_sha256, f::BIGINT AS formatted_chars FROM g
 """
 
+#: Base32 of the 20 bytes of a SHA-1: 32 digits of 5 bits each, taken from the hex digest's bits.
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') h, sha1(coalesce(html, '')) x FROM pages),
+f AS (SELECT x, min(page_id) f FROM p GROUP BY 1)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(x || '0', 1 + (5 * i // 4)::INT, 2))::INT >> (3 - 5 * i % 4)::INT & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id > f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > f THEN f END AS refers_to
+FROM p JOIN f USING (x)
+"""
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT z, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 w FROM d GROUP BY source),
@@ -126,4 +145,4 @@ FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op4_warc": OP4_SQL, "op10_mixing": OP10_SQL}
