@@ -68,6 +68,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), "gone")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document: the licenses that its text states, with their wording differences."""
+    from .licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.transform("licenses", lambda x: x.license)
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("license_names"), "licenses")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
