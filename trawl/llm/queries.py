@@ -77,6 +77,15 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("license_names"), "licenses")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document: its candidates and those of them that the forest takes for secrets."""
+    from .secrets import scan_secrets, synthetic_findings, train
+
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), train(synthetic_findings()))
+    secrets = F.filter("candidates", lambda c: c.score >= 0.5)
+    return found.select("doc_id", F.size("candidates").cast("long").alias("n_candidates"), F.size(secrets).cast("long").alias("n_secrets"), secrets.alias("secrets"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
