@@ -3,7 +3,7 @@
 A source's rate is its target over its size. Its documents are laid in order of size (then in a fixed pseudo-random order), each as long as the rate
 on a number line; the line is shifted by one pseudo-random offset for the source, and a document is emitted once for each
 integer boundary in its stretch. As equal stretches run over sizes in order, what a source emits differs from its target
-by about one document's size at most.
+by about its largest document's size at most, and by less after the best of DRAWS offsets is taken.
 
 Prefix sums are ranks times the rate. They come from counts of (source, size, bucket), so that neither a hot source nor a hot size meets in
 one task: equal sizes are dealt over about the square root of their number of buckets, and a task ranks one bucket. The window over
@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 _WORD = r"[^\x20\x09-\x0D]+"
+DRAWS = 16
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
 
 
 def _digest(text: Column) -> Column:
@@ -47,15 +52,15 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: i
     return levels.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "") -> DataFrame:
+def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "", draws: int = DRAWS) -> DataFrame:
     """docs (doc_id, text, source, ...) to a row (doc_id, source, size, source_size, target, copies) for each.
 
     size: words of the text (null or empty: 0). copies: times that the mix emits the document, at most `most`. Null sources are one source; rows
-    that repeat a doc_id each count. Only pseudo-random numbers made from doc_id, source and seed are used, so reruns agree.
+    that repeat a doc_id each count. Of `draws` pseudo-random offsets a source takes the one whose mix comes nearest to its target (the first of equals),
+    which matters where few or very long documents make up a source. All pseudo-random numbers are made from doc_id, source and seed, so reruns agree.
     Other columns are not read.
     """
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
-    sizes = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")))
+    sizes = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size")))
     targets = source_targets(sizes, cycle, most)
     same = sizes.groupBy("source", "size").agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("buckets"))
     same = same.withColumnsRenamed({"source": "s", "size": "z"})
@@ -66,22 +71,29 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int =
     offsets = counts.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("source", "size", "chunk").orderBy("doc_id")))
     ranked = own.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("chunk") == F.col("c"))).withColumn("rank", F.col("before") + F.col("own")).drop("s", "z", "c")
-    few = targets.withColumnRenamed("source", "s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    shift = _digest(F.concat(F.lit(seed + "/"), F.coalesce("source", F.lit("")))) / F.lit(4294967296.0)
-    at = lambda rank: F.floor(shift + rate * rank)
-    placed = ranked.join(few, F.col("source").eqNullSafe(F.col("s")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (at(F.col("rank")) - at(F.col("rank") - 1)).cast("long").alias("copies"))
+    few = targets.withColumn("rate", rate).withColumnRenamed("source", "s")
+    placed = checkpointed(ranked.join(few, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "rate", "rank"))
+
+    def copies(shift: Column) -> Column:
+        at = lambda rank: F.floor(shift + F.col("rate") * rank)
+        return (at(F.col("rank")) - at(F.col("rank") - 1)).cast("long")
+
+    shift = lambda i: _digest(F.concat(F.lit(f"{seed}/{i}/"), F.coalesce("source", F.lit("")))) / F.lit(4294967296.0)
+    shifts = placed.select("source").distinct().select(F.col("source").alias("s"), *(shift(i).alias(f"u{i}") for i in range(draws)))
+    trials = placed.join(shifts, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(F.max("target").alias("target"), *(F.max(f"u{i}").alias(f"u{i}") for i in range(draws)), *(F.sum(copies(F.col(f"u{i}")) * F.col("size")).alias(f"t{i}") for i in range(draws)))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{i}") - F.col("target")), F.lit(i), F.col(f"u{i}").alias("u")) for i in range(draws)))).u
+    chosen = trials.select(F.col("source").alias("s"), best.alias("u"))
+    return placed.join(chosen, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", copies(F.col("u")).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix: each row of docs as often as it is emitted, with copy_no from 1. Rows that repeat a doc_id share their copies by number."""
-    copies = mix_sources(docs, **how).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"), "copies")
-    per = Window.partitionBy("id", "of", "words")
-    copies = copies.withColumn("nth", F.row_number().over(per.orderBy(F.col("copies").desc())))
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
-    # a document's place among rows with its id, source and size; almost always 1
-    names = docs.columns
-    numbered = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy("text")))
-    joined = numbered.join(copies, numbered["doc_id"].eqNullSafe(copies["id"]) & F.col("source").cast("string").eqNullSafe(F.col("of")) & (F.col("__size") == F.col("words")) & (F.col("__nth") == F.col("nth")))
-    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names, "copy_no")
+    """The documents of the mix: each row of docs as often as it is emitted, with its number from 1 in copy_no (which replaces a column of that name)."""
+    docs = docs.drop("copy_no")
+    copies = mix_sources(docs, **how).select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__words"), "copies")
+    copies = copies.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__of", "__words").orderBy(F.col("copies").desc()))).where("copies > 0")
+    # rows that repeat doc_id, source and size are told apart by their number; almost always 1
+    numbered = docs.withColumn("__size", _size()).withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__words")) & (F.col("__row") == F.col("__nth"))
+    joined = numbered.join(copies, same)
+    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns, "copy_no")

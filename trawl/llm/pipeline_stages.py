@@ -1,24 +1,62 @@
-"""The stages of the corpus pipeline, each a thin call of an operator."""
+"""The stages of the corpus pipeline, each a thin call of an operator.
+
+Each stage works on all that the one before it kept, and is written as Parquet in the shared scratch folder and read again. All but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import Bitmap, checkpointed, scratch
+from .decontaminate import decontaminate
+from .line_dedup import dedup_lines
+from .mixing import mixed_documents
 from .ngram_join import ngram_jaccard_components
+from .quality import score_documents
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for those whose doc_id is in gone (doc_id). Only rows that may be among them are shuffled."""
+    gone = checkpointed(gone.select(F.col("doc_id").cast("long").alias("__gone")).where("__gone is not null").distinct())
+    maybe = F.coalesce(Bitmap(gone, "__gone").has(F.xxhash64(F.col("doc_id").cast("long"))), F.lit(False))
+    marked = docs.withColumn("__maybe", maybe)
+    left = marked.where("__maybe").join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return marked.where("not __maybe").select(*docs.columns).unionByName(left.select(*docs.columns))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score below 0.7) go; those with a null doc_id stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return _without(docs, score_documents(docs, labels).where("predicted = 0"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of similar lines the first stays; documents of which no line is left go."""
+    return dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the least doc_id."""
-    kept = ngram_jaccard_components(docs).where("component_id is null or component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    return _without(docs, ngram_jaccard_components(docs).where("component_id != doc_id"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go: those with a hit and hits on a twentieth of their words or more."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, numbered by copy_no."""
+    return mixed_documents(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [("quality", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("decontamination", benchmark), ("mixing", mixture)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch(spark, name)

@@ -153,12 +153,14 @@ s AS (SELECT source, sum(size)::BIGINT z, 1 + (row_number() OVER (ORDER BY sourc
 -- the level at which every source below some source's cap by weight is capped, and that one isn't
 lv AS (SELECT max(l) lvl FROM (SELECT a.w, a.z, ((SELECT sum(z) FROM s) - coalesce(sum(3 * b.z) FILTER (WHERE (3 * b.z) / b.w < (3 * a.z) / a.w), 0)) / sum(b.w) FILTER (WHERE (3 * b.z) / b.w >= (3 * a.z) / a.w) l
   FROM s a, s b GROUP BY a.source, a.w, a.z) WHERE l * w <= 3 * z),
-t AS (SELECT source, z, least(3 * z, lvl * w)::DOUBLE target, ('0x' || substr(md5('/' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE u FROM s, lv),
+t AS (SELECT source, z, least(3 * z, lvl * w)::DOUBLE target, CASE WHEN z > 0 THEN least(3 * z, lvl * w)::DOUBLE / z ELSE 0 END q FROM s, lv),
 k AS (SELECT *, ceil(sqrt(count(*) OVER (PARTITION BY source, size)))::BIGINT b FROM d),
-o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % b, doc_id) rk FROM k)
-SELECT doc_id, size, z AS source_size, target,
-  ((floor(u + CASE WHEN z > 0 THEN target / z ELSE 0 END * rk) - floor(u + CASE WHEN z > 0 THEN target / z ELSE 0 END * (rk - 1)))::BIGINT * size)::BIGINT AS taken
-FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % b, doc_id) rk FROM k),
+u AS (SELECT source, i, ('0x' || substr(md5('/' || i || '/' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE u FROM t, (SELECT unnest(range(16)) i)),
+x AS (SELECT o.doc_id, o.source, o.size, t.z, t.target, u.i, (floor(u.u + q * rk) - floor(u.u + q * (rk - 1)))::BIGINT n
+  FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source JOIN u ON o.source IS NOT DISTINCT FROM u.source),
+best AS (SELECT source, arg_min(i, (e, i)) i FROM (SELECT source, i, abs(sum(n * size) - any_value(target)) e FROM x GROUP BY source, i) GROUP BY source)
+SELECT doc_id, size, z AS source_size, target, (n * size)::BIGINT AS taken FROM x JOIN best ON x.source IS NOT DISTINCT FROM best.source AND x.i = best.i
 """
 
 
