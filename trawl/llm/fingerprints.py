@@ -15,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, shuffle_partitions
+from .common import checkpointed, scratch, shuffle_partitions
 
 PIECE = r"[^\n]{64,}?[.!?]+|[^\n]+"
 TABLES, SMALL, ROUNDS = 3, 12, 6
 #: Cells of each table for each digest of both texts; cells that stay empty take no room.
 SPREAD = 16
+#: Texts of so many stuck comparisons are few enough to broadcast; beyond that they are joined by a shuffle.
+FEW = 1000
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -167,17 +169,23 @@ def compare_with_edit_and_next(docs: DataFrame) -> DataFrame:
     path, columns = scratch(spark, "fingerprints"), ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     _compared(with_next_text(source), 0, SPREAD).write.parquet(path)
     done = spark.read.parquet(path)
+    key = ["doc_id", "next_id", "edited_sha256"]
+    stuck = checkpointed(done.where("stuck").select(*key).distinct())
+    fixed = None
     for attempt in (1, 2, 3):  # about one text in a million gets here; larger sketches, other hashes
-        if not done.where("stuck").limit(1).count():
+        if not (n := stuck.count()):
             break
-        again = done.where("stuck").select("doc_id", "next_id", "edited_sha256").distinct()
+        few = F.broadcast if n <= FEW else (lambda df: df)
         texts = source.select(F.col("doc_id").alias("d"), "text")
-        pairs = again.join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d").join(texts.withColumnRenamed("text", "next_text"), F.col("next_id").eqNullSafe(F.col("d"))).drop("d")
-        pairs = pairs.where(F.sha2(_edited(F.col("text"), F.col("next_text")), 256) == F.col("edited_sha256")).dropDuplicates(["doc_id", "next_id", "edited_sha256"])
+        pairs = checkpointed(texts.join(few(stuck), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d"))
+        pairs = texts.withColumnRenamed("text", "next_text").join(few(pairs), F.col("next_id").eqNullSafe(F.col("d"))).drop("d")
+        pairs = pairs.where(F.sha2(_edited(F.col("text"), F.col("next_text")), 256) == F.col("edited_sha256")).dropDuplicates(key)
         pairs = pairs.withColumns({"bucket": F.xxhash64("doc_id", "edited_sha256"), "row": F.lit(1)}).repartition("bucket")
-        mended = _compared(pairs, attempt, SPREAD * 4**attempt).select(F.col("doc_id").alias("d"), F.col("edited_sha256").alias("e"), F.struct("stuck", "near_edited", "near_next").alias("m"))
-        joined = done.join(mended, F.col("stuck") & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("edited_sha256") == F.col("e")), "left")
-        path = scratch(spark, "fingerprints")
-        joined.select("doc_id", "next_id", F.coalesce("m.stuck", "stuck").alias("stuck"), *columns[1:5], F.coalesce("m.near_edited", "near_edited").alias("near_edited"), F.coalesce("m.near_next", "near_next").alias("near_next")).write.parquet(path)
-        done = spark.read.parquet(path)
+        mended = checkpointed(_compared(pairs, attempt, max(SPREAD, 16) * 4**attempt).select(*key, "stuck", "near_edited", "near_next"))
+        good = mended.where("not stuck").select(F.col("doc_id").alias("d"), F.col("edited_sha256").alias("e"), F.struct("near_edited", "near_next").alias("m"))
+        fixed = few(good) if fixed is None else few(fixed.unionByName(good))
+        stuck = mended.where("stuck").select(*key)
+    if fixed is not None:
+        done = done.join(fixed, F.col("stuck") & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("edited_sha256") == F.col("e")), "left")
+        done = done.withColumns({x: F.coalesce(f"m.{x}", x) for x in ("near_edited", "near_next")})
     return done.select(*columns)
