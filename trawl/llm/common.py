@@ -122,13 +122,12 @@ class Words:
         self.count = np.diff(self.first)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), U64(0x9E3779B97F4A7C15), dtype=U64)
-    out[0] = U64(1)
-    return np.multiply.accumulate(out)
+_POWERS = np.multiply.accumulate(np.append(U64(1), np.full(4095, U64(0x9E3779B97F4A7C15), dtype=U64)))
 
 
-_POWERS = _powers(4096)
+def powers(n: int) -> np.ndarray:
+    """At least n powers of an odd constant modulo 2**64."""
+    return _POWERS if n <= len(_POWERS) else np.multiply.accumulate(np.append(U64(1), np.full(n, _POWERS[1], dtype=U64)))
 
 
 def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -137,8 +136,7 @@ def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     before = np.cumsum(sizes) - sizes
     inside = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
     where = inside + np.repeat(starts, sizes)
-    powers = _POWERS if sizes.max() <= len(_POWERS) else _powers(int(sizes.max()))
-    values = (data[where].astype(U64) + U64(1)) * powers[inside]
+    values = (data[where].astype(U64) + U64(1)) * powers(int(sizes.max()))[inside]
     return mix(np.add.reduceat(values, before) + sizes.astype(U64))
 
 

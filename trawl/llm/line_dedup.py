@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard verification, distributed union-find.
 
 Lines are parted by line feeds and lower-cased (A-Z). A line's set is its distinct hashed 8-character shingles; equal lower-cased lines are one node. One-permutation
-MinHash fills BANDS * ROWS values from one hash of each shingle (empty ones borrow from a full one picked by hashing); lines
+MinHash fills BANDS * ROWS values from one hash of each shingle (an empty one borrows from the next full one, to the side that a hash picks); lines
 that agree in all values of a band become candidates, of which a pair of similarity 0.75 is missed with a chance of about 0.0025.
 Candidates pass through odd sketches and are then verified exactly on whole sets. Of each component, and of each line that occurs
 more than once, the first occurrence by (doc_id, line number) stays.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Bitmap, _span_hashes, checkpointed, mix, shuffle_partitions, slices, text_buffer
+from .common import LOWER, U64, Bitmap, checkpointed, mix, powers, shuffle_partitions, slices, text_buffer
 from .components import connected_components
 from .packed import PACKED_DDL, PAIRS_DDL, candidates, pack
 from .similar_sets import exact_links, odd_sketch, probable_links
@@ -31,6 +31,12 @@ _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=U64)
 
 
+#: Of each byte: whether it starts a character other than a line feed; its value in keys, lower-cased.
+_IS_LEAD = np.array([(b & 0xC0) != 0x80 and b != 0x0A for b in range(256)], dtype=np.int8)
+_VALUE = LOWER.astype(U64) + U64(1)
+_VALUE[0x0A] = U64(0)
+
+
 class Lines:
     """Lines of a run of texts: doc, number, first and end byte, characters, key (of the lower-cased line)."""
 
@@ -46,12 +52,16 @@ class Lines:
         self.end = self.end - (data[self.end - 1] == 0x0A) if len(self.start) else self.end
         first = np.searchsorted(self.doc, np.arange(len(offsets)))
         self.number = np.arange(len(self.start)) - first[self.doc]
-        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        self.chars = lead[self.end] - lead[self.start]
-        self.key = np.zeros(len(self.start), dtype=U64)
-        some = self.end > self.start
-        if some.any():
-            self.key[some] = _span_hashes(LOWER[data], self.start[some], self.end[some])
+        if not len(self.start):
+            self.chars, self.key = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
+            return
+        # spans with their line feeds cover all bytes; a line feed adds nothing to the sums
+        size = np.diff(np.append(self.start, len(data)))
+        self.chars = np.add.reduceat(_IS_LEAD[data], self.start, dtype=np.int64)
+        inside = np.arange(len(data), dtype=np.int32) - np.repeat(self.start.astype(np.int32), size)
+        values = _VALUE[data]
+        values *= powers(int(size.max()))[inside]
+        self.key = mix(np.add.reduceat(values, self.start) + (self.end - self.start).astype(U64))
 
     def chosen(self, least: int) -> np.ndarray:
         return np.flatnonzero(self.chars >= least)
@@ -78,15 +88,18 @@ def minhash_bands(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
     k = BANDS * ROWS
     values = np.full(n_lines * k, _EMPTY, dtype=U64)
     np.minimum.at(values, line * k + (((h >> U64(32)) * U64(k)) >> U64(32)).astype(np.int64), mix(h ^ _C[0]))
-    values = values.reshape(n_lines, k)
-    full, out = values != _EMPTY, values.copy()
-    for attempt in range(1, 400):
-        empty = out == _EMPTY
-        if not empty.any():
-            break
-        pick = (mix(np.arange(k, dtype=U64) * _C[1] + np.full(k, attempt, dtype=U64) * _C[2]) % U64(k)).astype(np.int64)
-        take = empty & full[:, pick]
-        out[take] = values[:, pick][take]
+    out = values.reshape(n_lines, k)
+    sparse = np.flatnonzero((out == _EMPTY).any(axis=1))
+    if len(sparse):
+        part = out[sparse]
+        full, at = part != _EMPTY, np.arange(k)
+        left = np.maximum.accumulate(np.where(full, at, -1), axis=1)
+        left = np.where(left < 0, left[:, -1:], left)
+        right = np.minimum.accumulate(np.where(full, at, k)[:, ::-1], axis=1)[:, ::-1]
+        right = np.where(right == k, right[:, :1], right)
+        go_left = (mix(at.astype(U64)) & U64(1)).astype(bool)
+        pick = np.where(full, at, np.where(go_left, left, right))
+        out[sparse] = np.take_along_axis(part, pick, axis=1) + ((at - pick) % k).astype(U64) * _C[2]
     bands = np.zeros((n_lines, BANDS), dtype=U64)
     for r in range(ROWS):
         bands = mix(bands * _C[1] + out[:, r::ROWS])
@@ -141,18 +154,25 @@ def _texts(least: int, wanted: Bitmap):
     return run
 
 
-_SETS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
+_SETS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("payload", pa.binary())])
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of lines, given as UTF-8."""
+    data, offsets = text_buffer(texts)
+    lines = Lines(data, offsets)
+    h, line = lines.shingles(np.arange(len(lines.start)))
+    cuts = np.searchsorted(line, np.arange(len(lines.start) + 1))
+    return [np.unique(h[cuts[i] : cuts[i + 1]]) for i in range(len(lines.start))]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_buffer(batch.column("line"))
-        for a, b in slices(offsets, 3 << 20):
-            lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            h, line = lines.shingles(np.arange(len(lines.start)))
-            cuts = np.searchsorted(line, np.arange(len(lines.start) + 1))
-            sets = [np.unique(h[cuts[i] : cuts[i + 1]]) for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=_SETS)
+        texts = batch.column("line").cast(pa.binary())
+        for a in range(0, len(texts), 2048):
+            part = texts.slice(a, 2048)
+            sets = shingle_sets(part)
+            yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, 2048), pa.array([len(x) for x in sets], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.binary()), part], schema=_SETS)
 
 
 _OCCURRENCES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("number", pa.int64())])
@@ -178,9 +198,9 @@ def line_components(texts: DataFrame, num: int = 75, den: int = 100, least: int
     keys = found.select(F.explode(F.when(F.col("hot"), F.array("b")).otherwise(F.array("a", "b"))).alias("key")).distinct()
     wanted = Bitmap(keys.select(_mixed("key").alias("at")), "at", hashed=True)
     lines = texts.mapInArrow(_texts(least, wanted), "key long, line string").join(keys, "key", "left_semi").dropDuplicates(["key"])
-    sets = checkpointed(lines.mapInArrow(_sets, "key long, n long, sketch binary, shingles binary"))
+    sets = checkpointed(lines.mapInArrow(_sets, "key long, n long, sketch binary, payload binary"))
     groups = checkpointed(connected_components(probable_links(found, sets, num, den))).withColumnRenamed("node", "key")
-    links = exact_links(checkpointed(sets.join(groups, "key").select("component", "key", "shingles")), num, den)
+    links = exact_links(checkpointed(sets.join(groups, "key").select("component", "key", "payload")), num, den, decode=shingle_sets)
     return connected_components(links).withColumnRenamed("node", "key")
 
 

@@ -189,7 +189,7 @@ def _find(most: int, num: int, den: int):
 
 def _sets(width: int):
     """Rows (component, key, text) to their shingle sets; rows whose text has another key, after a repeated doc_id, go."""
-    schema = pa.schema([("component", pa.int64()), ("key", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("component", pa.int64()), ("key", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +202,7 @@ def _sets(width: int):
     return run
 
 
-def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, most_shared: int = MOST_SHARED, block: int = 4096, small_block: int = 512) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, most_shared: int = MOST_SHARED, block: int = 4096) -> DataFrame:
     """docs (doc_id long, text string, ...) to one row (doc_id, n_shingles, component_id) for each.
 
     Two rows link when den * |intersection| >= num * |union| of their distinct `width`-word shingles (lower-cased A-Z,
@@ -222,8 +222,8 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den
     groups = checkpointed(connected_components(probable_links(found, nodes, num, den, block)))
 
     wanted = groups.join(nodes.select(F.col("key").alias("node"), "doc_id"), "node").select("doc_id", F.col("node").alias("key"), "component")
-    sets = checkpointed(source.join(wanted, "doc_id").select("component", "key", "text").mapInArrow(_sets(width), "component long, key long, shingles binary"))
-    labels = connected_components(exact_links(sets, num, den, block, small_block)).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    sets = checkpointed(source.join(wanted, "doc_id").select("component", "key", "text").mapInArrow(_sets(width), "component long, key long, payload binary").dropDuplicates(["key"]))
+    labels = connected_components(exact_links(sets, num, den)).select(F.col("node").alias("key"), F.col("component").alias("label"))
 
     known = nodes.select("key", "doc_id").join(labels, "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
     least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -6,7 +6,7 @@ A set is a sorted array of distinct 64-bit hashes with a 64-bit key. Sets a and
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, checkpointed
 
+Decoder = Callable[[pa.Array], list[np.ndarray]]
+
 
 def differences(a, b, num: int, den: int):
     """The most elements in which sets of these sizes differ at that similarity."""
@@ -106,22 +108,32 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _with_representative(num: int, den: int):
+def from_hashes(payload: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=U64) for x in payload.to_pylist()]
+
+
+def _with_representative(num: int, den: int, decode: Decoder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, other = batch.column("shingles").to_pylist(), batch.column("of_first").to_pylist()
-            linked = [_linked(np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64), num, den) for x, y in zip(own, other, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("key"), batch.column("first_key"), pa.array(linked)], names=["component", "key", "first_key", "linked"])
+        first_key, first = None, None
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                linked = []
+                for own, key, i in zip(decode(batch.column("payload")), batch.column("first_key").to_pylist(), range(batch.num_rows), strict=True):
+                    if key != first_key:
+                        first_key, first = key, decode(batch.column("of_first").slice(i, 1))[0]
+                    linked.append(_linked(own, first, num, den))
+                yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("key"), batch.column("first_key"), pa.array(linked)], names=["component", "key", "first_key", "linked"])
 
     return run
 
 
-def _block_exactly(num: int, den: int):
-    """Rows (role, key, linked, shingles) of a block of unlinked sets (role 0) and one of all sets (role 1) of a component to the links that join trees."""
+def _block_exactly(num: int, den: int, decode: Decoder):
+    """Rows (role, key, linked, payload) of a block of unlinked sets (role 0) and one of all sets (role 1) of a component to the links that join trees."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        role, keys, linked, raw = (table.column(c).to_pylist() for c in ("role", "key", "linked", "shingles"))
-        sets = [np.frombuffer(x, dtype=U64) for x in raw]
+        role, keys, linked = (table.column(c).to_pylist() for c in ("role", "key", "linked"))
+        sets = decode(table.column("payload").combine_chunks())
         ones = [i for i in range(len(keys)) if role[i] == 1]
         number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
         trees, out, hub = _Forest(len(number) + 1), [], len(number)
@@ -171,18 +183,18 @@ def probable_links(found: DataFrame, nodes: DataFrame, num: int, den: int, block
     return cold.unionByName(warm)
 
 
-def exact_links(sets: DataFrame, num: int, den: int, block: int = 4096, small_block: int = 512) -> DataFrame:
-    """sets (component long, key long, shingles binary), checkpointed, to links (a, b) whose components are those of all links within components.
+def exact_links(sets: DataFrame, num: int, den: int, block: int = 2048, small_block: int = 256, decode: Decoder = from_hashes) -> DataFrame:
+    """sets (component long, key long, payload binary), checkpointed and with distinct keys, to links (a, b) whose components are those of all links within components.
 
-    Each set is compared with one representative of its component; those that don't link to it are compared with all others, in blocks.
+    Each set is compared with one representative of its component; those that don't link to it are compared with all others, in blocks. decode: payloads to sets.
     """
-    sets = sets.dropDuplicates(["key"])
-    firsts = sets.where("key = component").select("component", F.col("key").alias("first_key"), F.col("shingles").alias("of_first"))
-    told = checkpointed(sets.join(firsts, "component").mapInArrow(_with_representative(num, den), "component long, key long, first_key long, linked boolean"))
+    firsts = sets.where("key = component").select("component", F.col("key").alias("first_key"), F.col("payload").alias("of_first"))
+    told = checkpointed(sets.where("key != component").join(firsts, "component").mapInArrow(_with_representative(num, den, decode), "component long, key long, first_key long, linked boolean"))
     loose = told.groupBy("component").agg(F.count_if(~F.col("linked")).alias("s"), F.count("*").alias("t")).where("s > 0").select("component", F.ceil(F.col("s") / small_block).cast("int").alias("s"), F.ceil(F.col("t") / block).cast("int").alias("t"))
+    # the representative itself is linked to what links to it, and to nothing else
     rest = sets.join(told.select("key", "linked"), "key").join(loose, "component")
     row, column = F.pmod(F.xxhash64("key"), F.col("s")).cast("int"), F.pmod(F.xxhash64("key"), F.col("t")).cast("int")
-    asks = rest.where("not linked").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select("component", row.alias("i"), "j", F.lit(0).alias("role"), "key", "linked", "shingles")
-    answers = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("component", "i", column.alias("j"), F.lit(1).alias("role"), "key", "linked", "shingles")
-    more = asks.unionByName(answers).groupBy("component", "i", "j").applyInArrow(_block_exactly(num, den), "a long, b long")
-    return told.where("linked and key != first_key").select(F.col("key").alias("a"), F.col("first_key").alias("b")).unionByName(more)
+    asks = rest.where("not linked").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select("component", row.alias("i"), "j", F.lit(0).alias("role"), "key", "linked", "payload")
+    answers = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("component", "i", column.alias("j"), F.lit(1).alias("role"), "key", "linked", "payload")
+    more = asks.unionByName(answers).groupBy("component", "i", "j").applyInArrow(_block_exactly(num, den, decode), "a long, b long")
+    return told.where("linked").select(F.col("key").alias("a"), F.col("first_key").alias("b")).unionByName(more)
