@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, scratch, shuffle_partitions
 
 PIECE = r"[^\n]{64,}?[.!?]+|[^\n]+"
-TABLES, SMALL, ROUNDS = 3, 12, 6
+TABLES, SMALL, ROUNDS = 3, 12, 3
 #: Cells of each table for each digest of both texts; cells that stay empty take no room.
-SPREAD = 16
+SPREAD = 256
 #: Texts of so many stuck comparisons are few enough to broadcast; beyond that they are joined by a shuffle.
 FEW = 1000
 
@@ -172,7 +172,7 @@ def compare_with_edit_and_next(docs: DataFrame) -> DataFrame:
     key = ["doc_id", "next_id", "edited_sha256"]
     stuck = checkpointed(done.where("stuck").select(*key).distinct())
     fixed = None
-    for attempt in (1, 2, 3):  # about one text in a million gets here; larger sketches, other hashes
+    for attempt in (1, 2, 3):  # a few texts in a million get here; larger sketches, other hashes
         if not (n := stuck.count()):
             break
         few = F.broadcast if n <= FEW else (lambda df: df)
@@ -181,7 +181,7 @@ def compare_with_edit_and_next(docs: DataFrame) -> DataFrame:
         pairs = texts.withColumnRenamed("text", "next_text").join(few(pairs), F.col("next_id").eqNullSafe(F.col("d"))).drop("d")
         pairs = pairs.where(F.sha2(_edited(F.col("text"), F.col("next_text")), 256) == F.col("edited_sha256")).dropDuplicates(key)
         pairs = pairs.withColumns({"bucket": F.xxhash64("doc_id", "edited_sha256"), "row": F.lit(1)}).repartition("bucket")
-        mended = checkpointed(_compared(pairs, attempt, max(SPREAD, 16) * 4**attempt).select(*key, "stuck", "near_edited", "near_next"))
+        mended = checkpointed(_compared(pairs, attempt, max(SPREAD, 256) * 4**attempt).select(*key, "stuck", "near_edited", "near_next"))
         good = mended.where("not stuck").select(F.col("doc_id").alias("d"), F.col("edited_sha256").alias("e"), F.struct("near_edited", "near_next").alias("m"))
         fixed = few(good) if fixed is None else few(fixed.unionByName(good))
         stuck = mended.where("stuck").select(*key)
