@@ -6,7 +6,7 @@ that agree in all values of a band become candidates, of which a pair of similar
 Candidates pass through odd sketches and are then verified exactly on whole sets. Of each component, and of each line that occurs
 more than once, the first occurrence by (doc_id, line number) stays.
 
-Three passes over the documents: signatures; the texts of candidate lines; occurrences. What moves between tasks is packed signatures, the candidates' texts,
+Two passes over the documents: signatures and occurrences; the texts of candidate lines. What moves between tasks is packed signatures, the candidates' texts,
 and 24 bytes for each line. Hot lines pre-aggregate to one row for each task; what keeps the rows of a hot candidate group apart is described in
 similar_sets. Documents that lose no line are not shuffled.
 """
@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, Bitmap, checkpointed, mix, powers, shuffle_partitions, slices, text_buffer
 from .components import connected_components
-from .packed import PACKED_DDL, PAIRS_DDL, candidates, pack
+from .packed import PACKED_DDL, PAIRS, PAIRS_DDL, by_bucket, candidates, pack, riders, split_riders
 from .similar_sets import exact_links, odd_sketch, probable_links
 
+#: BANDS * ROWS is a power of two.
 WIDTH, BANDS, ROWS = 8, 16, 4
 LEAST_CHARS = 20
-_EMPTY = U64(0xFFFFFFFFFFFFFFFF)
+_EMPTY = np.uint32(0xFFFFFFFF)
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=U64)
 
 
@@ -66,28 +67,41 @@ class Lines:
     def chosen(self, least: int) -> np.ndarray:
         return np.flatnonzero(self.chars >= least)
 
-    def shingles(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, line of each, as index into rows) of all character shingles of these lines, in order."""
-        spans = [(int(a), int(b)) for a, b in zip(self.start[rows], self.end[rows], strict=True)]
-        raw = LOWER[self.data].tobytes()
-        text = "".join(raw[a:b].decode("utf-8", "replace") for a, b in spans)
-        x = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(U64)
-        size = 1
-        for c in _C:  # windows of 2, 4 and 8 characters
-            x = x[: len(x) - size] * c + x[size:]
-            x ^= x >> U64(29)
-            size *= 2
-        n = self.chars[rows]
-        inside = np.maximum(n - WIDTH + 1, 0)
-        at = np.arange(int(inside.sum())) + np.repeat((np.cumsum(n) - n) - (np.cumsum(inside) - inside), inside)
-        return mix(x[at]), np.repeat(np.arange(len(rows)), inside)
+    def windows(self, rows: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes in unsigned integers of this kind, line of each as index into rows) of all character shingles of these lines, in order."""
+        text = LOWER[self.data].tobytes().decode("utf-8", "replace").encode("utf-32-le")
+        x = _windows(np.frombuffer(text, dtype=np.uint32).astype(kind, copy=False))
+        size = self.chars + (np.diff(np.append(self.start, len(self.data))) > self.end - self.start)
+        first = (np.cumsum(size) - size)[rows]
+        n = np.maximum(self.chars[rows] - WIDTH + 1, 0)
+        line = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+        at = np.arange(int(n.sum()), dtype=np.int32) + np.repeat((first - (np.cumsum(n) - n)).astype(np.int32), n)
+        return _mix32(x[at]) if kind is np.uint32 else mix(x[at]), line
+
+
+def _windows(x: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of 8 characters, by way of those of 2 and 4."""
+    shift = x.dtype.type(29 if x.itemsize == 8 else 15)
+    for c, size in zip(_C.astype(x.dtype), (1, 2, 4), strict=True):
+        x = x[: max(0, len(x) - size)] * c + x[size:]
+        x ^= x >> shift
+    return x
+
+
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    return x
 
 
 def minhash_bands(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
-    """An n_lines x BANDS array of band signatures; every line needs a shingle."""
+    """An n_lines x BANDS array of band signatures from 32-bit hashes, whose highest bits pick the value that they compete for; every line needs a shingle."""
     k = BANDS * ROWS
-    values = np.full(n_lines * k, _EMPTY, dtype=U64)
-    np.minimum.at(values, line * k + (((h >> U64(32)) * U64(k)) >> U64(32)).astype(np.int64), mix(h ^ _C[0]))
+    values = np.full(n_lines * k, _EMPTY, dtype=np.uint32)
+    np.minimum.at(values, line * np.int64(k) + (h >> np.uint32(32 - k.bit_length() + 1)), h)
     out = values.reshape(n_lines, k)
     sparse = np.flatnonzero((out == _EMPTY).any(axis=1))
     if len(sparse):
@@ -99,33 +113,52 @@ def minhash_bands(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
         right = np.where(right == k, right[:, :1], right)
         go_left = (mix(at.astype(U64)) & U64(1)).astype(bool)
         pick = np.where(full, at, np.where(go_left, left, right))
-        out[sparse] = np.take_along_axis(part, pick, axis=1) + ((at - pick) % k).astype(U64) * _C[2]
+        out[sparse] = np.take_along_axis(part, pick, axis=1) + ((at - pick) % k).astype(np.uint32) * np.uint32(0x9E3779B9)
     bands = np.zeros((n_lines, BANDS), dtype=U64)
     for r in range(ROWS):
-        bands = mix(bands * _C[1] + out[:, r::ROWS])
+        bands = mix(bands * _C[1] + out[:, r::ROWS].astype(U64))
     return mix(bands + np.arange(BANDS).astype(U64) * _C[2])
 
 
+_PLACES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("number", pa.int64())])
+
+
 def _index(least: int, buckets: int):
+    """documents (doc_id, text) to packed band signatures, with all occurrences of lines as riders."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for a, b in slices(offsets, 3 << 20):
-                lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                rows = lines.chosen(least)
-                _, once = np.unique(lines.key[rows], return_index=True)
-                rows = rows[np.sort(once)]
-                if len(rows):
-                    h, line = lines.shingles(rows)
-                    bands = minhash_bands(h, line, len(rows))
-                    yield pack(bands.ravel(), np.repeat(np.arange(len(rows)), BANDS), lines.key[rows], np.ones(len(rows), dtype=np.int64), buckets)
+            data, offsets = text_buffer(batch.column(1))
+            for first, last in slices(offsets, 6 << 20):
+                keys, bands = [], []
+                for a, b in slices(offsets[first : last + 1], 1 << 19):
+                    a, b = a + first, b + first
+                    lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    rows = lines.chosen(least)
+                    if not len(rows):
+                        continue
+                    ids = batch.column(0).slice(a, b - a).take(pa.array(lines.doc[rows]))
+                    yield riders(pa.RecordBatch.from_arrays([pa.array(lines.key[rows].view(np.int64)), ids, pa.array(lines.number[rows])], schema=_PLACES), int(lines.key[rows[0]] % U64(buckets)))
+                    _, once = np.unique(lines.key[rows], return_index=True)
+                    rows = rows[np.sort(once)]
+                    h, line = lines.windows(rows, np.uint32)
+                    bands.append(minhash_bands(h, line, len(rows)))
+                    keys.append(lines.key[rows])
+                if keys:
+                    key = np.concatenate(keys)
+                    yield pack(np.concatenate(bands).ravel(), np.repeat(np.arange(len(key)), BANDS), key, np.ones(len(key), dtype=np.int64), buckets)
 
     return run
 
 
 def _find(most: int, num: int, den: int):
+    """Candidates; and, with a null in hot, occurrences as (a: key, b: doc_id, na: line number)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from candidates(batches, most, num, den)
+        blobs: list[pa.RecordBatch] = []
+        for rows in split_riders(batches, blobs):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.bool_()), *rows.columns, pa.nulls(len(rows), pa.int64())], schema=PAIRS)
+        yield from candidates(iter(blobs), most, num, den)
 
     return run
 
@@ -161,9 +194,15 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of lines, given as UTF-8."""
     data, offsets = text_buffer(texts)
     lines = Lines(data, offsets)
-    h, line = lines.shingles(np.arange(len(lines.start)))
+    h, line = lines.windows(np.arange(len(lines.start)), U64)
     cuts = np.searchsorted(line, np.arange(len(lines.start) + 1))
-    return [np.unique(h[cuts[i] : cuts[i + 1]]) for i in range(len(lines.start))]
+    for i in range(len(lines.start)):
+        h[cuts[i] : cuts[i + 1]].sort()
+    keep = np.ones(len(h), dtype=bool)
+    keep[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    kept = np.concatenate([[0], np.cumsum(keep)])[cuts]
+    h = h[keep]
+    return [h[kept[i] : kept[i + 1]] for i in range(len(lines.start))]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,26 +214,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, 2048), pa.array([len(x) for x in sets], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.binary()), part], schema=_SETS)
 
 
-_OCCURRENCES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("number", pa.int64())])
-
-
-def _occurrences(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            ids = batch.column(0)
-            for a, b in slices(offsets, 3 << 20):
-                lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                rows = lines.chosen(least)
-                yield pa.RecordBatch.from_arrays([pa.array(lines.key[rows].view(np.int64)), ids.slice(a, b - a).take(pa.array(lines.doc[rows])), pa.array(lines.number[rows])], schema=_OCCURRENCES)
-
-    return run
+def line_index(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, most_shared: int = 32) -> DataFrame:
+    """docs (doc_id long, text string) to candidates and occurrences, checkpointed. Lines of fewer than `least` characters don't count."""
+    buckets = shuffle_partitions(docs.sparkSession)
+    packed = docs.mapInArrow(_index(least, buckets), PACKED_DDL).repartition(buckets, by_bucket())
+    return checkpointed(packed.mapInArrow(_find(most_shared, num, den), PAIRS_DDL))
 
 
-def line_components(texts: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, most_shared: int = 32) -> DataFrame:
-    """texts (text string) to (key, component) of the lines that are similar to another line. Lines of fewer than `least` characters don't count."""
-    buckets = shuffle_partitions(texts.sparkSession)
-    found = checkpointed(texts.mapInArrow(_index(least, buckets), PACKED_DDL).repartition(buckets, "bucket").mapInArrow(_find(most_shared, num, den), PAIRS_DDL))
+def line_components(texts: DataFrame, index: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS) -> DataFrame:
+    """texts (text string) and their line_index to (key, component) of the lines that are similar to another line."""
+    found = index.where("hot is not null")
     keys = found.select(F.explode(F.when(F.col("hot"), F.array("b")).otherwise(F.array("a", "b"))).alias("key")).distinct()
     wanted = Bitmap(keys.select(_mixed("key").alias("at")), "at", hashed=True)
     lines = texts.mapInArrow(_texts(least, wanted), "key long, line string").join(keys, "key", "left_semi").dropDuplicates(["key"])
@@ -219,8 +248,9 @@ def repeated_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int =
     the lines of that number in all of them.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labels = line_components(source.select("text"), num, den, least)
-    places = source.where("doc_id is not null").mapInArrow(_occurrences(least), "key long, doc_id long, number long")
+    index = line_index(source, num, den, least)
+    labels = line_components(source.select("text"), index, num, den, least)
+    places = index.where("hot is null and b is not null").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("na").alias("number"))
     at = F.struct("doc_id", "number")
     lines = places.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).join(labels, "key", "left").withColumn("label", F.coalesce("component", "key"))
     firsts = lines.groupBy("label").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, U64, Words, checkpointed, mix, set_keys, shingle_hashes, shuffle_partitions, slices, text_buffer
 from .components import connected_components
-from .packed import PACKED, PACKED_DDL, PAIRS, PAIRS_DDL, candidates, pack
+from .packed import PACKED_DDL, PAIRS, PAIRS_DDL, by_bucket, candidates, pack, riders, split_riders
 from .similar_sets import differences, exact_links, odd_sketch, probable_links
 
 BAND_GROWTH = 1.6
@@ -150,11 +150,7 @@ def _index(width: int, num: int, den: int, buckets: int, log_sets: int):
                 chosen &= n > 0
                 sketches = [odd_sketch(h[at[i] : at[i + 1]]) if chosen[i] else None for i in range(len(n))]
                 rows = pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys.view(np.int64)), pa.array(n), pa.array(sketches, pa.binary())], names=["doc_id", "key", "n", "sketch"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema) as writer:
-                    writer.write_batch(rows)
-                spread = int(keys[0] % U64(buckets)) if len(keys) else 0
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - spread], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=PACKED)
+                yield riders(rows, int(keys[0] % U64(buckets)))
                 keep = np.repeat(chosen, n)
                 sub = np.concatenate([[0], np.cumsum(n[chosen])])
                 sigs, owner = signatures(h[keep], sub, num, den, log_sets)
@@ -171,15 +167,10 @@ _FOUND_DDL = "doc_id long, key long, n long, sketch binary, " + PAIRS_DDL
 
 def _find(most: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
-        for batch in batches:
-            kinds = batch.column(0).to_numpy()
-            for i in np.flatnonzero(kinds < 0):
-                with pa.ipc.open_stream(batch.column(1)[int(i)].as_py()) as reader:
-                    for rows in reader:
-                        none = [pa.nulls(len(rows), f.type) for f in PAIRS]
-                        yield pa.RecordBatch.from_arrays([*(rows.column(f.name).cast(f.type) for f in _NODE_ROWS), *none], schema=_FOUND)
-            blobs.append(batch.filter(pa.array(kinds >= 0)))
+        blobs: list[pa.RecordBatch] = []
+        for rows in split_riders(batches, blobs):
+            none = [pa.nulls(len(rows), f.type) for f in PAIRS]
+            yield pa.RecordBatch.from_arrays([*(rows.column(f.name).cast(f.type) for f in _NODE_ROWS), *none], schema=_FOUND)
         for pairs in candidates(iter(blobs), most, num, den):
             none = [pa.nulls(len(pairs), f.type) for f in _NODE_ROWS]
             yield pa.RecordBatch.from_arrays([*none, *pairs.columns], schema=_FOUND)
@@ -215,7 +206,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den
     log_sets = max(1, math.ceil(math.log10(max(10, source.select("doc_id").count()))))
     buckets = shuffle_partitions(spark)
     packed = source.mapInArrow(_index(width, num, den, buckets, log_sets), PACKED_DDL)
-    found = checkpointed(packed.repartition(buckets, F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))).mapInArrow(_find(most_shared, num, den), _FOUND_DDL))
+    found = checkpointed(packed.repartition(buckets, by_bucket()).mapInArrow(_find(most_shared, num, den), _FOUND_DDL))
 
     members = found.where("key is not null").select("doc_id", "key", "n")
     nodes = found.where("key is not null and n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))

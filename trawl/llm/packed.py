@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .common import U64
 
@@ -47,6 +49,29 @@ def unpack(bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return low.astype(U64) | (U64(bucket) << U64(32)), table["node"][index], table["size"][index]
 
 
+
+def riders(rows: pa.RecordBatch, bucket: int) -> pa.RecordBatch:
+    """Other rows that travel with the signatures of a batch: they come out of split_riders in the task of this bucket."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_batch(rows)
+    return pa.RecordBatch.from_arrays([pa.array([-1 - bucket], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=PACKED)
+
+
+def split_riders(batches: Iterator[pa.RecordBatch], blobs: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The riders of a task's rows; the packed signatures are appended to blobs."""
+    for batch in batches:
+        kinds = batch.column(0).to_numpy()
+        for i in np.flatnonzero(kinds < 0):
+            with pa.ipc.open_stream(batch.column(1)[int(i)].as_py()) as reader:
+                yield from reader
+        blobs.append(batch.filter(pa.array(kinds >= 0)))
+
+
+def by_bucket() -> Column:
+    return F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
+
+
 PAIRS = pa.schema([("hot", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
 PAIRS_DDL = "hot boolean, a long, b long, na long, nb long"
 
