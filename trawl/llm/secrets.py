@@ -230,7 +230,7 @@ def _scan(shared):
                 raw, said = part.tobytes(), []
                 for r, s, e in zip(row, start, end, strict=True):
                     said.append(features(raw[s : min(e, s + MOST_CHARS)].decode(), raw[max(at[r], s - BEFORE) : s].decode("utf-8", "ignore"), raw[e : min(at[r + 1], e + AFTER)].decode("utf-8", "ignore"), paths[r] or ""))
-                scores = forest.predict(np.array(said, dtype=float).reshape(len(said), -1))
+                scores = forest.predict(np.array(said, dtype=float)) if said else []
                 out: list[list[dict]] = [[] for _ in range(b - a)]
                 for r, s, e, score in zip(row, start, end, scores, strict=True):
                     out[r].append({"first_byte": int(s - at[r]), "end_byte": int(e - at[r]), "score": float(score)})
