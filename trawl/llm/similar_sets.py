@@ -183,7 +183,7 @@ def probable_links(found: DataFrame, nodes: DataFrame, num: int, den: int, block
     return cold.unionByName(warm)
 
 
-def exact_links(sets: DataFrame, num: int, den: int, block: int = 2048, small_block: int = 256, decode: Decoder = from_hashes) -> DataFrame:
+def exact_links(sets: DataFrame, num: int, den: int, block: int = 256, small_block: int = 128, decode: Decoder = from_hashes) -> DataFrame:
     """sets (component long, key long, payload binary), checkpointed and with distinct keys, to links (a, b) whose components are those of all links within components.
 
     Each set is compared with one representative of its component; those that don't link to it are compared with all others, in blocks. decode: payloads to sets.
