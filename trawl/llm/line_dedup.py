@@ -173,7 +173,7 @@ def _texts(least: int, wanted: Bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            for a, b in slices(offsets, 3 << 20):
+            for a, b in slices(offsets, 1 << 19):
                 lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 rows = lines.chosen(least)
                 _, once = np.unique(lines.key[rows], return_index=True)
@@ -264,14 +264,14 @@ def dedup_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEA
 
     Texts that lose no line stay as they are, byte for byte.
     """
-    gone = checkpointed(repeated_lines(docs, num, den, least).groupBy("doc_id").agg(F.collect_set("number").alias("gone")))
-    touched = Bitmap(gone, "doc_id")
+    gone = checkpointed(repeated_lines(docs, num, den, least).groupBy("doc_id").agg(F.collect_set("number").alias("__gone")).withColumnRenamed("doc_id", "__id"))
+    touched = Bitmap(gone, "__id")
     names = docs.columns
     marked = docs.withColumn("__touched", F.coalesce(touched.has(F.xxhash64(F.col("doc_id").cast("long"))), F.lit(False)))
     lines = F.split("text", "\n")
-    left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
-    joined = marked.where("__touched").join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left")
-    cut = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+    left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
+    joined = marked.where("__touched").join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    cut = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
     if drop_emptied:
-        cut = cut.where(F.col("gone").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+        cut = cut.where(F.col("__gone").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     return marked.where("not __touched").select(*names).unionByName(cut.select(*names))

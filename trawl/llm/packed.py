@@ -22,13 +22,10 @@ PACKED_DDL = "bucket int, blob binary"
 
 
 def pack(sigs: np.ndarray, owners: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """sigs: 64 bits each; owners: index into nodes for each. Repeated (signature, node) pairs of the batch go once."""
-    bucket = ((sigs >> U64(32)) % U64(buckets)).astype(np.int64)
-    order = np.lexsort((owners, sigs & U64(0xFFFFFFFF), bucket))
-    bucket, low, owners = bucket[order], (sigs[order] & U64(0xFFFFFFFF)).astype("<u4"), owners[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (owners[1:] != owners[:-1])
-    bucket, low, owners = bucket[new], low[new], owners[new]
+    """sigs: 64 bits each; owners: index into nodes for each."""
+    bucket = (sigs >> U64(32)) % U64(buckets)
+    order = np.argsort((bucket << U64(32)) | (sigs & U64(0xFFFFFFFF)))
+    bucket, low, owners = bucket[order].astype(np.int64), (sigs[order] & U64(0xFFFFFFFF)).astype("<u4"), owners[order]
     ids, at = np.unique(bucket, return_index=True)
     blobs = []
     for a, b in zip(at, [*at[1:], len(bucket)], strict=True):
@@ -89,8 +86,15 @@ def candidates(batches: Iterator[pa.RecordBatch], most: int, num: int, den: int)
     while parts:
         k, blobs = parts.popitem()
         cols = [np.concatenate(x) for x in zip(*(unpack(k, b) for b in blobs), strict=True)]
-        order = np.lexsort((cols[1], cols[0]))
-        sig, node, size = (c[order] for c in cols)
+        sig, node, size = cols
+        order = np.argsort(sig)
+        sig = sig[order]
+        same = sig[1:] == sig[:-1]
+        more = np.append(same, False) | np.append(False, same)  # most signatures have one node and end here
+        sig, order = sig[more], order[more]
+        node, size = node[order], size[order]
+        order = np.lexsort((node, sig))
+        sig, node, size = sig[order], node[order], size[order]
         new = np.ones(len(sig), dtype=bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         sig, node, size = sig[new], node[new], size[new]
