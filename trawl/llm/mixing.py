@@ -2,8 +2,9 @@
 
 A source's rate is its target over its size. Its documents are laid in order of size (then in a fixed pseudo-random order), each as long as the rate
 on a number line; the line is shifted by one pseudo-random offset for the source, and a document is emitted once for each
-integer boundary in its stretch. As equal stretches run over sizes in order, what a source emits differs from its target
-by about its largest document's size at most, and by less after the best of DRAWS offsets is taken.
+integer boundary in its stretch. Documents of more than 1/LONG of a source's target, at most some 150 of a source, come first; the others' rate is what these leave of the target
+over the others' size. As equal stretches run over sizes in order, what a source emits differs from its target by about a 50th of it at most, and by less after the
+best of DRAWS offsets is taken.
 
 Prefix sums are ranks times the rate. They come from counts of (source, size, bucket), so that neither a hot source nor a hot size meets in
 one task: equal sizes are dealt over about the square root of their number of buckets, and a task ranks one bucket. The window over
@@ -19,6 +20,8 @@ from .common import checkpointed
 
 _WORD = r"[^\x20\x09-\x0D]+"
 DRAWS = 16
+#: A document of more than a 50th of its source's target is long.
+LONG = 50
 
 
 def _size() -> Column:
@@ -61,39 +64,46 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int =
     Other columns are not read.
     """
     sizes = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size")))
-    targets = source_targets(sizes, cycle, most)
-    same = sizes.groupBy("source", "size").agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("buckets"))
-    same = same.withColumnsRenamed({"source": "s", "size": "z"})
+    few = source_targets(sizes, cycle, most).withColumnRenamed("source", "s")
+    sized = sizes.join(few, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("long", F.col("size") * LONG > F.col("target"))
+    group = ["source", "long", "size"]
+    same = sized.groupBy(*group).agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("buckets")).withColumnsRenamed({"source": "s", "long": "l", "size": "z"})
+    alike = F.col("source").eqNullSafe(F.col("s")) & (F.col("long") == F.col("l")) & (F.col("size") == F.col("z"))
     chunk = F.pmod(_digest(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.col("buckets"))
-    dealt = sizes.join(same, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("chunk", chunk).select("doc_id", "source", "size", "chunk")
-    counts = dealt.groupBy("source", "size", "chunk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("source", "size", "chunk").orderBy("doc_id")))
-    ranked = own.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("chunk") == F.col("c"))).withColumn("rank", F.col("before") + F.col("own")).drop("s", "z", "c")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    few = targets.withColumn("rate", rate).withColumnRenamed("source", "s")
-    placed = checkpointed(ranked.join(few, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "rate", "rank"))
-
-    def copies(shift: Column) -> Column:
-        at = lambda rank: F.floor(shift + F.col("rate") * rank)
+    dealt = sized.join(same, alike).withColumn("chunk", chunk).drop("s", "l", "z", "buckets")
+    counts = dealt.groupBy(*group, "chunk").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source", "long").orderBy("size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("source").alias("s"), F.col("long").alias("l"), F.col("size").alias("z"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy(*group, "chunk").orderBy("doc_id")))
+    placed = checkpointed(own.join(offsets, alike & (F.col("chunk") == F.col("c"))).withColumn("rank", F.col("before") + F.col("own")).select("doc_id", "source", "size", "source_size", "target", "long", "rank"))
+
+    def copies(shift: Column, rate: Column) -> Column:
+        at = lambda rank: F.floor(shift + rate * rank)
         return (at(F.col("rank")) - at(F.col("rank") - 1)).cast("long")
 
-    shift = lambda i: _digest(F.concat(F.lit(f"{seed}/{i}/"), F.coalesce("source", F.lit("")))) / F.lit(4294967296.0)
-    shifts = placed.select("source").distinct().select(F.col("source").alias("s"), *(shift(i).alias(f"u{i}") for i in range(draws)))
-    trials = placed.join(shifts, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(F.max("target").alias("target"), *(F.max(f"u{i}").alias(f"u{i}") for i in range(draws)), *(F.sum(copies(F.col(f"u{i}")) * F.col("size")).alias(f"t{i}") for i in range(draws)))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{i}") - F.col("target")), F.lit(i), F.col(f"u{i}").alias("u")) for i in range(draws)))).u
-    chosen = trials.select(F.col("source").alias("s"), best.alias("u"))
-    return placed.join(chosen, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", copies(F.col("u")).alias("copies"))
+    first = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    named = F.col("source").eqNullSafe(F.col("s"))
+    shifts = few.select("s", F.array(*(_digest(F.concat(F.lit(f"{seed}/{i}/"), F.coalesce("s", F.lit("")))) / F.lit(4294967296.0) for i in range(draws))).alias("u"))
+    drawn = placed.join(shifts, named).drop("s")
+    # what the long documents of each draw leave to the others, whose rate follows from it
+    taken = drawn.groupBy("source").agg(F.max("target").alias("t"), F.sum(F.when(F.col("long"), F.lit(0)).otherwise(F.col("size"))).alias("rest"), *(F.sum(F.when(F.col("long"), copies(F.col("u")[i], first) * F.col("size")).otherwise(F.lit(0))).alias(f"x{i}") for i in range(draws)))
+    rate = lambda i: F.when(F.col("rest") > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), (F.col("t") - F.col(f"x{i}")) / F.col("rest")))).otherwise(F.lit(0.0))
+    rates = taken.select(F.col("source").alias("s"), F.array(*(rate(i) for i in range(draws))).alias("r"), F.array(*(F.col(f"x{i}") for i in range(draws))).alias("x"))
+    sums = drawn.where("not long").join(rates.select("s", "r"), named).groupBy("s").agg(*(F.sum(copies(F.col("u")[i], F.col("r")[i]) * F.col("size")).alias(f"y{i}") for i in range(draws)))
+    trials = taken.select(F.col("source").alias("s"), "t").join(rates.withColumnRenamed("s", "s1"), F.col("s").eqNullSafe(F.col("s1"))).join(sums.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left")
+    error = lambda i: F.abs(F.col("x")[i] + F.coalesce(F.col(f"y{i}"), F.lit(0)) - F.col("t"))
+    best = F.array_min(F.array(*(F.struct(error(i).alias("e"), F.lit(i).alias("i"), F.col("r")[i].alias("r")) for i in range(draws))))
+    chosen = trials.select("s", best.alias("b")).join(shifts.withColumnRenamed("s", "s3"), F.col("s").eqNullSafe(F.col("s3"))).select("s", F.col("b.r").alias("r"), F.get("u", F.col("b.i")).alias("u"))
+    return placed.join(chosen, named).select("doc_id", "source", "size", "source_size", "target", copies(F.col("u"), F.when(F.col("long"), first).otherwise(F.col("r"))).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix: each row of docs as often as it is emitted, with its number from 1 in copy_no (which replaces a column of that name)."""
     docs = docs.drop("copy_no")
-    copies = mix_sources(docs, **how).select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__words"), "copies")
-    copies = copies.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__of", "__words").orderBy(F.col("copies").desc()))).where("copies > 0")
+    copies = mix_sources(docs, **how).select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__words"), F.col("copies").alias("__copies"))
+    copies = copies.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__of", "__words").orderBy(F.col("__copies").desc()))).where("__copies > 0")
     # rows that repeat doc_id, source and size are told apart by their number; almost always 1
     numbered = docs.withColumn("__size", _size()).withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy("text")))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__words")) & (F.col("__row") == F.col("__nth"))
     joined = numbered.join(copies, same)
-    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns, "copy_no")
+    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns, "copy_no")
