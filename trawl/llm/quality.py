@@ -2,10 +2,10 @@
 
 Each whole text becomes FEATURES numbers (shares of kinds of characters, word lengths, repetition of words, bigrams and lines; see `statistics`),
 standardised and mapped to D cosines with random frequencies, which approximate a Gaussian kernel. Each partition of labelled rows returns its
-sums Z'Z and Z'y; their total gives the ridge weights. A held-back fifth of the labelled rows is scored, counted
-by score and label in BINS equal bins, and pooled into an increasing step function that calibrates scores.
+sums Z'Z and Z'y for each of FOLDS folds; their total gives the ridge weights. Each labelled row is also scored by the weights of the other folds, and these scores are counted
+by label in BINS equal bins and pooled into an increasing step function that calibrates scores.
 
-All labelled rows are used. What reaches the driver has a fixed size: means and deviations, at most MOST_PARTS matrices of (D + 1)**2 doubles, BINS counts, and a
+All labelled rows are used. What reaches the driver has a fixed size: means and deviations, at most MOST_PARTS * FOLDS matrices of (D + 1)**2 doubles, BINS counts, and a
 broadcast model of some 100 KB.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE_WORDS, Words, checkpointed, slices, text_buffer
 
-D, BINS, MOST_PARTS, SEED = 192, 512, 16, 20240229
+D, BINS, MOST_PARTS, FOLDS, SEED = 192, 512, 16, 5, 20240229
 NAMES = (
     "log_bytes", "log_words", "upper", "digit", "space", "ascii_mark", "stop_mark", "bracket", "pipe", "symbol", "high_bytes", "line_breaks", "word_bytes", "word_bytes_sd",
     "distinct_words", "repeats_next", "distinct_pairs", "top_word", "distinct_lines", "line_words", "marked_ends", "vowels", "char_entropy", "word_entropy", "loud_marks", "capital_words",
@@ -142,11 +142,13 @@ def pooled(counts: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def _sums(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((D + 1, D + 2))
+        total = np.zeros((FOLDS, D + 1, D + 2))
         for batch in batches:
-            z = shared.value.features(_matrix(batch))
+            z, fold = shared.value.features(_matrix(batch)), batch.column("fold").to_numpy()
             y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
-            total += z.T @ np.column_stack([z, y])
+            for k in range(FOLDS):
+                own = fold == k
+                total[k] += z[own].T @ np.column_stack([z[own], y[own]])
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["total"])
 
     return run
@@ -154,14 +156,22 @@ def _sums(shared):
 
 def _binned(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, weights = shared.value
         for batch in batches:
-            raw = np.clip(shared.value.raw(_matrix(batch)), -0.5, 1.5)
+            z, fold = model.features(_matrix(batch)), batch.column("fold").to_numpy()
+            raw = np.clip((z * weights[fold]).sum(axis=1), -0.5, 1.5)
             bins = np.minimum(((raw + 0.5) / 2 * BINS).astype(np.int64), BINS - 1)
             yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column("y")], names=["bin", "y"])
 
     return run
 
 
+def _weights(sums: np.ndarray, ridge: float) -> np.ndarray:
+    penalty = np.eye(D + 1) * ridge * max(1.0, sums[-1, D])
+    penalty[-1, -1] = 1e-9
+    return np.linalg.solve(sums[:, : D + 1] + penalty, sums[:, D + 1])
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, total, squares = 0, np.zeros(FEATURES), np.zeros(FEATURES)
     for batch in batches:
@@ -182,13 +192,12 @@ def fit(examples: DataFrame, ridge: float = 1e-3, bandwidth: float = 6.0) -> Mod
     if not n:
         return model
     sc = examples.sparkSession.sparkContext
-    held = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(5)) == 0
-    parts = examples.where(~held).coalesce(MOST_PARTS).mapInArrow(_sums(sc.broadcast(model)), "total binary").toArrow().to_pylist()
-    sums = sum((np.frombuffer(r["total"]).reshape(D + 1, D + 2) for r in parts), np.zeros((D + 1, D + 2)))
-    penalty = np.eye(D + 1) * ridge * max(1.0, sums[-1, D])
-    penalty[-1, -1] = 1e-9
-    model.weights = np.linalg.solve(sums[:, : D + 1] + penalty, sums[:, D + 1])
-    bins = examples.where(held).mapInArrow(_binned(sc.broadcast(model)), "bin long, y int").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).toArrow().to_pydict()
+    folded = examples.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(FOLDS)).cast("int"))
+    parts = folded.coalesce(MOST_PARTS).mapInArrow(_sums(sc.broadcast(model)), "total binary").toArrow().to_pylist()
+    sums = sum((np.frombuffer(r["total"]).reshape(FOLDS, D + 1, D + 2) for r in parts), np.zeros((FOLDS, D + 1, D + 2)))
+    model.weights = _weights(sums.sum(axis=0), ridge)
+    without = np.stack([_weights(sums.sum(axis=0) - sums[k], ridge) for k in range(FOLDS)])
+    bins = folded.mapInArrow(_binned(sc.broadcast((model, without))), "bin long, y int").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).toArrow().to_pydict()
     counts, ones = np.zeros(BINS), np.zeros(BINS)
     counts[bins["bin"]], ones[bins["bin"]] = bins["n"], bins["ones"]
     if counts.sum():
