@@ -242,11 +242,15 @@ def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share_num: int = 1, share_den: int = 20, remove: str = "documents", **limits) -> DataFrame:
     """docs without contaminated documents (remove="documents"), or with their marked spans cut out of the text (remove="spans")."""
-    found = find_contamination(docs, benchmark, window, **limits)
+    names = docs.columns
+    own = {c: f"__own_{c}" for c in names if c in ("n_words", "spans", "item_ids")}
+    found = find_contamination(docs.withColumnsRenamed(own), benchmark, window, **limits)
     bad = is_contaminated(share_num, share_den)
     if remove == "documents":
-        return found.where(~bad).select(*docs.columns)
-    if remove != "spans":
+        out = found.where(~bad)
+    elif remove == "spans":
+        cut = found.withColumn("spans", F.when(bad, F.col("spans")))
+        out = cut.mapInArrow(_without_spans, cut.schema)
+    else:
         raise ValueError("remove: documents or spans")
-    cut = found.withColumn("spans", F.when(bad, F.col("spans")))
-    return cut.mapInArrow(_without_spans, cut.schema).select(*docs.columns)
+    return out.drop("n_words", "spans", "item_ids").withColumnsRenamed({v: k for k, v in own.items()}).select(*names)

@@ -222,7 +222,7 @@ def export(archives: DataFrame, folder: str) -> None:
         store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         store.create_dir(base, recursive=True)
         for row in rows:
-            with store.open_output_stream(f"{base}/{row.archive_id}.warc.zst") as out:
+            with store.open_output_stream(f"{base}/{row.archive_id}.warc.zst", compression=None) as out:
                 out.write(row.data)
 
     archives.select("archive_id", "data").foreachPartition(run)
