@@ -1,14 +1,15 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trawl.__main__ import main
 from trawl.adapters import NodeStore, VectorStore
 from trawl.operators.search import Options
-from trawl.schema import DuplicateIdError, RecordError, with_defaults
-from trawl.sources.io import csv_records, read_csv, read_jsonl, write_jsonl
-from trawl.sources.store import ClosedError, Collection, Store
+from trawl.schema import DuplicateIdError, RecordError, Schema, with_defaults
+from trawl.sources.io import csv_records, from_arrays, read_csv, read_jsonl, write_jsonl
+from trawl.sources.store import ClosedError, Collection, Store, Validated
 from trawl.streaming.ingest import apply_ops, start_ingest
 
 
@@ -166,6 +167,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert out[0] == "1" and json.loads(out[1])["id"] == "a" and json.loads(out[2])["metadata"]["n"] == 3 and out[3] == "OK"
 
 
+def test_quantized_collection_and_arrays(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 8)).astype(np.float32)
+    c = Collection.create(spark, str(tmp_path / "q"), 8)
+    with pytest.raises(RecordError):
+        c.enable_quantization("int8")
+    c.bulk_ingest(from_arrays(spark, [str(i) for i in range(300)], x, [{"even": i % 2 == 0} for i in range(300)]))
+    queries = from_arrays(spark, ["7", "8"], x[7:9]).select(F.col("id").alias("qid"), "vector")
+    exact = [(r.qid, r.id) for r in c.search(queries, Options(k=5)).orderBy("qid", "rank").collect()]
+    for method in ("int8", "pq"):
+        c.enable_quantization(method, 20)
+        assert [(r.qid, r.id) for r in c.search(queries, Options(k=5)).orderBy("qid", "rank").collect()] == exact
+    c.backup(str(tmp_path / "q2"))
+    assert Collection(spark, str(tmp_path / "q2")).quantization == {"method": "product", "multiplier": 20}
+    assert {int(r.id) % 2 for r in c.search(queries, Options(k=5, filter={"even": True})).collect()} == {0}
+    assert c.disable_quantization() and not c.disable_quantization()
+    with pytest.raises(RecordError):
+        from_arrays(spark, ["a"], x)
+
+
+def test_validated(spark, collection):
+    v = Validated(collection, Schema({"n": "integer"}))
+    with pytest.raises(RecordError):
+        v.upsert(rows(spark, ("x", [1, 1], {"n": "one"})))
+    with pytest.raises(RecordError):
+        v.update_metadata("doc1", {"n": True})
+    v.upsert(rows(spark, ("x", [1, 1], {"n": 1})))
+    assert v.update_metadata("x", {"n": 2}) and len(v) == 6 and v.count(tests={"n": 2}) == 2
+
+
 def test_search_through_a_collection(spark, collection):
     queries = spark.createDataFrame([("0", [1.0, 0.0])], "qid string, vector array<float>")
     assert collection.search(queries, Options(k=1)).first().id == "doc0"

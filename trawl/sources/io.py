@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import COLUMNS, with_defaults
+from ..schema import COLUMNS, RecordError, with_defaults
 
 _JSON_DDL = "namespace string, id string, vector array<float>, vectors map<string,array<float>>, sparse map<string,float>, metadata variant, multi_vectors map<string,array<array<float>>>, expires_at double, ttl double"
 
@@ -17,6 +21,16 @@ def read_jsonl(spark: SparkSession, path: str, namespace: str = "", now: float =
     return with_defaults(rows.withColumn("metadata", F.coalesce("metadata", F.parse_json(F.lit("{}")))), namespace)
 
 
+def from_arrays(spark: SparkSession, ids: list[str], vectors: np.ndarray, metadata: list[dict] | None = None, namespace: str = "") -> DataFrame:
+    """Records from a matrix with a row for each id, by way of Arrow."""
+    if vectors.ndim != 2 or len(ids) != len(vectors) or metadata is not None and len(metadata) != len(ids):
+        raise RecordError("ids, rows of the matrix and metadata differ in number")
+    flat = pa.array(np.ascontiguousarray(vectors, dtype=np.float32).ravel())
+    offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * vectors.shape[1])
+    rows = pa.table({"id": pa.array([str(i) for i in ids]), "vector": pa.ListArray.from_arrays(offsets, flat), "metadata": pa.array([json.dumps(m) for m in metadata or [{}] * len(ids)])})
+    return with_defaults(spark.createDataFrame(rows), namespace)
+
+
 def write_jsonl(records: DataFrame, path: str) -> None:
     records.select(F.to_json(F.struct(*COLUMNS)).alias("value")).write.text(path)
 

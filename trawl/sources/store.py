@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import compile_filter
 from ..functions.metrics import metric_name
-from ..operators.search import Options, not_expired, search
-from ..schema import COLUMNS, RECORD_DDL, DuplicateIdError, RecordError, check_records, with_defaults
+from ..operators.quantize import ProductQuantizer, method_name, search_quantized
+from ..operators.search import Options, not_expired, search, visible
+from ..schema import COLUMNS, RECORD_DDL, DuplicateIdError, RecordError, Schema, check_records, with_defaults
 from .files import Files
 
 KEY = ["namespace", "id"]
@@ -90,9 +92,13 @@ class Collection:
     def _load(self) -> None:
         said = self.files.read_json(f"{self.path}/manifest.json")
         self.dimension, self.metric, self.version, self.indexes = said["dimension"], said["metric"], said["version"], [tuple(x) for x in said["indexes"]]
+        self.quantization = said.get("quantization")
 
     def _save(self) -> None:
-        self.files.write_json(f"{self.path}/manifest.json", {"dimension": self.dimension, "metric": self.metric, "version": self.version, "indexes": self.indexes})
+        self.files.write_json(f"{self.path}/manifest.json", self._manifest())
+
+    def _manifest(self) -> dict:
+        return {"dimension": self.dimension, "metric": self.metric, "version": self.version, "indexes": self.indexes, "quantization": self.quantization}
 
     def _usable(self, writing: bool = False) -> None:
         if self.closed:
@@ -209,10 +215,34 @@ class Collection:
         return [r[0] for r in self.records().select("namespace").distinct().orderBy("namespace").collect()]
 
     def search(self, queries: DataFrame, options: Options | None = None) -> DataFrame:
+        """Quantized candidates are used, if enabled, for plain dense searches; named vectors, truncation, terms and diversification are searched exactly."""
         o = options or Options()
         o.metric = self.metric
+        plain = "sparse" not in queries.columns and not (o.spaces or o.vector_name or o.truncate_dim or o.explain) and o.mmr_lambda is None and o.fusion == "linear" and o.dense_weight == 1.0 and o.k > 0
+        if self.quantization and plain:
+            said = self.quantization
+            quantizer = ProductQuantizer(np.array(self.files.read_json(f"{self.path}/quantizer.json")["codebooks"])) if said["method"] == "product" else None
+            return search_quantized(visible(self.records(), o.namespace, o.filter, o.now), queries, said["method"], o.k, o.metric, said["multiplier"], quantizer)
         return search(self.records(), queries, o)
 
+    def enable_quantization(self, method: str, multiplier: int = 10, parts: int | None = None, centroids: int = 256) -> None:
+        """scalar, binary, product or two_bit. Codebooks of the product method are kept beside the manifest; other parameters follow from the current version."""
+        self._usable(True)
+        if not len(self):
+            raise RecordError("there is nothing to quantize")
+        method = method_name(method)
+        if method == "product":
+            self.files.write_json(f"{self.path}/quantizer.json", {"codebooks": ProductQuantizer.train(self.records(), parts, centroids).codebooks.tolist()})
+        self.quantization = {"method": method, "multiplier": max(1, multiplier)}
+        self._save()
+
+    def disable_quantization(self) -> bool:
+        self._usable(True)
+        was, self.quantization = self.quantization, None
+        if was:
+            self._save()
+        return bool(was)
+
     def create_index(self, field: str, kind: str) -> bool:
         """keyword or numeric; true if there was none. An index never changes a result."""
         kind = {"keyword": "keyword", "string": "keyword", "numeric": "numeric", "number": "numeric", "float": "numeric", "integer": "numeric"}[kind.lower()]
@@ -239,7 +269,9 @@ class Collection:
         """A collection of its own at another path, with manifest and indexes."""
         self._usable()
         self.records().write.parquet(f"{to}/v{self.version}")
-        self.files.write_json(f"{to}/manifest.json", {"dimension": self.dimension, "metric": self.metric, "version": self.version, "indexes": self.indexes})
+        if self.files.exists(f"{self.path}/quantizer.json"):
+            self.files.copy(f"{self.path}/quantizer.json", f"{to}/quantizer.json")
+        self.files.write_json(f"{to}/manifest.json", self._manifest())
 
     backup = snapshot
 
@@ -344,6 +376,33 @@ class Transaction:
         self.rollback() if kind else self.commit()
 
 
+class Validated:
+    """A collection whose upserts, inserts and metadata updates are checked against a metadata schema first; all else is the collection's own."""
+
+    def __init__(self, collection: Collection, schema: Schema):
+        self._collection, self._schema = collection, schema
+
+    def __getattr__(self, name: str):
+        return getattr(self._collection, name)
+
+    def __len__(self) -> int:
+        return len(self._collection)
+
+    def upsert(self, rows: DataFrame, namespace: str = "", now: float | None = None) -> None:
+        self._schema.check(with_defaults(rows, namespace, now))
+        self._collection.upsert(rows, namespace, now)
+
+    def insert(self, rows: DataFrame, namespace: str = "", now: float | None = None) -> None:
+        self._schema.check(with_defaults(rows, namespace, now))
+        self._collection.insert(rows, namespace, now)
+
+    def update_metadata(self, id: str, patch: dict, namespace: str = "") -> bool:
+        import json
+
+        self._schema.check(self._collection.spark.createDataFrame([(id, json.dumps(patch))], "id string, metadata string").withColumn("metadata", F.parse_json("metadata")))
+        return self._collection.update_metadata(id, patch, namespace)
+
+
 class Store:
     """A folder of collections."""
 
