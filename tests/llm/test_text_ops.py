@@ -79,9 +79,10 @@ def test_packed_candidates():
     assert len([r for r in hot if r["hot"]]) == 4
 
 
-def test_union_find(spark):
+@pytest.mark.parametrize("most_edges", [1_000_000, 7])
+def test_union_find(spark, most_edges):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (5, 5), (None, 3)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(9), most_edges=most_edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 140)) and got[201] == 200 and len(got) == 41 + 40 + 2
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
