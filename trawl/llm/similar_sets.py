@@ -104,7 +104,10 @@ def _block_by_sketch(num: int, den: int):
 
 
 def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    """Of sorted sets without repeats; y isn't empty."""
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int(np.count_nonzero(y[at] == x))
     return den * both >= num * (len(x) + len(y) - both)
 
 
