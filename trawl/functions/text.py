@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 #: Stop words.
 STOPWORDS = {
-    "en": ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "were", "will", "with"),
-    "fr": ("au", "aux", "avec", "ce", "ces", "dans", "de", "des", "du", "elle", "en", "et", "il", "je", "la", "le", "les", "ne", "nous", "ou", "par", "pas", "pour", "que", "qui", "une"),
+    "en": ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "with"),
+    "fr": ("le", "la", "les", "de", "des", "du", "un", "une", "et", "en", "est", "que", "qui", "dans", "pour", "par", "sur", "au", "aux", "ce", "se", "ne", "pas", "son", "sa", "ses"),
 }
+STOPWORDS |= {"english": STOPWORDS["en"], "french": STOPWORDS["fr"]}
 
 
 def tokens(text: Column, unicode: bool = False) -> Column:
@@ -56,7 +57,7 @@ class Analyzer:
         return self.filter(lambda ts: F.transform(ts, F.lower))
 
     def stopwords(self, words: str | list[str] | set[str]) -> Analyzer:
-        """A language (en, fr; others have none) or the words themselves."""
+        """A language (en, english, fr, french; others have none) or the words themselves."""
         listed = STOPWORDS.get(words, ()) if isinstance(words, str) else tuple(sorted(words))
         return self.filter(lambda ts: F.filter(ts, lambda t: ~t.isin(*listed))) if listed else self
 

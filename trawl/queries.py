@@ -219,7 +219,7 @@ def sparse_terms_weighted(spark, sf_dir):
     return head.unionByName(body).groupBy("doc_id", "term").agg(F.round(F.sum("w"), 9).alias("weight"))
 
 
-_STOP = "('a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','to','was','were','will','with')"
+_STOP = "('a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','or','that','the','to','was','were','with')"
 
 
 @query(f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) term FROM documents) SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM t WHERE term NOT IN {_STOP} GROUP BY 1")
