@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, U64, Words, checkpointed, mix, set_keys, shingle_hashes, shuffle_partitions, slices, text_buffer
+from .common import SPACE_WORDS, U64, Bitmap, Words, checkpointed, mix, set_keys, shingle_hashes, shuffle_partitions, slices, text_buffer
 from .components import connected_components
 from .packed import PACKED_DDL, PAIRS, PAIRS_DDL, by_bucket, candidates, pack, riders, split_riders
 from .similar_sets import differences, exact_links, odd_sketch, probable_links
@@ -178,8 +178,22 @@ def _find(most: int, num: int, den: int):
     return run
 
 
-def _sets(width: int):
-    """Rows (component, key, text) to their shingle sets; rows whose text has another key, after a repeated doc_id, go."""
+def shingle_sets(width: int):
+    """A decoder of texts in UTF-8 to their sorted distinct shingle hashes."""
+
+    def decode(texts: pa.Array) -> list[np.ndarray]:
+        data, offsets = text_buffer(texts)
+        out = []
+        for a, b in slices(offsets, 3 << 20):
+            h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE_WORDS), width)
+            out += [h[at[i] : at[i + 1]] for i in range(b - a)]
+        return out
+
+    return decode
+
+
+def _checked(width: int):
+    """Rows (component, key, text) whose text has that key; after a repeated doc_id some haven't."""
     schema = pa.schema([("component", pa.int64()), ("key", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +201,8 @@ def _sets(width: int):
             data, offsets = text_buffer(batch.column("text"))
             for a, b in slices(offsets, 3 << 20):
                 h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE_WORDS), width)
-                rows = pa.RecordBatch.from_arrays([batch.column("component").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())], schema=schema)
+                part = batch.slice(a, b - a)
+                rows = pa.RecordBatch.from_arrays([part.column("component"), part.column("key"), part.column("text").cast(pa.binary())], schema=schema)
                 yield rows.filter(pa.array(set_keys(h, at).view(np.int64) == rows.column(1).to_numpy()))
 
     return run
@@ -212,9 +227,10 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den
     nodes = found.where("key is not null and n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     groups = checkpointed(connected_components(probable_links(found, nodes, num, den, block)))
 
-    wanted = groups.join(nodes.select(F.col("key").alias("node"), "doc_id"), "node").select("doc_id", F.col("node").alias("key"), "component")
-    sets = checkpointed(source.join(wanted, "doc_id").select("component", "key", "text").mapInArrow(_sets(width), "component long, key long, payload binary").dropDuplicates(["key"]))
-    labels = connected_components(exact_links(sets, num, den)).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    wanted = checkpointed(groups.join(nodes.select(F.col("key").alias("node"), "doc_id"), "node").select("doc_id", F.col("node").alias("key"), "component"))
+    maybe = source.where(Bitmap(wanted, "doc_id").has(F.xxhash64("doc_id")))  # spares most texts the shuffle
+    sets = checkpointed(maybe.join(wanted, "doc_id").select("component", "key", "text").mapInArrow(_checked(width), "component long, key long, payload binary").dropDuplicates(["key"]))
+    labels = connected_components(exact_links(sets, num, den, decode=shingle_sets(width))).select(F.col("node").alias("key"), F.col("component").alias("label"))
 
     known = nodes.select("key", "doc_id").join(labels, "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
     least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))

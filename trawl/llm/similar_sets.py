@@ -111,10 +111,6 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def from_hashes(payload: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=U64) for x in payload.to_pylist()]
-
-
 def _with_representative(num: int, den: int, decode: Decoder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_key, first = None, None
@@ -186,7 +182,7 @@ def probable_links(found: DataFrame, nodes: DataFrame, num: int, den: int, block
     return cold.unionByName(warm)
 
 
-def exact_links(sets: DataFrame, num: int, den: int, block: int = 256, small_block: int = 128, decode: Decoder = from_hashes) -> DataFrame:
+def exact_links(sets: DataFrame, num: int, den: int, block: int = 512, small_block: int = 256, *, decode: Decoder) -> DataFrame:
     """sets (component long, key long, payload binary), checkpointed and with distinct keys, to links (a, b) whose components are those of all links within components.
 
     Each set is compared with one representative of its component; those that don't link to it are compared with all others, in blocks. decode: payloads to sets.
