@@ -22,6 +22,8 @@ _WORD = r"[^\x20\x09-\x0D]+"
 DRAWS = 16
 #: A document of more than a 50th of its source's target is long.
 LONG = 50
+#: Sources of which a row each is broadcast.
+MOST_BROADCAST = 10_000
 
 
 def _size() -> Column:
@@ -64,8 +66,10 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int =
     Other columns are not read.
     """
     sizes = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size")))
-    few = source_targets(sizes, cycle, most).withColumnRenamed("source", "s")
-    sized = sizes.join(few, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("long", F.col("size") * LONG > F.col("target"))
+    few = checkpointed(source_targets(sizes, cycle, most).withColumnRenamed("source", "s"))
+    # a row for each source: broadcast up to a checked number of them, so that a hot source stays spread; joined by shuffle beyond
+    small = F.broadcast if few.count() <= MOST_BROADCAST else (lambda df: df)
+    sized = sizes.join(small(few), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("long", F.col("size") * LONG > F.col("target"))
     group = ["source", "long", "size"]
     same = sized.groupBy(*group).agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("buckets")).withColumnsRenamed({"source": "s", "long": "l", "size": "z"})
     alike = F.col("source").eqNullSafe(F.col("s")) & (F.col("long") == F.col("l")) & (F.col("size") == F.col("z"))
@@ -84,17 +88,17 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int =
     first = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     named = F.col("source").eqNullSafe(F.col("s"))
     shifts = few.select("s", F.array(*(_digest(F.concat(F.lit(f"{seed}/{i}/"), F.coalesce("s", F.lit("")))) / F.lit(4294967296.0) for i in range(draws))).alias("u"))
-    drawn = placed.join(shifts, named).drop("s")
+    drawn = placed.join(small(shifts), named).drop("s")
     # what the long documents of each draw leave to the others, whose rate follows from it
     taken = drawn.groupBy("source").agg(F.max("target").alias("t"), F.sum(F.when(F.col("long"), F.lit(0)).otherwise(F.col("size"))).alias("rest"), *(F.sum(F.when(F.col("long"), copies(F.col("u")[i], first) * F.col("size")).otherwise(F.lit(0))).alias(f"x{i}") for i in range(draws)))
     rate = lambda i: F.when(F.col("rest") > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), (F.col("t") - F.col(f"x{i}")) / F.col("rest")))).otherwise(F.lit(0.0))
     rates = taken.select(F.col("source").alias("s"), F.array(*(rate(i) for i in range(draws))).alias("r"), F.array(*(F.col(f"x{i}") for i in range(draws))).alias("x"))
-    sums = drawn.where("not long").join(rates.select("s", "r"), named).groupBy("s").agg(*(F.sum(copies(F.col("u")[i], F.col("r")[i]) * F.col("size")).alias(f"y{i}") for i in range(draws)))
+    sums = drawn.where("not long").join(small(rates.select("s", "r")), named).groupBy("s").agg(*(F.sum(copies(F.col("u")[i], F.col("r")[i]) * F.col("size")).alias(f"y{i}") for i in range(draws)))
     trials = taken.select(F.col("source").alias("s"), "t").join(rates.withColumnRenamed("s", "s1"), F.col("s").eqNullSafe(F.col("s1"))).join(sums.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left")
     error = lambda i: F.abs(F.col("x")[i] + F.coalesce(F.col(f"y{i}"), F.lit(0)) - F.col("t"))
     best = F.array_min(F.array(*(F.struct(error(i).alias("e"), F.lit(i).alias("i"), F.col("r")[i].alias("r")) for i in range(draws))))
     chosen = trials.select("s", best.alias("b")).join(shifts.withColumnRenamed("s", "s3"), F.col("s").eqNullSafe(F.col("s3"))).select("s", F.col("b.r").alias("r"), F.get("u", F.col("b.i")).alias("u"))
-    return placed.join(chosen, named).select("doc_id", "source", "size", "source_size", "target", copies(F.col("u"), F.when(F.col("long"), first).otherwise(F.col("r"))).alias("copies"))
+    return placed.join(small(chosen), named).select("doc_id", "source", "size", "source_size", "target", copies(F.col("u"), F.when(F.col("long"), first).otherwise(F.col("r"))).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
