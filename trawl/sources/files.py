@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 class Files:
     def __init__(self, spark: SparkSession):
-        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._jvm, self._conf, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,7 +49,8 @@ class Files:
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
         _, target = self._at(path)
-        if store.exists(target):
-            store.delete(target, False)
-        if not store.rename(p, target):
-            raise OSError(f"can't rename {aside}")
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.makeQualified(p).toUri(), self._conf)
+        context.rename(store.makeQualified(p), store.makeQualified(target), how)
