@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .dense import dense_scores, ranked
 from .quantize import kmeans, nearest, rescored
 
-PRESETS = {"default": (1.0, 0.25), "high_recall": (1.0, 0.5), "fast": (1.0, 0.1)}
+PRESETS = {"default": (1.0, 0.5), "high_recall": (1.0, 0.75), "fast": (1.0, 0.2)}
 SAMPLE = 65_536
 
 
