@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trawl.llm import queries
 from trawl.llm.components import connected_components
 from trawl.llm.decontaminate import SuffixAutomaton, decontaminate, find_contamination, hit_words, is_contaminated, words_of
 from trawl.llm.line_dedup import dedup_lines, repeated_lines
@@ -183,6 +184,23 @@ def test_line_dedup_texts(spark):
     assert sorted((r.doc_id or 0) for r in odd.collect()) == [0, 1, 1]
 
 
+def test_short_lines_match_brute_force(spark):
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcde fg") for _ in range(n))
+    base = [some(n) for n in (1, 3, 7, 8, 9, 12, 14, 17, 19, 21, 23, 26)] + ["=" * 8, "=" * 30, "ß" * 9]
+    docs = [(i, "\n".join((b + rng.choice(["", "", "x", "yz"])) if rng.random() < 0.8 else b.upper() for b in rng.sample(base, 5))) for i in range(60)]
+    docs += [(100, "short"), (101, "SHORT"), (102, "\n \n\t"), (103, " \nshort"), (104, None), (105, "}\n}\n"), (106, " " * 25), (107, " " * 25), (108, "b\n" * 50)]
+    want = {x for x in brute.lines_gone([(i, "\n".join(x if x.strip() or len(x) >= 20 else "" for x in (t or "").split("\n"))) for i, t in docs], 1)}
+    got = {tuple(r) for r in repeated_lines(docs_frame(spark, docs), shorter=True).select("doc_id", "number", "first_doc_id", "first_number").collect()}
+    assert got == want and (101, 0, 100, 0) in got and (105, 1, 105, 0) in got
+    assert {101, 103, 107}.isdisjoint(r.doc_id for r in dedup_lines(docs_frame(spark, docs), shorter=True).collect())
+
+
+def test_op7_takes_short_lines(spark, tmp_path):
+    docs_frame(spark, [(1, "short\nthis"), (2, "Short"), (3, "")]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_removed for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 def test_near_lines_are_not_lost(spark):
     """Recall of banding at the threshold, over pairs that differ in one stretch."""
     rng = random.Random(8)

@@ -3,6 +3,8 @@
 Lines are parted by line feeds and lower-cased (A-Z). A line's set is its distinct hashed 8-character shingles; equal lower-cased lines are one node. One-permutation
 MinHash fills BANDS * ROWS values from one hash of each shingle (an empty one borrows from the next full one, to the side that a hash picks); lines
 that agree in all values of a band become candidates, of which a pair of similarity 0.75 is missed with a chance of about 0.0025.
+With `shorter`, lines of fewer than LEAST_CHARS characters count too, unless they are blank: equal ones are one node at any length, and those that have shingles get their
+candidates from prefix signatures (see prefix_signatures), which miss no similar line, short or long.
 Candidates pass through odd sketches and are then verified exactly on whole sets. Of each component, and of each line that occurs
 more than once, the first occurrence by (doc_id, line number) stays.
 
@@ -32,8 +34,9 @@ _EMPTY = np.uint32(0xFFFFFFFF)
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=U64)
 
 
-#: Of each byte: whether it starts a character other than a line feed; its value in keys, lower-cased.
+#: Of each byte: whether it starts a character other than a line feed; whether it isn't white space; its value in keys, lower-cased.
 _IS_LEAD = np.array([(b & 0xC0) != 0x80 and b != 0x0A for b in range(256)], dtype=np.int8)
+_IS_SAID = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)], dtype=np.int8)
 _VALUE = LOWER.astype(U64) + U64(1)
 _VALUE[0x0A] = U64(0)
 
@@ -64,8 +67,13 @@ class Lines:
         values *= powers(int(size.max()))[inside]
         self.key = mix(np.add.reduceat(values, self.start) + (self.end - self.start).astype(U64))
 
-    def chosen(self, least: int) -> np.ndarray:
-        return np.flatnonzero(self.chars >= least)
+    def chosen(self, least: int, shorter: bool = False) -> np.ndarray:
+        """Lines of at least this many characters; with shorter, then all others that hold more than white space."""
+        long = self.chars >= least
+        if not shorter or not len(self.start):
+            return np.flatnonzero(long)
+        said = np.add.reduceat(_IS_SAID[self.data], self.start, dtype=np.int64) > 0
+        return np.concatenate([np.flatnonzero(long), np.flatnonzero(said & ~long)])
 
     def windows(self, rows: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
         """(hashes in unsigned integers of this kind, line of each as index into rows) of all character shingles of these lines, in order."""
@@ -97,13 +105,17 @@ def _mix32(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def minhash_bands(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
-    """An n_lines x BANDS array of band signatures from 32-bit hashes, whose highest bits pick the value that they compete for; every line needs a shingle."""
+def minhash_bands(h: np.ndarray, line: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """An n_lines x BANDS array of band signatures from 32-bit hashes, whose highest bits pick the value that they compete for; every line needs a shingle.
+
+    And of each line how many values its own shingles filled: it has that many distinct ones at least.
+    """
     k = BANDS * ROWS
     values = np.full(n_lines * k, _EMPTY, dtype=np.uint32)
     np.minimum.at(values, line * np.int64(k) + (h >> np.uint32(32 - k.bit_length() + 1)), h)
     out = values.reshape(n_lines, k)
-    sparse = np.flatnonzero((out == _EMPTY).any(axis=1))
+    filled = np.count_nonzero(out != _EMPTY, axis=1)
+    sparse = np.flatnonzero(filled < k)
     if len(sparse):
         part = out[sparse]
         full, at = part != _EMPTY, np.arange(k)
@@ -117,24 +129,58 @@ def minhash_bands(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
     bands = np.zeros((n_lines, BANDS), dtype=U64)
     for r in range(ROWS):
         bands = mix(bands * _C[1] + out[:, r::ROWS].astype(U64))
-    return mix(bands + np.arange(BANDS).astype(U64) * _C[2])
+    return mix(bands + np.arange(BANDS).astype(U64) * _C[2]), filled
+
+
+def prefix_signatures(h: np.ndarray, line: np.ndarray, most: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, line of each) of lines of at most `most` distinct shingles: two sets that are similar share one, whatever their sizes.
+
+    Similar sets share num / den of either, so the `take` least hashes that they share are among the n - ceil(n * num / den) + take least of a set of n. A signature is of
+    `take` hashes of that prefix: two, if all similar sets of more than one shingle share two.
+    """
+    take = 2 if 2 * num > den else 1
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    h, line = h[new].astype(U64), line[new]
+    owner, first, n = np.unique(line, return_index=True, return_counts=True)
+    few = n <= most
+    owner, first, n = owner[few], first[few], n[few]
+    prefix = np.minimum(n, n - -(-n * num // den) + take)
+    sigs, owners = [], []
+    for i in range(int(prefix.max(initial=0))):
+        rows = np.flatnonzero(prefix > i)
+        one = mix(h[first[rows] + i] + _C[0])
+        if take == 1:
+            sigs.append(one), owners.append(owner[rows])
+            continue
+        alone = n[rows] == 1
+        sigs.append(one[alone]), owners.append(owner[rows[alone]])
+        for j in range(i + 1, int(prefix.max())):
+            more = prefix[rows] > j
+            sigs.append(mix(one[more] * _C[1] + h[first[rows[more]] + j])), owners.append(owner[rows[more]])
+    return np.concatenate([np.zeros(0, dtype=U64), *sigs]), np.concatenate([np.zeros(0, dtype=np.int64), *owners])
 
 
 _PLACES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("number", pa.int64())])
 
 
-def _index(least: int, buckets: int):
+def _index(least: int, buckets: int, shorter: bool, num: int, den: int):
     """documents (doc_id, text) to packed band signatures, with all occurrences of lines as riders."""
 
+    # no line that is similar to a shorter one has more distinct shingles
+    most = max(0, least - WIDTH) * den // num if shorter else 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for first, last in slices(offsets, 6 << 20):
-                keys, bands = [], []
+                keys, sigs, owners, seen = [], [], [], 0
                 for a, b in slices(offsets[first : last + 1], 1 << 19):
                     a, b = a + first, b + first
                     lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    rows = lines.chosen(least)
+                    rows = lines.chosen(least, shorter)
                     if not len(rows):
                         continue
                     ids = batch.column(0).slice(a, b - a).take(pa.array(lines.doc[rows]))
@@ -142,11 +188,18 @@ def _index(least: int, buckets: int):
                     _, once = np.unique(lines.key[rows], return_index=True)
                     rows = rows[np.sort(once)]
                     h, line = lines.windows(rows, np.uint32)
-                    bands.append(minhash_bands(h, line, len(rows)))
+                    long = int(np.count_nonzero(lines.chars[rows] >= least))  # they come first
+                    cut = np.searchsorted(line, long)
+                    bands, filled = minhash_bands(h[:cut], line[:cut], long)
+                    sigs.append(bands.ravel()), owners.append(np.repeat(np.arange(long), BANDS) + seen)
+                    if most:
+                        few = np.append(filled <= most, np.ones(len(rows) - long, dtype=bool))[line]
+                        sig, owner = prefix_signatures(h[few], line[few], most, num, den)
+                        sigs.append(sig), owners.append(owner + seen)
                     keys.append(lines.key[rows])
-                if keys:
-                    key = np.concatenate(keys)
-                    yield pack(np.concatenate(bands).ravel(), np.repeat(np.arange(len(key)), BANDS), key, np.ones(len(key), dtype=np.int64), buckets)
+                    seen += len(rows)
+                if sum(map(len, sigs)):
+                    yield pack(np.concatenate(sigs), np.concatenate(owners), np.concatenate(keys), np.ones(seen, dtype=np.int64), buckets)
 
     return run
 
@@ -166,7 +219,7 @@ def _find(most: int, num: int, den: int):
 _TEXTS = pa.schema([("key", pa.int64()), ("line", pa.string())])
 
 
-def _texts(least: int, wanted: Bitmap):
+def _texts(least: int, wanted: Bitmap, shorter: bool):
     """The lines, once for each batch, that may be wanted."""
     shared, mask = wanted.shared, (1 << wanted.bits) - 1
 
@@ -175,7 +228,7 @@ def _texts(least: int, wanted: Bitmap):
             data, offsets = text_buffer(batch.column(0))
             for a, b in slices(offsets, 1 << 19):
                 lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                rows = lines.chosen(least)
+                rows = lines.chosen(least, shorter)
                 _, once = np.unique(lines.key[rows], return_index=True)
                 rows = rows[once]
                 at = mix(lines.key[rows]).view(np.int64) & mask
@@ -214,19 +267,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, 2048), pa.array([len(x) for x in sets], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.binary()), part], schema=_SETS)
 
 
-def line_index(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, most_shared: int = 32) -> DataFrame:
-    """docs (doc_id long, text string) to candidates and occurrences, checkpointed. Lines of fewer than `least` characters don't count."""
+def line_index(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, most_shared: int = 32, shorter: bool = False) -> DataFrame:
+    """docs (doc_id long, text string) to candidates and occurrences, checkpointed. Lines of fewer than `least` characters only count with `shorter`, blank ones never."""
     buckets = shuffle_partitions(docs.sparkSession)
-    packed = docs.mapInArrow(_index(least, buckets), PACKED_DDL).repartition(buckets, by_bucket())
+    packed = docs.mapInArrow(_index(least, buckets, shorter, num, den), PACKED_DDL).repartition(buckets, by_bucket())
     return checkpointed(packed.mapInArrow(_find(most_shared, num, den), PAIRS_DDL))
 
 
-def line_components(texts: DataFrame, index: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS) -> DataFrame:
+def line_components(texts: DataFrame, index: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, shorter: bool = False) -> DataFrame:
     """texts (text string) and their line_index to (key, component) of the lines that are similar to another line."""
     found = index.where("hot is not null")
     keys = found.select(F.explode(F.when(F.col("hot"), F.array("b")).otherwise(F.array("a", "b"))).alias("key")).distinct()
     wanted = Bitmap(keys.select(_mixed("key").alias("at")), "at", hashed=True)
-    lines = texts.mapInArrow(_texts(least, wanted), "key long, line string").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    lines = texts.mapInArrow(_texts(least, wanted, shorter), "key long, line string").join(keys, "key", "left_semi").dropDuplicates(["key"])
     sets = checkpointed(lines.mapInArrow(_sets, "key long, n long, sketch binary, payload binary"))
     groups = checkpointed(connected_components(probable_links(found, sets, num, den))).withColumnRenamed("node", "key")
     links = exact_links(checkpointed(sets.join(groups, "key").select("component", "key", "payload")), num, den, decode=shingle_sets)
@@ -241,15 +294,15 @@ def _mixed(column: str):
     return mixed(column)
 
 
-def repeated_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, shorter: bool = False) -> DataFrame:
     """docs (doc_id, text) to (doc_id, number, first_doc_id, first_number): the lines that go, by line number from 0, and the one that stays for them.
 
-    Null texts have no lines; lines of null doc_ids are left alone, as are those shorter than `least` characters. Of rows that repeat a doc_id, a line number stands for
+    Null texts have no lines; lines of null doc_ids are left alone, as are those shorter than `least` characters unless `shorter` is set, and shorter blank ones. Of rows that repeat a doc_id, a line number stands for
     the lines of that number in all of them.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = line_index(source, num, den, least)
-    labels = line_components(source.select("text"), index, num, den, least)
+    index = line_index(source, num, den, least, shorter=shorter)
+    labels = line_components(source.select("text"), index, num, den, least, shorter)
     places = index.where("hot is null and b is not null").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("na").alias("number"))
     at = F.struct("doc_id", "number")
     lines = places.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).join(labels, "key", "left").withColumn("label", F.coalesce("component", "key"))
@@ -259,12 +312,12 @@ def repeated_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int =
     return gone.select("doc_id", "number", F.col("kept.doc_id").alias("first_doc_id"), F.col("kept.number").alias("first_number")).distinct()
 
 
-def dedup_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, drop_emptied: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, drop_emptied: bool = True, shorter: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) without repeated lines, with the same columns. drop_emptied: rows whose text had lines and has only white space left go.
 
     Texts that lose no line stay as they are, byte for byte.
     """
-    gone = checkpointed(repeated_lines(docs, num, den, least).groupBy("doc_id").agg(F.collect_set("number").alias("__gone")).withColumnRenamed("doc_id", "__id"))
+    gone = checkpointed(repeated_lines(docs, num, den, least, shorter).groupBy("doc_id").agg(F.collect_set("number").alias("__gone")).withColumnRenamed("doc_id", "__id"))
     touched = Bitmap(gone, "__id")
     names = docs.columns
     marked = docs.withColumn("__touched", F.coalesce(touched.has(F.xxhash64(F.col("doc_id").cast("long"))), F.lit(False)))

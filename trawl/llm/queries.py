@@ -63,7 +63,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import repeated_lines
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", "first_doc_id", "first_number"))).alias("gone"))
+    gone = repeated_lines(docs, shorter=True).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", "first_doc_id", "first_number"))).alias("gone"))
     counts = docs.select("doc_id", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     return counts.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), "gone")
 
