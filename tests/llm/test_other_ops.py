@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import trawl.llm.fingerprints as fingerprints
 from trawl.llm.chat import events_of, fold, format_conversations, loss_text, parse
-from trawl.llm.licenses import TEMPLATES, scan_licenses
+from trawl.llm.licenses import TEMPLATES, Scanner, scan_licenses
 from trawl.llm.mixing import mix_sources, mixed_documents, source_targets
 from trawl.llm.pipeline_stages import STAGES, run
 from trawl.llm.quality import fold_of, pooled, score_documents
@@ -179,6 +179,13 @@ def test_licenses(spark):
     assert scan_licenses(docs_frame(spark, [])).count() == 0
 
 
+def test_licenses_of_one_line():
+    names = ["Apache-2.0 (notice)", "BSD", "CC-BY-4.0", "CC-BY-NC-4.0 (notice)", "GPL-3.0 (notice)", "MIT (notice)", "all rights reserved"]
+    assert {m["license"] for m in Scanner().scan(" ".join(TEMPLATES[k] for k in names))} >= set(names)
+    variants = {f"v{i}": TEMPLATES["BSD"].replace("forms", f"forms{i}") for i in range(6)} | {"MIT (notice)": TEMPLATES["MIT (notice)"]}
+    assert {m["license"] for m in Scanner(variants).scan(TEMPLATES["BSD"] + " " + variants["MIT (notice)"])} == set(variants)
+
+
 def test_secrets(spark):
     forest = train(synthetic_findings(3000))
     rows = [

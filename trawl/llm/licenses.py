@@ -1,7 +1,7 @@
 """License scans by conditional compression, confirmed by exact wording differences.
 
 A document's candidate blocks are runs of lines near a license keyword. Each block is compressed alone and, for each template, with that template as a raw Zstandard
-dictionary; the share of bytes that a template saves ranks the templates. The best ranked ones are confirmed by a word-level difference with the
+dictionary; the share of bytes that a template saves ranks the templates. All that save enough are confirmed by a word-level difference with the
 template: enough of its words have to occur, in order, and the report lists the words that were changed.
 
 Templates are a parameter, name to text; the ones below are common notices. Blocks of a long document are scanned one after another; a block of
@@ -24,7 +24,6 @@ BLOCK_WORDS, OVERLAP_WORDS, NARROW_WORDS = 400, 200, 60
 LEAST_COVERED = 0.85
 #: Share of a block's compressed bytes that a template has to save before its wording is compared.
 LEAST_SAVED = 0.15
-RANKED = 4
 
 #: Wording of public notices.
 TEMPLATES = {
@@ -141,7 +140,7 @@ class Scanner:
             words = words_of(block)
             if not words:
                 continue
-            for saved, name in self.ranked(words)[:RANKED]:
+            for saved, name in self.ranked(words):
                 if saved < LEAST_SAVED:
                     break
                 covered, changes = self.confirm(name, words)
