@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import struct
+import textwrap
 
 import brute
 import numpy as np
@@ -186,6 +187,20 @@ def test_licenses_of_one_line():
     assert {m["license"] for m in Scanner(variants).scan(TEMPLATES["BSD"] + " " + variants["MIT (notice)"])} == set(variants)
 
 
+def test_wrapped_and_long_licenses():
+    scanner, rng = Scanner(), np.random.default_rng(4)
+    for name in ("MIT", "BSD", "Apache-2.0", "GPL-3.0", "ISC", "MPL-2.0"):
+        for columns in (74, 72, 60, 50, 30):
+            wrapped = "# " + "\n# ".join(textwrap.wrap(TEMPLATES[name], columns))
+            found = {m["license"]: m for m in scanner.scan("a = 1\n" * 300 + wrapped + "\nb = 2" * 300)}
+            assert name in found and found[name]["covered"] == 1 and found[name]["changes"] == [] and found[name]["line"] == 300
+    assert "all rights reserved" in {m["license"] for m in scanner.scan("All rights\n * reserved.")}
+    long = " ".join(f"w{rng.integers(900)}" if i % 100 else "license" for i in range(1500))
+    for before in (0, 100, 700, 1900):
+        text = "x y license\n" * before + "\n".join(textwrap.wrap(long, 70)) + "\nx y license" * 900
+        assert {m["license"]: m["covered"] for m in Scanner({"long": long}).scan(text)} == {"long": 1.0}
+
+
 def test_secrets(spark):
     forest = train(synthetic_findings(3000))
     rows = [

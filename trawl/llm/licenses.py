@@ -1,11 +1,11 @@
 """License scans by conditional compression, confirmed by exact wording differences.
 
-A document's candidate blocks are runs of lines near a license keyword. Each block is compressed alone and, for each template, with that template as a raw Zstandard
+A document's candidate blocks are lines with a license keyword and runs of words that reach as far around one as the longest template. Each block is compressed alone and, for each template, with that template as a raw Zstandard
 dictionary; the share of bytes that a template saves ranks the templates. All that save enough are confirmed by a word-level difference with the
 template: enough of its words have to occur, in order, and the report lists the words that were changed.
 
 Templates are a parameter, name to text; the ones below are common notices. Blocks of a long document are scanned one after another; a block of
-more than BLOCK_WORDS words is scanned in overlapping windows, so no text is skipped.
+more than BLOCK_WORDS words is scanned in overlapping windows, which hold the longest template wherever it starts.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,7 +42,8 @@ TEMPLATES = {
     "all rights reserved": "All rights reserved.",
 }
 
-_KEYWORDS = re.compile(rb"licen[sc]|copyright|\(c\) |all rights reserved|permission|redistribut|public domain|spdx|warrant", re.I)
+_KEYWORDS = re.compile(rb"licen[sc]|copyright|\(c\) |all\W+rights\W+reserved|permission|redistribut|public\W+domain|spdx|warrant", re.I)
+_KEYWORDS_OF_TEXT = re.compile(_KEYWORDS.pattern.decode(), re.A)
 _WORD = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
 
 
@@ -49,46 +51,42 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def candidate_blocks(text: str, around: int = 1) -> list[tuple[int, str]]:
-    """(line, block): each line that holds a keyword, and each run of lines that hold one or lie next to one that does.
+def candidate_blocks(text: str, longest: int) -> tuple[list[str], np.ndarray, list[tuple[int, int]]]:
+    """(words of the text, line of each, blocks as first and end word): each line that holds a keyword, and each run of words that are within reach of one.
 
-    A line of more than NARROW_WORDS words gives a window around each of its keywords; a run of more than BLOCK_WORDS overlapping windows.
+    The reach is `longest`, the words of the longest template, and a quarter more. A line of more than NARROW_WORDS words gives a window around each of
+    its keywords; a run of more than BLOCK_WORDS, or four times the longest template, overlapping windows of that size.
     """
-    lines = text.split("\n")
-    marked = [bool(_KEYWORDS.search(x.encode("utf-8", "replace"))) for x in lines]
-    near = [any(marked[max(0, i - around) : i + around + 1]) for i in range(len(lines))]
-    out, i = [], 0
-    for k in range(len(lines)):
-        if marked[k]:
-            words = lines[k].split(" ")
-            if len(words) <= NARROW_WORDS:
-                out.append((k, lines[k]))
-                continue
-            last = -1
-            for at, w in enumerate(words):
-                if at > last and _KEYWORDS.search(" ".join(words[at : at + 3]).encode("utf-8", "replace")):
-                    last = at + NARROW_WORDS // 4
-                    out.append((k, " ".join(words[max(0, at - NARROW_WORDS // 2) : at + NARROW_WORDS // 2])))
-    while i < len(lines):
-        if not near[i]:
-            i += 1
-            continue
-        j = i
-        while j < len(lines) and near[j]:
-            j += 1
-        if j - i == 1 and marked[i] and len(lines[i].split(" ")) <= NARROW_WORDS:
-            i = j
-            continue
-        block = "\n".join(lines[i:j])
-        words = block.split(" ")
-        if len(words) <= BLOCK_WORDS:
-            out.append((i, block))
+    low = text.lower()
+    found = [(m.group(), m.start()) for m in _WORD.finditer(low)]
+    words, starts = [w for w, _ in found], np.array([i for _, i in found], dtype=np.int64)
+    breaks = np.array([i for i, c in enumerate(low) if c == "\n"], dtype=np.int64)
+    line = np.searchsorted(breaks, starts)
+    keys = np.array([m.start() for m in _KEYWORDS_OF_TEXT.finditer(low)], dtype=np.int64)
+    at = np.maximum(np.searchsorted(starts, keys, "right") - 1, 0)
+    of_line = np.searchsorted(breaks, keys)
+    first, end = np.searchsorted(line, of_line, "left"), np.searchsorted(line, of_line, "right")
+    out, last_line, last = [], -1, -1
+    for w, k, a, b in zip(at.tolist(), of_line.tolist(), first.tolist(), end.tolist(), strict=True):
+        if b - a <= NARROW_WORDS:
+            if k != last_line:
+                out.append((a, b))
+        elif k != last_line or w > last:
+            last = w + NARROW_WORDS // 4
+            out.append((max(a, w - NARROW_WORDS // 2), min(b, w + NARROW_WORDS // 2)))
+        last_line = k
+    reach, most = longest + longest // 4 + 1, max(BLOCK_WORDS, 4 * longest)
+    step = most - max(OVERLAP_WORDS, 2 * longest)
+    runs: list[list[int]] = []
+    for w in at.tolist():
+        a, b = max(0, w - reach), min(len(words), w + reach + 1)
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = b
         else:
-            step = BLOCK_WORDS - OVERLAP_WORDS
-            windows = (" ".join(words[k : k + BLOCK_WORDS]) for k in range(0, max(1, len(words) - OVERLAP_WORDS), step))
-            out += [(i, w) for w in windows if _KEYWORDS.search(w.encode("utf-8", "replace"))]
-        i = j
-    return out
+            runs.append([a, b])
+    for a, b in runs:
+        out += [(k, min(b, k + most)) for k in range(a, max(a + 1, b - most + step), step)]
+    return words, line, out
 
 
 class Scanner:
@@ -96,6 +94,7 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str] | None = None):
         self.templates = {k: words_of(v) for k, v in (templates or TEMPLATES).items()}
+        self.longest = max(map(len, self.templates.values()), default=0)
         self.alone = zstandard.ZstdCompressor(level=3)
         self.given = {}
         for k, words in self.templates.items():
@@ -116,13 +115,13 @@ class Scanner:
             out.append(((base - len(given.compress(raw))) / own, k))
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, name: str, words: list[str]) -> tuple[float, list[str]]:
-        """(share of the template's words found in order, the differences) in the best place of the block."""
+    def confirm(self, name: str, words: list[str]) -> tuple[float, list[str], int]:
+        """(share of the template's words found in order, the differences, first word found) in the best place of the block."""
         want = self.templates[name]
         matcher = difflib.SequenceMatcher(None, words, want, autojunk=False)
         blocks = [b for b in matcher.get_matching_blocks() if b.size]
         if not blocks:
-            return 0.0, []
+            return 0.0, [], 0
         core = max(blocks, key=lambda b: b.size)
         first = max(0, core.a - core.b - len(want) // 4)
         last = min(len(words), core.a + (len(want) - core.b) + len(want) // 4)
@@ -131,21 +130,22 @@ class Scanner:
         found = sum(j2 - j1 for op, _, _, j1, j2 in codes if op == "equal")
         inner = [c for c in codes if not (c[0] == "delete" and (c[3] == 0 or c[4] == len(want)))]
         changes = [f"{op}: {' '.join(part[i1:i2])} -> {' '.join(want[j1:j2])}" for op, i1, i2, j1, j2 in inner if op != "equal"]
-        return found / len(want), changes
+        return found / len(want), changes, first + next((i1 for op, i1, _, _, _ in codes if op == "equal"), 0)
 
     def scan(self, text: str) -> list[dict]:
         """Confirmed licenses of a text, each once with its first and best place."""
         found: dict[str, dict] = {}
-        for line, block in candidate_blocks(text):
-            words = words_of(block)
+        every, line, blocks = candidate_blocks(text, self.longest)
+        for a, b in blocks:
+            words = every[a:b]
             if not words:
                 continue
             for saved, name in self.ranked(words):
                 if saved < LEAST_SAVED:
                     break
-                covered, changes = self.confirm(name, words)
+                covered, changes, at = self.confirm(name, words)
                 if covered >= LEAST_COVERED and (name not in found or covered > found[name]["covered"]):
-                    found[name] = {"license": name, "line": line, "saved": round(saved, 6), "covered": round(covered, 6), "changes": changes}
+                    found[name] = {"license": name, "line": int(line[a + at]), "saved": round(saved, 6), "covered": round(covered, 6), "changes": changes}
         return [found[k] for k in sorted(found)]
 
 
@@ -170,7 +170,7 @@ def _scan(templates: dict[str, str] | None):
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """docs (doc_id, text, ...) to (doc_id, licenses), a row for each row; null and empty texts have none.
 
-    licenses: for each confirmed template its name, first line of the block, bytes saved over its own size, share of its words found, and wording differences.
+    licenses: for each confirmed template its name, line of its first word found, bytes saved over its own size, share of its words found, and wording differences.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(_scan(templates), f"doc_id long, licenses {_MATCHES_DDL}")
