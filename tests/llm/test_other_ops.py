@@ -218,6 +218,17 @@ def test_secrets(spark):
     assert len(train(reviewed).trees) == 40 and train([]).predict(x[:2]).tolist() == [0.5, 0.5] and scan_secrets(docs_frame(spark, []), forest).count() == 0
 
 
+def test_assigned_secrets(spark):
+    forest = train(synthetic_findings())
+    said = ["correct-horse-battery-staple", "hunter2!x", "Xy7!q@Lm#2$z.9", "pa55 wörd&too", "tr0ub4dor&3", "aB3$"]
+    rows = [(i, f'é db_password = "{x}"\nnext', "src/app.py") for i, x in enumerate(said)] + [(20, "password: hunter2!x, then", "a"), (21, "password: required", "a"), (22, "token = null", "a"), (23, "password", "a"), (24, "say password=b7db7aa4a5fcc78305 here", "a"), (25, "token: password=q!w@e3r4", "a")]
+    got = {r.doc_id: [(c.first_byte, c.end_byte, c.score >= 0.5) for c in r.candidates] for r in scan_secrets(docs_frame(spark, rows), forest).collect()}
+    for i, x in enumerate(said):
+        assert any((a, b) == (18, 18 + len(x.encode())) for a, b, _ in got[i])
+    assert all(any(hit and b - a == len(said[i].encode()) for a, b, hit in got[i]) for i in range(3))
+    assert [g[:2] for g in got[20]] == [(10, 19)] and got[20][0][2] and [g[2] for g in got[21] + got[22]] == [False, False] and got[23] == [] and len(got[24]) == 1 and (16, 24) in [g[:2] for g in got[25]]
+
+
 # ---- mixing
 
 

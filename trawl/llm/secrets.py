@@ -1,6 +1,7 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-Candidates are maximal runs of letters, digits and `+ / _ = -` of at least LEAST_CHARS characters that hold a digit. Each has features of its length, character classes and
+Candidates are maximal runs of letters, digits and `+ / _ = -` of at least LEAST_CHARS characters that hold a digit; and what follows a
+name with a keyword and = or :, in quotes or up to the next white space, whatever its characters or length (assigned_spans). Each has features of its length, character classes and
 transitions, its coverage by a dictionary, its document's path and the words around it. The forest is trained on labelled findings: at most
 MOST_FINDINGS of them, a documented bound, as they are fitted on the driver; the model of some 100 KB is broadcast and scores candidates where they are found.
 
@@ -38,6 +39,11 @@ DICTIONARY = frozenset(
 )
 
 
+_NAMED = re.compile(rb"(?<![\w-])([\w-]++)[\"'\])]*+[ \t]*+(?::=|=>|={1,3}|:)[ \t]*+")
+_ASSIGNED = re.compile(rb"\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|[\"']?([^\s\"']\S*+)")
+_NAMES = re.compile("|".join(_KEYWORDS).encode(), re.I)
+
+
 def _shape(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
@@ -147,10 +153,13 @@ def synthetic_findings(n: int = 6000, seed: int = 5) -> list[dict]:
     hints = ("password", "token", "api_key", "secret", "auth_token", "access_key", "passwd")
     calm = ("commit", "sha256:", "uuid", "build", "etag", "version", "order", "invoice", "phone", "serial")
     out = []
+    strong, marks = string.ascii_letters + string.digits + "!@#$%^&*.?", "!@#$%^&*.?"
+    plain = ("null", "none", "None", "true", "false", "required", "string", "optional", "value", "see", "the", "a", "is", "yes", "<password>", "${PASSWORD}", "$TOKEN", "****", "<redacted>", "os.environ", "getpass.getpass()", "1", "3600", "{{", "...")
+    start = lambda before: pick([before, "", word() + " ", word() + "_"])
     for i in range(n):
         before, after, label = prose(), pick([" ", "\n", ". ", ", "]) + word(), i % 2
         if label:
-            kind = int(rng.integers(7))
+            kind, assigned = int(rng.integers(11)), False
             if kind == 0:
                 c = "AKIA" + some(upper, 16)
             elif kind == 1:
@@ -163,11 +172,18 @@ def synthetic_findings(n: int = 6000, seed: int = 5) -> list[dict]:
                 after = q + after
             elif kind == 5:
                 c, before = some(b64, int(rng.integers(24, 65))), before + pick(["Authorization: Bearer ", "bearer ", "secret key "])
+            elif kind in (7, 8, 9, 10):
+                phrase = "-_ ."[int(rng.integers(4))].join(word() + word() for _ in range(int(rng.integers(3, 6))))
+                short = pick([some(string.ascii_lowercase, 5), some(string.ascii_letters, int(rng.integers(3, 7))), word() + word()]) + pick(string.digits) + some(strong, int(rng.integers(1, 5)))
+                c = pick([phrase, short, some(strong, int(rng.integers(10, 25))) + pick(marks)])
+                q, assigned = pick(['"', "'"] + [""] * (" " not in c)), True
+                before = start(before) + pick(hints) + pick([" = ", ": ", "=", ":"]) + q
+                after = q + after
             else:
                 c = some(b64 + "+/", 40)
                 before += pick(["aws_secret_access_key = ", "private key "])
         else:
-            kind = int(rng.integers(8))
+            kind, assigned = int(rng.integers(12)), False
             if kind == 0:
                 c, before = some(hexes, pick([12, 32, 40, 64])), before + pick(calm) + " "
             elif kind == 1:
@@ -182,10 +198,15 @@ def synthetic_findings(n: int = 6000, seed: int = 5) -> list[dict]:
                 c = f"/{word()}/{word()}/{some('0123456789', 3)}/{word()}"
             elif kind == 6:
                 c = f"{word()}_{word()}_{word()}-{some('0123456789', 2)}-{word()}"
+            elif kind in (8, 9, 10, 11):
+                c, q, assigned = pick([pick(plain), pick(plain), word()]), pick(["", "", '"']), True
+                before = start(before) + pick([*hints, "key", "login", "access"]) + pick([" = ", ": ", "=", ":"]) + q
+                after = q + after
             else:
                 c = pick([word().upper() + "-", "v"]) + some("0123456789", 4) + "-" + some("0123456789", 6)
-        out.append({"candidate": c, "before": before[-BEFORE:], "after": after[:AFTER], "path": pick(paths), "label": label})
-    return [r for r in out if len(r["candidate"]) >= LEAST_CHARS]
+        if assigned or len(c) >= LEAST_CHARS:
+            out.append({"candidate": c, "before": before[-BEFORE:], "after": after[:AFTER], "path": pick(paths), "label": label})
+    return out
 
 
 def train(findings: DataFrame | list[dict]) -> Forest:
@@ -214,6 +235,32 @@ def candidate_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return np.searchsorted(offsets, start[keep], "right") - 1, start[keep], end[keep]
 
 
+def assigned_spans(text: bytes) -> list[tuple[int, int]]:
+    """(first byte, end byte) of what is assigned to names that hold a keyword; unquoted values end before closing commas and semicolons."""
+    out = []
+    for m in _NAMED.finditer(text):
+        if not _NAMES.search(m[1]) or not (v := _ASSIGNED.match(text, m.end())):
+            continue
+        s, e = v.span(v.lastindex)
+        if v.lastindex == 3:
+            e = s + len(text[s:e].rstrip(b",;"))
+        if e > s:
+            out.append((s, e))
+    return out
+
+
+def _with_assigned(raw: bytes, at: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
+    """Candidates (row, first byte, end byte) in order: the runs given, and assigned values that none of them holds."""
+    out = list(zip(row.tolist(), start.tolist(), end.tolist(), strict=True))
+    for r in range(len(at) - 1):
+        text, first = raw[at[r] : at[r + 1]], int(at[r])
+        for s, e in assigned_spans(text) if b"=" in text or b":" in text else ():
+            k = int(np.searchsorted(start, first + s, "right")) - 1
+            if k < 0 or end[k] < first + e:
+                out.append((r, first + s, first + e))
+    return sorted(set(out))
+
+
 _FOUND = pa.list_(pa.struct([("first_byte", pa.int64()), ("end_byte", pa.int64()), ("score", pa.float64())]))
 _FOUND_DDL = "array<struct<first_byte:bigint,end_byte:bigint,score:double>>"
 
@@ -228,11 +275,12 @@ def _scan(shared):
                 row, start, end = candidate_spans(part, at)
                 paths = batch.column(2).slice(a, b - a).to_pylist()
                 raw, said = part.tobytes(), []
-                for r, s, e in zip(row, start, end, strict=True):
-                    said.append(features(raw[s : min(e, s + MOST_CHARS)].decode(), raw[max(at[r], s - BEFORE) : s].decode("utf-8", "ignore"), raw[e : min(at[r + 1], e + AFTER)].decode("utf-8", "ignore"), paths[r] or ""))
+                spans = _with_assigned(raw, at, row, start, end)
+                for r, s, e in spans:
+                    said.append(features(raw[s : min(e, s + MOST_CHARS)].decode("utf-8", "ignore"), raw[max(at[r], s - BEFORE) : s].decode("utf-8", "ignore"), raw[e : min(at[r + 1], e + AFTER)].decode("utf-8", "ignore"), paths[r] or ""))
                 scores = forest.predict(np.array(said, dtype=float)) if said else []
                 out: list[list[dict]] = [[] for _ in range(b - a)]
-                for r, s, e, score in zip(row, start, end, scores, strict=True):
+                for (r, s, e), score in zip(spans, scores, strict=True):
                     out[r].append({"first_byte": int(s - at[r]), "end_byte": int(e - at[r]), "score": float(score)})
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, _FOUND)], names=["doc_id", "candidates"])
 
