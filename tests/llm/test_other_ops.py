@@ -16,7 +16,7 @@ from trawl.llm.mixing import mix_sources, mixed_documents, source_targets
 from trawl.llm.pipeline_stages import STAGES, run
 from trawl.llm.quality import fold_of, pooled, score_documents
 from trawl.llm.queries import op3_chat_formatting, op4_warc, oracle_sql, queries
-from trawl.llm.secrets import scan_secrets, synthetic_findings, train
+from trawl.llm.secrets import Forest, scan_secrets, synthetic_findings, train
 from trawl.llm.warc import WarcError, build_archive, build_record, export, load_dictionary, payload_digest, read_files, read_records, write_archives
 
 ODD = "doc_id long, text string, source string, size string, rank int, target string, key string, stats string"
@@ -229,6 +229,14 @@ def test_assigned_secrets(spark):
     assert [g[:2] for g in got[20]] == [(10, 19)] and got[20][0][2] and [g[2] for g in got[21] + got[22]] == [False, False] and got[23] == [] and len(got[24]) == 1 and (16, 24) in [g[:2] for g in got[25]]
 
 
+def test_long_candidates_are_scored_whole(spark):
+    forest = Forest(depth=1)
+    forest.trees = [tuple(map(np.array, ([0, -1, -1], [999.5, 0, 0], [1, 0, 0], [2, 0, 0], [0.5, 0, 1])))]  # is it longer than 999.5?
+    blob = "z" * 600 + "1" * 400
+    got = scan_secrets(docs_frame(spark, [(1, f"a {blob} b", "a")]), forest).first().candidates
+    assert [(c.first_byte, c.end_byte, c.score) for c in got] == [(2, 1002, 1.0)]
+
+
 # ---- mixing
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_buffer
 
-LEAST_CHARS, MOST_CHARS, MOST_FINDINGS = 12, 512, 50_000
+LEAST_CHARS, MOST_FINDINGS = 12, 50_000
 BEFORE, AFTER = 48, 24
 
 _RUN = np.zeros(256, dtype=bool)
@@ -277,7 +277,7 @@ def _scan(shared):
                 raw, said = part.tobytes(), []
                 spans = _with_assigned(raw, at, row, start, end)
                 for r, s, e in spans:
-                    said.append(features(raw[s : min(e, s + MOST_CHARS)].decode("utf-8", "ignore"), raw[max(at[r], s - BEFORE) : s].decode("utf-8", "ignore"), raw[e : min(at[r + 1], e + AFTER)].decode("utf-8", "ignore"), paths[r] or ""))
+                    said.append(features(raw[s:e].decode("utf-8", "ignore"), raw[max(at[r], s - BEFORE) : s].decode("utf-8", "ignore"), raw[e : min(at[r + 1], e + AFTER)].decode("utf-8", "ignore"), paths[r] or ""))
                 scores = forest.predict(np.array(said, dtype=float)) if said else []
                 out: list[list[dict]] = [[] for _ in range(b - a)]
                 for (r, s, e), score in zip(spans, scores, strict=True):
@@ -288,9 +288,6 @@ def _scan(shared):
 
 
 def scan_secrets(docs: DataFrame, forest: Forest, path: str = "source") -> DataFrame:
-    """docs (doc_id, text, <path>, ...) to (doc_id, candidates), a row for each row: spans by UTF-8 byte and scores from 0 to 1. Null and empty texts have none.
-
-    A candidate of more than MOST_CHARS characters is one candidate; its features come from its head.
-    """
+    """docs (doc_id, text, <path>, ...) to (doc_id, candidates), a row for each row: spans by UTF-8 byte and scores from 0 to 1. Null and empty texts have none."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(path).cast("string").alias("path"))
     return source.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(forest)), f"doc_id long, candidates {_FOUND_DDL}")
