@@ -50,7 +50,7 @@ def test_components_match_brute_force(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(docs_frame(spark, docs)).collect()}
     assert got == want
     # hot signatures in small blocks give the same
-    again = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(docs_frame(spark, docs), most_shared=3, block=16).collect()}
+    again = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(docs_frame(spark, docs), most_shared=3, few=8, many=32).collect()}
     assert again == want
 
 
@@ -80,6 +80,42 @@ def test_packed_candidates():
     assert len([r for r in hot if r["hot"]]) == 4
 
 
+def test_groups_are_resolved_in_rounds(spark):
+    """Sets that share a hot signature but are no copies of its first one, in chains and apart."""
+    rng = random.Random(31)
+    bases = [prose(rng, 60, 100_000) for _ in range(5)]
+    docs, common = [], prose(rng, 40, 100_000)
+    for k, base in enumerate(bases):
+        now = common + " " + base
+        for i in range(24):
+            docs.append((100 * k + i, now))
+            now = edited(rng, now, 0.012)  # each is near the one before, the last far from the first
+    rng.shuffle(docs)
+    want = brute.components(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(docs_frame(spark, docs), most_shared=2, few=4, many=16).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 5
+
+
+def test_keys_that_collide(spark, monkeypatch):
+    """Different sets and lines with one 64-bit key are not taken for each other."""
+    from trawl.llm import line_dedup, ngram_join
+
+    plain = ngram_join.set_keys
+    monkeypatch.setattr(ngram_join, "set_keys", lambda h, at: (np.where(plain(h, at)[0] > 0, np.uint64(7), np.uint64(0)), plain(h, at)[1]))
+    docs = [(1, "a b c d e f g h"), (2, "i j k l m n o p"), (3, "A b c d e f g h"), (4, "q r s")]
+    found = ngram_join._index(5, 75, 100, 8, 1)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]})
+    rows = [r for b in ngram_join._find(32, 75, 100)(found(iter([batch]))) for r in b.to_pylist() if r["key"] is not None]
+    kinds = {}
+    for r in rows:
+        kinds.setdefault((r["key"], r["n"]), set()).add(r["doc_id"])
+    assert sorted(map(sorted, kinds.values())) == [[1, 3], [2], [4]]
+    lines = line_dedup.Lines(*line_dedup.text_buffer(pa.array(["abc\nabd\nABC"])))
+    assert lines.check[0] == lines.check[2] != lines.check[1]
+
+
 @pytest.mark.parametrize("most_edges", [1_000_000, 7])
 def test_union_find(spark, most_edges):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (5, 5), (None, 3)]
@@ -180,8 +216,18 @@ def test_line_dedup_texts(spark):
     out = dedup_lines(docs_frame(spark, docs))
     assert {r.doc_id: r.text for r in out.collect()} == want and out.columns == docs_frame(spark, docs).columns
     assert dedup_lines(docs_frame(spark, [])).count() == 0
-    odd = dedup_lines(docs_frame(spark, [(None, "a line of the null document here"), (1, "a line of the null document here"), (1, "a line of the null document here")]))
-    assert sorted((r.doc_id or 0) for r in odd.collect()) == [0, 1, 1]
+    odd = dedup_lines(docs_frame(spark, [(None, "a line of the null document here"), (1, "a line of the null document here"), (1, "a line of the null document here")]).coalesce(1))
+    assert [r.doc_id for r in odd.collect()] == [None]
+    # a line goes from the row that repeats it, not from another row with its doc_id
+    same = [(1, "a line that is said twice here\nand one that is only said once, by row one"), (2, "a line that is said twice here"), (2, "the only line of the other row numbered two")]
+    assert sorted((r.doc_id, r.text) for r in dedup_lines(docs_frame(spark, same).coalesce(1)).collect()) == [(1, same[0][1]), (2, same[2][1])]
+
+
+@pytest.mark.parametrize("least", [1, 5])
+def test_lines_of_any_length(spark, least):
+    docs = [(1, "ab\nabc\nx\nabcdefg\n\nabcdefgh"), (2, "ABC\nx\nabcdefg"), (3, "abcdefgh\nabcdefghi"), (4, "x")]
+    got = {tuple(r) for r in repeated_lines(docs_frame(spark, docs), least=least).select("doc_id", "number", "first_doc_id", "first_number").collect()}
+    assert got == brute.lines_gone(docs, least)
 
 
 def test_short_lines_match_brute_force(spark):

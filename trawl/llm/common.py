@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
@@ -24,30 +26,56 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, with its lineage cut."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints and scratch tables, which all executors and the driver see: spark.checkpoint.dir, or a temporary one where the master is this machine.
+
+    A cluster without that setting is an error, as files of a machine-local folder are lost with an executor or never seen by the others.
+    """
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not sc.getCheckpointDir():
-        configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="trawl-checkpoints-"))
+    return configured or sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared checkpoint folder."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="trawl-checkpoints-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def numbered(docs: DataFrame, column: str = "__row") -> DataFrame:
+    """docs with a number that no other row has, as a table in the shared folder, so that every read gives a row the same number."""
+    path = scratch(docs.sparkSession, "rows")
+    docs.withColumn(column, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession, least: int = 64) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets_for(df: DataFrame, least: int = 8) -> int:
+    """Reduce tasks for packed signatures of df, from the optimizer's estimate of its size: one for each 2 MB up to 1024, then one more for each 128 MB.
+
+    Where the optimizer knows no size (rows that don't come from files), 64 or spark.sql.shuffle.partitions.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 55:
+        return shuffle_partitions(df.sparkSession)
+    wanted = -(-size // (2 << 20))
+    if wanted > 1024:
+        wanted = 1024 + (size - (2 << 30)) // (128 << 20)
+    return max(shuffle_partitions(df.sparkSession, least), min(wanted, 200_000))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer over 64 bits."""
     x = x ^ (x >> U64(33))
@@ -170,27 +198,35 @@ def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], kept[offsets]
 
 
-def set_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each row's set of hashes; 0 for an empty one."""
+_KEY_SALT, _CHECK_SALT = U64(0x2545F4914F6CDD1D), U64(0x8CB92BA72F3D8DD7)
+
+
+def set_keys(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row's set of hashes a 64-bit key, 0 for an empty set, and 32 bits of another hash: sets count as equal where both agree."""
     sizes = np.diff(offsets)
-    out = np.zeros(len(sizes), dtype=U64)
+    out, check = np.zeros(len(sizes), dtype=U64), np.zeros(len(sizes), dtype=np.int64)
     some = sizes > 0
     if some.any():
-        out[some] = mix(np.add.reduceat(mix(h ^ U64(0x2545F4914F6CDD1D)), offsets[:-1][some]) + sizes[some].astype(U64))
+        at, n = offsets[:-1][some], sizes[some].astype(U64)
+        out[some] = mix(np.add.reduceat(mix(h ^ _KEY_SALT), at) + n)
         out[some & (out == 0)] = U64(1)
-    return out
+        check[some] = (mix(np.add.reduceat(mix(h + _CHECK_SALT), at) ^ n) >> U64(33)).astype(np.int64)
+    return out, check
 
 
 class Bitmap:
-    """A set of longs as a bitmap of one hash, of a fixed size whatever the set: has() may be true for others, never false for a member.
+    """A set of longs as a bitmap of one hash: has() may be true for others, never false for a member.
 
-    Built by a distributed OR over 64-bit pieces; 2**bits bits (2 MB at the default) are all that reaches the driver and is broadcast. It only spares
-    rows a join; where so many members fill it that it passes everything, results stay the same.
+    Built by a distributed OR over 64-bit pieces. It has some eight bits a member, LEAST_BITS to MOST_BITS in powers of two: 32 MB at most reach the driver and are
+    broadcast. It only spares rows a join; beyond some 33 million members it passes more and more of the others, and results stay the same.
     """
 
-    def __init__(self, df: DataFrame, column: str, bits: int = 24, hashed: bool = False):
+    LEAST_BITS, MOST_BITS = 20, 28
+
+    def __init__(self, df: DataFrame, column: str, hashed: bool = False):
         """hashed: the column holds 64-bit hashes already."""
         spark = df.sparkSession
+        bits = min(self.MOST_BITS, max(self.LEAST_BITS, math.ceil(math.log2(max(1, 8 * df.count())))))
         at = F.pmod(F.col(column) if hashed else F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))
         pieces = df.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("piece")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("x")).toArrow()
         words = np.zeros((1 << bits) // 64, dtype=np.int64)

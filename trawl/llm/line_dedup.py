@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Bitmap, checkpointed, mix, powers, shuffle_partitions, slices, text_buffer
+from .common import LOWER, U64, Bitmap, buckets_for, checkpointed, mix, numbered, powers, slices, text_buffer
 from .components import connected_components
-from .packed import PACKED_DDL, PAIRS, PAIRS_DDL, by_bucket, candidates, pack, riders, split_riders
-from .similar_sets import exact_links, odd_sketch, probable_links
+from .packed import PACKED_DDL, PAIRS, PAIRS_DDL, Packer, by_bucket, candidates, riders, split_riders
+from .similar_sets import exact_groups, odd_sketch, probable_groups
 
 #: BANDS * ROWS is a power of two.
 WIDTH, BANDS, ROWS = 8, 16, 4
@@ -42,7 +42,7 @@ _VALUE[0x0A] = U64(0)
 
 
 class Lines:
-    """Lines of a run of texts: doc, number, first and end byte, characters, key (of the lower-cased line)."""
+    """Lines of a run of texts: doc, number, first and end byte, characters, key and 31 more bits (check) of the lower-cased line."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
@@ -57,7 +57,8 @@ class Lines:
         first = np.searchsorted(self.doc, np.arange(len(offsets)))
         self.number = np.arange(len(self.start)) - first[self.doc]
         if not len(self.start):
-            self.chars, self.key = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
+            self.chars = self.check = np.zeros(0, dtype=np.int64)
+            self.key = np.zeros(0, dtype=U64)
             return
         # spans with their line feeds cover all bytes; a line feed adds nothing to the sums
         size = np.diff(np.append(self.start, len(data)))
@@ -65,15 +66,18 @@ class Lines:
         inside = np.arange(len(data), dtype=np.int32) - np.repeat(self.start.astype(np.int32), size)
         values = _VALUE[data]
         values *= powers(int(size.max()))[inside]
-        self.key = mix(np.add.reduceat(values, self.start) + (self.end - self.start).astype(U64))
+        size = (self.end - self.start).astype(U64)
+        self.key = mix(np.add.reduceat(values, self.start) + size)
+        values ^= values >> U64(29)  # not linear in the bytes, so it tells lines apart whose first sums agree
+        self.check = (mix(np.add.reduceat(values, self.start) ^ size) >> U64(33)).astype(np.int64)
 
     def chosen(self, least: int, shorter: bool = False) -> np.ndarray:
-        """Lines of at least this many characters; with shorter, then all others that hold more than white space."""
-        long = self.chars >= least
-        if not shorter or not len(self.start):
-            return np.flatnonzero(long)
-        said = np.add.reduceat(_IS_SAID[self.data], self.start, dtype=np.int64) > 0
-        return np.concatenate([np.flatnonzero(long), np.flatnonzero(said & ~long)])
+        """Lines of at least this many characters and a shingle; then all others that count, with shorter those that hold more than white space."""
+        long = (self.chars >= least) & (self.chars >= WIDTH)
+        counts = self.chars >= least
+        if shorter and len(self.start):
+            counts = counts | (np.add.reduceat(_IS_SAID[self.data], self.start, dtype=np.int64) > 0)
+        return np.concatenate([np.flatnonzero(long), np.flatnonzero(counts & ~long)])
 
     def windows(self, rows: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
         """(hashes in unsigned integers of this kind, line of each as index into rows) of all character shingles of these lines, in order."""
@@ -173,6 +177,7 @@ def _index(least: int, buckets: int, shorter: bool, num: int, den: int):
     most = max(0, least - WIDTH) * den // num if shorter else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for first, last in slices(offsets, 6 << 20):
@@ -184,11 +189,11 @@ def _index(least: int, buckets: int, shorter: bool, num: int, den: int):
                     if not len(rows):
                         continue
                     ids = batch.column(0).slice(a, b - a).take(pa.array(lines.doc[rows]))
-                    yield riders(pa.RecordBatch.from_arrays([pa.array(lines.key[rows].view(np.int64)), ids, pa.array(lines.number[rows])], schema=_PLACES), int(lines.key[rows[0]] % U64(buckets)))
+                    yield riders(pa.RecordBatch.from_arrays([pa.array(lines.key[rows].view(np.int64)), ids, pa.array(lines.number[rows] | (lines.check[rows] << 32))], schema=_PLACES), int(lines.key[rows[0]] % U64(buckets)))
                     _, once = np.unique(lines.key[rows], return_index=True)
                     rows = rows[np.sort(once)]
                     h, line = lines.windows(rows, np.uint32)
-                    long = int(np.count_nonzero(lines.chars[rows] >= least))  # they come first
+                    long = int(np.count_nonzero(lines.chars[rows] >= max(least, WIDTH)))  # they come first
                     cut = np.searchsorted(line, long)
                     bands, filled = minhash_bands(h[:cut], line[:cut], long)
                     sigs.append(bands.ravel()), owners.append(np.repeat(np.arange(long), BANDS) + seen)
@@ -199,13 +204,14 @@ def _index(least: int, buckets: int, shorter: bool, num: int, den: int):
                     keys.append(lines.key[rows])
                     seen += len(rows)
                 if sum(map(len, sigs)):
-                    yield pack(np.concatenate(sigs), np.concatenate(owners), np.concatenate(keys), np.ones(seen, dtype=np.int64), buckets)
+                    yield from packer.add(np.concatenate(sigs), np.concatenate(owners), np.concatenate(keys), np.ones(seen, dtype=np.int64))
+        yield from packer.flush()
 
     return run
 
 
 def _find(most: int, num: int, den: int):
-    """Candidates; and, with a null in hot, occurrences as (a: key, b: doc_id, na: line number)."""
+    """Candidates; and, with a null in hot, occurrences as (a: key, b: doc_id, na: line number with the check above it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[pa.RecordBatch] = []
@@ -216,7 +222,7 @@ def _find(most: int, num: int, den: int):
     return run
 
 
-_TEXTS = pa.schema([("key", pa.int64()), ("line", pa.string())])
+_TEXTS = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("line", pa.string())])
 
 
 def _texts(least: int, wanted: Bitmap, shorter: bool):
@@ -235,12 +241,12 @@ def _texts(least: int, wanted: Bitmap, shorter: bool):
                 rows = rows[((shared.value[at >> 6] >> (at & 63)) & 1) == 1]
                 raw = lines.data.tobytes()
                 texts = [raw[lines.start[i] : lines.end[i]].decode("utf-8", "replace") for i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.key[rows].view(np.int64)), pa.array(texts, pa.string())], schema=_TEXTS)
+                yield pa.RecordBatch.from_arrays([pa.array(lines.key[rows].view(np.int64)), pa.array(lines.check[rows]), pa.array(texts, pa.string())], schema=_TEXTS)
 
     return run
 
 
-_SETS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("payload", pa.binary())])
+_SETS = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("payload", pa.binary())])
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -264,26 +270,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(texts), 2048):
             part = texts.slice(a, 2048)
             sets = shingle_sets(part)
-            yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, 2048), pa.array([len(x) for x in sets], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.binary()), part], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, 2048), batch.column("check").slice(a, 2048), pa.array([len(x) for x in sets], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.binary()), part], schema=_SETS)
 
 
 def line_index(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, most_shared: int = 32, shorter: bool = False) -> DataFrame:
     """docs (doc_id long, text string) to candidates and occurrences, checkpointed. Lines of fewer than `least` characters only count with `shorter`, blank ones never."""
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = buckets_for(docs)
     packed = docs.mapInArrow(_index(least, buckets, shorter, num, den), PACKED_DDL).repartition(buckets, by_bucket())
     return checkpointed(packed.mapInArrow(_find(most_shared, num, den), PAIRS_DDL))
 
 
 def line_components(texts: DataFrame, index: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, shorter: bool = False) -> DataFrame:
-    """texts (text string) and their line_index to (key, component) of the lines that are similar to another line."""
+    """texts (text string) and their line_index to (key, component, check) of the lines that are similar to another line."""
     found = index.where("hot is not null")
     keys = found.select(F.explode(F.when(F.col("hot"), F.array("b")).otherwise(F.array("a", "b"))).alias("key")).distinct()
     wanted = Bitmap(keys.select(_mixed("key").alias("at")), "at", hashed=True)
-    lines = texts.mapInArrow(_texts(least, wanted, shorter), "key long, line string").join(keys, "key", "left_semi").dropDuplicates(["key"])
-    sets = checkpointed(lines.mapInArrow(_sets, "key long, n long, sketch binary, payload binary"))
-    groups = checkpointed(connected_components(probable_links(found, sets, num, den))).withColumnRenamed("node", "key")
-    links = exact_links(checkpointed(sets.join(groups, "key").select("component", "key", "payload")), num, den, decode=shingle_sets)
-    return connected_components(links).withColumnRenamed("node", "key")
+    lines = texts.mapInArrow(_texts(least, wanted, shorter), "key long, check long, line string").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    sets = checkpointed(lines.mapInArrow(_sets, "key long, check long, n long, sketch binary, payload binary"))
+    groups = checkpointed(probable_groups(found, sets, num, den)).withColumnRenamed("node", "key")
+    labels = exact_groups(checkpointed(sets.join(groups, "key").select("component", "key", "payload")), num, den, decode=shingle_sets)
+    return labels.withColumnRenamed("node", "key").join(sets.select("key", "check"), "key")
 
 
 def _mixed(column: str):
@@ -303,27 +309,29 @@ def repeated_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int =
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index = line_index(source, num, den, least, shorter=shorter)
     labels = line_components(source.select("text"), index, num, den, least, shorter)
-    places = index.where("hot is null and b is not null").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("na").alias("number"))
-    at = F.struct("doc_id", "number")
-    lines = places.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).join(labels, "key", "left").withColumn("label", F.coalesce("component", "key"))
-    firsts = lines.groupBy("label").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
-    many = checkpointed(lines.join(firsts.drop("n"), "label").select("key", "kept"))
-    gone = places.join(many, "key").where(at != F.col("kept"))
+    places = index.where("hot is null and b is not null").select(F.col("a").alias("key"), F.shiftright("na", 32).alias("check"), F.col("b").alias("doc_id"), (F.col("na") % (1 << 32)).alias("number"))
+    at, alone = F.struct("doc_id", "number"), F.when(F.col("component").isNull(), F.col("check")).otherwise(-1)
+    lines = places.groupBy("key", "check").agg(F.min(at).alias("first"), F.count("*").alias("n")).join(labels, ["key", "check"], "left").withColumns({"label": F.coalesce("component", "key"), "alone": alone})
+    firsts = lines.groupBy("label", "alone").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
+    many = checkpointed(lines.join(firsts.drop("n"), ["label", "alone"]).select("key", "check", "kept"))
+    gone = places.join(many, ["key", "check"]).where(at != F.col("kept"))
     return gone.select("doc_id", "number", F.col("kept.doc_id").alias("first_doc_id"), F.col("kept.number").alias("first_number")).distinct()
 
 
 def dedup_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, drop_emptied: bool = True, shorter: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...) without repeated lines, with the same columns. drop_emptied: rows whose text had lines and has only white space left go.
+    """docs (text, ...) without repeated lines, with the same columns. drop_emptied: rows whose text had lines and has only white space left go.
 
-    Texts that lose no line stay as they are, byte for byte.
+    Rows count by their place in the table, whatever their doc_id, which may be null or repeated: of equal or similar lines that of the first row stays, and of rows that
+    are equal one stays. Texts that lose no line stay as they are, byte for byte.
     """
-    gone = checkpointed(repeated_lines(docs, num, den, least, shorter).groupBy("doc_id").agg(F.collect_set("number").alias("__gone")).withColumnRenamed("doc_id", "__id"))
-    touched = Bitmap(gone, "__id")
     names = docs.columns
-    marked = docs.withColumn("__touched", F.coalesce(touched.has(F.xxhash64(F.col("doc_id").cast("long"))), F.lit(False)))
+    rows = numbered(docs)
+    gone = checkpointed(repeated_lines(rows.select(F.col("__row").alias("doc_id"), "text"), num, den, least, shorter).groupBy("doc_id").agg(F.collect_set("number").alias("__gone")).withColumnRenamed("doc_id", "__id"))
+    touched = Bitmap(gone, "__id")
+    marked = rows.withColumn("__touched", F.coalesce(touched.has(F.xxhash64(F.col("__row"))), F.lit(False)))
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
-    joined = marked.where("__touched").join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    joined = marked.where("__touched").join(gone, F.col("__row") == F.col("__id"), "left")
     cut = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
     if drop_emptied:
         cut = cut.where(F.col("__gone").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))

@@ -11,12 +11,11 @@ Candidates are then verified: first by odd sketches (the parity of hashed elemen
 is a lower bound of the sets' difference, so no link is lost), then exactly on the whole shingle sets.
 Equal sets are one node throughout. Only components are built from links; copies never expand into pairs.
 
-Memory: a map task holds one Arrow batch; a reduce task one bucket of signatures (its number follows
-spark.sql.shuffle.partitions). Signatures shared by more than `most_shared` distinct sets are dealt out in blocks, compared block by
-block and return a spanning forest only; groups of near copies are first compared with one representative each, and only the members that
-do not link to it are compared with the others, in blocks.
+Memory: a map task holds one Arrow batch; a reduce task one bucket of signatures (their number follows the table's size). The sets of a signature
+that more than `most_shared` distinct sets share, and groups of near copies, are compared with representatives, round by round (see similar_sets).
 
-Sets are compared through 64-bit hashes of whole shingles and sets are told apart by a 64-bit key.
+Sets are compared through 64-bit hashes of whole shingles and sets are told apart by 64 + 31 bits of two hashes. Of different sets with one 64-bit key, of
+which a table of 10**10 texts has two or three, only one is searched for near copies; none is taken for the other.
 """
 
 from __future__ import annotations
@@ -30,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, U64, Bitmap, Words, checkpointed, mix, set_keys, shingle_hashes, shuffle_partitions, slices, text_buffer
+from .common import SPACE_WORDS, U64, Bitmap, Words, buckets_for, checkpointed, mix, set_keys, shingle_hashes, slices, text_buffer
 from .components import connected_components
-from .packed import PACKED_DDL, PAIRS, PAIRS_DDL, by_bucket, candidates, pack, riders, split_riders
-from .similar_sets import differences, exact_links, odd_sketch, probable_links
+from .packed import PACKED_DDL, PAIRS, PAIRS_DDL, Packer, by_bucket, candidates, riders, split_riders
+from .similar_sets import differences, exact_groups, odd_sketch, probable_groups
 
 BAND_GROWTH = 1.6
 MOST_SHARED = 32
@@ -137,25 +136,26 @@ def _index(width: int, num: int, den: int, buckets: int, log_sets: int):
     """documents (doc_id, text) to packed signatures and, in bucket -1 - b, packed node rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             ids = batch.column(0)
             for a, b in slices(offsets, 3 << 20):
                 part = offsets[a : b + 1] - offsets[a]
                 h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], part, SPACE_WORDS), width)
-                keys, n = set_keys(h, at), np.diff(at)
+                (keys, check), n = set_keys(h, at), np.diff(at)
                 _, once = np.unique(keys, return_index=True)  # equal sets of a batch are indexed once
                 chosen = np.zeros(len(keys), dtype=bool)
                 chosen[once] = True
                 chosen &= n > 0
                 sketches = [odd_sketch(h[at[i] : at[i + 1]]) if chosen[i] else None for i in range(len(n))]
-                rows = pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys.view(np.int64)), pa.array(n), pa.array(sketches, pa.binary())], names=["doc_id", "key", "n", "sketch"])
+                rows = pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys.view(np.int64)), pa.array(n | (check << 32)), pa.array(sketches, pa.binary())], names=["doc_id", "key", "n", "sketch"])
                 yield riders(rows, int(keys[0] % U64(buckets)))
                 keep = np.repeat(chosen, n)
                 sub = np.concatenate([[0], np.cumsum(n[chosen])])
                 sigs, owner = signatures(h[keep], sub, num, den, log_sets)
-                if len(sigs):
-                    yield pack(sigs, owner, keys[chosen], n[chosen], buckets)
+                yield from packer.add(sigs, owner, keys[chosen], n[chosen])
+        yield from packer.flush()
 
     return run
 
@@ -193,7 +193,7 @@ def shingle_sets(width: int):
 
 
 def _checked(width: int):
-    """Rows (component, key, text) whose text has that key; after a repeated doc_id some haven't."""
+    """Rows (component, key, n, text) whose text has that key and size with check; after a repeated doc_id some haven't."""
     schema = pa.schema([("component", pa.int64()), ("key", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +203,13 @@ def _checked(width: int):
                 h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE_WORDS), width)
                 part = batch.slice(a, b - a)
                 rows = pa.RecordBatch.from_arrays([part.column("component"), part.column("key"), part.column("text").cast(pa.binary())], schema=schema)
-                yield rows.filter(pa.array(set_keys(h, at).view(np.int64) == rows.column(1).to_numpy()))
+                keys, check = set_keys(h, at)
+                yield rows.filter(pa.array((keys.view(np.int64) == rows.column(1).to_numpy()) & ((np.diff(at) | (check << 32)) == part.column("n").to_numpy())))
 
     return run
 
 
-def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, most_shared: int = MOST_SHARED, block: int = 4096) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, most_shared: int = MOST_SHARED, few: int = 256, many: int = 4096) -> DataFrame:
     """docs (doc_id long, text string, ...) to one row (doc_id, n_shingles, component_id) for each.
 
     Two rows link when den * |intersection| >= num * |union| of their distinct `width`-word shingles (lower-cased A-Z,
@@ -219,21 +220,24 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     log_sets = max(1, math.ceil(math.log10(max(10, source.select("doc_id").count()))))
-    buckets = shuffle_partitions(spark)
+    buckets = buckets_for(docs)
     packed = source.mapInArrow(_index(width, num, den, buckets, log_sets), PACKED_DDL)
     found = checkpointed(packed.repartition(buckets, by_bucket()).mapInArrow(_find(most_shared, num, den), _FOUND_DDL))
 
+    # n holds the set's size and, above it, the check
     members = found.where("key is not null").select("doc_id", "key", "n")
-    nodes = found.where("key is not null and n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    groups = checkpointed(connected_components(probable_links(found, nodes, num, den, block)))
+    kinds = found.where("key is not null and n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id"), F.max("sketch").alias("sketch"))
+    nodes = kinds.groupBy("key").agg(F.min(F.struct("n", "doc_id", "sketch")).alias("x")).select("key", (F.col("x.n") % (1 << 32)).alias("n"), F.col("x.n").alias("own"), "x.doc_id", "x.sketch")
+    groups = checkpointed(probable_groups(found, nodes, num, den, few, many))
 
-    wanted = checkpointed(groups.join(nodes.select(F.col("key").alias("node"), "doc_id"), "node").select("doc_id", F.col("node").alias("key"), "component"))
+    wanted = checkpointed(groups.join(nodes.select(F.col("key").alias("node"), "doc_id", "own"), "node").select("doc_id", F.col("node").alias("key"), F.col("own").alias("n"), "component"))
     maybe = source.where(Bitmap(wanted, "doc_id").has(F.xxhash64("doc_id")))  # spares most texts the shuffle
-    sets = checkpointed(maybe.join(wanted, "doc_id").select("component", "key", "text").mapInArrow(_checked(width), "component long, key long, payload binary").dropDuplicates(["key"]))
-    labels = connected_components(exact_links(sets, num, den, decode=shingle_sets(width))).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    sets = checkpointed(maybe.join(wanted, "doc_id").select("component", "key", "n", "text").mapInArrow(_checked(width), "component long, key long, payload binary").dropDuplicates(["key"]))
+    labels = exact_groups(sets, num, den, decode=shingle_sets(width)).select(F.col("node").alias("key"), F.col("component").alias("label"))
 
-    known = nodes.select("key", "doc_id").join(labels, "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
-    least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_key = known.join(least, "label").select("key", "component_id")
+    labels = labels.join(nodes.select("key", F.col("own").alias("n")), "key")
+    known = kinds.join(labels, ["key", "n"], "left").select("key", "n", "doc_id", F.coalesce("label", "key").alias("label"), F.when(F.col("label").isNull(), F.col("n")).otherwise(-1).alias("alone"))
+    least = known.groupBy("label", "alone").agg(F.min("doc_id").alias("component_id"))
+    of_key = known.join(least, ["label", "alone"]).select("key", "n", "component_id")
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return members.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return members.join(of_key, ["key", "n"], "left").select("doc_id", (F.col("n") % (1 << 32)).alias("n_shingles"), own.alias("component_id"))

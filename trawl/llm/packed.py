@@ -21,6 +21,24 @@ PACKED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 PACKED_DDL = "bucket int, blob binary"
 
 
+class Packer:
+    """Gathers (signature, node) pairs of a task's batches until a blob for each bucket is worth its header: 16 signatures a bucket, at most some 100 MB."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.parts, self.held, self.nodes = buckets, [], 0, 0
+
+    def add(self, sigs: np.ndarray, owners: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((sigs, owners + self.nodes, nodes, sizes))
+        self.held, self.nodes = self.held + len(sigs), self.nodes + len(nodes)
+        if self.held >= 16 * self.buckets:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield pack(*(np.concatenate(x) for x in zip(*self.parts, strict=True)), self.buckets)
+        self.parts, self.held, self.nodes = [], 0, 0
+
+
 def pack(sigs: np.ndarray, owners: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
     """sigs: 64 bits each; owners: index into nodes for each."""
     bucket = (sigs >> U64(32)) % U64(buckets)

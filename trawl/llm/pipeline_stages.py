@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, checkpointed, scratch
+from .common import Bitmap, checkpointed, numbered, scratch
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
 from .mixing import mixed_documents
@@ -17,29 +17,34 @@ from .ngram_join import ngram_jaccard_components
 from .quality import score_documents
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in gone (doc_id). Only rows that may be among them are shuffled."""
-    gone = checkpointed(gone.select(F.col("doc_id").cast("long").alias("__gone")).where("__gone is not null").distinct())
-    maybe = F.coalesce(Bitmap(gone, "__gone").has(F.xxhash64(F.col("doc_id").cast("long"))), F.lit(False))
-    marked = docs.withColumn("__maybe", maybe)
-    left = marked.where("__maybe").join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return marked.where("not __maybe").select(*docs.columns).unionByName(left.select(*docs.columns))
+def _without(rows: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
+    """The columns `names` of numbered rows but for those whose number is in gone (row). Only rows that may be among them are shuffled."""
+    gone = checkpointed(gone.select(F.col("row").alias("__gone")).distinct())
+    marked = rows.withColumn("__maybe", Bitmap(gone, "__gone").has(F.xxhash64("__row")))
+    left = marked.where("__maybe").join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    return marked.where("not __maybe").select(*names).unionByName(left.select(*names))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score below 0.7) go; those with a null doc_id stay."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return _without(docs, score_documents(docs, labels).where("predicted = 0"))
+    """Documents that the classifier rejects (score below 0.7) go, each row by its own text, whatever its doc_id."""
+    labels, rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), numbered(docs)
+    scored = score_documents(rows, labels, row="__row")
+    return _without(rows, scored.where("predicted = 0").select("row"), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of similar lines the first stays; documents of which no line is left go."""
+    """Of similar lines that of the first row stays; documents of which no line is left go."""
     return dedup_lines(docs, shorter=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the least doc_id."""
-    return _without(docs, ngram_jaccard_components(docs).where("component_id != doc_id"))
+    """One document of each group of near copies stays: that with the least doc_id (nulls last), and of several rows with that id the first."""
+    rows = numbered(docs)
+    groups = ngram_jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    many = checkpointed(groups.join(groups.where("row != component_id").select("component_id").distinct(), "component_id", "left_semi"))
+    named = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("id")).join(many, "row")
+    stay = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("s")).select(F.col("s.row").alias("row"))
+    return _without(rows, many.join(stay, "row", "left_anti").select("row"), docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

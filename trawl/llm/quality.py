@@ -5,8 +5,8 @@ standardised and mapped to D cosines with random frequencies, which approximate
 sums Z'Z and Z'y for each of FOLDS folds; their total gives the ridge weights. Each labelled row is also scored by the weights of the other folds, and these scores are counted
 by label in BINS equal bins and pooled into an increasing step function that calibrates scores.
 
-All labelled rows are used. What reaches the driver has a fixed size: means and deviations, at most MOST_PARTS * FOLDS matrices of (D + 1)**2 doubles, BINS counts, and a
-broadcast model of some 100 KB.
+All labelled rows are used. What reaches the driver has a fixed size but for some 500 bytes of moments for each partition: MOST_PARTS * FOLDS matrices of (D + 1)**2
+doubles, which are sums of the partitions' ones, BINS counts, and a broadcast model of some 100 KB.
 """
 
 from __future__ import annotations
@@ -85,12 +85,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_buffer(batch.column(1))
         for a, b in slices(offsets, 3 << 20):
             rows = statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in rows.astype("<f8")], pa.binary())], names=["doc_id", "stats"])
+            own = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array([r.tobytes() for r in rows.astype("<f8")], pa.binary())], names=["doc_id", "row", "stats"])
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, stats: FEATURES little-endian doubles)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, "doc_id long, stats binary")
+def document_statistics(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """docs (doc_id, text) to (doc_id, row, stats: FEATURES little-endian doubles); row: a column that numbers rows, or null."""
+    number = (F.col(row) if row else F.lit(None)).cast("long").alias("row")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), number).mapInArrow(_measure, "doc_id long, row long, stats binary")
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -166,6 +168,14 @@ def _binned(shared):
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((FOLDS, D + 1, D + 2))
+    for batch in batches:
+        for one in batch.column("total"):
+            total += np.frombuffer(one.as_buffer()).reshape(total.shape)
+    yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["total"])
+
+
 def _weights(sums: np.ndarray, ridge: float) -> np.ndarray:
     penalty = np.eye(D + 1) * ridge * max(1.0, sums[-1, D])
     penalty[-1, -1] = 1e-9
@@ -182,8 +192,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(examples: DataFrame, ridge: float = 1e-3, bandwidth: float = 6.0) -> Model:
     """examples (doc_id, stats, y 0 or 1) to a model. Without examples, or with one label only, every score is near the label's share or a half."""
-    few = examples.coalesce(MOST_PARTS)
-    rows = few.mapInArrow(_moments, "n long, total binary, squares binary").toArrow().to_pylist()
+    rows = examples.mapInArrow(_moments, "n long, total binary, squares binary").toArrow().to_pylist()
     n = sum(r["n"] for r in rows)
     total, squares = (sum((np.frombuffer(r[k]) for r in rows), np.zeros(FEATURES)) for k in ("total", "squares"))
     mean = total / max(1, n)
@@ -193,7 +202,8 @@ def fit(examples: DataFrame, ridge: float = 1e-3, bandwidth: float = 6.0) -> Mod
         return model
     sc = examples.sparkSession.sparkContext
     folded = examples.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(FOLDS)).cast("int"))
-    parts = folded.coalesce(MOST_PARTS).mapInArrow(_sums(sc.broadcast(model)), "total binary").toArrow().to_pylist()
+    # a tree: each partition's sums, those of MOST_PARTS groups of partitions, and their total on the driver
+    parts = folded.mapInArrow(_sums(sc.broadcast(model)), "total binary").repartition(MOST_PARTS).mapInArrow(_added, "total binary").toArrow().to_pylist()
     sums = sum((np.frombuffer(r["total"]).reshape(FOLDS, D + 1, D + 2) for r in parts), np.zeros((FOLDS, D + 1, D + 2)))
     model.weights = _weights(sums.sum(axis=0), ridge)
     without = np.stack([_weights(sums.sum(axis=0) - sums[k], ridge) for k in range(FOLDS)])
@@ -208,19 +218,21 @@ def fit(examples: DataFrame, ridge: float = 1e-3, bandwidth: float = 6.0) -> Mod
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(_matrix(batch)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(shared.value.score(_matrix(batch)))], names=["doc_id", "row", "score"])
 
     return run
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs (doc_id, text, ...), labels (doc_id, quality, ...) to (doc_id, held_out, score, predicted) for each row of docs.
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, row: str | None = None) -> DataFrame:
+    """docs (doc_id, text, ...), labels (doc_id, quality, ...) to (doc_id, held_out, score, predicted) for each row of docs; with `row`, the name of a column that numbers rows, also row.
 
     Learns from documents with a quality of 0 or 1 whose fold, crc32 of the id as text modulo 4, is not 2. Null and empty texts get the score
-    of their statistics; a null doc_id has held_out false and is never learned from. A document that is labelled more than once counts once for each label.
+    of their statistics; a null doc_id has held_out false and is never learned from. A document that is labelled more than once counts once for each label, and each of
+    the rows that repeat a labelled doc_id counts.
     """
-    stats = checkpointed(document_statistics(docs))
+    stats = checkpointed(document_statistics(docs, row))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1)").where(fold_of(F.col("doc_id")) != 2)
-    model = fit(stats.join(marks, "doc_id").select("doc_id", "stats", "y"))
-    scored = stats.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = fit(checkpointed(stats.join(marks, "doc_id").select("doc_id", "stats", "y")))
+    scored = stats.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, row long, score double")
+    out = scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "row")
+    return out if row else out.drop("row")

@@ -1,6 +1,11 @@
-"""From candidate pairs of sets to exact links: odd sketches first, then whole sets; neither expands a group into all its pairs.
+"""From candidate pairs of sets to exact groups: odd sketches first, then whole sets; neither expands a group into all its pairs.
 
 A set is a sorted array of distinct 64-bit hashes with a 64-bit key. Sets a and b link when den * |intersection| >= num * |union|.
+
+A group of n sets (the sets that share a hot signature, or a group that sketches can't part) is compared with one representative first. Sets that
+aren't connected to it by then give further representatives, round by round and eight times as many each time, each compared with the whole group;
+what is connected to the first one in between needs no comparison of its own. So a group of near copies costs n comparisons for
+each round's representatives, not n * n; only sets that link to nothing are each compared with their whole group in the end, as they have to be.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, checkpointed
+from .components import connected_components
 
 Decoder = Callable[[pa.Array], list[np.ndarray]]
 
@@ -54,8 +60,8 @@ def _by_sketch(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, sa, sb = (batch.column(k).to_pylist() for k in ("a", "b", "na", "nb", "sa", "sb"))
-            kept = [i for i in range(len(a)) if _may_link(sa[i], sb[i], na[i], nb[i], num, den)]
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+            near = [_may_link(sa[i], sb[i], na[i], nb[i], num, den) for i in range(len(a))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_()), batch.column("star")], names=["a", "b", "near", "star"])
 
     return run
 
@@ -78,26 +84,23 @@ class _Forest:
 
 
 def _block_by_sketch(num: int, den: int):
-    """Rows (low, high, block, node, n, sketch) of a pair of blocks to a spanning forest of the pairs that may link."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        low, high = (k.as_py() for k in key[1:3])
-        node, n, block, raw = (table.column(c).to_pylist() for c in ("node", "n", "block", "sketch"))
-        order = sorted(range(len(node)), key=lambda i: (n[i], node[i]))
-        words = min(len(raw[i]) for i in order) // 8
-        folded = np.array([np.frombuffer(_fold(raw[i], 8 * words).to_bytes(8 * words, "little"), dtype=np.uint64) for i in order])
-        size, side = np.array([n[i] for i in order]), np.array([block[i] for i in order])
-        trees, out = _Forest(len(order)), []
-        for i in range(len(order) - 1):
-            stop = int(np.searchsorted(size, size[i] * den // num, "right"))
-            others = slice(i + 1, stop)
-            apart = np.bitwise_count(folded[others] ^ folded[i]).sum(axis=1, dtype=np.int64)
-            near = apart <= differences(size[i], size[others], num, den)
-            if low != high:
-                near &= side[others] != side[i]
-            for j in np.flatnonzero(near) + i + 1:
-                if trees.add(i, int(j)):
-                    out.append((node[order[i]], node[order[j]]))
+    """Rows (role, key, n, sketch) of a block of representatives (role 0) and one of members (role 1) to a spanning forest of the pairs that may link."""
+
+    def run(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        role, key, n, raw = (table.column(c).to_pylist() for c in ("role", "key", "n", "sketch"))
+        ones = [i for i in range(len(key)) if role[i] == 1]
+        number = {k: i for i, k in enumerate(dict.fromkeys(key))}
+        trees, out = _Forest(len(number)), []
+        if not ones:
+            return _EDGES.empty_table()
+        words = min(map(len, raw)) // 8
+        folded = lambda i: np.frombuffer(_fold(raw[i], 8 * words).to_bytes(8 * words, "little"), dtype=np.uint64)
+        others, size = np.array([folded(i) for i in ones]), np.array([n[i] for i in ones])
+        for i in (i for i in range(len(key)) if role[i] == 0):
+            apart = np.bitwise_count(others ^ folded(i)).sum(axis=1, dtype=np.int64)
+            for j in np.flatnonzero(apart <= differences(size, n[i], num, den)):
+                if key[ones[j]] != key[i] and trees.add(number[key[i]], number[key[ones[j]]]):
+                    out.append((key[i], key[ones[j]]))
         return pa.Table.from_pylist([{"a": a, "b": b} for a, b in out], schema=_EDGES)
 
     return run
@@ -128,17 +131,14 @@ def _with_representative(num: int, den: int, decode: Decoder):
 
 
 def _block_exactly(num: int, den: int, decode: Decoder):
-    """Rows (role, key, linked, payload) of a block of unlinked sets (role 0) and one of all sets (role 1) of a component to the links that join trees."""
+    """Rows (role, key, payload) of a block of representatives (role 0) and one of members (role 1) to the links that join trees."""
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        role, keys, linked = (table.column(c).to_pylist() for c in ("role", "key", "linked"))
+    def run(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        role, keys = (table.column(c).to_pylist() for c in ("role", "key"))
         sets = decode(table.column("payload").combine_chunks())
         ones = [i for i in range(len(keys)) if role[i] == 1]
         number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-        trees, out, hub = _Forest(len(number) + 1), [], len(number)
-        for i in range(len(keys)):
-            if linked[i]:
-                trees.add(number[keys[i]], hub)
+        trees, out = _Forest(len(number)), []
         if not ones:
             return _EDGES.empty_table()
         flat = np.concatenate([sets[i] for i in ones])
@@ -151,49 +151,79 @@ def _block_exactly(num: int, den: int, decode: Decoder):
             at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             both = np.bincount(owner[at], minlength=len(ones))
             for j in np.flatnonzero(den * both >= num * (size + len(sets[i]) - both)):
-                if trees.add(number[keys[i]], number[keys[ones[j]]]):
+                if keys[ones[j]] != keys[i] and trees.add(number[keys[i]], number[keys[ones[j]]]):
                     out.append((keys[i], keys[ones[j]]))
         return pa.Table.from_pylist([{"a": a, "b": b} for a, b in out], schema=_EDGES)
 
     return run
 
 
-def probable_links(found: DataFrame, nodes: DataFrame, num: int, den: int, block: int = 4096) -> DataFrame:
-    """Edges (a, b) of which the components hold every link among the candidates.
+def _in_blocks(asks: DataFrame, members: DataFrame, values: DataFrame, few: int, many: int, compare) -> DataFrame:
+    """asks, members (grp, key), values (key, ...): every representative with every member of its group, in blocks of about few and many rows."""
+    asked = asks.groupBy("grp").agg(F.ceil(F.count("*") / few).cast("int").alias("s"))
+    sizes = members.join(asked.select("grp"), "grp", "left_semi").groupBy("grp").agg(F.ceil(F.count("*") / many).cast("int").alias("t")).join(asked, "grp")
+    row, column = F.pmod(F.xxhash64("key"), F.col("s")).cast("int"), F.pmod(F.xxhash64("key"), F.col("t")).cast("int")
+    left = asks.join(sizes, "grp").select("grp", "key", row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("j"), F.lit(0).alias("role"))
+    right = members.join(sizes, "grp").select("grp", "key", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("i"), column.alias("j"), F.lit(1).alias("role"))
+    return left.unionByName(right).join(values, "key").groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
 
-    found: rows of packed.candidates; nodes (key, n, sketch). Pairs that sketches rule out go. Signatures that many nodes share are dealt
-    out in pairs of blocks of their nodes; each returns a spanning forest of its pairs.
+
+def _resolved(edges: DataFrame, members: DataFrame, compare: Callable[[DataFrame], DataFrame], first: int = 8) -> DataFrame:
+    """edges (a, b), members (grp, key, hub) to components (node, component) of all links inside groups.
+
+    compare: representatives (grp, key) to the edges between them and all members of their groups. A member that is in its hub's component is settled; of the
+    others some `first` of each group are compared in the first round, and eight times as many in each further one.
+    """
+    asked, width = None, first
+    while True:
+        labels = checkpointed(connected_components(edges))
+        own, hubs = labels.select(F.col("node").alias("key"), F.col("component").alias("l")), labels.select(F.col("node").alias("hub"), F.col("component").alias("m"))
+        loose = members.where("key != hub").join(own, "key", "left").join(hubs, "hub", "left").where("coalesce(l, key) != coalesce(m, hub)").select("grp", "key")
+        loose = checkpointed(loose if asked is None else loose.join(asked, ["grp", "key"], "left_anti"))
+        if not loose.limit(1).count():
+            return labels
+        every = loose.groupBy("grp").agg(F.ceil(F.count("*") / width).cast("long").alias("every"))
+        asks = checkpointed(loose.join(every, "grp").where(F.pmod(F.xxhash64("key", F.lit(width)), F.col("every")) == 0).select("grp", "key"))
+        edges = edges.unionByName(checkpointed(compare(asks)))
+        asked = asks if asked is None else asked.unionByName(asks)
+        width *= 8
+
+
+def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few: int = 256, many: int = 4096) -> DataFrame:
+    """(node, component) of components that hold every link among the candidates.
+
+    found: rows of packed.candidates; nodes (key, n, sketch). Pairs that sketches rule out go. The sets of a hot signature are compared with
+    its least one, pairs that several signatures ask for once; what isn't connected to it then is compared in rounds.
     """
     left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    pairs = found.where("not hot").select("a", "b").distinct()
-    cold = pairs.join(left, "a").join(right, "b").where("sa is not null and sb is not null").mapInArrow(_by_sketch(num, den), "a long, b long")
-    hot = found.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("node"))
-    blocks = hot.groupBy("sig").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = (
-        hot.join(blocks, "sig")
-        .join(nodes.select(F.col("key").alias("node"), F.col("n").cast("long").alias("n"), "sketch"), "node")
-        .where("sketch is not null")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "sketch")
-    )
-    warm = dealt.groupBy("sig", "low", "high").applyInArrow(_block_by_sketch(num, den), "a long, b long")
-    return cold.unionByName(warm)
-
-
-def exact_links(sets: DataFrame, num: int, den: int, block: int = 512, small_block: int = 256, *, decode: Decoder) -> DataFrame:
-    """sets (component long, key long, payload binary), checkpointed and with distinct keys, to links (a, b) whose components are those of all links within components.
-
-    Each set is compared with one representative of its component; those that don't link to it are compared with all others, in blocks. decode: payloads to sets.
+    hot = found.where("hot").select(F.col("a").alias("grp"), F.col("b").alias("key")).join(nodes.select("key"), "key", "left_semi")
+    hubs = hot.groupBy("grp").agg(F.min("key").alias("hub"))
+    stars = hot.join(hubs, "grp").where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b"), F.lit(True).alias("star"))
+    pairs = found.where("not hot").select("a", "b", F.lit(False).alias("star")).unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
+    told = pairs.join(left, "a").join(right, "b").where("sa is not null and sb is not null")
+    told = checkpointed(told.mapInArrow(_by_sketch(num, den), "a long, b long, near boolean, star boolean").where("near or star"))
+    edges = told.where("near").select("a", "b")
+    apart = told.where("star and not near").select(F.col("a").alias("hub"), F.col("b").alias("key"))
+    if not apart.limit(1).count():
+        return connected_components(edges)
+    # signatures with the same least set, which near copies have many of, make one group
+    open_groups = hubs.join(apart.select("hub").distinct(), "hub", "left_semi")
+    members = checkpointed(hot.join(open_groups, "grp").select(F.col("hub").alias("grp"), "key", "hub").distinct())
+    values = nodes.select("key", F.col("n").cast("long").alias("n"), "sketch")
+    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.select("grp", "key"), values, few, many, _block_by_sketch(num, den)))
+
+
+def exact_groups(sets: DataFrame, num: int, den: int, few: int = 256, many: int = 512, *, decode: Decoder) -> DataFrame:
+    """sets (component long, key long, payload binary), checkpointed and with distinct keys, to (node, component) of the links within components.
+
+    Each set is compared with one representative of its component; what isn't connected to it is compared in rounds. decode: payloads to sets.
     """
     firsts = sets.where("key = component").select("component", F.col("key").alias("first_key"), F.col("payload").alias("of_first"))
     told = checkpointed(sets.where("key != component").join(firsts, "component").mapInArrow(_with_representative(num, den, decode), "component long, key long, first_key long, linked boolean"))
-    loose = told.groupBy("component").agg(F.count_if(~F.col("linked")).alias("s"), F.count("*").alias("t")).where("s > 0").select("component", F.ceil(F.col("s") / small_block).cast("int").alias("s"), F.ceil(F.col("t") / block).cast("int").alias("t"))
-    # the representative itself is linked to what links to it, and to nothing else
-    rest = sets.join(told.select("key", "linked"), "key").join(loose, "component")
-    row, column = F.pmod(F.xxhash64("key"), F.col("s")).cast("int"), F.pmod(F.xxhash64("key"), F.col("t")).cast("int")
-    asks = rest.where("not linked").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select("component", row.alias("i"), "j", F.lit(0).alias("role"), "key", "linked", "payload")
-    answers = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("component", "i", column.alias("j"), F.lit(1).alias("role"), "key", "linked", "payload")
-    more = asks.unionByName(answers).groupBy("component", "i", "j").applyInArrow(_block_exactly(num, den, decode), "a long, b long")
-    return told.where("linked").select(F.col("key").alias("a"), F.col("first_key").alias("b")).unionByName(more)
+    edges = told.where("linked").select(F.col("key").alias("a"), F.col("first_key").alias("b"))
+    open_groups = told.where("not linked").select("component").distinct()
+    if not open_groups.limit(1).count():
+        return connected_components(edges)
+    members = checkpointed(sets.join(open_groups, "component", "left_semi").select(F.col("component").alias("grp"), "key", F.col("component").alias("hub")))
+    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.select("grp", "key"), sets.select("key", "payload"), few, many, _block_exactly(num, den, decode)))
