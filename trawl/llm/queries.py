@@ -147,24 +147,20 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
 FROM p JOIN f USING (x)
 """
 
+#: The method in one window: a source's documents in order of size, long ones first, lie on a line, each as long as its expected copies (q; the others r, which is q where none is long), from one offset u.
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT z, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 w FROM d GROUP BY source),
 -- the level at which every source below some source's cap by weight is capped, and that one isn't
 lv AS (SELECT max(l) lvl FROM (SELECT a.w, a.z, ((SELECT sum(z) FROM s) - coalesce(sum(3 * b.z) FILTER (WHERE (3 * b.z) / b.w < (3 * a.z) / a.w), 0)) / sum(b.w) FILTER (WHERE (3 * b.z) / b.w >= (3 * a.z) / a.w) l
   FROM s a, s b GROUP BY a.source, a.w, a.z) WHERE l * w <= 3 * z),
-t AS (SELECT source, z, least(3 * z, lvl * w)::DOUBLE target, CASE WHEN z > 0 THEN least(3 * z, lvl * w)::DOUBLE / z ELSE 0 END q FROM s, lv),
-g AS (SELECT d.*, t.z, t.target, t.q, d.size * 50 > t.target lg FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, ceil(sqrt(count(*) OVER (PARTITION BY source, lg, size)))::BIGINT b FROM g),
-o AS (SELECT *, row_number() OVER (PARTITION BY source, lg ORDER BY size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % b, doc_id) rk FROM k),
-u AS (SELECT source, i, ('0x' || substr(md5('/' || i || '/' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE u FROM t, (SELECT unnest(range(16)) i)),
-x AS (SELECT o.*, u.i, u.u FROM o JOIN u ON o.source IS NOT DISTINCT FROM u.source),
-y AS (SELECT source, i, any_value(target) t, coalesce(sum(size) FILTER (WHERE NOT lg), 0)::BIGINT rest, coalesce(sum((floor(u + q * rk) - floor(u + q * (rk - 1)))::BIGINT * size) FILTER (WHERE lg), 0)::BIGINT tk FROM x GROUP BY source, i),
-r AS (SELECT *, CASE WHEN rest > 0 THEN least(3.0::DOUBLE, greatest(0.0::DOUBLE, (t - tk) / rest)) ELSE 0.0::DOUBLE END r FROM y),
-n AS (SELECT x.doc_id, x.source, x.size, x.z, x.target, x.i, (floor(u + CASE WHEN lg THEN q ELSE r END * rk) - floor(u + CASE WHEN lg THEN q ELSE r END * (rk - 1)))::BIGINT n
-  FROM x JOIN r ON x.i = r.i AND x.source IS NOT DISTINCT FROM r.source),
-best AS (SELECT source, arg_min(i, (e, i)) i FROM (SELECT source, i, abs(sum(n * size) - any_value(target)) e FROM n GROUP BY source, i) GROUP BY source)
-SELECT doc_id, size, z AS source_size, target, (n * size)::BIGINT AS taken FROM n JOIN best ON n.source IS NOT DISTINCT FROM best.source AND n.i = best.i
+t AS (SELECT source, z, least(3 * z, lvl * w)::DOUBLE target, CASE WHEN z > 0 THEN least(3 * z, lvl * w)::DOUBLE / z ELSE 0 END q, ('0x' || substr(md5('/' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE u FROM s, lv),
+k AS (SELECT *, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % ceil(sqrt(count(*) OVER (PARTITION BY source, size)))::BIGINT c FROM d),
+o AS (SELECT k.*, t.z, t.target, t.q, t.u, size * 50 > target lg, row_number() OVER (PARTITION BY k.source ORDER BY size * 50 > target DESC, size, c, doc_id) rk FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT source, count(*) FILTER (WHERE lg) n, coalesce(sum(size) FILTER (WHERE lg), 0)::BIGINT ls, coalesce(sum((floor(u + q * rk) - floor(u + q * (rk - 1)))::BIGINT * size) FILTER (WHERE lg), 0)::BIGINT lt, any_value(z) z, any_value(target) target, any_value(q) q FROM o GROUP BY source),
+r AS (SELECT source, n, CASE WHEN n = 0 THEN q WHEN z > ls THEN greatest(0.0::DOUBLE, least(3.0::DOUBLE, (target - lt) / (z - ls))) ELSE 0.0::DOUBLE END r FROM f),
+e AS (SELECT o.*, CASE WHEN lg THEN q * rk ELSE q * n + r * (rk - n) END b, CASE WHEN lg THEN q * (rk - 1) ELSE q * n + r * (rk - 1 - n) END a FROM o JOIN r ON o.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, z AS source_size, target, least(3, floor(u + b)::BIGINT - floor(u + a)::BIGINT) * size AS taken FROM e
 """
 
 
