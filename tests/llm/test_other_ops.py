@@ -111,11 +111,11 @@ def fingerprint_docs():
     return docs + [(200, None), (201, ""), (202, "é" * 10), (203, "a.\n" * 50), (1000, text(3)), (-5, text(9))]
 
 
-@pytest.mark.parametrize("spread", [256, 0])
-def test_fingerprints_match_brute_force(spark, monkeypatch, spread):
-    monkeypatch.setattr(fingerprints, "SPREAD", spread)  # without room, peeling gets stuck and is retried larger
+@pytest.mark.parametrize("rounds", [6, 3])
+def test_fingerprints_match_brute_force(spark, monkeypatch, rounds):
+    monkeypatch.setattr(fingerprints.peel, "__defaults__", (0, rounds))  # with fewer rounds more gets stuck, and some of it again
     docs = fingerprint_docs()
-    got = {r.doc_id: r for r in fingerprints.compare_with_edit_and_next(docs_frame(spark, [(i, t, "s") for i, t in docs])).collect()}
+    got = {r.doc_id: r for r in fingerprints.compare_with_edit_and_next(docs_frame(spark, [(i, t, "s") for i, t in docs]), retries=True).collect()}
     order = sorted(docs, reverse=True)
     like = lambda a, b: 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
     for k, (i, t) in enumerate(order):
@@ -126,6 +126,52 @@ def test_fingerprints_match_brute_force(spark, monkeypatch, spread):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edit.encode()).hexdigest())
         assert r.near_edited == pytest.approx(like(pieces(t), pieces(edit))) and r.near_next == pytest.approx(like(pieces(t), pieces(nxt)))
     assert got[200].fingerprint == got[201].fingerprint and len(got) == len(docs)
+    # at the default size both happen: a likeness from the fingerprints alone, and retries
+    assert 0 < sum(r.retried_next for r in got.values()) < len(got) and sum(r.retried_edited for r in got.values()) < len(got) / 2
+
+
+def test_likeness_is_told_from_the_fingerprints(spark):
+    """Subtracting and peeling the returned strings by hand gives the likeness that was returned."""
+    docs = [(i, "".join(f"line {(i + 1) * 100 + j} of some text\n" for j in range(12))) for i in range(8)]
+    said = {p for _, t in docs for n in range(1, len(t) + 1) for p in (t[:n].rsplit("\n", 1)[-1], t[n:].split("\n", 1)[0]) if p}
+    said |= {a + b for a in {t[: len(t) - len(t) // 3].rsplit("\n", 1)[-1] for _, t in docs} for b in {t.split("\n", 1)[0] for _, t in docs}}
+    k = F.xxhash64("p")
+    known = {r.k: r for r in spark.createDataFrame([(p,) for p in said], "p string").select(k.alias("k"), F.array(*(fingerprints._place(k, F.lit(t), F.lit(8), 0) for t in range(3))).alias("at"), fingerprints._check(k).alias("h")).collect()}
+
+    def cells(x):
+        n, size, rest = x.split("/")
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        out = {int(at): (int(c), signed(int(key, 16)), int(h, 16)) for at, c, key, h in (c.split(".") for c in rest.split())}
+        return int(n), int(size), out
+
+    told = 0
+    for r in fingerprints.compare_with_edit_and_next(docs_frame(spark, [(i, t, "s") for i, t in docs]), retries=True).collect():
+        (na, sa, a), (nb, sb, b) = cells(r.fingerprint), cells(r.edited_fingerprint)
+        assert na == 12 and sa == sb == 8 and sum(n for n, _, _ in a.values()) == 36
+        none = (0, 0, 0)
+        left = {at: [a.get(at, none)[0] - b.get(at, none)[0], a.get(at, none)[1] ^ b.get(at, none)[1]] for at in {*a, *b}}
+        found = set()
+        while pure := [(n, key) for n, key in left.values() if abs(n) == 1 and key in known]:
+            n, key = pure[0]
+            found.add(key)
+            for at in known[key]["at"]:
+                left[at] = [left[at][0] - n, left[at][1] ^ key]
+        if not r.retried_edited:
+            told += 1
+            assert not any(n or key for n, key in left.values()) and r.near_edited == pytest.approx(1 - len(found) / (na + nb))
+    assert told > 4
+
+
+def test_differing_digests(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(40):
+        both, one, two = ([rng.getrandbits(60) for _ in range(rng.choice([0, 1, 5, 60]))] for _ in range(3))
+        rows.append((None if i == 39 else i, both + one, both + two, sorted(one), sorted(two)))
+    df = spark.createDataFrame([r[:3] for r in rows] + [(100, None, None)], "id long, first array<bigint>, second array<bigint>")
+    for room, rounds in ((1.0, 6), (0.1, 6)):  # with little room most of them are retried
+        got = {r.id: (r.only_first, r.only_second) for r in fingerprints.differing_digests(df, ["id"], room, rounds).collect()}
+        assert got == {r[0]: (r[3], r[4]) for r in rows} | {100: ([], [])}
 
 
 def test_fingerprints_of_odd_tables(spark):

@@ -2,10 +2,10 @@
 
 A set is a sorted array of distinct 64-bit hashes with a 64-bit key. Sets a and b link when den * |intersection| >= num * |union|.
 
-A group of n sets (the sets that share a hot signature, or a group that sketches can't part) is compared with one representative first. Sets that
-aren't connected to it by then give further representatives, round by round and eight times as many each time, each compared with the whole group;
-what is connected to the first one in between needs no comparison of its own. So a group of near copies costs n comparisons for
-each round's representatives, not n * n; only sets that link to nothing are each compared with their whole group in the end, as they have to be.
+The sets of a hot signature are compared with each other by sketch in one block, up to `many` of them. A larger group of n sets, or one that sketches can't part, is compared
+with one representative first. Sets that aren't connected to it by then give further representatives, round by round and eight times as many each time, each
+compared with the whole group; what is connected to the first one in between needs no comparison of its own. So a large group of near copies costs n comparisons
+for each representative, not n * n; only sets that link to nothing are each compared with their whole group in the end, as they have to be.
 """
 
 from __future__ import annotations
@@ -83,6 +83,31 @@ class _Forest:
         return x != y
 
 
+def _folded(raw: list[bytes]) -> np.ndarray:
+    """Sketches, a row each, folded to the size of the smallest."""
+    size = min(map(len, raw))
+    return np.array([np.frombuffer(x if len(x) == size else _fold(x, size).to_bytes(size, "little"), dtype=np.uint64) for x in raw])
+
+
+def _whole_by_sketch(num: int, den: int):
+    """Rows (key, n, sketch) of one group to a spanning forest of the pairs that may link."""
+
+    def run(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        key, n, raw = (table.column(c).to_pylist() for c in ("key", "n", "sketch"))
+        order = sorted(range(len(key)), key=lambda i: (n[i], key[i]))
+        folded, size = _folded([raw[i] for i in order]), np.array([n[i] for i in order])
+        trees, out = _Forest(len(order)), []
+        for i in range(len(order) - 1):
+            others = slice(i + 1, int(np.searchsorted(size, size[i] * den // num, "right")))
+            apart = np.bitwise_count(folded[others] ^ folded[i]).sum(axis=1, dtype=np.int64)
+            for j in np.flatnonzero(apart <= differences(size[i], size[others], num, den)) + i + 1:
+                if trees.add(i, int(j)):
+                    out.append((key[order[i]], key[order[j]]))
+        return pa.Table.from_pylist([{"a": a, "b": b} for a, b in out], schema=_EDGES)
+
+    return run
+
+
 def _block_by_sketch(num: int, den: int):
     """Rows (role, key, n, sketch) of a block of representatives (role 0) and one of members (role 1) to a spanning forest of the pairs that may link."""
 
@@ -93,11 +118,10 @@ def _block_by_sketch(num: int, den: int):
         trees, out = _Forest(len(number)), []
         if not ones:
             return _EDGES.empty_table()
-        words = min(map(len, raw)) // 8
-        folded = lambda i: np.frombuffer(_fold(raw[i], 8 * words).to_bytes(8 * words, "little"), dtype=np.uint64)
-        others, size = np.array([folded(i) for i in ones]), np.array([n[i] for i in ones])
+        folded = _folded(raw)
+        others, size = folded[ones], np.array([n[i] for i in ones])
         for i in (i for i in range(len(key)) if role[i] == 0):
-            apart = np.bitwise_count(others ^ folded(i)).sum(axis=1, dtype=np.int64)
+            apart = np.bitwise_count(others ^ folded[i]).sum(axis=1, dtype=np.int64)
             for j in np.flatnonzero(apart <= differences(size, n[i], num, den)):
                 if key[ones[j]] != key[i] and trees.add(number[key[i]], number[key[ones[j]]]):
                     out.append((key[i], key[ones[j]]))
@@ -168,7 +192,7 @@ def _in_blocks(asks: DataFrame, members: DataFrame, values: DataFrame, few: int,
     return left.unionByName(right).join(values, "key").groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _resolved(edges: DataFrame, members: DataFrame, compare: Callable[[DataFrame], DataFrame], first: int = 8) -> DataFrame:
+def _resolved(edges: DataFrame, members: DataFrame, compare: Callable[[DataFrame], DataFrame], first: int) -> DataFrame:
     """edges (a, b), members (grp, key, hub) to components (node, component) of all links inside groups.
 
     compare: representatives (grp, key) to the edges between them and all members of their groups. A member that is in its hub's component is settled; of the
@@ -192,26 +216,32 @@ def _resolved(edges: DataFrame, members: DataFrame, compare: Callable[[DataFrame
 def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few: int = 256, many: int = 4096) -> DataFrame:
     """(node, component) of components that hold every link among the candidates.
 
-    found: rows of packed.candidates; nodes (key, n, sketch). Pairs that sketches rule out go. The sets of a hot signature are compared with
-    its least one, pairs that several signatures ask for once; what isn't connected to it then is compared in rounds.
+    found: rows of packed.candidates; nodes (key, n, sketch). Pairs that sketches rule out go. The sets of a hot signature are compared in one block if they are at most `many`;
+    else with the least one, pairs that several signatures ask for once, and what isn't connected to it then in rounds.
     """
     left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     hot = found.where("hot").select(F.col("a").alias("grp"), F.col("b").alias("key")).join(nodes.select("key"), "key", "left_semi")
-    hubs = hot.groupBy("grp").agg(F.min("key").alias("hub"))
+    sizes = checkpointed(hot.groupBy("grp").agg(F.min("key").alias("hub"), F.count("*").alias("size")))
+    values = nodes.select("key", F.col("n").cast("long").alias("n"), "sketch")
+    small = hot.join(sizes.where(F.col("size") <= many).select("grp"), "grp", "left_semi").join(values, "key")
+    warm = small.groupBy("grp").applyInArrow(_whole_by_sketch(num, den), "a long, b long")
+    hubs = sizes.where(F.col("size") > many).select("grp", "hub")
     stars = hot.join(hubs, "grp").where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b"), F.lit(True).alias("star"))
     pairs = found.where("not hot").select("a", "b", F.lit(False).alias("star")).unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
     told = pairs.join(left, "a").join(right, "b").where("sa is not null and sb is not null")
     told = checkpointed(told.mapInArrow(_by_sketch(num, den), "a long, b long, near boolean, star boolean").where("near or star"))
-    edges = told.where("near").select("a", "b")
+    edges = told.where("near").select("a", "b").unionByName(warm)
+    if not hubs.limit(1).count():
+        return connected_components(edges)
+    edges = checkpointed(edges)
     apart = told.where("star and not near").select(F.col("a").alias("hub"), F.col("b").alias("key"))
     if not apart.limit(1).count():
         return connected_components(edges)
     # signatures with the same least set, which near copies have many of, make one group
     open_groups = hubs.join(apart.select("hub").distinct(), "hub", "left_semi")
     members = checkpointed(hot.join(open_groups, "grp").select(F.col("hub").alias("grp"), "key", "hub").distinct())
-    values = nodes.select("key", F.col("n").cast("long").alias("n"), "sketch")
-    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.select("grp", "key"), values, few, many, _block_by_sketch(num, den)))
+    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.select("grp", "key"), values, few, many, _block_by_sketch(num, den)), few)
 
 
 def exact_groups(sets: DataFrame, num: int, den: int, few: int = 256, many: int = 512, *, decode: Decoder) -> DataFrame:
@@ -226,4 +256,4 @@ def exact_groups(sets: DataFrame, num: int, den: int, few: int = 256, many: int
     if not open_groups.limit(1).count():
         return connected_components(edges)
     members = checkpointed(sets.join(open_groups, "component", "left_semi").select(F.col("component").alias("grp"), "key", F.col("component").alias("hub")))
-    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.select("grp", "key"), sets.select("key", "payload"), few, many, _block_exactly(num, den, decode)))
+    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.select("grp", "key"), sets.select("key", "payload"), few, many, _block_exactly(num, den, decode)), few)
