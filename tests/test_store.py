@@ -5,11 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawl.__main__ import main
-from trawl.adapters import NodeStore, VectorStore
-from trawl.operators.search import Options
+from trawl.adapters import NodeStore, VectorStore, search_texts, search_texts_with_stats
+from trawl.operators.rerank import text_match
+from trawl.operators.search import ANY_TIME, Options
 from trawl.schema import DuplicateIdError, RecordError, Schema, with_defaults
 from trawl.sources.io import csv_records, from_arrays, read_csv, read_jsonl, write_jsonl
-from trawl.sources.store import ClosedError, Collection, Store, Validated
+from trawl.plans.explain import search_with_stats
+from trawl.sources.store import ClosedError, Collection, Store, Validated, open_store
 from trawl.streaming.ingest import apply_ops, start_ingest
 
 
@@ -89,7 +91,8 @@ def test_indexes_never_change_results(collection):
 
 
 def test_store_backup_and_handles(spark, tmp_path, collection):
-    store = Store(spark, str(tmp_path))
+    store = open_store(spark, str(tmp_path))
+    assert isinstance(store, Store)
     assert store.collections() == ["c"]
     store.create("d", 3, "l2")
     assert store.collections() == ["c", "d"] and store.open("d").metric == "euclidean" and store.open_or_create("d", 3, "dot").metric == "euclidean"
@@ -145,14 +148,140 @@ def test_streaming_equals_batch(spark, tmp_path, collection):
     assert got == want and collection.count(tests={"seen": True}) == 1
 
 
+LOG = [
+    (1, "upsert", "new", None), (2, "metadata", "new", '{"k":1,"n":null}'), (3, "metadata", "new", '{"k":2,"m":[1]}'), (4, "ttl", "new", None), (5, "metadata", "doc1", '{"a":1}'), (6, "delete", "doc1", None), (7, "metadata", "doc1", '{"b":2}'),
+    (8, "upsert", "doc1", None), (9, "metadata", "doc1", '{"c":3}'), (10, "ttl", "doc2", None), (11, "ttl", "doc2", None), (12, "metadata", "gone", '{"x":1}'), (13, "ttl", "gone", None), (14, "delete", "doc3", None), (15, "metadata", "doc2", '{"n":7}'),
+]
+
+
+def _state(df):
+    return sorted((r.id, list(r.vector), r.m, r.expires_at) for r in df.select("id", "vector", F.to_json("metadata").alias("m"), "expires_at").collect())
+
+
+@pytest.mark.parametrize("size", [1, 4, 15])
+def test_every_op_counts_however_the_log_is_cut(spark, collection, size):
+    ops = _ops(spark, *LOG).withColumn("expires_at", F.when((F.col("op") == "ttl") & (F.col("seq") != 11), F.col("seq") * 1e9))
+    for a in range(0, len(LOG), size):
+        collection.apply(ops.where(F.col("seq").between(a + 1, a + size)))
+    want = [("doc0", [1.0, 0.0], {"n": 0}, None), ("doc1", [8.0, 0.0], {"c": 3}, None), ("doc2", [1.0, 2.0], {"n": 7}, None), ("doc4", [1.0, 4.0], {"n": 4}, None), ("new", [1.0, 0.0], {"k": 2, "m": [1], "n": None}, 4e9)]
+    assert [(i, v, json.loads(m), x) for i, v, m, x in _state(collection.records())] == want
+    assert collection.apply(ops, ("s", 0)) and not collection.apply(ops, ("s", 0))  # a batch that is in already
+    assert len(collection.state["segments"]) == -(-15 // size) + 1
+    collection.compact(now=0)
+    assert [(i, v, json.loads(m), x) for i, v, m, x in _state(collection.records())] == want and collection.state["segments"] == []
+
+
+def test_two_writers(spark, collection):
+    other = Collection(spark, collection.path)
+    before = set(collection.files.list(f"{collection.path}/data"))
+    collection.upsert(rows(spark, ("mine", [1, 1], {})))
+    with pytest.raises(RecordError):
+        other.upsert(rows(spark, ("theirs", [2, 2], {})))
+    again = Collection(spark, collection.path)
+    assert again.get("mine") and not again.get("theirs") and len(set(collection.files.list(f"{collection.path}/data")) - before) == 1
+    again.upsert(rows(spark, ("theirs", [2, 2], {})))
+    assert len(Collection(spark, collection.path)) == 7
+
+
+def test_writes_touch_only_their_rows(spark, collection):
+    base, size = collection.state["base"], collection.stats()["base_bytes"]
+    collection.upsert(rows(spark, ("doc1", [7, 7], {})))
+    collection.set_ttl("doc2", 5, now=0)
+    collection.delete_by_filter({"n": 3})
+    assert collection.state["base"] == base and collection.stats()["base_bytes"] == size and collection.stats()["log_segments"] == 3
+    assert spark.read.parquet(*(f"{collection.path}/{x['folder']}" for x in collection.state["segments"])).count() == 3
+
+
+def test_last_row_of_a_batch_wins(spark, collection):
+    collection.upsert_many(rows(spark, ("a", [1, 1], {"n": 1}), ("b", [0, 1], {}), ("a", [2, 2], {"n": 2})).coalesce(1))
+    assert list(collection.get("a").vector) == [2.0, 2.0] and collection.count(tests={"n": 2}) == 2
+
+
+def test_expired_rows_are_hidden(spark, collection):
+    collection.set_ttl("doc0", 10, now=0)
+    collection.set_ttl("doc1", 1e12)
+    queries = spark.createDataFrame([("0", [1.0, 0.0])], "qid string, vector array<float>")
+    assert collection.get("doc0") is None and collection.count() == 4 and collection.search(queries, Options(k=9)).count() == 4 and collection.search(queries, Options(k=9, now=5.0)).count() == 5
+    assert collection.search(queries, Options(k=9, now=ANY_TIME)).count() == 5 and [r.id for r in collection.list(limit=2).collect()] == ["doc1", "doc2"]
+
+
+def test_payload_columns_prune(spark, tmp_path):
+    c = Collection.create(spark, str(tmp_path / "p"), 1)
+    c.bulk_ingest(rows(spark, *((f"{i:03}", [1], {"n": i, "s": f"k{i % 7}", "deep": {"x": i / 2}}) for i in range(200))))
+    tests = {"n": {"$gte": 10, "$lt": 30}, "$or": [{"s": "k1"}, {"s": {"$in": ["k2", "k3"]}}], "deep.x": {"$gt": 2}}
+    want = sorted(r.id for r in c.list(tests=tests).collect())
+    c.create_index("n", "numeric")
+    c.create_index("s", "string")
+    c.create_index("deep.x", "float")
+    plan = c.records(tests)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "GreaterThanOrEqual(ix0,10.0)" in plan and sorted(r.id for r in c.list(tests=tests).collect()) == want
+    c.update_metadata("150", {"n": 12, "s": "k1"})
+    c.update_metadata("011", {"n": 500})
+    got = sorted(r.id for r in c.list(tests=tests).collect())
+    assert "150" in got and "011" not in got and len(c.stats()["indexes"]) == 3
+
+
+def test_stored_text_index_and_inverted_file(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 8)).astype(np.float32)
+    c = Collection.create(spark, str(tmp_path / "s"), 8)
+    some = from_arrays(spark, [f"{i:03}" for i in range(400)], x).drop("sparse").withColumn("sparse", F.create_map(F.concat(F.lit("t"), F.col("id").cast("int") % 9), F.lit(0.5).cast("float")))
+    c.bulk_ingest(some)
+    queries = from_arrays(spark, ["007"], x[7:8]).select(F.col("id").alias("qid"), "vector", F.create_map(F.lit("t7"), F.lit(1.0).cast("float")).alias("sparse"))
+    before = [(r.id, r.score) for r in c.search(queries).orderBy("rank").collect()]
+    c.build_text_index()
+    assert c._text_index() is not None and [(r.id, r.score) for r in c.search(queries).orderBy("rank").collect()] == before
+    plain = queries.drop("sparse")
+    exact = [r.id for r in c.search(plain).orderBy("rank").collect()]
+    c.build_ann("high_recall")
+    assert len(set(exact) & {r.id for r in c.search(plain).collect()}) >= 8 and c.last_search["used_ann"] and c.tombstones() == {"indexed": 400, "tombstones": 0, "fresh": 0}
+    c.upsert(from_arrays(spark, ["new", "008"], np.stack([x[7], x[7]])))
+    c.delete([exact[1]])
+    top = [r.id for r in c.search(plain).orderBy("rank").collect()]
+    assert set(top[:3]) == {"007", "new", "008"} and exact[1] not in top and c._text_index() is None and c.tombstones()["fresh"] == 2
+    _, stats = search_with_stats(c, plain)
+    assert stats["used_ann"] and stats["ann_loaded_from_disk"] and stats["wal_entries_replayed"] == 2 and stats["considered_count"] == 400
+    few, stats = search_with_stats(c, plain, Options(filter={"none": 1}))
+    assert few == [] and stats["exact_fallback"]
+
+
+def test_token_index(spark, tmp_path):
+    c = Collection.create(spark, str(tmp_path / "t"), 2)
+    for i in range(3):
+        c.upsert_multi_vectors(f"d{i}", [1, 0], {"words": [[float(i), 1.0, -1.0], [0.5, float(i), 2.0]]})
+    queries = spark.createDataFrame([("0", [[2.0, 1.0, -1.0]])], "qid string, tokens array<array<float>>")
+    exact = [(r.id, round(r.score, 6)) for r in c.search_multi_vector(queries, "words").orderBy("rank").collect()]
+    c.build_token_index("words")
+    assert [(r.id, round(r.score, 6)) for r in c.search_multi_vector(queries, "words").orderBy("rank").collect()] == exact and exact[0][0] == "d2"
+    with pytest.raises(RecordError):
+        c.search_multi_vector(queries, "")
+    with pytest.raises(RecordError):
+        c.search_multi_vector(queries.withColumn("tokens", F.array().cast("array<array<float>>")), "words")
+
+
+def test_json_transactions_and_threads(spark, collection):
+    ops = [{"op": "upsert", "id": "a", "vector": [1, 1], "metadata": {"n": 50}, "ttl": 1000}, {"op": "update_metadata", "id": "a", "patch": {"m": 1}}, {"op": "delete", "id": "doc0"}, {"op": "set_ttl", "id": "doc1", "ttl": None}, {"op": "insert", "namespace": "o", "id": "b", "vector": [0, 1]}]
+    assert collection.transaction_execute(json.dumps(ops), now=1e9) == 5 and collection.count(tests={"m": 1, "n": 50}, now=1e9) == 1 and collection.count(now=2e9) == 5 and len(collection.state["segments"]) == 1
+    with pytest.raises(RecordError):
+        collection.transaction_execute([{"op": "melt", "id": "a"}])
+    with pytest.raises(DuplicateIdError):
+        collection.transaction_execute([{"op": "insert", "id": "doc1", "vector": [1, 1]}])
+    queries = spark.createDataFrame([("0", [1.0, 0.0])], "qid string, vector array<float>")
+    both = [collection.search_async(queries, Options(k=2)) for _ in range(2)]
+    assert both[0].result(60) == both[1].result(60) and len(both[0].result()) == 2 and collection.run_async(collection.flush).result(60) >= 0
+
+
 def test_adapters(spark, tmp_path):
-    embed = lambda ts: [[1.0, float("auth" in t)] for t in ts]
-    store = VectorStore.from_texts(["auth guide", "billing"], embed, Collection.create(spark, str(tmp_path / "v"), 2), [{"n": 1}, {"n": 2}])
-    top = store.similarity_search_with_score("auth", k=1)
-    assert top[0][0]["text"] == "auth guide" and top[0][0]["metadata"] == {"n": 1} and store.similarity_search_by_vector([1.0, 0.0], k=1)[0]["text"] == "billing"
+    embed = lambda ts: [[1.0, float("harbour" in t)] for t in ts]
+    store = VectorStore.from_texts(["harbour map", "old ledger"], embed, Collection.create(spark, str(tmp_path / "v"), 2), [{"n": 1}, {"n": 2}])
+    top = store.similarity_search_with_score("harbour", k=1)
+    assert top[0][0]["text"] == "harbour map" and top[0][0]["metadata"] == {"n": 1} and store.similarity_search_by_vector([1.0, 0.0], k=1)[0]["text"] == "old ledger"
     nodes = NodeStore(Collection.create(spark, str(tmp_path / "n"), 2))
-    nodes.add([{"id": "a", "text": "x", "vector": [1.0, 0.0]}, {"id": "b", "text": "y", "vector": [0.0, 1.0]}])
-    assert nodes.query([0.0, 1.0], 1)[0][0] == "b" and nodes.delete("b") == 1
+    nodes.add([{"id": "a", "text": "x", "vector": [1.0, 0.0]}, {"id": "b", "text": "x", "vector": [0.0, 1.0]}])
+    assert nodes.query([0.0, 1.0], 1)[0][0] == "b" and nodes.query([1.0, 0.0], 1)[0][0] == "a" and nodes.delete("b") == 1
+    found, stats = search_texts_with_stats(store.collection, ["harbour map"], embed, Options(k=2), rerank=text_match(), rerank_k=1)
+    assert [r.id for r in found] == [top[0][0]["id"]] and found[0].rerank_score > found[0].score and stats["rerank_applied"] and stats["rerank_count"] == 1 and stats["sparse_candidate_count"] == 1
+    assert search_texts(store.collection, ["harbour map"], embed, Options(k=2), rerank=text_match()).count() == 2
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -180,7 +309,15 @@ def test_quantized_collection_and_arrays(spark, tmp_path):
         c.enable_quantization(method, 20)
         assert [(r.qid, r.id) for r in c.search(queries, Options(k=5)).orderBy("qid", "rank").collect()] == exact
     c.backup(str(tmp_path / "q2"))
-    assert Collection(spark, str(tmp_path / "q2")).quantization == {"method": "product", "multiplier": 20}
+    assert Collection(spark, str(tmp_path / "q2")).quantization_config() == {"method": "product", "multiplier": 20, "stale": None} and c.quantization_config()["stale"] == 0
+    # codes serve later versions too: rows written since are searched exactly, replaced ones don't count
+    c.upsert(from_arrays(spark, ["new", "9"], np.stack([x[7], -x[7]])))
+    c.delete(["8"])
+    assert c.quantization_config()["stale"] == 2
+    top = c.search(queries.limit(1), Options(k=5)).orderBy("rank").collect()
+    assert {top[0].id, top[1].id} == {"7", "new"} and not {"8", "9"} & {r.id for r in top}
+    c.compact()
+    assert c.quantization_config() == {"method": "product", "multiplier": 20, "stale": 0} and c.is_quantized() and c.valid_parts() == [1, 2, 4, 8]
     assert {int(r.id) % 2 for r in c.search(queries, Options(k=5, filter={"even": True})).collect()} == {0}
     assert c.disable_quantization() and not c.disable_quantization()
     with pytest.raises(RecordError):

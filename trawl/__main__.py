@@ -47,9 +47,9 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "count":
         print(c.count(a.namespace, tests))
     elif a.command == "list":
-        _shown(c.list(a.namespace, tests, a.limit, a.offset).select("namespace", "id", F.to_json("metadata").alias("m")).collect())
+        _shown(c.list(a.namespace, tests, a.limit, a.offset).select("namespace", "id", F.to_json("metadata").alias("m")).toLocalIterator())
     elif a.command == "get":
-        _shown(c.records().where((F.col("namespace") == ns) & F.col("id").isin(a.rest)).select("namespace", "id", F.to_json("metadata").alias("m")).collect())
+        _shown(c.list().where((F.col("namespace") == ns) & F.col("id").isin(a.rest)).select("namespace", "id", F.to_json("metadata").alias("m")).collect())
     elif a.command == "insert":
         row = [(a.rest[0], [float(x) for x in json.loads(a.query)], a.metadata)]
         c.insert(spark.createDataFrame(row, "id string, vector array<float>, metadata string"), ns)

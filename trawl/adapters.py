@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from .functions.text import sparse_terms
+from .operators.rerank import Reranker
 from .operators.search import Options
+from .plans.explain import search_with_stats
 from .sources.store import Collection
 
 Embed = Callable[[list[str]], list[list[float]]]
@@ -27,13 +29,35 @@ def upsert_texts(collection: Collection, texts: list[str], embed: Embed, ids: li
     return ids
 
 
-def search_texts(collection: Collection, texts: list[str], embed: Embed, options: Options | None = None, hybrid: bool = True):
-    """queries by their number as qid."""
+def _asked(collection: Collection, texts: list[str], embed: Embed, hybrid: bool):
     rows = [(str(i), t, [float(x) for x in v]) for i, (t, v) in enumerate(zip(texts, embed(texts), strict=True))]
     queries = collection.spark.createDataFrame(rows, "qid string, text string, vector array<float>")
     if hybrid:
         queries = queries.withColumn("sparse", sparse_terms(F.col("text")))
-    return collection.search(queries.drop("text"), options or Options())
+    return queries
+
+
+def _reranked(collection: Collection, found, queries, rerank: Reranker):
+    """found with the stored text, title and metadata and each query's text as `query`, for a reranker."""
+    kept = collection.records().select("namespace", "id", *(F.try_variant_get("metadata", f"$.{n}", "string").alias(n) for n in ("text", "title")), "metadata")
+    said = queries.select("qid", F.col("text").alias("query"))
+    return rerank(found.join(kept, ["namespace", "id"]).join(said, "qid"))
+
+
+def search_texts(collection: Collection, texts: list[str], embed: Embed, options: Options | None = None, hybrid: bool = True, rerank: Reranker | None = None, rerank_k: int = 0):
+    """queries by their number as qid. rerank: over the first rerank_k results of each query (0: all)."""
+    queries = _asked(collection, texts, embed, hybrid)
+    found = collection.search(queries.drop("text"), options or Options())
+    if rerank is None:
+        return found
+    return _reranked(collection, found.where(F.col("rank") <= rerank_k) if rerank_k else found, queries, rerank)
+
+
+def search_texts_with_stats(collection: Collection, texts: list[str], embed: Embed, options: Options | None = None, hybrid: bool = True, rerank: Reranker | None = None, rerank_k: int = 0) -> tuple[list, dict]:
+    """The collected results of search_texts, and the statistics of the search."""
+    queries = _asked(collection, texts, embed, hybrid)
+    whole = (lambda df: _reranked(collection, df, queries, rerank)) if rerank is not None else None
+    return search_with_stats(collection, queries.drop("text"), options, whole, rerank_k)
 
 
 class VectorStore:
@@ -88,8 +112,8 @@ class NodeStore:
         self.collection, self.namespace = collection, namespace
 
     def add(self, nodes: list[dict]) -> list[str]:
-        by_text = {n["text"]: n["vector"] for n in nodes}
-        return upsert_texts(self.collection, [n["text"] for n in nodes], lambda ts: [by_text[t] for t in ts], [n["id"] for n in nodes], [n.get("metadata", {}) for n in nodes], self.namespace)
+        vectors = [n["vector"] for n in nodes]  # by position, as texts may be equal
+        return upsert_texts(self.collection, [n["text"] for n in nodes], lambda _: vectors, [n["id"] for n in nodes], [n.get("metadata", {}) for n in nodes], self.namespace)
 
     def query(self, vector: list[float], k: int = 4, filter: dict | None = None) -> list[tuple[str, float]]:
         queries = self.collection.spark.createDataFrame([("0", [float(x) for x in vector])], "qid string, vector array<float>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -24,9 +25,13 @@ def tokens(text: Column, unicode: bool = False) -> Column:
 
 
 def frequencies(words: Column) -> Column:
-    """An array of tokens to a map of their shares."""
-    n = F.size(words).cast("double")
-    return F.map_from_entries(F.transform(F.array_distinct(words), lambda t: F.struct(t, (F.size(F.filter(words, lambda w: w == t)) / n).cast("float"))))
+    """An array of tokens to a map of their shares, in one pass over it; term_counts is the form for shares as rows."""
+
+    @F.pandas_udf("map<string,float>")
+    def shares(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ts: {} if ts is None else {t: n / len(ts) for t, n in Counter(ts).items()})
+
+    return shares(words)
 
 
 def sparse_terms(text: Column, unicode: bool = False) -> Column:
@@ -112,11 +117,14 @@ def embedder(embed: Callable[[list[str]], np.ndarray]) -> Callable[[Column], Col
 def hashing_embedder(dimension: int) -> Callable[[Column], Column]:
     """A deterministic embedder without a model: signed hashed token counts of unit length."""
 
-    def apply(text: Column) -> Column:
-        hashed = F.transform(tokens(text), lambda t: F.xxhash64(t))
-        at = lambda i: F.aggregate(F.filter(hashed, lambda h: F.pmod(h, F.lit(dimension)) == i), F.lit(0.0), lambda s, h: s + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), at)
-        size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(raw, lambda x: F.when(size == 0, F.lit(0.0)).otherwise(x / size).cast("float"))
-
-    return apply
+    @F.pandas_udf("array<float>")
+    def summed(hashes: pd.Series) -> pd.Series:
+        out = []
+        for own in hashes:
+            h = np.asarray(own, dtype=np.int64)
+            raw = np.bincount(h % dimension, weights=np.where((h >> 32) % 2 == 0, 1.0, -1.0), minlength=dimension) if len(h) else np.zeros(dimension)
+            size = np.linalg.norm(raw)
+            out.append((raw / size if size else raw).astype(np.float32))
+        return pd.Series(out)
+
+    return lambda text: summed(F.transform(tokens(text), lambda t: F.xxhash64(t)))

@@ -1,21 +1,26 @@
-"""The dense kernel: block products of record vectors with a batch of queries, in Arrow batches, and exact top-k.
+"""The blocked kernels: products of a batch of records with a block of queries, in Arrow batches, exact top-k, and ranks by counting.
 
 Predicates are applied before. Queries are read in blocks of at most QUERY_BYTES, so what a task gets has a fixed bound; records are scanned once for each block.
+A kernel's scorer turns a column of payloads (vectors, token vectors, codes) and a block of queries into a rows x queries array.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import metric_name
+from ..schema import RecordError
 
 QUERY_BYTES = 32 << 20
 ROWS = 8192
+Scorer = Callable[[pa.Array], np.ndarray]
 
 
 def scores(metric: str, records: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -32,49 +37,108 @@ def scores(metric: str, records: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.Array, dim: int | None) -> np.ndarray:
+def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
     return x[:, :dim] if dim else x
 
 
-def _kernel(shared, metric: str, dim: int | None, k: int | None):
+def vector_scorer(metric: str, queries: list, dim: int | None) -> Scorer:
+    q = np.array([v[:dim] if dim else v for v in queries], dtype=np.float64)
+
+    def score(column: pa.Array) -> np.ndarray:
+        x = matrix(column, dim)
+        if x.shape[1] != q.shape[1]:
+            raise RecordError(f"stored vectors have {x.shape[1]} elements, queries {q.shape[1]}")
+        return scores(metric, x, q)
+
+    return score
+
+
+def token_scorer(metric: str, queries: list) -> Scorer:
+    """Late interaction: the sum over query tokens of the best score over stored tokens; 0 if either has none."""
+    sizes = np.array([len(t) for t in queries])
+    some = np.flatnonzero(sizes)
+    q = np.array([v for t in queries for v in t], dtype=np.float64)
+    starts = (np.cumsum(sizes) - sizes)[some]
+
+    def score(column: pa.Array) -> np.ndarray:
+        n = column.value_lengths().to_numpy(zero_copy_only=False)
+        out, held = np.zeros((len(column), len(queries))), np.flatnonzero(n)
+        if len(held) and len(some):
+            each = scores(metric, matrix(column.flatten()), q)
+            best = np.maximum.reduceat(each, (np.cumsum(n) - n)[held], axis=0)
+            out[np.ix_(held, some)] = np.add.reduceat(best, starts, axis=1)
+        return out
+
+    return score
+
+
+def _emitted(make, k: int | None, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, queries = shared.value
+        qids, scorer, floor = make()
         for whole in batches:
             for a in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(a, ROWS)
-                s = scores(metric, _matrix(batch.column(2), dim), queries)
+                s = scorer(batch.column(2))
                 if k is not None and k < len(s):  # rows that tie with the last place stay
                     least = np.partition(s, len(s) - k, axis=0)[len(s) - k]
                     row, q = np.nonzero(s >= least)
+                elif floor is not None:
+                    row, q = np.nonzero(s >= floor)
                 else:
                     row, q = (x.ravel() for x in np.indices(s.shape))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(qids, dtype=object)[q], pa.string()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(s[row, q])], names=["qid", "namespace", "id", "dense"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(qids, dtype=object)[q], pa.string()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(s[row, q].astype(np.float64))], names=["qid", "namespace", "id", name])
 
     return run
 
 
-def dense_scores(records: DataFrame, queries: DataFrame, metric: str, dim: int | None = None, k: int | None = None) -> DataFrame:
+def _blocks(asked: DataFrame, width: int) -> Iterator[list]:
+    """The rows of asked (qid, ...), in blocks of at most QUERY_BYTES of `width` bytes each."""
+    n = asked.count()
+    blocks = max(1, -(-n * width // QUERY_BYTES))
+    for i in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow().to_pylist()
+        if some:
+            yield some
+
+
+def payload_scores(records: DataFrame, asked: DataFrame, width: int, scorer: Callable[[list], Scorer], k: int | None = None, name: str = "score", floors: dict[str, float] | None = None) -> DataFrame:
+    """records (namespace, id, payload), asked (qid, payload of some `width` bytes) to (qid, namespace, id, name).
+
+    scorer: a block's payloads to its Scorer, made once in each task. All pairs; with k those that may be among the k best of each query; with floors (qid to a score) those
+    that reach them.
+    """
+    spark, out = records.sparkSession, None
+    schema = f"qid string, namespace string, id string, {name} double"
+    for some in _blocks(asked, width):
+        shared = spark.sparkContext.broadcast((some, floors))
+
+        def make(shared=shared):
+            rows, floors = shared.value
+            floor = np.array([floors.get(r["qid"], -np.inf) for r in rows]) if floors is not None else None
+            return [r["qid"] for r in rows], scorer([r["payload"] for r in rows]), floor
+
+        part = records.mapInArrow(_emitted(make, k, name), schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def _vectors_of(queries: DataFrame) -> tuple[DataFrame, int]:
+    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("vector").alias("payload")).where("payload is not null")
+    return asked, 8 * (asked.agg(F.max(F.size("payload"))).first()[0] or 1)
+
+
+def dense_scores(records: DataFrame, queries: DataFrame, metric: str, dim: int | None = None, k: int | None = None, floors: dict[str, float] | None = None) -> DataFrame:
     """records (namespace, id, vector), queries (qid string, vector) to (qid, namespace, id, dense).
 
-    All pairs, or with k those that may be among the k best of each query. dim: only so many elements are compared. Null vectors have no scores.
+    All pairs, or with k those that may be among the k best of each query, or with floors those that reach them. dim: only so many elements are compared. Null vectors
+    have no scores.
     """
     metric = metric_name(metric)
     rows = records.select("namespace", "id", "vector").where("vector is not null")
-    asked = queries.select(F.col("qid").cast("string").alias("qid"), "vector").where("vector is not null")
-    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    blocks = max(1, -(-n * width * 8 // QUERY_BYTES))
-    out = None
-    for i in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow().to_pydict()
-        vectors = np.array([v[:dim] if dim else v for v in some["vector"]], dtype=np.float64)
-        if not len(vectors):
-            continue
-        shared = records.sparkSession.sparkContext.broadcast((some["qid"], vectors))
-        part = rows.mapInArrow(_kernel(shared, metric, dim, k), "qid string, namespace string, id string, dense double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else records.sparkSession.createDataFrame([], "qid string, namespace string, id string, dense double")
+    asked, width = _vectors_of(queries)
+    return payload_scores(rows, asked, width, lambda vs: vector_scorer(metric, vs, dim), k, "dense", floors)
 
 
 def ranked(df: DataFrame, by: str, k: int | None, per: str = "qid", name: str = "rank") -> DataFrame:
@@ -82,3 +146,115 @@ def ranked(df: DataFrame, by: str, k: int | None, per: str = "qid", name: str =
     order = Window.partitionBy(per).orderBy(F.col(by).desc(), F.col("namespace"), F.col("id"))
     df = df.withColumn(name, F.row_number().over(order).cast("long"))
     return df if k is None else df.where(F.col(name) <= k)
+
+
+# ---- ranks by counting
+
+
+#: Scores count as equal that agree in so many digits, as sums in different orders differ in the last ones.
+DIGITS = 11
+
+
+class _Places:
+    """A query's candidates in order of rank; before() tells how many rows of a batch come at or before which of them."""
+
+    def __init__(self, candidates: list[tuple[float, str, str]]):
+        self.order = sorted((-round(s, DIGITS), ns, i) for s, ns, i in candidates)
+        self.values = np.array([s for s, _, _ in self.order])
+        self.place = {(ns, i): at for at, (_, ns, i) in enumerate(self.order)}
+        self.ids = pa.array([i for _, _, i in self.order], pa.string())
+
+    def before(self, score: np.ndarray, namespace: pa.Array, id: pa.Array) -> np.ndarray:
+        """Of the rows with a score above 0, how many come after the candidate before and not after each candidate, which counts itself."""
+        score = np.round(score, DIGITS)
+        low = np.searchsorted(self.values, -score, "left")
+        counts = score > 0
+        tied = (np.searchsorted(self.values, -score, "right") > low) & counts
+        own = pc.is_in(id, self.ids).to_numpy(zero_copy_only=False)
+        for r in np.flatnonzero(tied | own):  # a candidate, or a score that one has too: by namespace and id
+            key = (namespace[int(r)].as_py(), id[int(r)].as_py())
+            if key in self.place:
+                low[r], counts[r] = self.place[key], self.values[self.place[key]] < 0
+            elif tied[r]:
+                low[r] = bisect_left(self.order, (-score[r], *key))
+        return np.bincount(low[counts], minlength=len(self.order) + 1)[: len(self.order)]
+
+
+def _counted(places: dict[str, _Places], qids: list[str], score_of: Callable[[pa.RecordBatch], np.ndarray]):
+    """Counts of one task: (qid, place, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {q: np.zeros(len(places[q].order), dtype=np.int64) for q in qids if q in places}
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(a, ROWS)
+                s = score_of(batch)
+                for j, q in enumerate(qids):
+                    if q in total:
+                        total[q] += places[q].before(s[:, j], batch.column(0), batch.column(1))
+        rows = [(q, i, int(n)) for q, counts in total.items() for i, n in enumerate(counts) if n]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["qid", "place", "n"])
+
+    return run
+
+
+_COUNTS = "qid string, place bigint, n bigint"
+
+
+def _ranks(spark, counts: DataFrame, candidates: dict[str, list], name: str) -> DataFrame:
+    """The rank of each candidate with a score above 0: how many rows come at or before its place."""
+    found: dict[str, dict[int, int]] = {}
+    for r in counts.groupBy("qid", "place").agg(F.sum("n").alias("n")).collect():
+        found.setdefault(r.qid, {})[r.place] = r.n
+    out = []
+    for q, rows in candidates.items():
+        seen = 0
+        for i, (s, ns, key) in enumerate(_Places(rows).order):
+            seen += found.get(q, {}).get(i, 0)
+            if s < 0:
+                out.append((q, ns, key, seen))
+    return spark.createDataFrame(out, f"qid string, namespace string, id string, {name} bigint")
+
+
+def dense_ranks(records: DataFrame, queries: DataFrame, metric: str, dim: int | None, candidates: dict[str, list], name: str = "dense_rank") -> DataFrame:
+    """The ranks, among the positive scores of all records, of some candidates of each query (qid to (score, namespace, id)); a scan that counts, without a shuffle of scores."""
+    metric = metric_name(metric)
+    rows = records.select("namespace", "id", "vector").where("vector is not null")
+    asked, width = _vectors_of(queries)
+    spark, counts = records.sparkSession, None
+    for some in _blocks(asked, width + 64 * max(map(len, candidates.values()), default=0)):
+        own = {r["qid"]: candidates[r["qid"]] for r in some if r["qid"] in candidates}
+        shared = spark.sparkContext.broadcast((some, own))
+
+        def run(batches, shared=shared):
+            asked, own = shared.value
+            scorer = vector_scorer(metric, [r["payload"] for r in asked], dim)
+            return _counted({q: _Places(c) for q, c in own.items()}, [r["qid"] for r in asked], lambda b: scorer(b.column(2)))(batches)
+
+        part = rows.mapInArrow(run, _COUNTS)
+        counts = part if counts is None else counts.unionByName(part)
+    return _ranks(spark, counts if counts is not None else spark.createDataFrame([], _COUNTS), candidates, name)
+
+
+def score_ranks(scored: DataFrame, column: str, candidates: dict[str, list], name: str) -> DataFrame:
+    """As dense_ranks, for scores that are rows already: scored (qid, namespace, id, column)."""
+    spark = scored.sparkSession
+    shared = spark.sparkContext.broadcast(candidates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = {q: _Places(c) for q, c in shared.value.items()}
+        total = {q: np.zeros(len(p.order), dtype=np.int64) for q, p in places.items()}
+        for batch in batches:
+            qid = np.array(batch.column(0).to_pylist(), dtype=object)
+            order = np.argsort(qid, kind="stable")
+            first = np.flatnonzero(np.append(True, qid[order][1:] != qid[order][:-1])) if len(qid) else []
+            for a, b in zip(first, [*first[1:], len(qid)], strict=True):
+                if (q := qid[order[a]]) in places:
+                    at = pa.array(order[a:b])
+                    part = batch.take(at)
+                    total[q] += places[q].before(part.column(3).to_numpy(zero_copy_only=False), part.column(1), part.column(2))
+        rows = [(q, i, int(n)) for q, counts in total.items() for i, n in enumerate(counts) if n]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["qid", "place", "n"])
+
+    counts = scored.select("qid", "namespace", "id", F.col(column).cast("double").alias("s")).mapInArrow(run, _COUNTS)
+    return _ranks(spark, counts, candidates, name)

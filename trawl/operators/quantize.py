@@ -1,18 +1,26 @@
-"""Two-stage retrieval over quantized vectors: scalar, binary, product and two-bit codes; approximate candidates, exact rescoring."""
+"""Two-stage retrieval over quantized vectors: scalar, binary, product and two-bit codes; approximate candidates, exact rescoring.
+
+A Codec is fitted on records, encodes vectors to bytes and scores stored bytes against queries in the blocked kernel, so a search over stored codes reads no floats but those of its candidates.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import base64
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dense import dense_scores, ranked, scores
+from .dense import Scorer, matrix, payload_scores, ranked, scores
 
 METHODS = {"scalar": "scalar", "int8": "scalar", "binary": "binary", "product": "product", "pq": "product", "two_bit": "two_bit", "twobit": "two_bit"}
 PQ_ROUNDS, PQ_SAMPLE = 20, 65_536
+#: Candidates for each wanted row, where none are asked for: coarser codes need more.
+MULTIPLIERS = {"scalar": 10, "product": 10, "binary": 20, "two_bit": 20}
 
 
 def method_name(name: str) -> str:
@@ -66,14 +74,54 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
 
 
-def two_bit_boundaries(elements: DataFrame) -> DataFrame:
-    """elements (dim, v) to (dim, q1, q2, q3): the order statistics at n/4, n/2 and 3n/4, not interpolated; exact, by rank within each dimension."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("dim").orderBy("v")
-    rows = elements.withColumns({"at": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("dim"))})
-    pick = lambda k: F.max(F.when(F.col("at") == F.least(F.floor(F.col("n") * k / 4), F.col("n") - 1), F.col("v")))
-    return rows.groupBy("dim").agg(pick(1).alias("q1"), pick(2).alias("q2"), pick(3).alias("q3"))
+_HALF = pa.schema([("dim", pa.int32()), ("bin", pa.int64()), ("n", pa.int64())])
+
+
+def _histogram(kept: dict[int, np.ndarray] | None):
+    """Counts of a task by dimension and by the high half of a sortable form of each float, or, for the high halves of `kept`, by all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(0)).astype(np.float32)
+            bits = x.view(np.uint32)
+            keys = np.where(bits >> 31 == 1, ~bits, bits | np.uint32(1 << 31)).astype(np.int64)
+            for d in range(x.shape[1]):
+                own = keys[:, d]
+                own = own >> 16 if kept is None else own[np.isin(own >> 16, kept[d])]
+                bins, n = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), d, dtype=np.int32)), pa.array(bins), pa.array(n)], schema=_HALF)
+
+    return run
+
+
+def two_bit_boundaries(records: DataFrame) -> DataFrame:
+    """records (vector) to (dim, q1, q2, q3): each dimension's order statistics at n/4, n/2 and 3n/4, not interpolated.
+
+    Exact, by two passes that count: the first by the upper 16 bits of each float, of which there are 65,536, the second by all of it where a wanted one lies.
+    """
+    rows = records.select("vector").where("vector is not null")
+    schema = "dim int, bin bigint, n bigint"
+    counted = lambda kept: rows.mapInArrow(_histogram(kept), schema).groupBy("dim", "bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    coarse, kept, before = counted(None), {}, {}
+    for d, part in coarse.groupby("dim"):
+        part = part.sort_values("bin")
+        ends, bins = part["n"].cumsum().to_numpy(), part["bin"].to_numpy()
+        n = int(ends[-1])
+        want = [min(n * k // 4, n - 1) for k in (1, 2, 3)]
+        at = [int(np.searchsorted(ends, w, "right")) for w in want]
+        kept[int(d)], before[int(d)] = np.unique(bins[at]), [(w - (int(ends[i - 1]) if i else 0), int(bins[i])) for w, i in zip(want, at, strict=True)]
+    out = []
+    if kept:
+        for d, part in counted(kept).groupby("dim"):
+            part = part.sort_values("bin")
+            values = []
+            for rank, high in before[int(d)]:
+                own = part[part["bin"].to_numpy() >> 16 == high]
+                key = int(own["bin"].to_numpy()[int(np.searchsorted(own["n"].cumsum().to_numpy(), rank, "right"))])
+                bits = key & 0x7FFFFFFF if key >> 31 else ~key & 0xFFFFFFFF
+                values.append(float(np.array([bits], dtype=np.uint32).view(np.float32)[0]))
+            out.append((int(d), *values))
+    return records.sparkSession.createDataFrame(out, "dim int, q1 double, q2 double, q3 double")
 
 
 def two_bit_levels(boundaries: DataFrame, vector: Column) -> Column:
@@ -130,9 +178,15 @@ class ProductQuantizer:
         return ((self.codebooks - np.asarray(query, dtype=np.float64).reshape(m, 1, width)) ** 2).sum(axis=2)
 
 
+def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centroids, as |x|^2 - 2xc + |c|^2."""
+    return (x**2).sum(axis=1)[:, None] - 2 * (x @ centroids.T) + (centroids**2).sum(axis=1)[None, :]
+
+
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """The first of the nearest centroids of each row."""
-    return np.concatenate([((x[a : a + 4096, None, :] - centroids[None]) ** 2).sum(axis=2).argmin(axis=1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, dtype=np.int64)
+    """The first of the nearest centroids of each row, in blocks of some 32 MB."""
+    step = max(1, (4 << 20) // max(1, len(centroids)))
+    return np.concatenate([distances(x[a : a + step], centroids).argmin(axis=1) for a in range(0, len(x), step)]) if len(x) else np.zeros(0, dtype=np.int64)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -156,48 +210,150 @@ def rescored(records: DataFrame, candidates: DataFrame, queries: DataFrame, metr
     return ranked(joined.select("qid", "namespace", "id", metrics.score(metric, F.col("vector"), F.col("qv")).alias("score")), "score", k).select("qid", "rank", "namespace", "id", "score")
 
 
-def search_quantized(records: DataFrame, queries: DataFrame, method: str, k: int = 10, metric: str = "cosine", multiplier: int = 10, quantizer: ProductQuantizer | None = None) -> DataFrame:
-    """The k best of the candidates that the codes rank best, with exact scores: (qid, rank, namespace, id, score)."""
+@dataclass
+class Codec:
+    """A method and what was fitted for it: arrays by name, a few numbers for each dimension or codebook entry."""
+
+    method: str
+    fitted: dict[str, np.ndarray] = field(default_factory=dict)
+
+    @classmethod
+    def fit(cls, records: DataFrame, method: str, parts: int | None = None, centroids: int = 256) -> Codec:
+        """records (vector, ...); the product method learns from a bounded sample, the others from all rows."""
+        method = method_name(method)
+        if method == "product":
+            return cls(method, {"codebooks": ProductQuantizer.train(records, parts, centroids).codebooks})
+        rows = (calibrate_scalar(records) if method == "scalar" else two_bit_boundaries(records)).orderBy("dim").collect() if method != "binary" else []
+        names = {"scalar": ("low", "scale"), "two_bit": ("q1", "q2", "q3"), "binary": ()}[method]
+        return cls(method, {n: np.array([r[n] for r in rows]) for n in names})
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        """A row of bytes for each vector."""
+        x, f = x.astype(np.float64), self.fitted
+        if self.method == "binary":
+            return np.packbits(x > 0, axis=1, bitorder="little")
+        if self.method == "product":
+            return ProductQuantizer(f["codebooks"]).encode(x).astype(np.uint8)
+        if self.method == "two_bit":
+            return ((x > f["q1"]).astype(np.uint8) + (x > f["q2"]) + (x > f["q3"])).astype(np.uint8)
+        scaled = np.clip((x - f["low"]) * f["scale"], 0, 255)
+        return np.where(f["scale"] == 0, 128, scaled).astype(np.uint8)
+
+    def scorer(self, metric: str, queries: list) -> Scorer:
+        """Approximate scores of stored codes; the order is what counts."""
+        q, f = np.array(queries, dtype=np.float64), self.fitted
+        raw = lambda column: np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+        if self.method == "binary":
+            signs = np.where(q > 0, 1.0, -1.0).astype(np.float32)
+            return lambda column: (2.0 * np.unpackbits(raw(column), axis=1, count=q.shape[1], bitorder="little").astype(np.float32) - 1) @ signs.T
+        if self.method == "two_bit":
+            levels = self.encode(q).astype(np.float32)
+            return lambda column: (raw(column).astype(np.float32) @ levels.T).astype(np.float64)
+        if self.method == "scalar":
+            safe = np.where(f["scale"] == 0, 1.0, f["scale"])
+            back = lambda codes: np.where(f["scale"] == 0, f["low"], f["low"] + codes / safe).astype(np.float32)
+            return lambda column: scores(metric, back(raw(column)), q)
+        tables = np.stack([ProductQuantizer(f["codebooks"]).distances(v) for v in q])  # queries x parts x centroids
+
+        def looked_up(column: pa.Array) -> np.ndarray:
+            codes = raw(column)
+            return 0.0 - sum(tables[:, j, :][:, codes[:, j]] for j in range(codes.shape[1])).T
+
+        return looked_up
+
+    def codes(self, records: DataFrame, column: str = "vector") -> DataFrame:
+        """records (namespace, id, vector) to (namespace, id, code binary)."""
+
+        @F.pandas_udf("binary")
+        def encoded(vectors: pd.Series) -> pd.Series:
+            return pd.Series([r.tobytes() for r in self.encode(np.array(vectors.tolist(), dtype=np.float64))])
+
+        return records.where(F.col(column).isNotNull()).select("namespace", "id", encoded(column).alias("code"))
+
+    def to_json(self) -> dict:
+        return {"method": self.method, "fitted": {k: {"shape": list(v.shape), "data": base64.b64encode(v.astype("<f8").tobytes()).decode()} for k, v in self.fitted.items()}}
+
+    @classmethod
+    def from_json(cls, said: dict) -> Codec:
+        return cls(said["method"], {k: np.frombuffer(base64.b64decode(v["data"]), dtype="<f8").reshape(v["shape"]) for k, v in said["fitted"].items()})
+
+
+def search_quantized(records: DataFrame, queries: DataFrame, method: str, k: int = 10, metric: str = "cosine", multiplier: int | None = None, quantizer: ProductQuantizer | None = None, codec: Codec | None = None, codes: DataFrame | None = None, fetch_k: int = 0) -> DataFrame:
+    """The k best of the candidates that the codes rank best, with exact scores: (qid, rank, namespace, id, score).
+
+    codec and codes (namespace, id, code): fitted and stored before; without them they are made from records. fetch_k: at least so many times the multiplier are candidates.
+    """
     method = method_name(method)
-    n = records.count()
-    count = candidates_for(n, k, multiplier)
-    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("vector").alias("qv"))
-    if method == "scalar":
-        calibration = calibrate_scalar(records)
-        decoded = records.select("namespace", "id", scalar_codes(calibration).alias("codes")).select("namespace", "id", scalar_decode(calibration).alias("vector"))
-        approximate = dense_scores(decoded, queries, metric, None, count).withColumnRenamed("dense", "approximate")
-    elif method == "binary":
-        codes = records.select("namespace", "id", binary_codes().alias("codes"))
-        near = codes.join(asked.select("qid", binary_codes("qv").alias("asked")), how="inner", on=F.lit(True))
-        approximate = near.select("qid", "namespace", "id", (-hamming(F.col("codes"), F.col("asked"))).cast("double").alias("approximate"))
-    elif method == "product":
-        approximate = _adc(records, queries, quantizer or ProductQuantizer.train(records), count)
-    else:
-        boundaries = two_bit_boundaries(_elements(records))
-        levels = records.select("namespace", "id", F.array(two_bit_levels(boundaries, F.col("vector"))).alias("levels"))
-        near = levels.join(asked.select("qid", F.array(two_bit_levels(boundaries, F.col("qv"))).alias("asked")), how="inner", on=F.lit(True))
-        approximate = near.select("qid", "namespace", "id", level_maxsim(F.col("asked"), F.col("levels")).cast("double").alias("approximate"))
+    if codec is None:
+        codec = Codec(method, {"codebooks": quantizer.codebooks}) if quantizer is not None else Codec.fit(records, method)
+    stored = codes if codes is not None else codec.codes(records)
+    n = stored.count()
+    count = candidates_for(n, max(k, fetch_k), multiplier or MULTIPLIERS[method])
+    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("vector").alias("payload")).where("payload is not null")
+    width = 8 * (asked.agg(F.max(F.size("payload"))).first()[0] or 1)
+    if method == "product":
+        width = max(width, 8 * codec.fitted["codebooks"].shape[0] * codec.fitted["codebooks"].shape[1])
+    approximate = payload_scores(stored, asked, width, lambda qs: codec.scorer(metric, qs), count, "approximate")
     return rescored(records, ranked(approximate, "approximate", count), queries, metric, k)
 
 
-def _adc(records: DataFrame, queries: DataFrame, quantizer: ProductQuantizer, k: int) -> DataFrame:
-    """Distances looked up by code; squared Euclidean whatever the metric."""
-    centroids = quantizer.codebooks
-    parts, _, width = centroids.shape
+@dataclass
+class TokenIndex:
+    """Two-bit codes of a token-vector space: levels of all token vectors of a record, in one string of bytes, against the boundaries of the space's dimensions."""
+
+    codec: Codec
+    rows: DataFrame
+
+    @classmethod
+    def build(cls, records: DataFrame, space: str) -> TokenIndex:
+        """records (namespace, id, multi_vectors) to an index of those that have the space."""
+        tokens = F.try_element_at("multi_vectors", F.lit(space))
+        own = records.select("namespace", "id", tokens.alias("tokens")).where("tokens is not null")
+        codec = Codec.fit(own.select(F.explode("tokens").alias("vector")), "two_bit")
+
+        @F.pandas_udf("binary")
+        def levels(ts: pd.Series) -> pd.Series:
+            return pd.Series([codec.encode(np.array([list(v) for v in t], dtype=np.float64)).tobytes() if len(t) else b"" for t in ts])
+
+        return cls(codec, own.select("namespace", "id", levels("tokens").alias("code")))
+
+    def scores(self, queries: DataFrame, k: int | None) -> DataFrame:
+        """queries (qid, tokens) to (qid, namespace, id, score): the sum over query tokens of the best product of levels."""
+        from .search import check_tokens
 
-    @F.pandas_udf("array<float>")
-    def decoded(vectors: pd.Series) -> pd.Series:
-        codes = quantizer.encode(np.array(vectors.tolist(), dtype=np.float64))
-        return pd.Series(list(np.concatenate([centroids[i][codes[:, i]] for i in range(parts)], axis=1).astype(np.float32)))
+        asked, width = check_tokens(queries, "codes")
+        codec, dim = self.codec, len(self.codec.fitted["q1"])
 
-    coded = records.select("namespace", "id", decoded("vector").alias("vector"))
-    return dense_scores(coded, queries, "euclidean", None, k).withColumnRenamed("dense", "approximate")
+        def scorer(queries: list) -> Scorer:
+            sizes = np.array([len(t) for t in queries])
+            q = codec.encode(np.array([v for t in queries for v in t], dtype=np.float64)).astype(np.float32)
+            starts = np.cumsum(sizes) - sizes
+
+            def score(column: pa.Array) -> np.ndarray:
+                held = column.to_pylist()
+                n = np.array([len(c) // dim for c in held])
+                out, some = np.zeros((len(held), len(sizes))), np.flatnonzero(n)
+                if len(some):
+                    x = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(-1, dim).astype(np.float32)
+                    best = np.maximum.reduceat(x @ q.T, (np.cumsum(n) - n)[some], axis=0)
+                    out[some] = np.add.reduceat(best, starts, axis=1)
+                return out
+
+            return score
+
+        return payload_scores(self.rows, asked, width, scorer, k)
+
+    def search(self, records: DataFrame, queries: DataFrame, space: str, k: int = 10, metric: str = "cosine", multiplier: int = MULTIPLIERS["two_bit"]) -> DataFrame:
+        """The k best of k * multiplier candidates by levels, scored exactly by late interaction."""
+        from ..functions import metrics
+
+        near = ranked(self.scores(queries, k * multiplier), "score", k * multiplier).select("qid", "namespace", "id")
+        tokens = records.select("namespace", "id", F.try_element_at("multi_vectors", F.lit(space)).alias("tokens"))
+        pairs = near.join(tokens, ["namespace", "id"]).join(queries.select(F.col("qid").cast("string").alias("qid"), F.col("tokens").alias("asked")), "qid")
+        return ranked(pairs.select("qid", "namespace", "id", metrics.maxsim(metric, F.col("asked"), F.col("tokens")).alias("score")), "score", k).select("qid", "rank", "namespace", "id", "score")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """The share of exact's (qid, namespace, id) that found has."""
     key = ["qid", "namespace", "id"]
     return found.select(*key).join(exact.select(*key), key, "left_semi").count() / max(1, exact.count())
-
-
-__all__ = ["ProductQuantizer", "binary_codes", "calibrate_scalar", "hamming", "kmeans", "level_maxsim", "recall", "rescored", "scalar_codes", "scalar_decode", "scores", "search_quantized", "two_bit_boundaries", "two_bit_levels"]

@@ -26,20 +26,23 @@ def _base() -> Column:
     return F.col("score")
 
 
-def text_match(text: str = "text", title: str = "title", query: str = "query", body_weight: float = 1.0, title_weight: float = 1.5, term_weight: float = 0.25, phrase_weight: float = 1.0, matched: str | None = None) -> Reranker:
-    """Adds shares of the query's tokens that body and title have, the share of matched terms, and a bonus if either has the whole phrase."""
+def text_match(text: str = "text", title: str = "title", query: str = "query", body_weight: float = 1.0, title_weight: float = 1.5, term_weight: float = 0.25, phrase_weight: float = 1.0, matched: str = "matched", sparse: str = "sparse") -> Reranker:
+    """Adds shares of the query's tokens that body and title have, the share of matched terms (of the column `matched` of an explained search, else of the body's), and a bonus if either has
+    the whole phrase. Where there is no query text, its tokens are the keys of the column `sparse`, the query's term weights.
+    """
 
     def rerank(df: DataFrame) -> DataFrame:
-        asked = F.array_distinct(tokens(F.col(query)))
+        said = tokens(F.col(query)) if query in df.columns else F.array().cast("array<string>")
+        terms = F.coalesce(F.array_sort(F.map_keys(sparse)), F.array().cast("array<string>")) if sparse in df.columns else F.array().cast("array<string>")
+        asked = F.array_distinct(F.when(F.size(said) > 0, said).otherwise(terms))
         share = lambda other: F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, other)) / F.size(asked)).otherwise(0.0)
         has = {name: F.coalesce(F.col(name), F.lit("")) for name in (text, title)}
-        phrase = F.trim(F.lower(F.col(query)))
+        phrase = F.trim(F.lower(F.coalesce(F.col(query), F.lit("")))) if query in df.columns else F.lit("")
         inside = (phrase != "") & (F.contains(F.lower(has[text]), phrase) | F.contains(F.lower(has[title]), phrase))
         base = F.coalesce(F.col("rerank_score"), _base()) if "rerank_score" in df.columns else _base()
         out = base + body_weight * share(tokens(has[text])) + title_weight * share(tokens(has[title])) + F.when(inside, phrase_weight).otherwise(0.0)
-        if matched and matched in df.columns:
-            out = out + term_weight * share(F.coalesce(F.col(matched), F.array().cast("array<string>")))
-        return _renumbered(df, out)
+        met = F.coalesce(F.col(matched), F.array().cast("array<string>")) if matched in df.columns else tokens(has[text])
+        return _renumbered(df, out + term_weight * share(met))
 
     return rerank
 

@@ -6,7 +6,9 @@ a batch of one. Ties always go by namespace and id.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+import time
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,15 +17,20 @@ from ..functions import metrics
 from ..functions.filters import compile_filter
 from ..schema import RecordError
 from .bm25 import Index, bm25_scores, build_index, matched_terms, scored_terms
-from .dense import dense_scores, ranked
-from .mmr import mmr_select
+from .dense import dense_ranks, dense_scores, payload_scores, ranked, score_ranks, token_scorer
+from .mmr import floors, mmr_select, most_similarity
 
 ALL = None
+#: As `now`: shows expired rows too.
+ANY_TIME = -math.inf
 
 
 @dataclass
 class Options:
-    """namespace None: all of them. spaces: weights of named vectors (the default one is ""); queries then have a map column `vectors`."""
+    """namespace None: all of them. spaces: weights of named vectors (the default one is ""); queries then have a map column `vectors`.
+
+    now: seconds since 1970 that expiry is judged by, the present if None; ANY_TIME shows expired rows. fetch_k: how many candidates an approximate search takes at least.
+    """
 
     k: int = 10
     metric: str = "cosine"
@@ -54,17 +61,49 @@ class Options:
 
 
 def not_expired(now: float | None) -> Column:
-    """A row is expired if its time is now or before; without a now nothing expires."""
-    return F.lit(True) if now is None else F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(float(now)))
+    """A row is expired if its time is now (None: the present) or before."""
+    if now == ANY_TIME:
+        return F.lit(True)
+    return F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(time.time() if now is None else float(now)))
 
 
 def visible(records: DataFrame, namespace: str | None, tests: dict | None, now: float | None) -> DataFrame:
-    rows = records.where(not_expired(now))
+    rows = records.where(not_expired(now)) if "expires_at" in records.columns else records
     if namespace is not None:
         rows = rows.where(F.col("namespace") == namespace)
     return rows if tests is None else rows.where(compile_filter(tests))
 
 
+def check_queries(records: DataFrame, queries: DataFrame, o: Options, dimension: int | None = None) -> None:
+    """Raises RecordError for the first query vector that is empty, of a wrong length or, for cosine and dot, zero. dimension None: that of some record."""
+    kinds = dict(queries.dtypes)
+    named = [F.try_element_at("vectors", F.lit(n)) for n in o.spaces] if o.spaces else [F.col("vector")] if "vector" in kinds else []
+    if not named:
+        return
+    if dimension is None:
+        space = next(iter(o.spaces), None) if o.spaces else o.vector_name
+        some = _space(records, space).select("vector").where("vector is not null").limit(1).collect()
+        dimension = len(some[0].vector) if some else None
+    cut = o.truncate_dim
+    wrong = []
+    for v in named:
+        used = F.slice(v, 1, cut) if cut else v
+        tests = [F.when(F.size(v) == 0, F.lit("the query vector is empty"))]
+        if cut:
+            tests.append(F.when(F.size(v) < cut, F.lit("truncate_dim is out of range")))
+        if dimension is not None:
+            length = F.concat(F.lit("the query vector has "), F.size(v).cast("string"), F.lit(f" elements; the dimension is {dimension}"))
+            tests.append(F.when((F.size(v) > dimension) if cut else (F.size(v) != dimension), length))
+        if o.metric in ("cosine", "dot"):
+            tests.append(F.when(~F.exists(used, lambda x: x != 0), F.lit("a zero query vector has no direction")))
+        wrong.append(F.when(v.isNotNull(), F.coalesce(*tests, F.lit(None).cast("string"))))
+    bad = queries.select(F.col("qid").cast("string").alias("qid"), F.coalesce(*wrong, F.lit(None).cast("string")).alias("wrong")).where("wrong is not null").limit(1).collect()
+    if bad:
+        raise RecordError(f"query {bad[0].qid!r}: {bad[0].wrong}")
+    if cut is not None and (cut <= 0 or dimension is not None and cut > dimension):
+        raise RecordError("truncate_dim is out of range")
+
+
 def candidate_count(total: int, fetch_k: int) -> int:
     """How many candidates an index hands on: all of up to 256, else 8 times fetch_k, 64 at least."""
     return total if total <= 256 else min(total, max(64, 8 * fetch_k))
@@ -113,50 +152,117 @@ def fused(rows: DataFrame, o: Options, dense: bool, sparse: bool) -> DataFrame:
     return rows.withColumn("score", part(o.dense_weight, "dense_rank") + part(o.sparse_weight, "sparse_rank"))
 
 
-def search(records: DataFrame, queries: DataFrame, options: Options | None = None, index: Index | None = None) -> DataFrame:
+def search(records: DataFrame, queries: DataFrame, options: Options | None = None, index: Index | None = None, dimension: int | None = None) -> DataFrame:
     """records, queries (qid, vector and/or sparse, or vectors for spaces) to (qid, rank, namespace, id, score, dense, bm25, ...).
 
     Without dense queries the considered rows are those with a matching term, filtered before any cut. explain adds dense_rank, sparse_rank, matched and term_scores.
+    Expired rows are hidden (see Options.now). A query vector that isn't valid is an error.
     """
     o = options or Options()
     has_dense, has_sparse = "vector" in queries.columns or bool(o.spaces), "sparse" in queries.columns
     if not (has_dense or has_sparse):
         raise RecordError("a query has a vector or sparse terms")
+    check_queries(records, queries, o, dimension)
     rows = visible(records, o.namespace, o.filter, o.now)
-    k = o.k or None
+    spaced = _space(rows, o.vector_name)
     terms = query_terms(queries) if has_sparse else None
     bm = None
     if has_sparse:
         index = index or build_index(records)
-        narrowed = o.namespace is not None or o.filter is not None or o.now is not None or o.vector_name
-        bm = bm25_scores(index, terms, _space(rows, o.vector_name) if narrowed else None)
-    if not has_dense:
-        scored = fused(bm.withColumn("dense", F.lit(0.0)), o, False, True)
-    elif o.spaces:
-        scored = _multi_space(rows, queries, o)
-        scored = scored.join(bm, ["qid", "namespace", "id"], "left") if bm is not None else scored.withColumn("bm25", F.lit(None).cast("double"))
-        scored = fused(scored, o, True, has_sparse)
-    else:
-        spaced = _space(rows, o.vector_name)
-        cut = k if o.fusion == "linear" and not o.explain and o.mmr_lambda is None and o.dense_weight > 0 else None
-        dense = dense_scores(spaced, queries, o.metric, o.truncate_dim, cut)
-        if bm is None:
-            scored = dense.withColumn("bm25", F.lit(None).cast("double"))
-        elif cut is None:
-            scored = dense.join(bm, ["qid", "namespace", "id"], "left")
-        else:
-            # only rows with a term, or among the k best dense ones, can be among the k best of a sum; the former need their dense score
-            scored = _with_dense(bm, spaced, queries, o).unionByName(dense.join(bm, ["qid", "namespace", "id"], "left_anti").withColumn("bm25", F.lit(None).cast("double")))
-        scored = fused(scored, o, True, has_sparse)
+        narrowed = o.namespace is not None or o.filter is not None or "expires_at" in records.columns or o.vector_name
+        bm = bm25_scores(index, terms, spaced if narrowed else None)
+    # with a cut, ranks of all rows aren't needed: see _best
+    cut = has_dense and not o.spaces and o.k > 0 and o.dense_weight > 0 and o.sparse_weight >= 0
     if o.mmr_lambda is not None:
-        top = mmr_select(scored, _space(records, o.vector_name), o)
+        top = _diverse(records, spaced, queries, bm, o) if cut and o.fusion == "linear" and o.mmr_lambda > 0 else None
+        top = top if top is not None else mmr_select(_all_scored(rows, spaced, queries, bm, o, has_dense), _space(records, o.vector_name), o)
+    elif cut:
+        top = _best(spaced, queries, bm, o)
     else:
-        top = ranked(scored, "score", k)
+        top = ranked(_all_scored(rows, spaced, queries, bm, o, has_dense), "score", o.k or None)
     if o.explain and has_sparse:
         top = _explained(top, records, terms, index)
     return top.select("qid", "rank", "namespace", "id", "score", *(c for c in top.columns if c not in ("qid", "rank", "namespace", "id", "score")))
 
 
+def _all_scored(rows: DataFrame, spaced: DataFrame, queries: DataFrame, bm: DataFrame | None, o: Options, has_dense: bool) -> DataFrame:
+    """Every considered row with its fused score."""
+    if not has_dense:
+        return fused(bm.withColumn("dense", F.lit(0.0)), o, False, True)
+    scored = _multi_space(rows, queries, o) if o.spaces else dense_scores(spaced, queries, o.metric, o.truncate_dim)
+    scored = scored.join(bm, ["qid", "namespace", "id"], "left") if bm is not None else scored.withColumn("bm25", F.lit(None).cast("double"))
+    return fused(scored, o, True, bm is not None)
+
+
+def _linear(spaced: DataFrame, queries: DataFrame, bm: DataFrame | None, o: Options, k: int | None, least: dict[str, float] | None = None) -> DataFrame:
+    """Rows that can be among the k best of a weighted sum: those with a term, which need their dense score, and the k best dense ones. least: instead, rows that can reach a score."""
+    dense_least = {q: v / o.dense_weight for q, v in least.items()} if least is not None else None
+    dense = dense_scores(spaced, queries, o.metric, o.truncate_dim, k, dense_least)
+    if bm is None:
+        out = dense.withColumn("bm25", F.lit(None).cast("double"))
+    else:
+        out = _with_dense(bm, spaced, queries, o).unionByName(dense.join(bm, ["qid", "namespace", "id"], "left_anti").withColumn("bm25", F.lit(None).cast("double")))
+    return out.withColumn("score", o.dense_weight * F.coalesce("dense", F.lit(0.0)) + o.sparse_weight * F.coalesce("bm25", F.lit(0.0)))
+
+
+def _triples(rows: DataFrame, column: str) -> dict[str, list]:
+    out: dict[str, list] = {}
+    for r in rows.select("qid", "namespace", "id", F.coalesce(column, F.lit(0.0)).alias("s")).collect():
+        out.setdefault(r.qid, []).append((r.s, r.namespace, r.id))
+    return out
+
+
+def _with_ranks(found: DataFrame, spaced: DataFrame, queries: DataFrame, bm: DataFrame | None, o: Options) -> DataFrame:
+    """dense_rank and sparse_rank, among all rows, of a bounded number of rows for each query; null where a score isn't positive."""
+    key = ["qid", "namespace", "id"]
+    found = found.join(dense_ranks(spaced, queries, o.metric, o.truncate_dim, _triples(found, "dense")), key, "left")
+    if bm is None:
+        return found.withColumn("sparse_rank", F.lit(None).cast("long"))
+    return found.join(score_ranks(bm, "bm25", _triples(found, "bm25"), "sparse_rank"), key, "left")
+
+
+def _best(spaced: DataFrame, queries: DataFrame, bm: DataFrame | None, o: Options) -> DataFrame:
+    """The k best rows of each query, of candidates that hold them for certain.
+
+    RRF: a row beyond place m of either list scores at most (wd + ws) / (c + m + 1), which is less than max(wd, ws) / (c + k), what k rows have, if
+    m = (c + k) * (wd + ws) / max(wd, ws) - c. So the first m of both lists, and the first k rows by key for where fewer have a rank, are enough. Their ranks are counted.
+    """
+    if o.fusion == "linear":
+        top = ranked(_linear(spaced, queries, bm, o, o.k), "score", o.k)
+        if not o.explain:
+            return top
+        return _with_ranks(_kept(top), spaced, queries, bm, o)
+    key, c = ["qid", "namespace", "id"], max(1, o.rrf_k)
+    m = math.ceil((c + o.k) * (o.dense_weight + o.sparse_weight) / max(o.dense_weight, o.sparse_weight)) - c
+    found = ranked(dense_scores(spaced, queries, o.metric, o.truncate_dim, m), "dense", m).select(*key)
+    if bm is not None:
+        found = found.unionByName(ranked(bm, "bm25", m).select(*key))
+    asked = queries.select(F.col("qid").cast("string").alias("qid"), "vector")
+    first = spaced.select("namespace", "id").where("vector is not null").orderBy("namespace", "id").limit(o.k)
+    found = found.unionByName(first.crossJoin(F.broadcast(asked.where("vector is not null").select("qid"))).select(*key)).distinct()
+    found = found.join(bm, key, "left") if bm is not None else found.withColumn("bm25", F.lit(None).cast("double"))
+    found = _with_ranks(_kept(_with_dense(found, spaced, queries, o)), spaced, queries, bm, o)
+    part = lambda weight, rank: F.coalesce(F.lit(float(weight)) / (c + F.col(rank)), F.lit(0.0))
+    return ranked(found.withColumn("score", part(o.dense_weight, "dense_rank") + part(o.sparse_weight, "sparse_rank")), "score", o.k)
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """Some k rows for each query, once computed: they are used several times."""
+    return rows.sparkSession.createDataFrame(rows.toArrow())
+
+
+def _diverse(records: DataFrame, spaced: DataFrame, queries: DataFrame, bm: DataFrame | None, o: Options) -> DataFrame:
+    plain = replace(o, mmr_lambda=None, explain=False)
+    least = floors(_best(spaced, queries, bm, plain), o.k, o.mmr_lambda, most_similarity(spaced, o))
+    rows = _linear(spaced, queries, bm, o, None, least)
+    if bm is not None and least:
+        bounds = F.broadcast(records.sparkSession.createDataFrame(list(least.items()), "qid string, least double"))
+        rows = rows.join(bounds, "qid", "left").where("least is null or score >= least").drop("least")
+    if o.explain:
+        rows = fused(rows.drop("score"), o, True, bm is not None)
+    return mmr_select(rows, _space(records, o.vector_name), o)
+
+
 def _with_dense(bm: DataFrame, rows: DataFrame, queries: DataFrame, o: Options) -> DataFrame:
     cut = (lambda c: F.slice(c, 1, o.truncate_dim)) if o.truncate_dim else (lambda c: c)
     asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("vector").alias("qv"))
@@ -176,9 +282,21 @@ def _explained(top: DataFrame, records: DataFrame, terms: DataFrame, index: Inde
 def search_multi_vector(records: DataFrame, queries: DataFrame, space: str, k: int = 10, metric: str = "cosine", namespace: str | None = ALL, tests: dict | None = None, now: float | None = None) -> DataFrame:
     """Late interaction: queries (qid, tokens array<array<float>>) against a token-vector space; (qid, rank, namespace, id, score).
 
-    Pairs are scored row by row, without a shuffle before the top-k; queries are broadcast only up to the session's threshold.
+    Blocks of queries meet the records in the kernel, without a shuffle before the top-k. An empty space or a query without tokens is an error.
     """
+    asked, width = check_tokens(queries, space)
     rows = visible(records, namespace, tests, now).select("namespace", "id", F.try_element_at("multi_vectors", F.lit(space)).alias("tokens")).where("tokens is not null")
-    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("tokens").alias("asked"))
-    pairs = rows.join(asked, how="inner", on=F.lit(True))
-    return ranked(pairs.select("qid", "namespace", "id", metrics.maxsim(metric, F.col("asked"), F.col("tokens")).alias("score")), "score", k or None).select("qid", "rank", "namespace", "id", "score")
+    name = metrics.metric_name(metric)
+    scored = payload_scores(rows, asked, width, lambda ts: token_scorer(name, ts), k or None)
+    return ranked(scored, "score", k or None).select("qid", "rank", "namespace", "id", "score")
+
+
+def check_tokens(queries: DataFrame, space: str) -> tuple[DataFrame, int]:
+    """(qid, payload) of queries (qid, tokens) and the most bytes of one."""
+    if not space:
+        raise RecordError("the space's name is empty")
+    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("tokens").alias("payload"))
+    said = asked.agg(F.max(F.size("payload") * F.size(F.get("payload", F.lit(0)))).alias("n"), F.count_if(F.col("payload").isNull() | (F.size("payload") == 0)).alias("none")).first()
+    if said.none:
+        raise RecordError("a query has no tokens")
+    return asked, 8 * (said.n or 1)

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..schema import COLUMNS, RecordError, with_defaults
 
-_JSON_DDL = "namespace string, id string, vector array<float>, vectors map<string,array<float>>, sparse map<string,float>, metadata variant, multi_vectors map<string,array<array<float>>>, expires_at double, ttl double"
+JSON_DDL = "namespace string, id string, vector array<float>, vectors map<string,array<float>>, sparse map<string,float>, metadata variant, multi_vectors map<string,array<array<float>>>, expires_at double, ttl double"
 
 
 def read_jsonl(spark: SparkSession, path: str, namespace: str = "", now: float = 0.0) -> DataFrame:
     """One record object a line; blank lines are skipped. ttl counts from now."""
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", _JSON_DDL).alias("r")).select("r.*")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", JSON_DDL).alias("r")).select("r.*")
     rows = rows.withColumn("expires_at", F.coalesce("expires_at", F.lit(float(now)) + F.col("ttl"))).drop("ttl")
     return with_defaults(rows.withColumn("metadata", F.coalesce("metadata", F.parse_json(F.lit("{}")))), namespace)
 

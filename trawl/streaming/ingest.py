@@ -5,28 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import DELETE, METADATA, OP_DDL, UPSERT, Collection, apply_deletes, apply_patches, apply_records, fold_last
+from ..sources.oplog import OP_DDL, apply_ops
+from ..sources.store import Collection
 
 __all__ = ["OP_DDL", "apply_ops", "start_ingest"]
 
 
-def apply_ops(current: DataFrame, ops: DataFrame) -> DataFrame:
-    """current after ops (seq, op, namespace, id, ..., patch), of which the last for each key counts; ops are upsert, delete and metadata.
-
-    As a key's last op alone decides, applying a batch again changes nothing, and so a retried micro-batch is harmless.
-    """
-    last = fold_last(ops)
-    rows = apply_deletes(current, last.where(last.op == DELETE))
-    rows = apply_records(rows, last.where(last.op == UPSERT))
-    return apply_patches(rows, last.where(last.op == METADATA))
-
-
 def start_ingest(collection: Collection, ops: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-    """A streaming ops DataFrame, each micro-batch one commit."""
+    """A streaming ops DataFrame, each micro-batch one segment of the collection's log. A retried batch, told by its number and the checkpoint's path, is left out."""
 
-    def commit(batch: DataFrame, _: int) -> None:
+    def commit(batch: DataFrame, number: int) -> None:
         collection._load()
-        collection._commit(apply_ops(collection.records(), batch))
+        collection.apply(batch, (checkpoint, number))
 
     writer = ops.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
