@@ -96,3 +96,24 @@ def targets(sizes, most=3):
         left -= sum(out[s] for s in over)
         free -= over
     return out
+
+
+def licenses(text, templates, least=0.85):
+    """Templates of which a window of the text has that share of words, in order: longest common subsequences of all windows of up to one and a half template lengths."""
+    word = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
+    words, out = word.findall(text.lower()), set()
+    for name, wording in templates.items():
+        want = word.findall(wording.lower())
+        for a in range(len(words)):
+            part = words[a : a + len(want) + len(want) // 2]
+            if sum((collections.Counter(part) & collections.Counter(want)).values()) < least * len(want):
+                continue
+            row = [0] * (len(want) + 1)
+            for w in part:
+                row = [0] + [max(row[j + 1], row[j] + (w == want[j])) for j in range(len(want))]
+                for j in range(len(want)):
+                    row[j + 1] = max(row[j + 1], row[j])
+            if row[-1] >= least * len(want) - 1e-9:
+                out.add(name)
+                break
+    return out

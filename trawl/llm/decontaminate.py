@@ -8,8 +8,9 @@ decide what is removed.
 Words are told apart by 64-bit hashes. Only runs of words whose consecutive short grams all occur in the items are
 streamed; any span to be marked lies in such a run, so this skips words that match nothing and changes no result.
 
-The automaton is built on the driver from at most `most_words` words of items and broadcast; a larger benchmark is dealt by item
-over several automata, which pass over the documents one after another, so what is broadcast has a fixed bound.
+An automaton is built on the driver from at most `most_words` words of items, some 150 MB while it is built, and kept as sorted arrays of some 12 MB. A larger benchmark is dealt by item over several
+automata; PER_PASS of them are broadcast at once, and what is beyond takes further passes over the documents, between which spans are stored in the shared folder. An item
+of more words is cut into pieces that overlap by a window less one word. So what a worker holds has a fixed bound, whatever the benchmark.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, U64, Words, mix, slices, text_buffer
+from .common import ALNUM_WORDS, U64, Words, checkpointed, mix, slices, text_buffer
 
+MOST_WORDS, PER_PASS = 200_000, 5
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -54,13 +56,10 @@ class SuffixAutomaton:
                     self.windows.setdefault(self.cut(state), set()).add(k)
             if len(words) < window:
                 self.wholes.setdefault(state, []).append((len(words), k))
-        self.ends: dict[int, list] = {}
         least = min([window, *(len(w) for _, w in items)])
         self.least, self.gram = least, min(least, 4)
         hashes = [gram_hashes(np.array(w, dtype=U64), self.gram) for _, w in items]
         self.grams = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, dtype=U64)
-        self.seen = np.zeros(1 << 22, dtype=bool)
-        self.seen[(self.grams >> U64(42)).astype(np.int64)] = True
 
     def _extend(self, last: int, w: int) -> int:
         length, link, step = self.length, self.link, self.step
@@ -96,35 +95,81 @@ class SuffixAutomaton:
             state = self.link[state]
         return state
 
+    def spans(self, words: list[int]) -> tuple[list[tuple[int, int]], set]:
+        return Matcher(self).spans(np.array(words, dtype=U64))
+
+
+class Matcher:
+    """An automaton as sorted arrays: transitions by (state, word), states of windows with their items, and what the prefilter needs."""
+
+    def __init__(self, automaton: SuffixAutomaton):
+        a = automaton
+        self.window, self.least, self.gram, self.grams = a.window, a.least, a.gram, a.grams
+        self.length, self.link = np.array(a.length, dtype=np.int32), np.array(a.link, dtype=np.int32)
+        self.vocabulary = np.unique(np.array([w for step in a.step for w in step], dtype=U64))
+        state = np.repeat(np.arange(len(a.step)), [len(step) for step in a.step])
+        word = np.searchsorted(self.vocabulary, np.array([w for step in a.step for w in step], dtype=U64))
+        to = np.array([t for step in a.step for t in step.values()], dtype=np.int32)
+        keys = (state.astype(np.int64) << 32) | word
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], to[order]
+        self.ids = sorted({k for ks in a.windows.values() for k in ks} | {k for ls in a.wholes.values() for _, k in ls}, key=lambda k: (k is None, k or ""))
+        number = {k: i for i, k in enumerate(self.ids)}
+        pairs = sorted((s, number[k]) for s, ks in a.windows.items() for k in ks)
+        self.window_states, self.window_items = np.array([s for s, _ in pairs], dtype=np.int32), np.array([k for _, k in pairs], dtype=np.int32)
+        self.wholes = {s: [(n, number[k]) for n, k in ls] for s, ls in a.wholes.items()}
+        self.ends: dict[int, list] = {}
+        self.seen = np.zeros(1 << 20, dtype=bool)
+        self.seen[(self.grams >> U64(44)).astype(np.int64)] = True
+
+    def step(self, state: int, word: int) -> int:
+        """The next state, or -1."""
+        key = (state << 32) | word
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.to[at]) if at < len(self.keys) and self.keys[at] == key else -1
+
+    def items(self, state: int) -> np.ndarray:
+        """Numbers of the items with the window that ends in a state with `window` words or more."""
+        while self.length[self.link[state]] >= self.window:
+            state = int(self.link[state])
+        return self.window_items[np.searchsorted(self.window_states, state, "left") : np.searchsorted(self.window_states, state, "right")]
+
     def short(self, state: int) -> list:
         """(length, item) of the short items that are suffixes of a state."""
+        if not self.wholes:
+            return []
         if state not in self.ends:
             found, s = [], state
             while s > 0:
                 found += self.wholes.get(s, [])
-                s = self.link[s]
+                s = int(self.link[s])
             self.ends[state] = found
         return self.ends[state]
 
-    def spans(self, words: list[int]) -> tuple[list[tuple[int, int]], set]:
-        """Marked spans (first, end) of a run of words, and the items they come from."""
+    def spans(self, words: np.ndarray) -> tuple[list[tuple[int, int]], set]:
+        """Marked spans (first, end) of a run of word hashes, and the items they come from."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), max(0, len(self.vocabulary) - 1))
+        known = self.vocabulary[at] == words if len(self.vocabulary) else np.zeros(len(words), dtype=bool)
         out, items, state, size = [], set(), 0, 0
-        for i, w in enumerate(words):
-            while state and w not in self.step[state]:
-                state = self.link[state]
-                size = self.length[state]
-            if (to := self.step[state].get(w)) is None:
+        for i, (w, is_known) in enumerate(zip(at.tolist(), known.tolist(), strict=True)):
+            if not is_known:
+                state, size = 0, 0
+                continue
+            while (to := self.step(state, w)) < 0 and state:
+                state = int(self.link[state])
+                size = int(self.length[state])
+            if to < 0:
                 size = 0
                 continue
             state, size = to, size + 1
             if size >= self.window:
                 out.append((i + 1 - size, i + 1))
-                items |= self.windows[self.cut(state)]
+                items.update(self.items(state).tolist())
             for length, k in self.short(state):
                 if length <= size:
                     out.append((i + 1 - length, i + 1))
                     items.add(k)
-        return out, items
+        return out, {self.ids[k] for k in items}
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -135,13 +180,13 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def mark(automaton: SuffixAutomaton, words: Words) -> dict[int, tuple[np.ndarray, set]]:
+def mark(automaton: Matcher, words: Words) -> dict[int, tuple[np.ndarray, set]]:
     """row -> (which of its words are marked, items), for the rows that have any."""
     found: dict[int, tuple[np.ndarray, set]] = {}
     if not len(automaton.grams):
         return found
     n, grams = automaton.gram, gram_hashes(words.hash, automaton.gram)
-    maybe = np.flatnonzero(automaton.seen[(grams >> U64(42)).astype(np.int64)])
+    maybe = np.flatnonzero(automaton.seen[(grams >> U64(44)).astype(np.int64)])
     at = np.minimum(np.searchsorted(automaton.grams, grams[maybe]), len(automaton.grams) - 1)
     maybe = maybe[(automaton.grams[at] == grams[maybe])]
     maybe = maybe[words.doc[maybe] == words.doc[maybe + n - 1]]
@@ -154,7 +199,7 @@ def mark(automaton: SuffixAutomaton, words: Words) -> dict[int, tuple[np.ndarray
     for a, b in zip(maybe[first], maybe[last] + n, strict=True):
         if b - a < automaton.least:
             continue
-        spans, items = automaton.spans(words.hash[a:b].tolist())
+        spans, items = automaton.spans(words.hash[a:b])
         if spans:
             row = int(words.doc[a])
             hit, all_items = found.setdefault(row, (np.zeros(int(words.count[row]), dtype=bool), set()))
@@ -170,10 +215,10 @@ _SPANS_DDL = "array<struct<first_word:bigint,end_word:bigint,first_byte:bigint,e
 
 
 def _pass(shared, text_at: int):
-    """Adds to the trailing columns (n_words, hit spans, items) what one automaton finds."""
+    """Adds to the trailing columns (n_words, hit spans, items) what some automata find."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        automata = shared.value
         for whole in batches:
             data, offsets = text_buffer(whole.column(text_at))
             for a, b in slices(offsets, 3 << 20):
@@ -181,7 +226,7 @@ def _pass(shared, text_at: int):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM_WORDS)
                 spans, items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
                 begin = offsets[a:b] - offsets[a]
-                for row, (hit, ids) in mark(automaton, words).items():
+                for row, (hit, ids) in (x for automaton in automata for x in mark(automaton, words).items()):
                     for s in spans[row] or []:
                         hit[s["first_word"] : s["end_word"]] = True
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
@@ -194,7 +239,7 @@ def _pass(shared, text_at: int):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_words: int = 4_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_words: int = MOST_WORDS) -> DataFrame:
     """docs (text, ...) with n_words long, spans (marked spans by word and by UTF-8 byte) and item_ids (array of strings).
 
     benchmark (item_id, text). A null or empty text has no words and no spans; a null or empty item marks nothing; an item with a null id marks words
@@ -207,16 +252,33 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     shards = max(1, -(-total // (2 * most_words)))
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.lit(None).cast(_SPANS_DDL), "item_ids": F.lit(None).cast("array<string>")})
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
-    for k in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k).toArrow()
-        ids = rows.column("id").to_pylist()
-        texts = rows.column("text").combine_chunks()
-        words = words_of(texts) if len(ids) else []
-        shared = spark.sparkContext.broadcast(SuffixAutomaton(list(zip(ids, words, strict=True)), window))
-        out = out.mapInArrow(_pass(shared, docs.columns.index("text")), schema)
+    for first in range(0, shards, PER_PASS):
+        automata = []
+        for k in range(first, min(first + PER_PASS, shards)):
+            rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k).toArrow()
+            words = words_of(rows.column("text").combine_chunks()) if rows.num_rows else []
+            automata += [Matcher(SuffixAutomaton(some, window)) for some in _pieces(list(zip(rows.column("id").to_pylist(), words, strict=True)), window, most_words)]
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(automata), docs.columns.index("text")), schema)
+        if first + PER_PASS < shards:
+            out = checkpointed(out)
     return out
 
 
+def _pieces(items: list[tuple[str | None, np.ndarray]], window: int, most_words: int) -> Iterator[list[tuple[str | None, np.ndarray]]]:
+    """Items in lists of about most_words words; a longer item in pieces that hold each of its windows."""
+    some, held = [], 0
+    for k, words in items:
+        for a in range(0, max(1, len(words) - window + 1), most_words):
+            piece = words[a : a + most_words + window - 1]
+            some.append((k, piece))
+            held += len(piece)
+            if held >= most_words:
+                yield some
+                some, held = [], 0
+    if some or not items:
+        yield some
+
+
 def hit_words() -> Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end_word - s.first_word)
 
