@@ -16,9 +16,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import zstandard
@@ -37,22 +39,23 @@ class WarcError(ValueError):
     """An archive or record that isn't valid."""
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_IDS, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str, alone: bool = True) -> str:
+    """Made from the page's id and its payload's digest, so that a revisit knows its response's; where ids are null or repeated, random, as it must be unique."""
+    return f"<urn:uuid:{uuid.uuid5(_IDS, f'page:{page_id}:{digest}') if alone and page_id is not None else uuid.uuid4()}>"
 
 
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, alone: bool = True) -> bytes:
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n"
     block = http if revisit else http + payload
     target = (url or "urn:x-page:none").replace("\r", "%0D").replace("\n", "%0A")
-    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", _DATE), ("WARC-Target-URI", target), ("WARC-Page-ID", "" if page_id is None else str(page_id)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Payload-Length", str(len(payload)))]
+    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest, alone)), ("WARC-Date", _DATE), ("WARC-Target-URI", target), ("WARC-Page-ID", "" if page_id is None else str(page_id)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Payload-Length", str(len(payload)))]
     if revisit:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("WARC-Refers-To-Page-ID", str(refers_to))]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Refers-To-Page-ID", str(refers_to))]
     headers += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -111,13 +114,35 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield parse_record(b"".join(parts))
 
 
+class Headers(dict):
+    """Headers by name, whatever the case of its letters."""
+
+    def __setitem__(self, name: str, value: str) -> None:
+        super().__setitem__(name.lower(), value)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(str(name).lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     head, found, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not found or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise WarcError("no WARC version line or no end of headers")
-    headers = {}
+    headers = Headers()
+    folded: list[str] = []
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and folded:  # a folded line goes on with the header before
+            folded[-1] += " " + line.strip()
+        else:
+            folded.append(line)
+    for line in folded:
         name, colon, value = line.partition(":")
         if not colon:
             raise WarcError(f"a header without a colon: {line[:80]}")
@@ -149,9 +174,9 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(data).hexdigest()]), pa.array([len(records)]), pa.array([data], pa.binary())], names=["archive_id", "n_records", "data"])
 
     for batch in batches:
-        for page_id, url, html, refers in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "refers_to")), strict=True):
+        for page_id, url, html, refers, alone in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "refers_to", "alone")), strict=True):
             payload = (html or "").encode()
-            record = build_record(page_id, url, payload, payload_digest(payload), refers)
+            record = build_record(page_id, url, payload, payload_digest(payload), refers, alone)
             if records and size + len(record) > ARCHIVE_BYTES:
                 yield flush()
                 records, size = [], 0
@@ -164,17 +189,22 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, ...) to archives (archive_id, n_records, data), one record for each row.
 
-    A null html is an empty payload; a null url gets a placeholder. Rows with null ids are never revisited, and revisit none. Of rows that repeat both
-    the id and the payload of a response, all are responses. A hot payload pre-aggregates to one row for each task; joining it back is an equi-join
+    A null html is an empty payload; a null url gets a placeholder. Of rows that share a payload and the smallest page_id, those with the least url (nulls first) are responses and the others
+    revisit them; only rows that are equal in all three columns can be several responses, as nothing tells which of them is first. Rows with null ids revisit a payload's response too; where all
+    ids of a payload are null each row is a response. A hot payload pre-aggregates to one row for each task; joining it back is an equi-join
     that adaptive execution splits.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    ids = rows.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("sha"))
-    firsts = ids.groupBy("sha").agg(F.min("page_id").alias("first"))
-    # only the ids and digests meet in this join; the pages themselves follow by page_id where they are revisits
-    known = ids.join(firsts, "sha").where("page_id > first").select(F.col("page_id").alias("revisit"), F.col("sha").alias("of"), "first").distinct()
+    ids = rows.select("page_id", "url", F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("sha"))
+    each = ids.groupBy("sha", "page_id").agg(F.min(F.struct(F.col("url").isNotNull().alias("has"), "url")).alias("least"), F.count("*").alias("n"))
+    firsts = each.groupBy("sha").agg(F.min("page_id").alias("first"))
+    # only the ids and digests meet in this join; the pages themselves follow by page_id where they are revisits or share an id
+    known = each.join(firsts, "sha").where("page_id is null or page_id > first or n > 1").select(F.col("page_id").alias("of_page"), F.col("sha").alias("of"), "first", "n", F.col("least.url").alias("least_url"))
     sha = F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8"))
-    marked = rows.join(known, (F.col("page_id") == F.col("revisit")) & (sha == F.col("of")), "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
+    later = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")) | ~F.col("url").eqNullSafe(F.col("least_url")))
+    marked = rows.join(known, F.col("page_id").eqNullSafe(F.col("of_page")) & (sha == F.col("of")), "left")
+    alone = F.col("n").isNull() | (F.col("n") == 1) | ~later
+    marked = marked.select("page_id", "url", "html", F.when(later, F.col("first")).alias("refers_to"), F.coalesce(alone, F.lit(True)).alias("alone"))
     return marked.mapInArrow(_write, "archive_id string, n_records long, data binary")
 
 
@@ -214,12 +244,19 @@ def read_files(spark, path: str, with_payload: bool = True) -> DataFrame:
 
 
 def export(archives: DataFrame, folder: str) -> None:
-    """Writes each archive as a file <archive_id>.warc.zst below folder, a path or URI that pyarrow's file systems know on every executor. Repeated attempts write the same file."""
+    """Writes each archive as a file <archive_id>.warc.zst below folder, a URI that pyarrow's file systems know on every executor; a path without a scheme only where this machine is the only one.
+
+    Repeated attempts write the same file.
+    """
+    if "://" not in folder:
+        if not re.match(r"local(\[|$)", archives.sparkSession.sparkContext.master):
+            raise ValueError("a path without a scheme is a folder of each executor's own")
+        folder = Path(folder).resolve().as_uri()
 
     def run(rows) -> None:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         for row in rows:
             with store.open_output_stream(f"{base}/{row.archive_id}.warc.zst", compression=None) as out:
