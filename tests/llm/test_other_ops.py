@@ -17,7 +17,7 @@ from trawl.llm.pipeline_stages import STAGES, run
 from trawl.llm.quality import fold_of, pooled, score_documents
 from trawl.llm.queries import op3_chat_formatting, op4_warc, oracle_sql, queries
 from trawl.llm.secrets import Forest, scan_secrets, synthetic_findings, train
-from trawl.llm.warc import WarcError, build_archive, build_record, export, load_dictionary, payload_digest, read_files, read_records, write_archives
+from trawl.llm.warc import WarcError, build_archive, build_record, export, load_dictionary, payload_digest, read_archives, read_files, read_records, write_archives
 
 ODD = "doc_id long, text string, source string, size string, rank int, target string, key string, stats string"
 
@@ -70,13 +70,16 @@ def test_warc(spark, tmp_path):
     got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in op4_warc(spark, str(tmp_path)).collect()]
     said = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
     p = "<p>é</p>"
-    want = [(None, 9, said(p), "response", None), (2, 9, said(p), "response", None), (2, 9, said(p), "response", None), (5, 9, said(p), "revisit", 2), (7, 0, said(""), "response", None), (8, 100_000, said("z" * 100_000), "response", None), (9, 0, said(""), "revisit", 7)]
+    want = [(None, 9, said(p), "revisit", 2), (2, 9, said(p), "response", None), (2, 9, said(p), "revisit", 2), (5, 9, said(p), "revisit", 2), (7, 0, said(""), "response", None), (8, 100_000, said("z" * 100_000), "response", None), (9, 0, said(""), "revisit", 7)]
     assert sorted(got, key=str) == sorted(want, key=str)
     archives = write_archives(spark.read.parquet(str(tmp_path / "pages.parquet")))
     export(archives, str(tmp_path / "out"))
     back = {r.page_id: bytes(r.payload).decode() for r in read_files(spark, str(tmp_path / "out")).where("record_type = 'response'").collect()}
     assert back[8] == "z" * 100_000 and back[2] == p
     assert write_archives(spark.read.parquet(str(tmp_path / "pages.parquet")).limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, "a", "x"), (None, "b", "x"), (3, "c", "y"), (3, "c", "y")], "page_id long, url string, html string")
+    records = read_archives(write_archives(nulls)).collect()
+    assert [r.record_type for r in records] == ["response"] * 4 and len({r.record_id for r in records}) >= 3
 
 
 def test_warc_validation():
@@ -84,6 +87,8 @@ def test_warc_validation():
     data = build_archive(records)
     assert struct.unpack_from("<I", data)[0] == 0x184D2A5D and load_dictionary(data)[0]
     assert [b for _, b in read_records(data)][3].endswith(b"body 3")
+    odd = records[0].replace(b"WARC-Date: 2024", b"warc-date:\r\n 2024").replace(b"WARC-Type", b"Warc-type").replace(b"Content-Length: ", b"content-LENGTH: ")
+    assert odd != records[0] and [h["warc-TYPE"] for h, _ in read_records(build_archive([odd, *records[1:]]))][0] == "response"
     bad = {"cut": data[:-3], "short": data[:5], "dictionary": data[:40]}
     for name, x in bad.items():
         with pytest.raises(WarcError):
@@ -233,6 +238,33 @@ def test_licenses_of_one_line():
     assert {m["license"] for m in Scanner(variants).scan(TEMPLATES["BSD"] + " " + variants["MIT (notice)"])} == set(variants)
 
 
+def test_licenses_match_brute_force():
+    """Every template against every window of every text, without anchors or compression."""
+    rng = random.Random(17)
+    words = "river stone light water north paper green software license copy any person rights reserved permission terms notice provided use under".split()
+    plain = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    own = {"house rules": "Guests who bring boots leave them at the blue door, and nobody feeds the heron after noon.", "short": "Nobody feeds the heron."}
+    templates = {k: TEMPLATES[k] for k in ("MIT (notice)", "BSD", "GPL-3.0 (notice)", "all rights reserved", "CC-BY-4.0")} | own
+    texts = []
+    for i in range(30):
+        name = rng.choice(list(templates))
+        notice = templates[name].split(" ")
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            notice[rng.randrange(len(notice))] = rng.choice(words)
+        cut = " ".join(notice)
+        texts.append(plain(rng.randrange(0, 40)) + rng.choice(["\n", " ", ". "]) + (textwrap.fill(cut, 30) if i % 3 == 0 else cut) + rng.choice(["\n", " "]) + plain(rng.randrange(0, 40)))
+    texts += [plain(120), templates["house rules"], " ".join(templates.values())]
+    scanner, found, missed, extra = Scanner(templates), 0, [], []
+    for t in texts:
+        want, got = brute.licenses(t, templates), {m["license"] for m in scanner.scan(t)}
+        found += len(want & got)
+        missed += want - got
+        extra += got - want
+    print("licenses found", found, "missed", missed, "extra", extra)
+    assert found >= 20 and not missed and not extra
+    assert {"house rules", "short"} <= {m["license"] for m in scanner.scan(own["house rules"])} and scanner.may_state(own["house rules"].upper())
+
+
 def test_wrapped_and_long_licenses():
     scanner, rng = Scanner(), np.random.default_rng(4)
     for name in ("MIT", "BSD", "Apache-2.0", "GPL-3.0", "ISC", "MPL-2.0"):

@@ -1,6 +1,7 @@
 """License scans by conditional compression, confirmed by exact wording differences.
 
-A document's candidate blocks are lines with a license keyword and runs of words that reach as far around one as the longest template. Each block is compressed alone and, for each template, with that template as a raw Zstandard
+A text that states a template has to hold most of its words, so of any few more of its words than may be missing it holds one. Each template's rarest words of that number are its anchors: a
+document's candidate blocks are windows around anchors and runs of words that reach as far around one as the longest template, and no text that states a template is without one. Each block is compressed alone and, for each template, with that template as a raw Zstandard
 dictionary; the share of bytes that a template saves ranks the templates. All that save enough are confirmed by a word-level difference with the
 template: enough of its words have to occur, in order, and the report lists the words that were changed.
 
@@ -11,9 +12,12 @@ more than BLOCK_WORDS words is scanned in overlapping windows, which hold the lo
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -21,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_WORDS, OVERLAP_WORDS, NARROW_WORDS = 400, 200, 60
+#: Compression levels of long and of narrow blocks.
+LEVELS = (3, 19)
 #: Share of a template's words that have to be found in order.
 LEAST_COVERED = 0.85
 #: Share of a block's compressed bytes that a template has to save before its wording is compared.
@@ -42,8 +48,6 @@ TEMPLATES = {
     "all rights reserved": "All rights reserved.",
 }
 
-_KEYWORDS = re.compile(rb"licen[sc]|copyright|\(c\) |all\W+rights\W+reserved|permission|redistribut|public\W+domain|spdx|warrant", re.I)
-_KEYWORDS_OF_TEXT = re.compile(_KEYWORDS.pattern.decode(), re.A)
 _WORD = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
 
 
@@ -51,30 +55,36 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def candidate_blocks(text: str, longest: int) -> tuple[list[str], np.ndarray, list[tuple[int, int]]]:
-    """(words of the text, line of each, blocks as first and end word): each line that holds a keyword, and each run of words that are within reach of one.
+def anchors(templates: dict[str, list[str]]) -> frozenset[str]:
+    """Of each template so many words that a text which has LEAST_COVERED of the template's words has one of them; those that few templates share and long ones first, as they are rare."""
+    shared = Counter(w for words in templates.values() for w in set(words))
+    out = set()
+    for words in templates.values():
+        left, counts = len(words) - math.ceil(LEAST_COVERED * len(words) - 1e-9) + 1, Counter(words)
+        for w in sorted(counts, key=lambda w: (shared[w] > 2, -len(w), w)):
+            if left <= 0:
+                break
+            out.add(w)
+            left -= counts[w]
+    return frozenset(out)
 
-    The reach is `longest`, the words of the longest template, and a quarter more. A line of more than NARROW_WORDS words gives a window around each of
-    its keywords; a run of more than BLOCK_WORDS, or four times the longest template, overlapping windows of that size.
+
+def candidate_blocks(text: str, longest: int, anchors: frozenset[str]) -> tuple[list[str], np.ndarray, list[tuple[int, int]]]:
+    """(words of the text, line of each, blocks as first and end word): a window of NARROW_WORDS around the anchors, and each run of words that are within reach of one.
+
+    The reach is `longest`, the words of the longest template, and a quarter more. A run of more than BLOCK_WORDS, or four times the longest template, gives overlapping windows of that size.
     """
     low = text.lower()
     found = [(m.group(), m.start()) for m in _WORD.finditer(low)]
     words, starts = [w for w, _ in found], np.array([i for _, i in found], dtype=np.int64)
     breaks = np.array([i for i, c in enumerate(low) if c == "\n"], dtype=np.int64)
     line = np.searchsorted(breaks, starts)
-    keys = np.array([m.start() for m in _KEYWORDS_OF_TEXT.finditer(low)], dtype=np.int64)
-    at = np.maximum(np.searchsorted(starts, keys, "right") - 1, 0)
-    of_line = np.searchsorted(breaks, keys)
-    first, end = np.searchsorted(line, of_line, "left"), np.searchsorted(line, of_line, "right")
-    out, last_line, last = [], -1, -1
-    for w, k, a, b in zip(at.tolist(), of_line.tolist(), first.tolist(), end.tolist(), strict=True):
-        if b - a <= NARROW_WORDS:
-            if k != last_line:
-                out.append((a, b))
-        elif k != last_line or w > last:
+    at = np.array([i for i, w in enumerate(words) if w in anchors], dtype=np.int64)
+    out, last = [], -1
+    for w in at.tolist():
+        if w > last:
             last = w + NARROW_WORDS // 4
-            out.append((max(a, w - NARROW_WORDS // 2), min(b, w + NARROW_WORDS // 2)))
-        last_line = k
+            out.append((max(0, w - NARROW_WORDS // 2), min(len(words), w + NARROW_WORDS // 2)))
     reach, most = longest + longest // 4 + 1, max(BLOCK_WORDS, 4 * longest)
     step = most - max(OVERLAP_WORDS, 2 * longest)
     runs: list[list[int]] = []
@@ -94,13 +104,28 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str] | None = None):
         self.templates = {k: words_of(v) for k, v in (templates or TEMPLATES).items()}
+        self.templates = {k: words for k, words in self.templates.items() if words}
         self.longest = max(map(len, self.templates.values()), default=0)
-        self.alone = zstandard.ZstdCompressor(level=3)
-        self.given = {}
-        for k, words in self.templates.items():
-            raw = zstandard.ZstdCompressionDict(" ".join(words).encode() + b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=3)
-            self.given[k] = zstandard.ZstdCompressor(dict_data=raw)
+        self.anchors = anchors(self.templates)
+        self.held = ahocorasick.Automaton()
+        for w in self.anchors:
+            self.held.add_word(w, w)
+        self.held.make_automaton()
+        # a few words in a small block save bytes only where the compressor looks for the best parse
+        self.by_level = {}
+        for level in LEVELS:
+            given = {}
+            for k, words in self.templates.items():
+                raw = zstandard.ZstdCompressionDict(" ".join(words).encode() + b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                raw.precompute_compress(level=level)
+                given[k] = zstandard.ZstdCompressor(level=level, dict_data=raw)
+            alone = zstandard.ZstdCompressor(level=level)
+            own = {k: max(8, len(alone.compress(" ".join(words).encode())) - 8) for k, words in self.templates.items()}
+            self.by_level[level] = alone, given, own
+
+    def may_state(self, text: str) -> bool:
+        """Whether some anchor occurs; texts without one have no candidate blocks."""
+        return bool(self.anchors) and next(self.held.iter(text.lower()), None) is not None
 
     def ranked(self, words: list[str]) -> list[tuple[float, str]]:
         """(bytes saved over bytes that the template's own words take, name), best first.
@@ -108,11 +133,9 @@ class Scanner:
         A short template can save little of a long block, so what it saves is measured against what it could: its own compressed size.
         """
         raw = " ".join(words).encode()
-        base = len(self.alone.compress(raw))
-        out = []
-        for k, given in self.given.items():
-            own = max(8, len(self.alone.compress(" ".join(self.templates[k]).encode())) - 8)
-            out.append(((base - len(given.compress(raw))) / own, k))
+        alone, given, own = self.by_level[LEVELS[len(words) <= NARROW_WORDS]]
+        base = len(alone.compress(raw))
+        out = [((base - len(one.compress(raw))) / own[k], k) for k, one in given.items()]
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
     def confirm(self, name: str, words: list[str]) -> tuple[float, list[str], int]:
@@ -135,7 +158,7 @@ class Scanner:
     def scan(self, text: str) -> list[dict]:
         """Confirmed licenses of a text, each once with its first and best place."""
         found: dict[str, dict] = {}
-        every, line, blocks = candidate_blocks(text, self.longest)
+        every, line, blocks = candidate_blocks(text, self.longest, self.anchors)
         for a, b in blocks:
             words = every[a:b]
             if not words:
@@ -158,10 +181,9 @@ def _scan(templates: dict[str, str] | None):
         scanner = Scanner(templates)
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                raw = text.as_buffer() if text.is_valid else None
-                hit = raw is not None and _KEYWORDS.search(memoryview(raw))
-                out.append(scanner.scan(text.as_py()) if hit else [])
+            for value in batch.column(1):
+                text = value.as_py() or ""
+                out.append(scanner.scan(text) if scanner.may_state(text) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _MATCHES)], names=["doc_id", "licenses"])
 
     return run
