@@ -79,9 +79,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its candidates and those of them that the forest takes for secrets."""
-    from .secrets import scan_secrets, synthetic_findings, train
+    from .secrets import frequent_words, scan_secrets, synthetic_findings, train
 
-    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), train(synthetic_findings()))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    words = frequent_words(docs)
+    found = scan_secrets(docs, train(synthetic_findings(dictionary=words), words))
     secrets = F.filter("candidates", lambda c: c.score >= 0.5)
     return found.select("doc_id", F.size("candidates").cast("long").alias("n_candidates"), F.size(secrets).cast("long").alias("n_secrets"), secrets.alias("secrets"))
 

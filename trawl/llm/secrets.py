@@ -1,8 +1,9 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-Candidates are maximal runs of letters, digits and `+ / _ = -` of at least LEAST_CHARS characters that hold a digit; and what follows a
+Candidates are maximal runs of letters, digits and `+ / _ = -` of at least LEAST_CHARS characters, with or without digits; and what follows a
 name with a keyword and = or :, in quotes or up to the next white space, whatever its characters or length (assigned_spans). Each has features of its length, character classes and
-transitions, its coverage by a dictionary, its document's path and the words around it. The forest is trained on labelled findings: at most
+transitions, its coverage by a dictionary, its document's path and the words around it. The dictionary is that of the corpus: its MOST_WORDS most frequent words of letters
+(frequent_words), counted over all documents, so that words of any language or jargon count as such; candidates are scored as they are, whole. The forest is trained on labelled findings: at most
 MOST_FINDINGS of them, a documented bound, as they are fitted on the driver; the model of some 100 KB is broadcast and scores candidates where they are found.
 
 `synthetic_findings` makes a seeded set of labelled findings of common kinds for where no reviewed ones exist; reviewed ones have the same columns.
@@ -31,16 +32,20 @@ _KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "api", "key", "auth
 _HARMLESS = ("commit", "sha", "md5", "digest", "checksum", "uuid", "guid", "etag", "build", "version", "isbn", "phone", "tel", "order", "invoice", "ref", "revision", "hash", "serial", "page")
 _CODE_PATHS = re.compile(r"\.(py|js|ts|java|go|rb|env|ya?ml|json|toml|ini|cfg|conf|sh|tf)$|config|secret|deploy", re.I)
 _TEST_PATHS = re.compile(r"test|fixture|example|sample|mock|docs?/", re.I)
-#: Common words and syllables for coverage.
-DICTIONARY = frozenset(
-    "the and for are with that this from have not you all can one two our out use get set new old key app api web dev test user name file data code page site home main user admin version release build update index table column value number string object array list item "
-    "token secret password login server client request response error debug info config service system public private static image photo video audio music north south east west river stone light green black white world house table water paper letter word line text book"
-    .split()
-)
+#: Words of the corpus' dictionary, a bound of what the driver and each worker hold (some 5 MB), and how often each has to occur.
+MOST_WORDS, LEAST_COUNT, LONGEST_WORD = 50_000, 3, 20
+
+
+def frequent_words(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT) -> frozenset[str]:
+    """docs (text, ...) to the `most` most frequent runs of a-z, lower-cased, of 3 to LONGEST_WORD letters that occur `least` times or more. Counts pre-aggregate in each task."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"[a-z]{3,}"), F.lit(0))).alias("word")).where(F.length("word") <= LONGEST_WORD)
+    top = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(most)
+    return frozenset(r.word for r in top.select("word").collect())
 
 
 _NAMED = re.compile(rb"(?<![\w-])([\w-]++)[\"'\])]*+[ \t]*+(?::=|=>|={1,3}|:)[ \t]*+")
 _ASSIGNED = re.compile(rb"\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|[\"']?([^\s\"']\S*+)")
+_LETTERS = re.compile(r"[a-z]{3,}")
 _NAMES = re.compile("|".join(_KEYWORDS).encode(), re.I)
 
 
@@ -48,17 +53,23 @@ def _shape(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def coverage(text: str) -> float:
-    """Share of characters that dictionary words of three letters or more cover, greedily from the left."""
-    low, i, found = text.lower(), 0, 0
-    while i < len(low):
-        size = next((n for n in range(min(9, len(low) - i), 2, -1) if low[i : i + n] in DICTIONARY), 0)
-        found += size
-        i += size or 1
+def coverage(text: str, words: frozenset[str]) -> float:
+    """Share of characters that dictionary words cover, the longest one at each place, greedily from the left; words in a larger run of letters count from four letters on."""
+    found = 0
+    for m in _LETTERS.finditer(text.lower()):
+        run = m.group()
+        if run in words:
+            found += len(run)
+            continue
+        i = 0
+        while i < len(run):
+            size = next((n for n in range(min(LONGEST_WORD, len(run) - i), 3, -1) if run[i : i + n] in words), 0)
+            found += size
+            i += size or 1
     return found / max(1, len(text))
 
 
-def features(candidate: str, before: str, after: str, path: str) -> list[float]:
+def features(candidate: str, before: str, after: str, path: str, words: frozenset[str] = frozenset()) -> list[float]:
     n = len(candidate)
     shapes = [_shape(c) for c in candidate]
     counts = [shapes.count(k) / n for k in range(4)]
@@ -75,7 +86,7 @@ def features(candidate: str, before: str, after: str, path: str) -> list[float]:
     tail = before.rstrip("\"' ")[-1:]
     inner = any(k in low.partition("=")[0] for k in _KEYWORDS) and "=" in low
     return [
-        n, *counts, changes, entropy, vowels, pairs, coverage(candidate), len(used) / n, candidate.count("-"), candidate.count("/"), candidate.count("_"), float(all(c in string.hexdigits for c in candidate)), float(candidate.isdigit()),
+        n, *counts, changes, entropy, vowels, pairs, coverage(candidate, words), len(used) / n, candidate.count("-"), candidate.count("/"), candidate.count("_"), float(all(c in string.hexdigits for c in candidate)), float(candidate.isdigit()),
         float(bool(re.match(r"(AKIA|ASIA)[0-9A-Z]{16}$", candidate))), float(bool(re.match(r"(gh[pousr]|sk|pk|rk|xox[abp]|glpat|AIza|eyJ)[-_0-9A-Za-z]", candidate))), float(bool(re.match(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", candidate))),
         float(tail in "=:" and tail != ""), float(before[-1:] in "\"'" and before != ""), float(after[:1] in "\"'" and after != ""), hint, calm, float(inner), float(bool(_CODE_PATHS.search(path))), float(bool(_TEST_PATHS.search(path))),
     ]
@@ -87,7 +98,7 @@ class Forest:
     def __init__(self, trees: int = 40, depth: int = 10, least: int = 3, seed: int = 11):
         self.n_trees, self.depth, self.least, self.seed = trees, depth, least, seed
         self.trees: list[tuple[np.ndarray, ...]] = []
-        self.share = 0.5
+        self.share, self.words = 0.5, frozenset()
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
         rng = np.random.default_rng(self.seed)
@@ -140,14 +151,15 @@ class Forest:
         return total / len(self.trees)
 
 
-def synthetic_findings(n: int = 6000, seed: int = 5) -> list[dict]:
-    """Seeded labelled findings (candidate, before, after, path, label): keys, tokens and passwords against digests, ids, numbers and long words."""
+def synthetic_findings(n: int = 6000, seed: int = 5, dictionary: frozenset[str] = frozenset()) -> list[dict]:
+    """Seeded labelled findings (candidate, before, after, path, label): keys, tokens and passwords against digests, ids, numbers and long words. dictionary: words that prose is made of, too."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     some = lambda chars, k: "".join(pick(chars) for _ in range(k))
     hexes, b64, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
     syllables = ("an", "er", "tion", "ti", "re", "ou", "in", "the", "st", "en", "nd", "ly", "le", "de", "ver", "ge", "ich")
-    word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
+    known = sorted(dictionary)
+    word = lambda: pick(known) if known and rng.integers(3) else "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
     prose = lambda: " ".join(word() for _ in range(4)) + pick([" ", ". ", ", ", "\n"])
     paths = ("src/app.py", "config/deploy.yaml", "notes.md", "web/page", "tests/fixtures/a.json", "docs/guide.md", "src0", "src7", "")
     hints = ("password", "token", "api_key", "secret", "auth_token", "access_key", "passwd")
@@ -159,8 +171,11 @@ def synthetic_findings(n: int = 6000, seed: int = 5) -> list[dict]:
     for i in range(n):
         before, after, label = prose(), pick([" ", "\n", ". ", ", "]) + word(), i % 2
         if label:
-            kind, assigned = int(rng.integers(11)), False
-            if kind == 0:
+            kind, assigned = int(rng.integers(13)), False
+            if kind >= 11:
+                c = some(pick([string.ascii_letters, string.ascii_letters, string.ascii_lowercase, string.ascii_letters + "_-"]), int(rng.integers(16, 48)))
+                before += pick(hints) + pick([" = ", ": ", "=", ":"]) + pick(['"', "'", ""]) if kind == 11 else ""
+            elif kind == 0:
                 c = "AKIA" + some(upper, 16)
             elif kind == 1:
                 c = pick(["ghp_", "gho_", "sk_live_", "xoxb-", "glpat-"]) + some(b64, int(rng.integers(20, 40)))
@@ -183,8 +198,13 @@ def synthetic_findings(n: int = 6000, seed: int = 5) -> list[dict]:
                 c = some(b64 + "+/", 40)
                 before += pick(["aws_secret_access_key = ", "private key "])
         else:
-            kind, assigned = int(rng.integers(12)), False
-            if kind == 0:
+            kind, assigned = int(rng.integers(16)), False
+            if kind >= 14:
+                c = pick(["-", "_", "", "/"]).join(pick([word(), word().capitalize()]) for _ in range(int(rng.integers(2, 7))))
+                c = c if len(c) >= LEAST_CHARS else c + pick(["-", "/"]) + word() + word() + word()
+            elif kind >= 12:
+                c = pick(["=", "-", "_", "+=", "x", "ha", "/-"]) * int(rng.integers(12, 40))
+            elif kind == 0:
                 c, before = some(hexes, pick([12, 32, 40, 64])), before + pick(calm) + " "
             elif kind == 1:
                 c = "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12))
@@ -209,15 +229,17 @@ def synthetic_findings(n: int = 6000, seed: int = 5) -> list[dict]:
     return out
 
 
-def train(findings: DataFrame | list[dict]) -> Forest:
-    """Labelled findings to a forest. A DataFrame gives at most MOST_FINDINGS rows, those with the least hashes; rows with nulls count as empty texts."""
+def train(findings: DataFrame | list[dict], words: frozenset[str] = frozenset()) -> Forest:
+    """Labelled findings to a forest, which keeps `words` as its dictionary. A DataFrame gives at most MOST_FINDINGS rows, those with the least hashes; rows with nulls count as empty texts."""
     if isinstance(findings, DataFrame):
         columns = ["candidate", "before", "after", "path", "label"]
         chosen = findings.select(*columns).orderBy(F.xxhash64("candidate", "before", "after", "path", "label")).limit(MOST_FINDINGS)
         findings = chosen.toArrow().to_pylist()
     rows = [r for r in findings if r["candidate"] and r["label"] in (0, 1)]
-    x = np.array([features(r["candidate"], r["before"] or "", r["after"] or "", r["path"] or "") for r in rows], dtype=float)
-    return Forest().fit(x, np.array([r["label"] for r in rows], dtype=float))
+    x = np.array([features(r["candidate"], r["before"] or "", r["after"] or "", r["path"] or "", words) for r in rows], dtype=float)
+    forest = Forest()
+    forest.words = words
+    return forest.fit(x, np.array([r["label"] for r in rows], dtype=float))
 
 
 def candidate_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,8 +252,7 @@ def candidate_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     begins[inner] = run[inner]
     closes[inner - 1] = run[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58))])
-    keep = (end - start >= LEAST_CHARS) & (digits[end] > digits[start])
+    keep = end - start >= LEAST_CHARS
     return np.searchsorted(offsets, start[keep], "right") - 1, start[keep], end[keep]
 
 
@@ -277,7 +298,7 @@ def _scan(shared):
                 raw, said = part.tobytes(), []
                 spans = _with_assigned(raw, at, row, start, end)
                 for r, s, e in spans:
-                    said.append(features(raw[s:e].decode("utf-8", "ignore"), raw[max(at[r], s - BEFORE) : s].decode("utf-8", "ignore"), raw[e : min(at[r + 1], e + AFTER)].decode("utf-8", "ignore"), paths[r] or ""))
+                    said.append(features(raw[s:e].decode("utf-8", "ignore"), raw[max(at[r], s - BEFORE) : s].decode("utf-8", "ignore"), raw[e : min(at[r + 1], e + AFTER)].decode("utf-8", "ignore"), paths[r] or "", forest.words))
                 scores = forest.predict(np.array(said, dtype=float)) if said else []
                 out: list[list[dict]] = [[] for _ in range(b - a)]
                 for (r, s, e), score in zip(spans, scores, strict=True):
