@@ -448,12 +448,12 @@ def namespaces(spark, sf_dir):
 
 @query("SELECT lang AS namespace, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE n_chars > 300 ORDER BY 1, 2 LIMIT 50 OFFSET 20")
 def list_page_query(spark, sf_dir):
-    return list_page(metadata_records(spark, sf_dir), None, {"n_chars": {"$gt": 300}}, 50, 20).select("namespace", "id")
+    return list_page(metadata_records(spark, sf_dir), None, {"n_chars": {"$gt": 300}}, 50, 20, now=0.0).select("namespace", "id")
 
 
 @query("SELECT lang AS namespace, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE (lang, CAST(doc_id AS VARCHAR)) > ('en', '5') ORDER BY 1, 2 LIMIT 40")
 def cursor_page_query(spark, sf_dir):
-    return cursor_page(metadata_records(spark, sf_dir), None, None, 40, "en\0" + "5").select("namespace", "id")
+    return cursor_page(metadata_records(spark, sf_dir), None, None, 40, "en\0" + "5", now=0.0).select("namespace", "id")
 
 
 @query("SELECT lang AS namespace, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id = 42 AND lang IN (SELECT lang FROM documents WHERE doc_id = 42)")
