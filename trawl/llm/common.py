@@ -62,17 +62,17 @@ def shuffle_partitions(spark: SparkSession, least: int = 64) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def buckets_for(df: DataFrame, least: int = 8) -> int:
-    """Reduce tasks for packed signatures of df, from the optimizer's estimate of its size: one for each 2 MB up to 1024, then one more for each 128 MB.
+def buckets_for(df: DataFrame, least: int = 64) -> int:
+    """Reduce tasks for packed signatures of df, from the optimizer's estimate of its size: one for each 4 MB up to 1024, then one more for each 128 MB.
 
     Where the optimizer knows no size (rows that don't come from files), 64 or spark.sql.shuffle.partitions.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 55:
         return shuffle_partitions(df.sparkSession)
-    wanted = -(-size // (2 << 20))
+    wanted = -(-size // (4 << 20))
     if wanted > 1024:
-        wanted = 1024 + (size - (2 << 30)) // (128 << 20)
+        wanted = 1024 + (size - (4 << 30)) // (128 << 20)
     return max(shuffle_partitions(df.sparkSession, least), min(wanted, 200_000))
 
 

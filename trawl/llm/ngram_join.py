@@ -144,10 +144,10 @@ def _index(width: int, num: int, den: int, buckets: int, log_sets: int):
                 part = offsets[a : b + 1] - offsets[a]
                 h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], part, SPACE_WORDS), width)
                 (keys, check), n = set_keys(h, at), np.diff(at)
-                _, once = np.unique(keys, return_index=True)  # equal sets of a batch are indexed once
+                named = np.flatnonzero(ids.slice(a, b - a).is_valid().to_numpy(zero_copy_only=False) & (n > 0))
+                _, once = np.unique(keys[named], return_index=True)  # equal sets of a batch are indexed once
                 chosen = np.zeros(len(keys), dtype=bool)
-                chosen[once] = True
-                chosen &= n > 0
+                chosen[named[once]] = True
                 sketches = [odd_sketch(h[at[i] : at[i + 1]]) if chosen[i] else None for i in range(len(n))]
                 rows = pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys.view(np.int64)), pa.array(n | (check << 32)), pa.array(sketches, pa.binary())], names=["doc_id", "key", "n", "sketch"])
                 yield riders(rows, int(keys[0] % U64(buckets)))
@@ -226,8 +226,9 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den
 
     # n holds the set's size and, above it, the check
     members = found.where("key is not null").select("doc_id", "key", "n")
-    kinds = found.where("key is not null and n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id"), F.max("sketch").alias("sketch"))
-    nodes = kinds.groupBy("key").agg(F.min(F.struct("n", "doc_id", "sketch")).alias("x")).select("key", (F.col("x.n") % (1 << 32)).alias("n"), F.col("x.n").alias("own"), "x.doc_id", "x.sketch")
+    own = F.struct("n", "doc_id").alias("own")
+    nodes = found.where("key is not null and n > 0 and doc_id is not null").groupBy("key").agg(F.min(own).alias("own"), F.max("n").alias("most"), F.min(F.struct("n", F.col("sketch").isNull().alias("none"), "sketch")).alias("s"))
+    nodes = checkpointed(nodes.select("key", (F.col("own.n") % (1 << 32)).alias("n"), F.col("own.n").alias("own"), "most", F.col("own.doc_id").alias("doc_id"), F.col("s.sketch").alias("sketch")))
     groups = checkpointed(probable_groups(found, nodes, num, den, few, many))
 
     wanted = checkpointed(groups.join(nodes.select(F.col("key").alias("node"), "doc_id", "own"), "node").select("doc_id", F.col("node").alias("key"), F.col("own").alias("n"), "component"))
@@ -235,9 +236,11 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den
     sets = checkpointed(maybe.join(wanted, "doc_id").select("component", "key", "n", "text").mapInArrow(_checked(width), "component long, key long, payload binary").dropDuplicates(["key"]))
     labels = exact_groups(sets, num, den, decode=shingle_sets(width)).select(F.col("node").alias("key"), F.col("component").alias("label"))
 
-    labels = labels.join(nodes.select("key", F.col("own").alias("n")), "key")
-    known = kinds.join(labels, ["key", "n"], "left").select("key", "n", "doc_id", F.coalesce("label", "key").alias("label"), F.when(F.col("label").isNull(), F.col("n")).otherwise(-1).alias("alone"))
-    least = known.groupBy("label", "alone").agg(F.min("doc_id").alias("component_id"))
-    of_key = known.join(least, ["label", "alone"]).select("key", "n", "component_id")
+    known = nodes.select("key", "own", "doc_id").join(labels, "key", "left").select("key", "own", "doc_id", F.coalesce("label", "key").alias("label"))
+    least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_key = known.join(least, "label").select("key", F.col("own").alias("n"), "component_id")
+    if nodes.where("own != most").limit(1).count():  # other sets have the key of one: each of them is a group of its own
+        others = members.where("n > 0 and doc_id is not null").join(nodes.select("key", F.col("own").alias("n")), ["key", "n"], "left_anti")
+        of_key = of_key.unionByName(others.groupBy("key", "n").agg(F.min("doc_id").alias("component_id")).select("key", "n", "component_id"))
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return members.join(of_key, ["key", "n"], "left").select("doc_id", (F.col("n") % (1 << 32)).alias("n_shingles"), own.alias("component_id"))

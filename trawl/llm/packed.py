@@ -94,8 +94,8 @@ PAIRS_DDL = "hot boolean, a long, b long, na long, nb long"
 def candidates(batches: Iterator[pa.RecordBatch], most: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (hot false: node a < node b as unsigned, and sizes) of signatures that at most `most` nodes share.
 
-    A signature that more nodes share yields its own rows instead (hot true: a is the signature, b a node, nb its size),
-    for a join that deals them out in blocks. Pairs whose sizes rule out den * min >= num * max are dropped.
+    A signature that more nodes share yields a row for each of them instead (hot true: a is the least of its nodes, b a node, nb its size); signatures with the same least node, which near
+    copies have many of, yield the rows of one group. Pairs whose sizes rule out den * min >= num * max are dropped.
     """
     parts: dict[int, list[bytes]] = {}
     for batch in batches:
@@ -121,7 +121,13 @@ def candidates(batches: Iterator[pa.RecordBatch], most: int, num: int, den: int)
         shared = np.repeat(counts, counts)
         hot = shared > most
         if hot.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(hot.sum()), dtype=bool)), pa.array(sig[hot].astype(np.int64)), pa.array(node[hot].view(np.int64)), pa.array(np.zeros(int(hot.sum()), dtype=np.int64)), pa.array(size[hot].astype(np.int64))], schema=PAIRS)
+            hub, key, n = np.repeat(node[starts], counts)[hot], node[hot], size[hot].astype(np.int64)  # nodes are in order within a signature
+            order = np.lexsort((key, hub))
+            hub, key, n = hub[order], key[order], n[order]
+            new = np.ones(len(hub), dtype=bool)
+            new[1:] = (hub[1:] != hub[:-1]) | (key[1:] != key[:-1])
+            hub, key, n = hub[new], key[new], n[new]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hub), dtype=bool)), pa.array(hub.view(np.int64)), pa.array(key.view(np.int64)), pa.array(np.zeros(len(hub), dtype=np.int64)), pa.array(n)], schema=PAIRS)
         some = (shared > 1) & ~hot
         sig, node, size = sig[some], node[some], size[some].astype(np.int64)
         found = []

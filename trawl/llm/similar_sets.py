@@ -2,7 +2,7 @@
 
 A set is a sorted array of distinct 64-bit hashes with a 64-bit key. Sets a and b link when den * |intersection| >= num * |union|.
 
-The sets of a hot signature are compared with each other by sketch in one block, up to `many` of them. A larger group of n sets, or one that sketches can't part, is compared
+The sets of hot signatures that have the same least set are compared with each other by sketch in one block, up to `many` of them. A larger group of n sets, or one that sketches can't part, is compared
 with one representative first. Sets that aren't connected to it by then give further representatives, round by round and eight times as many each time, each
 compared with the whole group; what is connected to the first one in between needs no comparison of its own. So a large group of near copies costs n comparisons
 for each representative, not n * n; only sets that link to nothing are each compared with their whole group in the end, as they have to be.
@@ -216,31 +216,26 @@ def _resolved(edges: DataFrame, members: DataFrame, compare: Callable[[DataFrame
 def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few: int = 256, many: int = 4096) -> DataFrame:
     """(node, component) of components that hold every link among the candidates.
 
-    found: rows of packed.candidates; nodes (key, n, sketch). Pairs that sketches rule out go. The sets of a hot signature are compared in one block if they are at most `many`;
-    else with the least one, pairs that several signatures ask for once, and what isn't connected to it then in rounds.
+    found: rows of packed.candidates; nodes (key, n, sketch), checkpointed. Pairs that sketches rule out go. The sets of hot signatures that have the same least set are compared in one
+    block if they are at most `many`; else with that one, and what isn't connected to it then in rounds.
     """
     left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    hot = found.where("hot").select(F.col("a").alias("grp"), F.col("b").alias("key")).join(nodes.select("key"), "key", "left_semi")
-    sizes = checkpointed(hot.groupBy("grp").agg(F.min("key").alias("hub"), F.count("*").alias("size")))
+    hot = checkpointed(found.where("hot").select(F.col("a").alias("grp"), F.col("b").alias("key")).distinct())
+    sizes = hot.groupBy("grp").agg(F.count("*").alias("size"))
     values = nodes.select("key", F.col("n").cast("long").alias("n"), "sketch")
     small = hot.join(sizes.where(F.col("size") <= many).select("grp"), "grp", "left_semi").join(values, "key")
     warm = small.groupBy("grp").applyInArrow(_whole_by_sketch(num, den), "a long, b long")
-    hubs = sizes.where(F.col("size") > many).select("grp", "hub")
-    stars = hot.join(hubs, "grp").where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b"), F.lit(True).alias("star"))
+    large = hot.join(sizes.where(F.col("size") > many).select("grp"), "grp", "left_semi")
+    stars = large.where("key != grp").select(F.col("grp").alias("a"), F.col("key").alias("b"), F.lit(True).alias("star"))
     pairs = found.where("not hot").select("a", "b", F.lit(False).alias("star")).unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
     told = pairs.join(left, "a").join(right, "b").where("sa is not null and sb is not null")
     told = checkpointed(told.mapInArrow(_by_sketch(num, den), "a long, b long, near boolean, star boolean").where("near or star"))
-    edges = told.where("near").select("a", "b").unionByName(warm)
-    if not hubs.limit(1).count():
-        return connected_components(edges)
-    edges = checkpointed(edges)
-    apart = told.where("star and not near").select(F.col("a").alias("hub"), F.col("b").alias("key"))
+    edges = checkpointed(told.where("near").select("a", "b").unionByName(warm))
+    apart = told.where("star and not near").select(F.col("a").alias("grp")).distinct()
     if not apart.limit(1).count():
         return connected_components(edges)
-    # signatures with the same least set, which near copies have many of, make one group
-    open_groups = hubs.join(apart.select("hub").distinct(), "hub", "left_semi")
-    members = checkpointed(hot.join(open_groups, "grp").select(F.col("hub").alias("grp"), "key", "hub").distinct())
+    members = checkpointed(large.join(apart, "grp", "left_semi").select("grp", "key", F.col("grp").alias("hub")))
     return _resolved(edges, members, lambda asks: _in_blocks(asks, members.select("grp", "key"), values, few, many, _block_by_sketch(num, den)), few)
 
 
