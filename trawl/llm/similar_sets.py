@@ -6,6 +6,9 @@ The sets of hot signatures that have the same least set are compared with each o
 with one representative first. Sets that aren't connected to it by then give further representatives, round by round and eight times as many each time, each
 compared with the whole group; what is connected to the first one in between needs no comparison of its own. So a large group of near copies costs n comparisons
 for each representative, not n * n; only sets that link to nothing are each compared with their whole group in the end, as they have to be.
+
+Blocks are bounded in rows and in bytes (MOST_BYTES on either side, or one set), and whole sets are decoded a slice of SLICE_BYTES at a time, so that groups of very long texts take
+more blocks instead of more memory.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed
+from .common import U64, checkpointed, slices
 from .components import connected_components
 
 Decoder = Callable[[pa.Array], list[np.ndarray]]
 
+MOST_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
+
 
 def differences(a, b, num: int, den: int):
     """The most elements in which sets of these sizes differ at that similarity."""
@@ -158,34 +164,39 @@ def _block_exactly(num: int, den: int, decode: Decoder):
     """Rows (role, key, payload) of a block of representatives (role 0) and one of members (role 1) to the links that join trees."""
 
     def run(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        role, keys = (table.column(c).to_pylist() for c in ("role", "key"))
-        sets = decode(table.column("payload").combine_chunks())
-        ones = [i for i in range(len(keys)) if role[i] == 1]
+        role, payload = table.column("role").to_numpy(), table.column("payload").combine_chunks()
+        keys = table.column("key").to_pylist()
         number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
         trees, out = _Forest(len(number)), []
-        if not ones:
+        zeros, ones = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        if not len(zeros) or not len(ones):
             return _EDGES.empty_table()
-        flat = np.concatenate([sets[i] for i in ones])
-        owner = np.repeat(np.arange(len(ones)), [len(sets[i]) for i in ones])
-        order = np.argsort(flat, kind="stable")
-        flat, owner, size = flat[order], owner[order], np.array([len(sets[i]) for i in ones])
-        for i in (i for i in range(len(keys)) if role[i] == 0):
-            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            count = hi - lo
-            at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            both = np.bincount(owner[at], minlength=len(ones))
-            for j in np.flatnonzero(den * both >= num * (size + len(sets[i]) - both)):
-                if keys[ones[j]] != keys[i] and trees.add(number[keys[i]], number[keys[ones[j]]]):
-                    out.append((keys[i], keys[ones[j]]))
+        firsts, members = decode(payload.take(pa.array(zeros))), payload.take(pa.array(ones))
+        bytes_before = np.concatenate([[0], np.cumsum(pc.binary_length(members).fill_null(0).to_numpy(zero_copy_only=False))])
+        for a, b in slices(bytes_before, SLICE_BYTES):
+            sets, part = decode(members.slice(a, b - a)), ones[a:b]
+            size = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i, own in zip(zeros, firsts, strict=True):
+                lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                count = hi - lo
+                at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                both = np.bincount(owner[at], minlength=len(sets))
+                for j in part[np.flatnonzero(den * both >= num * (size + len(own) - both))]:
+                    if keys[j] != keys[i] and trees.add(number[keys[i]], number[keys[j]]):
+                        out.append((keys[i], keys[j]))
         return pa.Table.from_pylist([{"a": a, "b": b} for a, b in out], schema=_EDGES)
 
     return run
 
 
 def _in_blocks(asks: DataFrame, members: DataFrame, values: DataFrame, few: int, many: int, compare) -> DataFrame:
-    """asks, members (grp, key), values (key, ...): every representative with every member of its group, in blocks of about few and many rows."""
-    asked = asks.groupBy("grp").agg(F.ceil(F.count("*") / few).cast("int").alias("s"))
-    sizes = members.join(asked.select("grp"), "grp", "left_semi").groupBy("grp").agg(F.ceil(F.count("*") / many).cast("int").alias("t")).join(asked, "grp")
+    """asks, members (grp, key, size), values (key, ...): every representative with every member of its group, in blocks of about few and many rows and MOST_BYTES at most."""
+    blocks = lambda rows: F.ceil(F.greatest(F.count("*") / rows, F.sum("size") / MOST_BYTES)).cast("int")
+    asked = asks.groupBy("grp").agg(blocks(few).alias("s"))
+    sizes = members.join(asked.select("grp"), "grp", "left_semi").groupBy("grp").agg(blocks(many).alias("t")).join(asked, "grp")
     row, column = F.pmod(F.xxhash64("key"), F.col("s")).cast("int"), F.pmod(F.xxhash64("key"), F.col("t")).cast("int")
     left = asks.join(sizes, "grp").select("grp", "key", row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("j"), F.lit(0).alias("role"))
     right = members.join(sizes, "grp").select("grp", "key", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("i"), column.alias("j"), F.lit(1).alias("role"))
@@ -193,21 +204,21 @@ def _in_blocks(asks: DataFrame, members: DataFrame, values: DataFrame, few: int,
 
 
 def _resolved(edges: DataFrame, members: DataFrame, compare: Callable[[DataFrame], DataFrame], first: int) -> DataFrame:
-    """edges (a, b), members (grp, key, hub) to components (node, component) of all links inside groups.
+    """edges (a, b), members (grp, key, hub, size in bytes) to components (node, component) of all links inside groups.
 
-    compare: representatives (grp, key) to the edges between them and all members of their groups. A member that is in its hub's component is settled; of the
+    compare: representatives (grp, key, size) to the edges between them and all members of their groups. A member that is in its hub's component is settled; of the
     others some `first` of each group are compared in the first round, and eight times as many in each further one.
     """
     asked, width = None, first
     while True:
         labels = checkpointed(connected_components(edges))
         own, hubs = labels.select(F.col("node").alias("key"), F.col("component").alias("l")), labels.select(F.col("node").alias("hub"), F.col("component").alias("m"))
-        loose = members.where("key != hub").join(own, "key", "left").join(hubs, "hub", "left").where("coalesce(l, key) != coalesce(m, hub)").select("grp", "key")
-        loose = checkpointed(loose if asked is None else loose.join(asked, ["grp", "key"], "left_anti"))
+        loose = members.where("key != hub").join(own, "key", "left").join(hubs, "hub", "left").where("coalesce(l, key) != coalesce(m, hub)").select("grp", "key", "size")
+        loose = checkpointed(loose if asked is None else loose.join(asked.select("grp", "key"), ["grp", "key"], "left_anti"))
         if not loose.limit(1).count():
             return labels
         every = loose.groupBy("grp").agg(F.ceil(F.count("*") / width).cast("long").alias("every"))
-        asks = checkpointed(loose.join(every, "grp").where(F.pmod(F.xxhash64("key", F.lit(width)), F.col("every")) == 0).select("grp", "key"))
+        asks = checkpointed(loose.join(every, "grp").where(F.pmod(F.xxhash64("key", F.lit(width)), F.col("every")) == 0).select("grp", "key", "size"))
         edges = edges.unionByName(checkpointed(compare(asks)))
         asked = asks if asked is None else asked.unionByName(asks)
         width *= 8
@@ -221,12 +232,14 @@ def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few:
     """
     left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    hot = checkpointed(found.where("hot").select(F.col("a").alias("grp"), F.col("b").alias("key")).distinct())
-    sizes = hot.groupBy("grp").agg(F.count("*").alias("size"))
+    hot = found.where("hot").select(F.col("a").alias("grp"), F.col("b").alias("key")).distinct()
+    hot = checkpointed(hot.join(nodes.select("key", F.octet_length("sketch").cast("long").alias("size")), "key").select("grp", "key", "size"))
+    fits = (F.count("*") <= many) & (F.sum("size") <= MOST_BYTES)
+    sizes = hot.groupBy("grp").agg(fits.alias("fits"))
     values = nodes.select("key", F.col("n").cast("long").alias("n"), "sketch")
-    small = hot.join(sizes.where(F.col("size") <= many).select("grp"), "grp", "left_semi").join(values, "key")
+    small = hot.drop("size").join(sizes.where("fits").select("grp"), "grp", "left_semi").join(values, "key")
     warm = small.groupBy("grp").applyInArrow(_whole_by_sketch(num, den), "a long, b long")
-    large = hot.join(sizes.where(F.col("size") > many).select("grp"), "grp", "left_semi")
+    large = hot.join(sizes.where("not fits").select("grp"), "grp", "left_semi")
     stars = large.where("key != grp").select(F.col("grp").alias("a"), F.col("key").alias("b"), F.lit(True).alias("star"))
     pairs = found.where("not hot").select("a", "b", F.lit(False).alias("star")).unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
     told = pairs.join(left, "a").join(right, "b").where("sa is not null and sb is not null")
@@ -235,8 +248,8 @@ def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few:
     apart = told.where("star and not near").select(F.col("a").alias("grp")).distinct()
     if not apart.limit(1).count():
         return connected_components(edges)
-    members = checkpointed(large.join(apart, "grp", "left_semi").select("grp", "key", F.col("grp").alias("hub")))
-    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.select("grp", "key"), values, few, many, _block_by_sketch(num, den)), few)
+    members = checkpointed(large.join(apart, "grp", "left_semi").select("grp", "key", F.col("grp").alias("hub"), "size"))
+    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.drop("hub"), values, few, many, _block_by_sketch(num, den)), few)
 
 
 def exact_groups(sets: DataFrame, num: int, den: int, few: int = 256, many: int = 512, *, decode: Decoder) -> DataFrame:
@@ -250,5 +263,5 @@ def exact_groups(sets: DataFrame, num: int, den: int, few: int = 256, many: int
     open_groups = told.where("not linked").select("component").distinct()
     if not open_groups.limit(1).count():
         return connected_components(edges)
-    members = checkpointed(sets.join(open_groups, "component", "left_semi").select(F.col("component").alias("grp"), "key", F.col("component").alias("hub")))
-    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.select("grp", "key"), sets.select("key", "payload"), few, many, _block_exactly(num, den, decode)), few)
+    members = checkpointed(sets.join(open_groups, "component", "left_semi").select(F.col("component").alias("grp"), "key", F.col("component").alias("hub"), F.octet_length("payload").cast("long").alias("size")))
+    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.drop("hub"), sets.select("key", "payload"), few, many, _block_exactly(num, den, decode)), few)
