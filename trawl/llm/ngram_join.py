@@ -193,8 +193,8 @@ def shingle_sets(width: int):
 
 
 def _checked(width: int):
-    """Rows (component, key, n, text) whose text has that key and size with check; after a repeated doc_id some haven't."""
-    schema = pa.schema([("component", pa.int64()), ("key", pa.int64()), ("payload", pa.binary())])
+    """Rows (component, key, n, degree, text) whose text has that key and size with check; after a repeated doc_id some haven't."""
+    schema = pa.schema([("component", pa.int64()), ("key", pa.int64()), ("degree", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +202,7 @@ def _checked(width: int):
             for a, b in slices(offsets, 3 << 20):
                 h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE_WORDS), width)
                 part = batch.slice(a, b - a)
-                rows = pa.RecordBatch.from_arrays([part.column("component"), part.column("key"), part.column("text").cast(pa.binary())], schema=schema)
+                rows = pa.RecordBatch.from_arrays([part.column("component"), part.column("key"), part.column("degree"), part.column("text").cast(pa.binary())], schema=schema)
                 keys, check = set_keys(h, at)
                 yield rows.filter(pa.array((keys.view(np.int64) == rows.column(1).to_numpy()) & ((np.diff(at) | (check << 32)) == part.column("n").to_numpy())))
 
@@ -231,9 +231,9 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den
     nodes = checkpointed(nodes.select("key", (F.col("own.n") % (1 << 32)).alias("n"), F.col("own.n").alias("own"), "most", F.col("own.doc_id").alias("doc_id"), F.col("s.sketch").alias("sketch")))
     groups = checkpointed(probable_groups(found, nodes, num, den, few, many))
 
-    wanted = checkpointed(groups.join(nodes.select(F.col("key").alias("node"), "doc_id", "own"), "node").select("doc_id", F.col("node").alias("key"), F.col("own").alias("n"), "component"))
+    wanted = checkpointed(groups.join(nodes.select(F.col("key").alias("node"), "doc_id", "own"), "node").select("doc_id", F.col("node").alias("key"), F.col("own").alias("n"), "component", "degree"))
     maybe = source.where(Bitmap(wanted, "doc_id").has(F.xxhash64("doc_id")))  # spares most texts the shuffle
-    sets = checkpointed(maybe.join(wanted, "doc_id").select("component", "key", "n", "text").mapInArrow(_checked(width), "component long, key long, payload binary").dropDuplicates(["key"]))
+    sets = checkpointed(maybe.join(wanted, "doc_id").select("component", "key", "n", "degree", "text").mapInArrow(_checked(width), "component long, key long, degree long, payload binary").dropDuplicates(["key"]))
     labels = exact_groups(sets, num, den, decode=shingle_sets(width)).select(F.col("node").alias("key"), F.col("component").alias("label"))
 
     known = nodes.select("key", "own", "doc_id").join(labels, "key", "left").select("key", "own", "doc_id", F.coalesce("label", "key").alias("label"))

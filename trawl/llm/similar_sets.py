@@ -3,8 +3,8 @@
 A set is a sorted array of distinct 64-bit hashes with a 64-bit key. Sets a and b link when den * |intersection| >= num * |union|.
 
 The sets of hot signatures that have the same least set are compared with each other by sketch in one block, up to `many` of them. A larger group of n sets, or one that sketches can't part, is compared
-with one representative first. Sets that aren't connected to it by then give further representatives, round by round and eight times as many each time, each
-compared with the whole group; what is connected to the first one in between needs no comparison of its own. So a large group of near copies costs n comparisons
+with one representative first. Sets that aren't connected to it by then give further representatives, round by round and eight times as many each time, those with most probable links first, as
+an original has that many of its copies link to; each is compared with the whole group; what is connected to the first one in between needs no comparison of its own. So a large group of near copies costs n comparisons
 for each representative, not n * n; only sets that link to nothing are each compared with their whole group in the end, as they have to be.
 
 Blocks are bounded in rows and in bytes (MOST_BYTES on either side, or one set), and whole sets are decoded a slice of SLICE_BYTES at a time, so that groups of very long texts take
@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, checkpointed, slices
@@ -203,29 +203,42 @@ def _in_blocks(asks: DataFrame, members: DataFrame, values: DataFrame, few: int,
     return left.unionByName(right).join(values, "key").groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _resolved(edges: DataFrame, members: DataFrame, compare: Callable[[DataFrame], DataFrame], first: int) -> DataFrame:
-    """edges (a, b), members (grp, key, hub, size in bytes) to components (node, component) of all links inside groups.
+def _degrees(edges: DataFrame) -> DataFrame:
+    """(key, degree): the number of edges at each node."""
+    return edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+
+
+def _foremost(loose: DataFrame, width: int) -> DataFrame:
+    """Of each group of loose (grp, key, size, degree) about `width` rows: those of the highest degrees, by powers of two, and a hashed share of the last power."""
+    levels = loose.groupBy("grp", F.floor(F.log2(F.col("degree") + 1)).alias("level")).agg(F.count("*").alias("c"))
+    above = F.coalesce(F.sum("c").over(Window.partitionBy("grp").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = levels.withColumn("left", F.lit(width) - above).where("left > 0").select("grp", "level", F.ceil(F.col("c") / F.col("left")).alias("every"))
+    rows = loose.withColumn("level", F.floor(F.log2(F.col("degree") + 1))).join(taken, ["grp", "level"])
+    return rows.where(F.pmod(F.xxhash64("key", F.lit(width)), F.col("every")) == 0).select("grp", "key", "size")
+
+
+def _resolved(edges: DataFrame, members: DataFrame, compare: Callable[[DataFrame], DataFrame], first: int) -> tuple[DataFrame, DataFrame]:
+    """edges (a, b), members (grp, key, hub, size in bytes, degree) to components (node, component) of all links inside groups, and the edges found.
 
     compare: representatives (grp, key, size) to the edges between them and all members of their groups. A member that is in its hub's component is settled; of the
-    others some `first` of each group are compared in the first round, and eight times as many in each further one.
+    others the `first` of each group with the highest degree are compared in the first round, and eight times as many in each further one.
     """
     asked, width = None, first
     while True:
         labels = checkpointed(connected_components(edges))
         own, hubs = labels.select(F.col("node").alias("key"), F.col("component").alias("l")), labels.select(F.col("node").alias("hub"), F.col("component").alias("m"))
-        loose = members.where("key != hub").join(own, "key", "left").join(hubs, "hub", "left").where("coalesce(l, key) != coalesce(m, hub)").select("grp", "key", "size")
+        loose = members.where("key != hub").join(own, "key", "left").join(hubs, "hub", "left").where("coalesce(l, key) != coalesce(m, hub)").select("grp", "key", "size", "degree")
         loose = checkpointed(loose if asked is None else loose.join(asked.select("grp", "key"), ["grp", "key"], "left_anti"))
         if not loose.limit(1).count():
-            return labels
-        every = loose.groupBy("grp").agg(F.ceil(F.count("*") / width).cast("long").alias("every"))
-        asks = checkpointed(loose.join(every, "grp").where(F.pmod(F.xxhash64("key", F.lit(width)), F.col("every")) == 0).select("grp", "key", "size"))
+            return labels, edges
+        asks = checkpointed(_foremost(loose, width))
         edges = edges.unionByName(checkpointed(compare(asks)))
         asked = asks if asked is None else asked.unionByName(asks)
         width *= 8
 
 
 def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few: int = 256, many: int = 4096) -> DataFrame:
-    """(node, component) of components that hold every link among the candidates.
+    """(node, component, degree) of components that hold every link among the candidates; degree: the probable links of a node that were kept.
 
     found: rows of packed.candidates; nodes (key, n, sketch), checkpointed. Pairs that sketches rule out go. The sets of hot signatures that have the same least set are compared in one
     block if they are at most `many`; else with that one, and what isn't connected to it then in rounds.
@@ -247,21 +260,26 @@ def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few:
     edges = checkpointed(told.where("near").select("a", "b").unionByName(warm))
     apart = told.where("star and not near").select(F.col("a").alias("grp")).distinct()
     if not apart.limit(1).count():
-        return connected_components(edges)
-    members = checkpointed(large.join(apart, "grp", "left_semi").select("grp", "key", F.col("grp").alias("hub"), "size"))
-    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.drop("hub"), values, few, many, _block_by_sketch(num, den)), few)
+        labels = connected_components(edges)
+    else:
+        members = large.join(apart, "grp", "left_semi").join(_degrees(edges), "key", "left")
+        members = checkpointed(members.select("grp", "key", F.col("grp").alias("hub"), "size", F.coalesce("degree", F.lit(0)).alias("degree")))
+        labels, edges = _resolved(edges, members, lambda asks: _in_blocks(asks, members.select("grp", "key", "size"), values, few, many, _block_by_sketch(num, den)), few)
+    return labels.join(_degrees(edges).withColumnRenamed("key", "node"), "node", "left").select("node", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def exact_groups(sets: DataFrame, num: int, den: int, few: int = 256, many: int = 512, *, decode: Decoder) -> DataFrame:
-    """sets (component long, key long, payload binary), checkpointed and with distinct keys, to (node, component) of the links within components.
+    """sets (component long, key long, payload binary, degree long), checkpointed and with distinct keys, to (node, component) of the links within components.
 
-    Each set is compared with one representative of its component; what isn't connected to it is compared in rounds. decode: payloads to sets.
+    Each set is compared with one representative of its component, that of the highest degree; what isn't connected to it is compared in rounds. decode: payloads to sets.
     """
-    firsts = sets.where("key = component").select("component", F.col("key").alias("first_key"), F.col("payload").alias("of_first"))
-    told = checkpointed(sets.where("key != component").join(firsts, "component").mapInArrow(_with_representative(num, den, decode), "component long, key long, first_key long, linked boolean"))
+    hubs = sets.groupBy("component").agg(F.max(F.struct("degree", "key")).alias("hub")).select("component", F.col("hub.key").alias("first_key"))
+    firsts = checkpointed(hubs.join(sets.select(F.col("key").alias("first_key"), F.col("payload").alias("of_first")), "first_key"))
+    told = checkpointed(sets.join(firsts, "component").where("key != first_key").mapInArrow(_with_representative(num, den, decode), "component long, key long, first_key long, linked boolean"))
     edges = told.where("linked").select(F.col("key").alias("a"), F.col("first_key").alias("b"))
-    open_groups = told.where("not linked").select("component").distinct()
+    open_groups = told.where("not linked").select("component", "first_key").distinct()
     if not open_groups.limit(1).count():
         return connected_components(edges)
-    members = checkpointed(sets.join(open_groups, "component", "left_semi").select(F.col("component").alias("grp"), "key", F.col("component").alias("hub"), F.octet_length("payload").cast("long").alias("size")))
-    return _resolved(edges, members, lambda asks: _in_blocks(asks, members.drop("hub"), sets.select("key", "payload"), few, many, _block_exactly(num, den, decode)), few)
+    members = checkpointed(sets.join(open_groups, "component").select(F.col("component").alias("grp"), "key", F.col("first_key").alias("hub"), F.octet_length("payload").cast("long").alias("size"), "degree"))
+    compare = lambda asks: _in_blocks(asks, members.select("grp", "key", "size"), sets.select("key", "payload"), few, many, _block_exactly(num, den, decode))
+    return _resolved(edges, members, compare, few)[0]
