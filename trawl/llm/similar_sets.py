@@ -36,11 +36,11 @@ def differences(a, b, num: int, den: int):
 
 
 def sketch_bits(n: int) -> int:
-    return 64 << max(0, math.ceil(math.log2(max(1, n * 1.2 / 64))))
+    return 64 << max(0, math.ceil(math.log2(max(1, n * 4.8 / 64))))
 
 
 def odd_sketch(h: np.ndarray) -> bytes:
-    """The parity of hashed elements, in a power of two of at least 1.2 bits for each; larger ones fold into smaller ones."""
+    """The parity of hashed elements, in a power of two of at least 4.8 bits for each, which tells similarities below some 0.73 from 0.75; larger ones fold into smaller ones."""
     bits = sketch_bits(len(h))
     ones = np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(ones.astype(np.uint8), bitorder="little").tobytes()
