@@ -72,6 +72,28 @@ def _by_sketch(num: int, den: int):
     return run
 
 
+def _quarter(column: str):
+    """Sketches folded to a quarter of their bits, 64 at least."""
+
+    @F.arrow_udf("binary")
+    def quarter(sketches: pa.Array) -> pa.Array:
+        out = []
+        for x in sketches.to_pylist():
+            size = max(8, len(x or b"") // 4)
+            out.append(x if x is None or len(x) <= size else _fold(x, size).to_bytes(size, "little"))
+        return pa.array(out, pa.binary())
+
+    return quarter(column)
+
+
+def _told(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs (a, b, star) whose nodes (key, n, sketch) may link by their sketches, or that are of a star, as (a, b, near, star), checkpointed."""
+    left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    both = pairs.join(left, "a").join(right, "b").where("sa is not null and sb is not null")
+    return checkpointed(both.mapInArrow(_by_sketch(num, den), "a long, b long, near boolean, star boolean").where("near or star"))
+
+
 class _Forest:
     """Union-find over row numbers; add() tells whether the edge joins two trees."""
 
@@ -243,8 +265,6 @@ def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few:
     found: rows of packed.candidates; nodes (key, n, sketch), checkpointed. Pairs that sketches rule out go. The sets of hot signatures that have the same least set are compared in one
     block if they are at most `many`; else with that one, and what isn't connected to it then in rounds.
     """
-    left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
-    right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     hot = found.where("hot").select(F.col("a").alias("grp"), F.col("b").alias("key")).distinct()
     hot = checkpointed(hot.join(nodes.select("key", F.octet_length("sketch").cast("long").alias("size")), "key").select("grp", "key", "size"))
     fits = (F.count("*") <= many) & (F.sum("size") <= MOST_BYTES)
@@ -255,10 +275,10 @@ def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few:
     large = hot.join(sizes.where("not fits").select("grp"), "grp", "left_semi")
     stars = large.where("key != grp").select(F.col("grp").alias("a"), F.col("key").alias("b"), F.lit(True).alias("star"))
     pairs = found.where("not hot").select("a", "b", F.lit(False).alias("star")).unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
-    told = pairs.join(left, "a").join(right, "b").where("sa is not null and sb is not null")
-    told = checkpointed(told.mapInArrow(_by_sketch(num, den), "a long, b long, near boolean, star boolean").where("near or star"))
+    first = _told(pairs, nodes.withColumn("sketch", _quarter("sketch")), num, den)  # most pairs meet by chance and end here, so that few carry whole sketches
+    told = _told(first.where("near").drop("near"), nodes, num, den)
     edges = checkpointed(told.where("near").select("a", "b").unionByName(warm))
-    apart = told.where("star and not near").select(F.col("a").alias("grp")).distinct()
+    apart = first.unionByName(told).where("star and not near").select(F.col("a").alias("grp")).distinct()
     if not apart.limit(1).count():
         labels = connected_components(edges)
     else:
