@@ -287,7 +287,7 @@ def line_components(texts: DataFrame, index: DataFrame, num: int = 75, den: int
     wanted = Bitmap(keys.select(_mixed("key").alias("at")), "at", hashed=True)
     lines = texts.mapInArrow(_texts(least, wanted, shorter), "key long, check long, line string").join(keys, "key", "left_semi").dropDuplicates(["key"])
     sets = checkpointed(lines.mapInArrow(_sets, "key long, check long, n long, sketch binary, payload binary"))
-    groups = checkpointed(probable_groups(found, sets, num, den)).withColumnRenamed("node", "key")
+    groups = checkpointed(probable_groups(found, sets, num, den, fold=False)).withColumnRenamed("node", "key")
     labels = exact_groups(checkpointed(sets.join(groups, "key").select("component", "key", "payload", "degree")), num, den, decode=shingle_sets)
     return labels.withColumnRenamed("node", "key").join(sets.select("key", "check"), "key")
 

@@ -259,10 +259,10 @@ def _resolved(edges: DataFrame, members: DataFrame, compare: Callable[[DataFrame
         width *= 8
 
 
-def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few: int = 256, many: int = 4096) -> DataFrame:
+def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few: int = 256, many: int = 4096, fold: bool = True) -> DataFrame:
     """(node, component, degree) of components that hold every link among the candidates; degree: the probable links of a node that were kept.
 
-    found: rows of packed.candidates; nodes (key, n, sketch), checkpointed. Pairs that sketches rule out go. The sets of hot signatures that have the same least set are compared in one
+    found: rows of packed.candidates; nodes (key, n, sketch), checkpointed. Pairs that sketches rule out go. fold: by sketches of a quarter first, which pays for large sets. The sets of hot signatures that have the same least set are compared in one
     block if they are at most `many`; else with that one, and what isn't connected to it then in rounds.
     """
     hot = found.where("hot").select(F.col("a").alias("grp"), F.col("b").alias("key")).distinct()
@@ -275,10 +275,13 @@ def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few:
     large = hot.join(sizes.where("not fits").select("grp"), "grp", "left_semi")
     stars = large.where("key != grp").select(F.col("grp").alias("a"), F.col("key").alias("b"), F.lit(True).alias("star"))
     pairs = found.where("not hot").select("a", "b", F.lit(False).alias("star")).unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
-    first = _told(pairs, nodes.withColumn("sketch", _quarter("sketch")), num, den)  # most pairs meet by chance and end here, so that few carry whole sketches
-    told = _told(first.where("near").drop("near"), nodes, num, den)
+    passed = pairs
+    if fold:  # most pairs meet by chance and end here, so that few carry whole sketches
+        first = _told(pairs, nodes.withColumn("sketch", _quarter("sketch")), num, den)
+        passed = first.where("near").drop("near")
+    told = _told(passed, nodes, num, den)
     edges = checkpointed(told.where("near").select("a", "b").unionByName(warm))
-    apart = first.unionByName(told).where("star and not near").select(F.col("a").alias("grp")).distinct()
+    apart = (first.unionByName(told) if fold else told).where("star and not near").select(F.col("a").alias("grp")).distinct()
     if not apart.limit(1).count():
         labels = connected_components(edges)
     else:
