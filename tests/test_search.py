@@ -8,6 +8,7 @@ from trawl.functions.filters import FilterError, compile_filter, parse_terms
 from trawl.functions.metrics import metric_name, score
 from trawl.functions.text import Analyzer, hashing_embedder
 from trawl.functions.text import sparse_terms as terms_of
+from trawl.operators import bm25
 from trawl.operators.ann import PRESETS, InvertedFile
 from trawl.operators.bm25 import bm25_scores, build_index
 from trawl.operators.dense import ranked
@@ -267,3 +268,86 @@ def test_schema(spark, tmp_path):
         Schema({"x": "date"})
     with pytest.raises(RecordError):
         schema.check(rows)
+
+
+def _worded(spark, n=700, seed=3):
+    """Rows of which most share a word and some have rare ones, weights that aren't positive, no terms or no vector."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        words = {"all": 0.5, **{f"w{int(w)}": float(np.float32(rng.random())) for w in rng.integers(0, 40, 4)}, **{f"rare{int(w)}": 0.25 for w in rng.integers(0, 2000, 2)}}
+        words |= {"none": 0.0, "less": -0.5} if i % 7 == 0 else {}
+        out.append((f"n{i % 3}", f"{i:04}", None if i % 11 == 5 else [float(v) for v in rng.integers(-3, 4, 5) + 0.5], None if i % 13 == 4 else words))
+    rows = spark.createDataFrame(out, "namespace string, id string, vector array<float>, sparse map<string,float>").repartition(3).cache()
+    asked = [(i, v, s) for _, i, v, s in out[::50]] + [("odd", None, {"all": -0.3, "w1": 1.0, "w2": 0.0}), ("bare", [1.0] * 5, None)]
+    return out, rows, asked, spark.createDataFrame(asked, "qid string, vector array<float>, sparse map<string,float>")
+
+
+def _by_hand(out, asked):
+    """(qid, namespace, id) to the dense score, BM25 (None without a shared term) and the shared terms."""
+    kept = {(ns, i): {t: float(w) for t, w in (s or {}).items() if w > 0} for ns, i, _, s in out}
+    df, average = {}, sum(sum(s.values()) for s in kept.values()) / len(out)
+    for s in kept.values():
+        for t in s:
+            df[t] = df.get(t, 0) + 1
+    said = {}
+    for q, qv, terms in asked:
+        for ns, i, v, s in out:
+            own = kept[ns, i]
+            norm = 0.25 + 0.75 * sum(own.values()) / average
+            parts = [float(np.float32(w)) * math.log((len(out) - df[t] + 0.5) / (df[t] + 0.5) + 1) * own[t] * 2.2 / (own[t] + 1.2 * norm) for t, w in (terms or {}).items() if t in own]
+            dense = np.dot(v, qv) / np.linalg.norm(v) / np.linalg.norm(qv) if v is not None and qv is not None else None
+            said[q, ns, i] = dense, round(sum(parts), 9) if parts else None, sorted(set(terms or {}) & set(s or {}))
+    return said
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_terms_are_scored_without_moving_pairs(spark, monkeypatch, small):
+    """Results by hand; no join of queries and rows. small: blocks of a few queries, rows and terms at a time."""
+    if small:
+        for name, value in (("QUERY_BYTES", 4000), ("CELLS", 500), ("MOST_COMMON", 2)):
+            monkeypatch.setattr(bm25, name, value)
+    out, rows, asked, queries = _worded(spark)
+    want = _by_hand(out, asked)
+    for weights in ((1.0, 1.0), (0.4, 2.0)):
+        top = search(rows, queries, Options(namespace=None, k=20, dense_weight=weights[0], sparse_weight=weights[1]))
+        assert "Join" not in top._jdf.queryExecution().toString()
+        got = {}
+        for r in top.orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((round(r.score, 7), r.namespace, r.id))
+        for q, _, _ in asked:
+            every = [(-round(weights[0] * (d or 0) + weights[1] * (b or 0), 7), ns, i) for (p, ns, i), (d, b, _) in want.items() if p == q and (d is not None or b is not None)]
+            assert got[q] == [(-s, ns, i) for s, ns, i in sorted(every)[:20]], q
+    alone = search(rows, queries.select("qid", "sparse"), Options(namespace=None, k=15))
+    assert "Join" not in alone._jdf.queryExecution().toString()
+    for q, _, _ in asked:
+        every = sorted((-b, ns, i) for (p, ns, i), (_, b, _) in want.items() if p == q and b is not None)
+        assert [(ns, i) for _, ns, i in every[:15]] == [(r.namespace, r.id) for r in alone.where(F.col("qid") == q).orderBy("rank").collect()]
+    every = bm25_scores(build_index(rows), query_terms(queries)).collect()
+    assert {(r.qid, r.namespace, r.id): round(r.bm25, 7) for r in every} == {k: round(b, 7) for k, (_, b, _) in want.items() if b is not None} and len(every) == len({(r.qid, r.namespace, r.id) for r in every})
+
+
+def test_matched_terms_are_found_without_moving_terms(spark):
+    out, rows, asked, queries = _worded(spark)
+    found = bm25.matched_terms(rows, query_terms(queries))
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert {(r.qid, r.namespace, r.id): r.matched for r in found.collect()} == {k: t for k, (_, _, t) in _by_hand(out, asked).items() if t}
+
+
+def test_ranks_and_explanations_of_terms(spark):
+    out, rows, asked, queries = _worded(spark)
+    want = _by_hand(out, asked)
+    for o in (Options(namespace=None, fusion="rrf", k=12), Options(namespace=None, explain=True, k=12)):
+        place = {}
+        for q, _, _ in asked:
+            for kind in (0, 1):
+                order = sorted((-round(v[kind], 9), ns, i) for (p, ns, i), v in want.items() if p == q and (v[kind] or 0) > 0)
+                place |= {(kind, q, ns, i): at + 1 for at, (_, ns, i) in enumerate(order)}
+        for r in search(rows, queries, o).collect():
+            key = r.qid, r.namespace, r.id
+            assert (r.dense_rank, r.sparse_rank) == (place.get((0, *key)), place.get((1, *key))), key
+            if o.explain:
+                assert (r.matched or []) == want[key][2]
+                weights = next(s for q, _, s in asked if q == r.qid) or {}
+                assert abs(sum(weights[t] * v for t, v in (r.term_scores or {}).items()) - (want[key][1] or 0)) < 1e-6

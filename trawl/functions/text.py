@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +25,29 @@ def tokens(text: Column, unicode: bool = False) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
+#: Tokens that a task counts at once.
+COUNTED = 1 << 20
+
+
+def _shares(lists: pa.ListArray) -> pa.MapArray:
+    words, size = lists.flatten().dictionary_encode(), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    width = max(1, len(words.dictionary))
+    keys, n = np.unique(row * width + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, code = keys // width, keys % width
+    offsets = np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32)
+    return pa.MapArray.from_arrays(pa.array(offsets), words.dictionary.take(pa.array(code)), pa.array((n / size[row]).astype(np.float32)))
+
+
 def frequencies(words: Column) -> Column:
     """An array of tokens to a map of their shares, in one pass over it; term_counts is the form for shares as rows."""
 
-    @F.pandas_udf("map<string,float>")
-    def shares(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ts: {} if ts is None else {t: n / len(ts) for t, n in Counter(ts).items()})
+    @F.arrow_udf("map<string,float>")
+    def shares(lists: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, COUNTED), "left"), [0, len(lists)]))
+        parts = [_shares(lists.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+        return pa.concat_arrays(parts) if parts else _shares(lists)
 
     return shares(words)
 

@@ -83,11 +83,11 @@ def _emitted(make, k: int | None, name: str):
                 s = scorer(batch.column(2))
                 if k is not None and k < len(s):  # rows that tie with the last place stay
                     least = np.partition(s, len(s) - k, axis=0)[len(s) - k]
-                    row, q = np.nonzero(s >= least)
+                    row, q = np.nonzero((s >= least) & (s != -np.inf))
                 elif floor is not None:
                     row, q = np.nonzero(s >= floor)
                 else:
-                    row, q = (x.ravel() for x in np.indices(s.shape))
+                    row, q = np.nonzero(s != -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(qids, dtype=object)[q], pa.string()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(s[row, q].astype(np.float64))], names=["qid", "namespace", "id", name])
 
     return run
@@ -107,7 +107,7 @@ def payload_scores(records: DataFrame, asked: DataFrame, width: int, scorer: Cal
     """records (namespace, id, payload), asked (qid, payload of some `width` bytes) to (qid, namespace, id, name).
 
     scorer: a block's payloads to its Scorer, made once in each task. All pairs; with k those that may be among the k best of each query; with floors (qid to a score) those
-    that reach them.
+    that reach them. A score of minus infinity leaves a pair out.
     """
     spark, out = records.sparkSession, None
     schema = f"qid string, namespace string, id string, {name} double"
@@ -155,7 +155,7 @@ def ranked(df: DataFrame, by: str, k: int | None, per: str = "qid", name: str =
 DIGITS = 11
 
 
-class _Places:
+class Places:
     """A query's candidates in order of rank; before() tells how many rows of a batch come at or before which of them."""
 
     def __init__(self, candidates: list[tuple[float, str, str]]):
@@ -180,7 +180,7 @@ class _Places:
         return np.bincount(low[counts], minlength=len(self.order) + 1)[: len(self.order)]
 
 
-def _counted(places: dict[str, _Places], qids: list[str], score_of: Callable[[pa.RecordBatch], np.ndarray]):
+def _counted(places: dict[str, Places], qids: list[str], score_of: Callable[[pa.RecordBatch], np.ndarray]):
     """Counts of one task: (qid, place, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +192,7 @@ def _counted(places: dict[str, _Places], qids: list[str], score_of: Callable[[pa
                 for j, q in enumerate(qids):
                     if q in total:
                         total[q] += places[q].before(s[:, j], batch.column(0), batch.column(1))
-        rows = [(q, i, int(n)) for q, counts in total.items() for i, n in enumerate(counts) if n]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["qid", "place", "n"])
+        yield place_counts(total)
 
     return run
 
@@ -201,19 +200,27 @@ def _counted(places: dict[str, _Places], qids: list[str], score_of: Callable[[pa
 _COUNTS = "qid string, place bigint, n bigint"
 
 
-def _ranks(spark, counts: DataFrame, candidates: dict[str, list], name: str) -> DataFrame:
+def place_counts(total: dict[str, np.ndarray], *kind: int) -> pa.RecordBatch:
+    """Counts of one task: (qid, place, n), and its kind if there are several."""
+    rows = [(q, i, int(n), *kind) for q, counts in total.items() for i, n in enumerate(counts) if n]
+    columns = [pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 3 + len(kind)))]
+    return pa.RecordBatch.from_arrays(columns, names=["qid", "place", "n", "kind"][: len(columns)])
+
+
+def ranks_of(spark, counts: list[dict], candidates: dict[str, list], name: str) -> DataFrame:
     """The rank of each candidate with a score above 0: how many rows come at or before its place."""
     found: dict[str, dict[int, int]] = {}
-    for r in counts.groupBy("qid", "place").agg(F.sum("n").alias("n")).collect():
-        found.setdefault(r.qid, {})[r.place] = r.n
-    out = []
+    for r in counts:
+        found.setdefault(r["qid"], {})[r["place"]] = r["n"]
+    out: list[list] = [[], [], [], []]
     for q, rows in candidates.items():
         seen = 0
-        for i, (s, ns, key) in enumerate(_Places(rows).order):
+        for i, (s, ns, key) in enumerate(Places(rows).order):
             seen += found.get(q, {}).get(i, 0)
             if s < 0:
-                out.append((q, ns, key, seen))
-    return spark.createDataFrame(out, f"qid string, namespace string, id string, {name} bigint")
+                for column, v in zip(out, (q, ns, key, seen), strict=True):
+                    column.append(v)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["qid", "namespace", "id", name]))
 
 
 def dense_ranks(records: DataFrame, queries: DataFrame, metric: str, dim: int | None, candidates: dict[str, list], name: str = "dense_rank") -> DataFrame:
@@ -229,32 +236,9 @@ def dense_ranks(records: DataFrame, queries: DataFrame, metric: str, dim: int |
         def run(batches, shared=shared):
             asked, own = shared.value
             scorer = vector_scorer(metric, [r["payload"] for r in asked], dim)
-            return _counted({q: _Places(c) for q, c in own.items()}, [r["qid"] for r in asked], lambda b: scorer(b.column(2)))(batches)
+            return _counted({q: Places(c) for q, c in own.items()}, [r["qid"] for r in asked], lambda b: scorer(b.column(2)))(batches)
 
         part = rows.mapInArrow(run, _COUNTS)
         counts = part if counts is None else counts.unionByName(part)
-    return _ranks(spark, counts if counts is not None else spark.createDataFrame([], _COUNTS), candidates, name)
-
-
-def score_ranks(scored: DataFrame, column: str, candidates: dict[str, list], name: str) -> DataFrame:
-    """As dense_ranks, for scores that are rows already: scored (qid, namespace, id, column)."""
-    spark = scored.sparkSession
-    shared = spark.sparkContext.broadcast(candidates)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = {q: _Places(c) for q, c in shared.value.items()}
-        total = {q: np.zeros(len(p.order), dtype=np.int64) for q, p in places.items()}
-        for batch in batches:
-            qid = np.array(batch.column(0).to_pylist(), dtype=object)
-            order = np.argsort(qid, kind="stable")
-            first = np.flatnonzero(np.append(True, qid[order][1:] != qid[order][:-1])) if len(qid) else []
-            for a, b in zip(first, [*first[1:], len(qid)], strict=True):
-                if (q := qid[order[a]]) in places:
-                    at = pa.array(order[a:b])
-                    part = batch.take(at)
-                    total[q] += places[q].before(part.column(3).to_numpy(zero_copy_only=False), part.column(1), part.column(2))
-        rows = [(q, i, int(n)) for q, counts in total.items() for i, n in enumerate(counts) if n]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["qid", "place", "n"])
-
-    counts = scored.select("qid", "namespace", "id", F.col(column).cast("double").alias("s")).mapInArrow(run, _COUNTS)
-    return _ranks(spark, counts, candidates, name)
+    summed = counts.groupBy("qid", "place").agg(F.sum("n").alias("n")).toArrow().to_pylist() if counts is not None else []
+    return ranks_of(spark, summed, candidates, name)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .functions import metrics
 from .functions.filters import compile_filter
-from .functions.text import Analyzer, term_counts, tokens
-from .operators.bm25 import Index, build_index, index_of, matched_terms, scored_terms
+from .functions.text import Analyzer, frequencies, term_counts, tokens
+from .operators.bm25 import Index, build_index, matched_terms, scored_terms
 from .operators.dense import payload_scores, ranked
 from .operators.quantize import METHODS, Codec, TokenIndex, calibrate_scalar, nearest, recall, scalar_codes, search_quantized, two_bit_boundaries
 from .operators.rerank import compose, metadata_boost, text_match
@@ -64,28 +64,31 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_records(spark, sf_dir).join(docs, "vec_id", "left")
 
 
-def _shares(rows: DataFrame, words) -> DataFrame:
-    counts = term_counts(rows, ["namespace", "id"], words).select("namespace", "id", "term", (F.col("n").cast("double") / F.col("total")).cast("float").alias("w"))
-    return counts.groupBy("namespace", "id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("sparse"))
+def text_index(rows: DataFrame) -> Index:
+    """The index of stored hybrid_records; a collection stores one (build_text_index)."""
+    return build_index(rows)
 
 
-def text_index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of hybrid_records straight from term counts; a collection stores one (build_text_index)."""
-    rows = _joined(spark, sf_dir)
-    counts = term_counts(rows, ["namespace", "id"], tokens(F.col("text"))).select("namespace", "id", "term", (F.col("n").cast("double") / F.col("total")).cast("float").cast("double").alias("w"))
-    return index_of(counts, rows.count())
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(spark, sf_dir).select("namespace", "id", "vector", "vec_id", "lang", "source", frequencies(tokens(F.col("text"))).alias("sparse"))
+
 
 def hybrid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _joined(spark, sf_dir)
-    sparse = _shares(rows, tokens(F.col("text")))
-    return rows.select("namespace", "id", "vector", "vec_id", "lang", "source", "text").join(sparse, ["namespace", "id"], "left")
+    """Cut into terms once, as a search scans them several times."""
+    path = f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
+    _hybrid(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
 
+def hybrid_queries(rows: DataFrame) -> DataFrame:
+    """Asks with the vector and the whole text of each queried row of hybrid_records."""
+    return rows.where("vec_id % 100 = 0").select(F.col("id").alias("qid"), "vector", "sparse")
 
-def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Asks with the vector and the whole text of each queried row."""
-    rows = _joined(spark, sf_dir).where("vec_id % 100 = 0")
-    sparse = _shares(rows, tokens(F.col("text"))).select(F.col("id").alias("qid"), "sparse")
-    return rows.select(F.col("id").alias("qid"), "vector").join(sparse, "qid", "left")
+
+def _hybrid_search(spark: SparkSession, sf_dir: str, *columns: str, **options) -> DataFrame:
+    rows = hybrid_records(spark, sf_dir)
+    asked = hybrid_queries(rows)
+    return search(rows.select("namespace", "id", "vector", "sparse"), asked.select("qid", *columns) if columns else asked, Options(namespace=None, **options), text_index(rows))
 
 
 def metadata_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,8 +196,9 @@ def ann_ivf_recall(spark, sf_dir):
     from .operators.ann import PRESETS, InvertedFile
 
     rows, asked = dense_records(spark, sf_dir), vector_queries(spark, sf_dir)
-    exact = search(rows, asked, Options(namespace=None))
+    exact = search(rows, asked, Options(namespace=None)).persist()
     said = [(preset, round(recall(InvertedFile.build(rows, preset=preset).search(asked), exact), 4)) for preset in PRESETS]
+    exact.unpersist()
     return spark.createDataFrame(said, "preset string, recall double")
 
 
@@ -253,14 +257,15 @@ def bm25_stats(spark, sf_dir):
 
 @query(_top("bm", with_=_BM, source="b"))
 def bm25_topk(spark, sf_dir):
-    return _result(search(dense_records(spark, sf_dir), hybrid_queries(spark, sf_dir).select("qid", "sparse"), Options(namespace=None), text_index(spark, sf_dir)))
+    return _result(_hybrid_search(spark, sf_dir, "sparse"))
 
 
 @query(f"WITH {_BM} SELECT qid, namespace, id, term, round(x, 6) AS term_score FROM e")
 def bm25_term_scores(spark, sf_dir):
     from .operators.search import query_terms
 
-    rows = scored_terms(text_index(spark, sf_dir), query_terms(hybrid_queries(spark, sf_dir)))
+    records = hybrid_records(spark, sf_dir)
+    rows = scored_terms(text_index(records), query_terms(hybrid_queries(records)))
     return rows.select("qid", "namespace", "id", "term", F.round("score", 6).alias("term_score"))
 
 
@@ -268,7 +273,8 @@ def bm25_term_scores(spark, sf_dir):
 def matched_terms_query(spark, sf_dir):
     from .operators.search import query_terms
 
-    rows = matched_terms(hybrid_records(spark, sf_dir), query_terms(hybrid_queries(spark, sf_dir)))
+    records = hybrid_records(spark, sf_dir)
+    rows = matched_terms(records, query_terms(hybrid_queries(records)))
     return rows.select("qid", "namespace", "id", F.array_join("matched", ",").alias("matched"))
 
 
@@ -277,12 +283,12 @@ def matched_terms_query(spark, sf_dir):
 
 @query(_top("ds + bm", with_=_BM, source="h"))
 def hybrid_linear(spark, sf_dir):
-    return _result(search(dense_records(spark, sf_dir), hybrid_queries(spark, sf_dir), Options(namespace=None), text_index(spark, sf_dir)))
+    return _result(_hybrid_search(spark, sf_dir))
 
 
 @query(_top("0.4 * ds + 2 * bm", with_=_BM, source="h"))
 def hybrid_weighted(spark, sf_dir):
-    return _result(search(dense_records(spark, sf_dir), hybrid_queries(spark, sf_dir), Options(namespace=None, dense_weight=0.4, sparse_weight=2.0), text_index(spark, sf_dir)))
+    return _result(_hybrid_search(spark, sf_dir, dense_weight=0.4, sparse_weight=2.0))
 
 
 def _rrf(dense: str, where: str = "true") -> str:
@@ -292,34 +298,34 @@ def _rrf(dense: str, where: str = "true") -> str:
 
 @query(_rrf("ds"))
 def hybrid_rrf(spark, sf_dir):
-    return _result(search(dense_records(spark, sf_dir), hybrid_queries(spark, sf_dir), Options(namespace=None, fusion="rrf"), text_index(spark, sf_dir)))
+    return _result(_hybrid_search(spark, sf_dir, fusion="rrf"))
 
 
 @query(_rrf("es"))
 def hybrid_rrf_euclidean(spark, sf_dir):
     """Negated distances are never positive, so they get no rank and only the sparse side counts."""
-    return _result(search(dense_records(spark, sf_dir), hybrid_queries(spark, sf_dir), Options(namespace=None, fusion="rrf", metric="euclidean"), text_index(spark, sf_dir)))
+    return _result(_hybrid_search(spark, sf_dir, fusion="rrf", metric="euclidean"))
 
 
 @query(_top("ds + bm", "lang = 'en'", with_=_BM, source="h"))
 def hybrid_filtered(spark, sf_dir):
-    rows = hybrid_records(spark, sf_dir).withColumn("metadata", F.parse_json(F.to_json(F.struct("lang", "source"))))
-    return _result(search(rows, hybrid_queries(spark, sf_dir), Options(namespace=None, filter={"lang": "en"}), text_index(spark, sf_dir)))
+    records = hybrid_records(spark, sf_dir)
+    rows = records.withColumn("metadata", F.parse_json(F.to_json(F.struct("lang", "source"))))
+    return _result(search(rows, hybrid_queries(records), Options(namespace=None, filter={"lang": "en"}), text_index(records)))
 
 
 @query(f"""WITH {_BM}, k AS (SELECT *, CASE WHEN ds > 0 THEN row_number() OVER (PARTITION BY qid ORDER BY ds DESC, namespace, id) END dr, CASE WHEN bm > 0 THEN row_number() OVER (PARTITION BY qid ORDER BY bm DESC, namespace, id) END sr FROM h),
 m AS (SELECT qid, namespace, id, string_agg(term, ',' ORDER BY term) x, count(*) c FROM e GROUP BY 1, 2, 3)
 SELECT qid, rank, namespace, id, round(s, 6) AS score, dr AS dense_rank, sr AS sparse_rank, coalesce(x, '') AS matched, coalesce(c, 0) AS n_scores FROM (SELECT *, ds + bm s, row_number() OVER (PARTITION BY qid ORDER BY ds + bm DESC, namespace, id) rank FROM k) LEFT JOIN m USING (qid, namespace, id) WHERE rank <= 10""")
 def hybrid_explain(spark, sf_dir):
-    top = search(hybrid_records(spark, sf_dir), hybrid_queries(spark, sf_dir), Options(namespace=None, explain=True), text_index(spark, sf_dir))
+    top = _hybrid_search(spark, sf_dir, explain=True)
     return _result(top, "dense_rank", "sparse_rank", F.coalesce(F.array_join("matched", ","), F.lit("")).alias("matched"), F.coalesce(F.size("term_scores"), F.lit(0)).cast("long").alias("n_scores"))
 
 
 @query(f"WITH {_BM}, k AS (SELECT qid, namespace, id, row_number() OVER (PARTITION BY qid ORDER BY ds DESC, namespace, id) a FROM h), s AS (SELECT qid, namespace, id, row_number() OVER (PARTITION BY qid ORDER BY bm DESC, namespace, id) a FROM b) SELECT DISTINCT qid, namespace, id FROM (SELECT * FROM k WHERE a <= 20 UNION ALL SELECT * FROM s WHERE a <= 20)")
 def candidate_union(spark, sf_dir):
-    rows, asked = dense_records(spark, sf_dir), hybrid_queries(spark, sf_dir)
-    dense = search(rows, asked.select("qid", "vector"), Options(k=20, namespace=None))
-    sparse = search(rows, asked.select("qid", "sparse"), Options(k=20, namespace=None), text_index(spark, sf_dir))
+    dense = search(dense_records(spark, sf_dir), vector_queries(spark, sf_dir), Options(k=20, namespace=None))
+    sparse = _hybrid_search(spark, sf_dir, "sparse", k=20)
     return dense.select("qid", "namespace", "id").unionByName(sparse.select("qid", "namespace", "id")).distinct()
 
 
@@ -362,8 +368,8 @@ def mmr_topk(spark, sf_dir):
 
 
 def _ranked_texts(spark, sf_dir):
-    rows, asked = _joined(spark, sf_dir), hybrid_queries(spark, sf_dir)
-    top = search(dense_records(spark, sf_dir), asked, Options(k=20, namespace=None), text_index(spark, sf_dir))
+    rows = _joined(spark, sf_dir)
+    top = _hybrid_search(spark, sf_dir, k=20)
     said = _joined(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("id").alias("qid"), F.array_join(tokens(F.col("text")), " ").alias("query"))
     return top.join(rows.select("namespace", "id", "text", F.col("source").alias("title"), "lang"), ["namespace", "id"]).join(said, "qid")
 
@@ -688,7 +694,7 @@ def approximate_recall(spark, sf_dir):
     c = _collection(spark, "vectors", 64)
     c.bulk_ingest(rows.where("id % 17 != 0"))
     said = []
-    exact = search(rows, asked, Options(namespace=None))
+    exact = search(rows, asked, Options(namespace=None)).persist()
     for mode in ("scalar", "binary", "product", "two_bit", "default", "fast", "high_recall"):
         if mode in METHODS:
             c.enable_quantization(mode)
@@ -698,6 +704,7 @@ def approximate_recall(spark, sf_dir):
         if mode == "scalar":
             c.upsert(rows.where("id % 17 = 0"))
         said.append((mode, recall(c.search(asked, Options(namespace=None)), exact) >= 0.9))
+    exact.unpersist()
     return spark.createDataFrame(said, "mode string, enough boolean")
 
 
@@ -714,7 +721,7 @@ def bulk_ingest(spark, sf_dir):
 def text_index_build(spark, sf_dir):
     """A collection's stored text index: postings in ranges of terms, and their number."""
     c = _collection(spark, "texts", 64)
-    c.bulk_ingest(hybrid_records(spark, sf_dir).select("namespace", "id", "vector", "sparse"))
+    c.bulk_ingest(_hybrid(spark, sf_dir).select("namespace", "id", "vector", "sparse"))
     c.build_text_index()
     return c._text_index().postings.agg(F.count("*").alias("postings"))
 
@@ -723,9 +730,10 @@ def text_index_build(spark, sf_dir):
 def collection_hybrid(spark, sf_dir):
     """Hybrid search through a collection and its stored text index."""
     c = _collection(spark, "hybrid", 64)
-    c.bulk_ingest(hybrid_records(spark, sf_dir).select("namespace", "id", "vector", "sparse"))
+    rows = hybrid_records(spark, sf_dir)
+    c.bulk_ingest(rows.select("namespace", "id", "vector", "sparse"))
     c.build_text_index()
-    return _result(c.search(hybrid_queries(spark, sf_dir), Options(namespace=None)))
+    return _result(c.search(hybrid_queries(rows), Options(namespace=None)))
 
 
 def metric_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
