@@ -351,3 +351,20 @@ def test_ranks_and_explanations_of_terms(spark):
                 assert (r.matched or []) == want[key][2]
                 weights = next(s for q, _, s in asked if q == r.qid) or {}
                 assert abs(sum(weights[t] * v for t, v in (r.term_scores or {}).items()) - (want[key][1] or 0)) < 1e-6
+
+
+def test_inverted_file_scores_cells_without_moving_pairs(spark):
+    x = _vectors()
+    rows = records(spark, [(f"d{i:04}", [float(v) for v in x[i]]) for i in range(len(x))]).cache()
+    file = InvertedFile.build(rows, cells=20)
+    file.probes = 3
+    got = file.search(asked(spark, *x[:30]), 5)
+    assert not file.fallbacks
+    assert "Join" not in got._jdf.queryExecution().toString()
+    centroids = file.centroids
+    cell = {r.id: r.cell for r in file.rows.collect()}
+    for q in range(30):
+        near = np.argsort(((x[q] - centroids) ** 2).sum(axis=1), kind="stable")[:3]
+        every = sorted((-round(float(x[q] @ x[i]), 6), f"d{i:04}") for i in range(len(x)) if cell[f"d{i:04}"] in near)
+        own = [r.id for r in got.where(F.col("qid") == str(q)).orderBy("rank").collect()]
+        assert own == [i for _, i in every[:5]]

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dense import dense_scores, ranked
-from .quantize import distances, kmeans, nearest, rescored
+from ..functions.metrics import metric_name
+from .dense import dense_scores, matrix, payload_scores, ranked, scores
+from .quantize import distances, kmeans, nearest
 
 #: Cells over the square root of the rows, and the share of cells that is probed; measured by the query ann_ivf_recall.
 PRESETS = {"default": (1.0, 0.65), "high_recall": (1.0, 0.8), "fast": (1.0, 0.55)}
@@ -45,26 +48,49 @@ class InvertedFile:
         return cls(centroids, rows, max(1, round(share * len(centroids))))
 
     def search(self, queries: DataFrame, k: int = 10, metric: str = "cosine", allowed: DataFrame | None = None) -> DataFrame:
-        """(qid, rank, namespace, id, score); queries with fewer than k rows in their cells are searched exactly."""
-        centroids, probes = self.centroids, self.probes
-
-        @F.pandas_udf("array<int>")
-        def probed(vectors: pd.Series) -> pd.Series:
-            x = _unit(np.array(vectors.tolist(), dtype=np.float64))
-            step = max(1, (4 << 20) // len(centroids))
-            return pd.Series([r for a in range(0, len(x), step) for r in np.argsort(distances(x[a : a + step], centroids), axis=1, kind="stable")[:, :probes].astype(np.int32)])
+        """(qid, rank, namespace, id, score); queries with fewer than k rows in their cells are searched exactly.
 
+        The blocked kernel scores the rows of a query's cells, so pairs of queries and rows aren't moved between tasks before the top-k.
+        """
+        centroids, probes, metric = self.centroids, self.probes, metric_name(metric)
         rows = self.rows if allowed is None else self.rows.join(allowed.select("namespace", "id"), ["namespace", "id"], "left_semi")
         asked = queries.select(F.col("qid").cast("string").alias("qid"), "vector").where("vector is not null")
-        cells = asked.select("qid", F.explode(probed("vector")).alias("cell"))
-        found = rescored(rows, rows.select("cell", "namespace", "id").join(cells, "cell"), asked, metric, k)
-        few = found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("qid")
-        rest = asked.join(few, "qid", "left_anti")
+        held = np.zeros(len(centroids), dtype=np.int64)
+        for r in rows.groupBy("cell").count().collect():
+            held[r["cell"]] = r["count"]
+
+        @F.pandas_udf("bigint")
+        def reached(vectors: pd.Series) -> pd.Series:
+            return pd.Series(np.concatenate([held[at].sum(axis=1) for at in _probed(np.array(vectors.tolist(), dtype=np.float64), centroids, probes)]))
+
+        def scorer(vectors: list):
+            q = np.array(vectors, dtype=np.float64)
+            inside = np.zeros((len(centroids), len(q)), dtype=bool)
+            at = np.concatenate(list(_probed(q, centroids, probes)))
+            inside[at, np.arange(len(q))[:, None]] = True
+
+            def score(column: pa.StructArray) -> np.ndarray:
+                cell, vector = column.flatten()
+                return np.where(inside[cell.to_numpy(zero_copy_only=False)], scores(metric, matrix(vector), q), -np.inf)
+
+            return score
+
+        width = 8 * centroids.shape[1] + len(centroids)
+        near = payload_scores(rows.select("namespace", "id", F.struct("cell", "vector").alias("payload")), asked.select("qid", F.col("vector").alias("payload")), width, scorer, k)
+        found = ranked(near, "score", k).select("qid", "rank", "namespace", "id", "score")
+        rest = asked.where(reached("vector") < k)
         self.fallbacks = rest.count()
         if not self.fallbacks:
             return found
         exact = ranked(dense_scores(rows, rest, metric, None, k).withColumnRenamed("dense", "score"), "score", k).select("qid", "rank", "namespace", "id", "score")
-        return found.join(few, "qid", "left_semi").unionByName(exact)
+        return found.join(rest.select("qid"), "qid", "left_anti").unionByName(exact)
+
+
+def _probed(x: np.ndarray, centroids: np.ndarray, probes: int) -> Iterator[np.ndarray]:
+    """The nearest cells of each vector, some vectors at a time."""
+    step = max(1, (4 << 20) // len(centroids))
+    for a in range(0, max(1, len(x)), step):
+        yield np.argsort(distances(_unit(x[a : a + step]), centroids), axis=1, kind="stable")[:, :probes] if len(x) else np.zeros((0, probes), dtype=np.int64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
