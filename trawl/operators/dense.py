@@ -207,11 +207,11 @@ def place_counts(total: dict[str, np.ndarray], *kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["qid", "place", "n", "kind"][: len(columns)])
 
 
-def ranks_of(spark, counts: list[dict], candidates: dict[str, list], name: str) -> DataFrame:
+def ranks_of(spark, counts: pa.Table, candidates: dict[str, list], name: str) -> DataFrame:
     """The rank of each candidate with a score above 0: how many rows come at or before its place."""
     found: dict[str, dict[int, int]] = {}
-    for r in counts:
-        found.setdefault(r["qid"], {})[r["place"]] = r["n"]
+    for q, place, n in zip(*(counts.column(c).to_pylist() for c in ("qid", "place", "n")), strict=True):
+        found.setdefault(q, {})[place] = n
     out: list[list] = [[], [], [], []]
     for q, rows in candidates.items():
         seen = 0
@@ -240,5 +240,5 @@ def dense_ranks(records: DataFrame, queries: DataFrame, metric: str, dim: int |
 
         part = rows.mapInArrow(run, _COUNTS)
         counts = part if counts is None else counts.unionByName(part)
-    summed = counts.groupBy("qid", "place").agg(F.sum("n").alias("n")).toArrow().to_pylist() if counts is not None else []
+    summed = (counts if counts is not None else spark.createDataFrame([], _COUNTS)).groupBy("qid", "place").agg(F.sum("n").alias("n")).toArrow()
     return ranks_of(spark, summed, candidates, name)
