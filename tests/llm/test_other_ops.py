@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import trawl.llm.fingerprints as fingerprints
+from trawl.llm import common
 from trawl.llm.chat import events_of, fold, format_conversations, loss_text, parse
 from trawl.llm.licenses import TEMPLATES, Scanner, scan_licenses
 from trawl.llm.mixing import mix_sources, mixed_documents, source_targets
@@ -449,6 +450,25 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     assert run(spark, str(tmp_path)).count() == now.count()
 
 
+def test_rows_of_files_are_numbered_without_a_copy(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch", None)
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs.repartition(5).write.parquet(f"{tmp_path}/odd na%me.parquet")
+    rows = common.numbered(spark.read.parquet(f"{tmp_path}/odd na%me.parquet"))
+    assert rows.columns == ["doc_id", "text", "__row"]
+    first = {r.doc_id: r["__row"] for r in rows.collect()}
+    again = {r.doc_id: r["__row"] for r in rows.where("text != 'text 7'").select("doc_id", "__row").repartition(3).collect()}
+    assert len(set(first.values())) == 500 and again == {k: v for k, v in first.items() if k != 7}
+
+
+def test_rows_of_other_frames_are_numbered_once(spark, tmp_path):
+    path = f"{tmp_path}/a.parquet"
+    spark.range(50).write.parquet(path)
+    for docs in (spark.read.parquet(path, path), spark.read.parquet(path).where("id > 3"), spark.range(9)):
+        rows = common.numbered(docs)
+        assert rows.select("__row").distinct().count() == rows.count() == docs.count()
+
+
 def test_registry():
     names = list(queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and set(oracle_sql()) <= set(names)

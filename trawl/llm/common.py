@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +48,50 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the memory that a task no longer uses goes back to the system: Python workers wait for more tasks, several beside each other, and would keep it."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return tidy
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _files(docs: DataFrame) -> list[str] | None:
+    """The Parquet files that docs is made of, in order of their names, if it is nothing but a scan that reads each once."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or (source := plan.relation()).getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    if source.fileFormat().getClass().getSimpleName() != "ParquetFileFormat" or "_metadata" in docs.columns:
+        return None
+    read = list(source.location().inputFiles())
+    names = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    return names if len(set(read)) == len(read) < 1 << 22 else None
+
+
 def numbered(docs: DataFrame, column: str = "__row") -> DataFrame:
-    """docs with a number that no other row has, as a table in the shared folder, so that every read gives a row the same number."""
-    path = scratch(docs.sparkSession, "rows")
+    """docs with a number that no other row has, the same in every read.
+
+    Rows of a Parquet scan are numbered by file and place in it, without a copy. Of other frames a table is written to the shared folder, which stays there.
+    """
+    spark = docs.sparkSession
+    if (names := _files(docs)) is not None:
+        files = F.broadcast(spark.createDataFrame([(x, i << 40) for i, x in enumerate(names)], "__file string, __first long"))
+        at = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__place"))
+        return at.join(files, F.col("__path") == F.col("__file")).select(*docs.columns, (F.col("__first") + F.col("__place")).alias(column))
+    path = scratch(spark, "rows")
     docs.withColumn(column, F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession, least: int = 64) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Bitmap, buckets_for, checkpointed, mix, numbered, powers, slices, text_buffer
+from .common import LOWER, U64, Bitmap, buckets_for, checkpointed, lean, mix, numbered, powers, slices, text_buffer
 from .components import connected_components
 from .packed import PACKED_DDL, PAIRS, PAIRS_DDL, Packer, by_bucket, candidates, riders, split_riders
 from .similar_sets import exact_groups, odd_sketch, probable_groups
@@ -180,7 +180,7 @@ def _index(least: int, buckets: int, shorter: bool, num: int, den: int):
         packer = Packer(buckets)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for first, last in slices(offsets, 6 << 20):
+            for first, last in slices(offsets, 2 << 20):
                 keys, sigs, owners, seen = [], [], [], 0
                 for a, b in slices(offsets[first : last + 1], 1 << 19):
                     a, b = a + first, b + first
@@ -273,11 +273,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, 2048), batch.column("check").slice(a, 2048), pa.array([len(x) for x in sets], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.binary()), part], schema=_SETS)
 
 
-def line_index(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, most_shared: int = 32, shorter: bool = False) -> DataFrame:
+def line_index(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, most_shared: int = 32, shorter: bool = False, buckets: int | None = None) -> DataFrame:
     """docs (doc_id long, text string) to candidates and occurrences, checkpointed. Lines of fewer than `least` characters only count with `shorter`, blank ones never."""
-    buckets = buckets_for(docs)
-    packed = docs.mapInArrow(_index(least, buckets, shorter, num, den), PACKED_DDL).repartition(buckets, by_bucket())
-    return checkpointed(packed.mapInArrow(_find(most_shared, num, den), PAIRS_DDL))
+    buckets = buckets or buckets_for(docs)
+    packed = docs.mapInArrow(lean(_index(least, buckets, shorter, num, den)), PACKED_DDL).repartition(buckets, by_bucket())
+    return checkpointed(packed.mapInArrow(lean(_find(most_shared, num, den)), PAIRS_DDL))
 
 
 def line_components(texts: DataFrame, index: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, shorter: bool = False) -> DataFrame:
@@ -285,8 +285,8 @@ def line_components(texts: DataFrame, index: DataFrame, num: int = 75, den: int
     found = index.where("hot is not null")
     keys = found.select(F.explode(F.when(F.col("hot"), F.array("b")).otherwise(F.array("a", "b"))).alias("key")).distinct()
     wanted = Bitmap(keys.select(_mixed("key").alias("at")), "at", hashed=True)
-    lines = texts.mapInArrow(_texts(least, wanted, shorter), "key long, check long, line string").join(keys, "key", "left_semi").dropDuplicates(["key"])
-    sets = checkpointed(lines.mapInArrow(_sets, "key long, check long, n long, sketch binary, payload binary"))
+    lines = texts.mapInArrow(lean(_texts(least, wanted, shorter)), "key long, check long, line string").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    sets = checkpointed(lines.mapInArrow(lean(_sets), "key long, check long, n long, sketch binary, payload binary"))
     groups = checkpointed(probable_groups(found, sets, num, den, fold=False)).withColumnRenamed("node", "key")
     labels = exact_groups(checkpointed(sets.join(groups, "key").select("component", "key", "payload", "degree")), num, den, decode=shingle_sets)
     return labels.withColumnRenamed("node", "key").join(sets.select("key", "check"), "key")
@@ -300,14 +300,14 @@ def _mixed(column: str):
     return mixed(column)
 
 
-def repeated_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, shorter: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEAST_CHARS, shorter: bool = False, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text) to (doc_id, number, first_doc_id, first_number): the lines that go, by line number from 0, and the one that stays for them.
 
     Null texts have no lines; lines of null doc_ids are left alone, as are those shorter than `least` characters unless `shorter` is set, and shorter blank ones. Of rows that repeat a doc_id, a line number stands for
-    the lines of that number in all of them.
+    the lines of that number in all of them. buckets: reduce tasks for signatures, if not by the estimated size of docs.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = line_index(source, num, den, least, shorter=shorter)
+    index = line_index(source, num, den, least, shorter=shorter, buckets=buckets)
     labels = line_components(source.select("text"), index, num, den, least, shorter)
     places = index.where("hot is null and b is not null").select(F.col("a").alias("key"), F.shiftright("na", 32).alias("check"), F.col("b").alias("doc_id"), (F.col("na") % (1 << 32)).alias("number"))
     at, alone = F.struct("doc_id", "number"), F.when(F.col("component").isNull(), F.col("check")).otherwise(-1)
@@ -326,7 +326,7 @@ def dedup_lines(docs: DataFrame, num: int = 75, den: int = 100, least: int = LEA
     """
     names = docs.columns
     rows = numbered(docs)
-    gone = checkpointed(repeated_lines(rows.select(F.col("__row").alias("doc_id"), "text"), num, den, least, shorter).groupBy("doc_id").agg(F.collect_set("number").alias("__gone")).withColumnRenamed("doc_id", "__id"))
+    gone = checkpointed(repeated_lines(rows.select(F.col("__row").alias("doc_id"), "text"), num, den, least, shorter, buckets_for(docs.select("text"))).groupBy("doc_id").agg(F.collect_set("number").alias("__gone")).withColumnRenamed("doc_id", "__id"))
     touched = Bitmap(gone, "__id")
     marked = rows.withColumn("__touched", F.coalesce(touched.has(F.xxhash64(F.col("__row"))), F.lit(False)))
     lines = F.split("text", "\n")

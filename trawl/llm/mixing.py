@@ -131,7 +131,7 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int =
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix: each row of docs as often as it is emitted, with its number from 1 in copy_no (which replaces a column of that name)."""
-    rows = numbered(docs.drop("copy_no"))
+    rows = numbered(docs).drop("copy_no")
     copies = mix_sources(rows, row="__row", **how).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
     every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
     return rows.join(copies, "__row").withColumn("copy_no", every).select(*(c for c in docs.columns if c != "copy_no"), "copy_no")

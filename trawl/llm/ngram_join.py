@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, U64, Bitmap, Words, buckets_for, checkpointed, mix, set_keys, shingle_hashes, slices, text_buffer
+from .common import SPACE_WORDS, U64, Bitmap, Words, buckets_for, checkpointed, lean, mix, set_keys, shingle_hashes, slices, text_buffer
 from .components import connected_components
 from .packed import PACKED_DDL, PAIRS, PAIRS_DDL, Packer, by_bucket, candidates, riders, split_riders
 from .similar_sets import differences, exact_groups, odd_sketch, probable_groups
@@ -140,7 +140,7 @@ def _index(width: int, num: int, den: int, buckets: int, log_sets: int):
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             ids = batch.column(0)
-            for a, b in slices(offsets, 3 << 20):
+            for a, b in slices(offsets, 2 << 20):
                 part = offsets[a : b + 1] - offsets[a]
                 h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], part, SPACE_WORDS), width)
                 (keys, check), n = set_keys(h, at), np.diff(at)
@@ -184,7 +184,7 @@ def shingle_sets(width: int):
     def decode(texts: pa.Array) -> list[np.ndarray]:
         data, offsets = text_buffer(texts)
         out = []
-        for a, b in slices(offsets, 3 << 20):
+        for a, b in slices(offsets, 2 << 20):
             h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE_WORDS), width)
             out += [h[at[i] : at[i + 1]] for i in range(b - a)]
         return out
@@ -199,7 +199,7 @@ def _checked(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            for a, b in slices(offsets, 3 << 20):
+            for a, b in slices(offsets, 2 << 20):
                 h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE_WORDS), width)
                 part = batch.slice(a, b - a)
                 rows = pa.RecordBatch.from_arrays([part.column("component"), part.column("key"), part.column("degree"), part.column("text").cast(pa.binary())], schema=schema)
@@ -209,20 +209,20 @@ def _checked(width: int):
     return run
 
 
-def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, most_shared: int = MOST_SHARED, few: int = 256, many: int = 4096) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, most_shared: int = MOST_SHARED, few: int = 256, many: int = 4096, buckets: int | None = None) -> DataFrame:
     """docs (doc_id long, text string, ...) to one row (doc_id, n_shingles, component_id) for each.
 
     Two rows link when den * |intersection| >= num * |union| of their distinct `width`-word shingles (lower-cased A-Z,
     words parted by ASCII white space; a shorter text is one shingle). component_id: the least doc_id reachable.
     Null and empty texts: n_shingles 0, their own component. A null doc_id has no component. Rows that repeat a doc_id each get a row.
-    Columns other than doc_id and text are not read.
+    Columns other than doc_id and text are not read. buckets: reduce tasks for signatures, if not by the estimated size of docs.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     log_sets = max(1, math.ceil(math.log10(max(10, source.select("doc_id").count()))))
-    buckets = buckets_for(docs)
-    packed = source.mapInArrow(_index(width, num, den, buckets, log_sets), PACKED_DDL)
-    found = checkpointed(packed.repartition(buckets, by_bucket()).mapInArrow(_find(most_shared, num, den), _FOUND_DDL))
+    buckets = buckets or buckets_for(docs)
+    packed = source.mapInArrow(lean(_index(width, num, den, buckets, log_sets)), PACKED_DDL)
+    found = checkpointed(packed.repartition(buckets, by_bucket()).mapInArrow(lean(_find(most_shared, num, den)), _FOUND_DDL))
 
     # n holds the set's size and, above it, the check
     members = found.where("key is not null").select("doc_id", "key", "n")
@@ -233,7 +233,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den
 
     wanted = checkpointed(groups.join(nodes.select(F.col("key").alias("node"), "doc_id", "own"), "node").select("doc_id", F.col("node").alias("key"), F.col("own").alias("n"), "component", "degree"))
     maybe = source.where(Bitmap(wanted, "doc_id").has(F.xxhash64("doc_id")))  # spares most texts the shuffle
-    sets = checkpointed(maybe.join(wanted, "doc_id").select("component", "key", "n", "degree", "text").mapInArrow(_checked(width), "component long, key long, degree long, payload binary").dropDuplicates(["key"]))
+    sets = checkpointed(maybe.join(wanted, "doc_id").select("component", "key", "n", "degree", "text").mapInArrow(lean(_checked(width)), "component long, key long, degree long, payload binary").dropDuplicates(["key"]))
     labels = exact_groups(sets, num, den, decode=shingle_sets(width)).select(F.col("node").alias("key"), F.col("component").alias("label"))
 
     known = nodes.select("key", "own", "doc_id").join(labels, "key", "left").select("key", "own", "doc_id", F.coalesce("label", "key").alias("label"))
