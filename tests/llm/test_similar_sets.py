@@ -37,3 +37,14 @@ def test_folded_sketches_lose_no_link():
             sa, sb = similar_sets.odd_sketch(a), similar_sets.odd_sketch(b)
             small = [similar_sets._fold(x, max(8, len(x) // 4)).to_bytes(max(8, len(x) // 4), "little") for x in (sa, sb)]
             assert similar_sets._may_link(sa, sb, n, n, 75, 100) and similar_sets._may_link(*small, n, n, 75, 100)
+
+
+def test_blocks_compare_few_sets_exactly(monkeypatch):
+    """Sets of a large group that link to nothing cost no exact comparison each with each."""
+    asked, linked = [], similar_sets._linked
+    monkeypatch.setattr(similar_sets, "_linked", lambda *a: asked.append(1) or linked(*a))
+    sets = [_set(1000 * i, 40 + i % 7) for i in range(200)] + [_set(1000 * i + 1, 40) for i in range(0, 200, 10)]
+    rows = [{"role": role, "key": i, "payload": x.tobytes()} for role in (0, 1) for i, x in enumerate(sets)]
+    edges = similar_sets._block_exactly(75, 100, _decode)((), pa.Table.from_pylist(rows)).to_pylist()
+    assert {tuple(sorted(e.values())) for e in edges} == {(10 * i, 200 + i) for i in range(20)}
+    assert 20 <= len(asked) < 200  # of 48,400 pairs

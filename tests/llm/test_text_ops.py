@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.llm import queries
+from trawl.llm import components, queries
 from trawl.llm.components import connected_components
 from trawl.llm.decontaminate import SuffixAutomaton, decontaminate, find_contamination, hit_words, is_contaminated, words_of
 from trawl.llm.line_dedup import dedup_lines, repeated_lines
@@ -124,6 +124,14 @@ def test_union_find(spark, most_edges):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_stars_are_contracted_again_in_fewer_partitions(spark, monkeypatch):
+    """Edges of several partitions whose stars fit into one need no rounds over partitions."""
+    monkeypatch.setattr(components, "_star", None)
+    edges = [(i, j) for i in range(40) for j in range(i + 1, 40)] + [(1000, i) for i in range(1001, 1010)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(9), most_edges=300).collect()}
+    assert got == {i: 0 for i in range(40)} | {i: 1000 for i in range(1000, 1010)}
+
+
 def bench():
     rng = random.Random(9)
     return [(1, prose(rng, 40)), (2, prose(rng, 13)), (3, "only three words"), (4, None), (5, ""), (6, "!!"), (10, prose(rng, 25)), (None, prose(rng, 20)), (11, "solo")]

@@ -1,4 +1,4 @@
-"""Distributed union-find: partitions contract their own edges, alternating large-star and small-star rounds join what lies in several.
+"""Distributed union-find: partitions contract their own edges, step by step in fewer ones, alternating large-star and small-star rounds join what lies in several.
 
 No step gathers a node's neighbours; a hot node's rows pre-aggregate to a minimum before the shuffle,
 and the join back on a hot node is an ordinary equi-join, which adaptive execution can split.
@@ -55,13 +55,15 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, most_rounds: int = 60, most_edges: int = 1_000_000) -> DataFrame:
     """edges (a long, b long) to one row (node, component) per node that has an edge; component: the least node.
 
-    Each partition, of about most_edges edges, first contracts its own to stars; alternating rounds then join the stars of different partitions, if there
-    are several, until a round changes no edge. Null ends and loops count for nothing; repeated edges count once.
+    Each partition, of about most_edges edges, first contracts its own to stars, and the stars are gathered into fewer partitions and contracted again as long as their number falls by a quarter;
+    alternating rounds then join the stars of different partitions, if there are several, until a round changes no edge. Null ends and loops count for nothing; repeated edges count once.
     """
     pairs = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     raw = checkpointed(pairs)
     parts = max(1, -(-raw.count() // most_edges))
     now = checkpointed(raw.coalesce(parts).mapInArrow(_contract, "u long, v long"))
+    while parts > 1 and 4 * (fewer := max(1, -(-now.count() // most_edges))) <= 3 * parts:  # stars have fewer edges than what they came from, and fit into fewer partitions
+        now, parts = checkpointed(now.coalesce(fewer).mapInArrow(_contract, "u long, v long")), fewer
     sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = sign(now) if parts > 1 else None
     for _ in range(most_rounds if parts > 1 else 0):

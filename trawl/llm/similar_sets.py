@@ -22,12 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, slices
+from .common import U64, checkpointed, lean, slices
 from .components import connected_components
 
 Decoder = Callable[[pa.Array], list[np.ndarray]]
 
 MOST_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
+#: Of the sketches by which sets of a block are told apart before they are compared.
+MOST_BITS = 4096
 
 
 def differences(a, b, num: int, den: int):
@@ -91,7 +93,7 @@ def _told(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     both = pairs.join(left, "a").join(right, "b").where("sa is not null and sb is not null")
-    return checkpointed(both.mapInArrow(_by_sketch(num, den), "a long, b long, near boolean, star boolean").where("near or star"))
+    return checkpointed(both.mapInArrow(lean(_by_sketch(num, den)), "a long, b long, near boolean, star boolean").where("near or star"))
 
 
 class _Forest:
@@ -182,8 +184,22 @@ def _with_representative(num: int, den: int, decode: Decoder):
     return run
 
 
+def _parities(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Odd sketches of that many bits, a row of 64-bit words for each set."""
+    out, step = np.zeros((len(sets), bits // 64), dtype=U64), max(1, (1 << 18) // bits)
+    for i in range(0, len(sets), step):
+        part = sets[i : i + step]
+        at = (np.concatenate(part) & U64(bits - 1)).astype(np.int64) + np.repeat(np.arange(len(part)) * bits, [len(x) for x in part])
+        ones = (np.bincount(at, minlength=len(part) * bits) & 1).astype(np.uint8)
+        out[i : i + step] = np.packbits(ones.reshape(len(part), bits), axis=1, bitorder="little").view(U64)
+    return out
+
+
 def _block_exactly(num: int, den: int, decode: Decoder):
-    """Rows (role, key, payload) of a block of representatives (role 0) and one of members (role 1) to the links that join trees."""
+    """Rows (role, key, payload) of a block of representatives (role 0) and one of members (role 1) to the links that join trees.
+
+    Sets whose sizes or sketches rule a link out, or that are in one tree, are not compared: of a group in which few link, that are nearly all.
+    """
 
     def run(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         role, payload = table.column("role").to_numpy(), table.column("payload").combine_chunks()
@@ -196,19 +212,22 @@ def _block_exactly(num: int, den: int, decode: Decoder):
         firsts, members = decode(payload.take(pa.array(zeros))), payload.take(pa.array(ones))
         bytes_before = np.concatenate([[0], np.cumsum(pc.binary_length(members).fill_null(0).to_numpy(zero_copy_only=False))])
         for a, b in slices(bytes_before, SLICE_BYTES):
-            sets, part = decode(members.slice(a, b - a)), ones[a:b]
+            sets = decode(members.slice(a, b - a))
             size = np.array([len(x) for x in sets])
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            for i, own in zip(zeros, firsts, strict=True):
-                lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-                count = hi - lo
-                at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                both = np.bincount(owner[at], minlength=len(sets))
-                for j in part[np.flatnonzero(den * both >= num * (size + len(own) - both))]:
-                    if keys[j] != keys[i] and trees.add(number[keys[i]], number[keys[j]]):
-                        out.append((keys[i], keys[j]))
+            order = np.argsort(size, kind="stable")
+            sets, size, part = [sets[k] for k in order], size[order], ones[a:b][order]
+            bits = min(MOST_BITS, sketch_bits(int(size[-1])))
+            sketches = _parities(sets, bits)
+            for i, own, sketch in zip(zeros, firsts, _parities(firsts, bits), strict=True):
+                n = len(own)
+                lo, hi = np.searchsorted(size, max(1, -(-n * num // den)), "left"), np.searchsorted(size, n * den // num, "right")
+                apart = np.bitwise_count(sketches[lo:hi] ^ sketch).sum(axis=1, dtype=np.int64)
+                at = number[keys[i]]
+                for k in np.flatnonzero(apart <= differences(size[lo:hi], n, num, den)) + lo:
+                    j = number[keys[part[k]]]
+                    if trees.root(at) != trees.root(j) and _linked(own, sets[k], num, den):
+                        trees.add(at, j)
+                        out.append((keys[i], keys[part[k]]))
         return pa.Table.from_pylist([{"a": a, "b": b} for a, b in out], schema=_EDGES)
 
     return run
@@ -291,18 +310,18 @@ def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few:
     return labels.join(_degrees(edges).withColumnRenamed("key", "node"), "node", "left").select("node", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def exact_groups(sets: DataFrame, num: int, den: int, few: int = 256, many: int = 512, *, decode: Decoder) -> DataFrame:
+def exact_groups(sets: DataFrame, num: int, den: int, few: int = 256, many: int = 2048, *, decode: Decoder) -> DataFrame:
     """sets (component long, key long, payload binary, degree long), checkpointed and with distinct keys, to (node, component) of the links within components.
 
     Each set is compared with one representative of its component, that of the highest degree; what isn't connected to it is compared in rounds. decode: payloads to sets.
     """
     hubs = sets.groupBy("component").agg(F.max(F.struct("degree", "key")).alias("hub")).select("component", F.col("hub.key").alias("first_key"))
     firsts = checkpointed(hubs.join(sets.select(F.col("key").alias("first_key"), F.col("payload").alias("of_first")), "first_key"))
-    told = checkpointed(sets.join(firsts, "component").where("key != first_key").mapInArrow(_with_representative(num, den, decode), "component long, key long, first_key long, linked boolean"))
+    told = checkpointed(sets.join(firsts, "component").where("key != first_key").mapInArrow(lean(_with_representative(num, den, decode)), "component long, key long, first_key long, linked boolean"))
     edges = told.where("linked").select(F.col("key").alias("a"), F.col("first_key").alias("b"))
     open_groups = told.where("not linked").select("component", "first_key").distinct()
     if not open_groups.limit(1).count():
         return connected_components(edges)
     members = checkpointed(sets.join(open_groups, "component").select(F.col("component").alias("grp"), "key", F.col("first_key").alias("hub"), F.octet_length("payload").cast("long").alias("size"), "degree"))
-    compare = lambda asks: _in_blocks(asks, members.select("grp", "key", "size"), sets.select("key", "payload"), few, many, _block_exactly(num, den, decode))
+    compare = lambda asks: _in_blocks(asks, members.select("grp", "key", "size"), sets.select("key", "payload"), 4 * few, many, _block_exactly(num, den, decode))
     return _resolved(edges, members, compare, few)[0]
