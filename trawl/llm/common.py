@@ -98,13 +98,29 @@ def shuffle_partitions(spark: SparkSession, least: int = 64) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def wide_buckets_for(df: DataFrame, least: int = 8) -> int:
+    """Reduce tasks for packed signatures that are decoded a slice at a time: one for each 32 MB of df up to 1024, then one more for each 128 MB.
+
+    The fewer there are, the more signatures of a node share its entry in a blob. Where the optimizer knows no size, as buckets_for.
+    """
+    if (size := _estimated_bytes(df)) >= 1 << 55:
+        return shuffle_partitions(df.sparkSession)
+    wanted = -(-size // (32 << 20))
+    if wanted > 1024:
+        wanted = 1024 + (size - (32 << 30)) // (128 << 20)
+    return max(least, min(wanted, 200_000))
+
+
 def buckets_for(df: DataFrame, least: int = 64) -> int:
     """Reduce tasks for packed signatures of df, from the optimizer's estimate of its size: one for each 4 MB up to 1024, then one more for each 128 MB.
 
     Where the optimizer knows no size (rows that don't come from files), 64 or spark.sql.shuffle.partitions.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 55:
+    if (size := _estimated_bytes(df)) >= 1 << 55:
         return shuffle_partitions(df.sparkSession)
     wanted = -(-size // (4 << 20))
     if wanted > 1024:

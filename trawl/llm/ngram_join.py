@@ -11,7 +11,7 @@ Candidates are then verified: first by odd sketches (the parity of hashed elemen
 is a lower bound of the sets' difference, so no link is lost), then exactly on the whole shingle sets.
 Equal sets are one node throughout. Only components are built from links; copies never expand into pairs.
 
-Memory: a map task holds one Arrow batch; a reduce task one bucket of signatures (their number follows the table's size). The sets of a signature
+Memory: a map task holds one Arrow batch and some MB of sketches; a reduce task one bucket of packed signatures (their number follows the table's size), decoded a slice at a time. The sets of a signature
 that more than `most_shared` distinct sets share, and groups of near copies, are compared with representatives, round by round (see similar_sets).
 
 Sets are compared through 64-bit hashes of whole shingles and sets are told apart by 64 + 31 bits of two hashes. Of different sets with one 64-bit key, of
@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, U64, Bitmap, Words, buckets_for, checkpointed, lean, mix, set_keys, shingle_hashes, slices, text_buffer
+from .common import SPACE_WORDS, U64, Bitmap, Words, checkpointed, lean, mix, set_keys, shingle_hashes, slices, text_buffer, wide_buckets_for
 from .components import connected_components
-from .packed import PACKED_DDL, PAIRS, PAIRS_DDL, Packer, by_bucket, candidates, riders, split_riders
+from .packed import PACKED_DDL, PAIR_BLOBS, Packer, by_bucket, candidates, pair_blobs, pairs_of_blobs, riders, split_riders
 from .similar_sets import differences, exact_groups, odd_sketch, probable_groups
 
 BAND_GROWTH = 1.6
 MOST_SHARED = 32
+#: Signatures that a reduce task decodes at once; sketches that a map task holds until it sends them on.
+MOST_DECODED, MOST_HELD = 1 << 19, 8 << 20
 _SEG, _BAND = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
@@ -133,10 +135,10 @@ def signatures(h: np.ndarray, offsets: np.ndarray, num: int, den: int, log_sets:
 
 
 def _index(width: int, num: int, den: int, buckets: int, log_sets: int):
-    """documents (doc_id, text) to packed signatures and, in bucket -1 - b, packed node rows."""
+    """documents (doc_id, text) to packed signatures and, in bucket -1 - b, packed rows of documents and of nodes, these in the bucket of their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets)
+        packer, nodes, held = Packer(buckets), [], 0
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             ids = batch.column(0)
@@ -144,36 +146,80 @@ def _index(width: int, num: int, den: int, buckets: int, log_sets: int):
                 part = offsets[a : b + 1] - offsets[a]
                 h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], part, SPACE_WORDS), width)
                 (keys, check), n = set_keys(h, at), np.diff(at)
-                named = np.flatnonzero(ids.slice(a, b - a).is_valid().to_numpy(zero_copy_only=False) & (n > 0))
-                _, once = np.unique(keys[named], return_index=True)  # equal sets of a batch are indexed once
+                own, told = ids.slice(a, b - a), n | (check << 32)
+                yield riders(pa.RecordBatch.from_arrays([own, pa.array(keys.view(np.int64)), pa.array(told)], schema=_MEMBERS), int(keys[0] % U64(buckets)))
+                named = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False) & (n > 0))
+                doc = own.fill_null(0).to_numpy(zero_copy_only=False)
+                named = named[np.lexsort((doc[named], told[named], keys[named]))]
+                once = np.flatnonzero(np.append(True, keys[named][1:] != keys[named][:-1]))[: len(named)]  # equal sets of a batch are indexed once
+                first = named[once]
                 chosen = np.zeros(len(keys), dtype=bool)
-                chosen[named[once]] = True
-                sketches = [odd_sketch(h[at[i] : at[i + 1]]) if chosen[i] else None for i in range(len(n))]
-                rows = pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys.view(np.int64)), pa.array(n | (check << 32)), pa.array(sketches, pa.binary())], names=["doc_id", "key", "n", "sketch"])
-                yield riders(rows, int(keys[0] % U64(buckets)))
+                chosen[first] = True
+                if len(first):
+                    sketches = [odd_sketch(h[at[i] : at[i + 1]]) for i in first]
+                    most = np.maximum.reduceat(told[named], once)
+                    nodes.append(pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(keys[first].view(np.int64)), pa.array(told[first]), pa.array(most), pa.array(sketches, pa.binary())], schema=_NODES))
+                    held += sum(map(len, sketches))
+                if held >= MOST_HELD:
+                    yield from _dealt(_one_each(nodes), buckets)
+                    nodes, held = [], 0
                 keep = np.repeat(chosen, n)
                 sub = np.concatenate([[0], np.cumsum(n[chosen])])
                 sigs, owner = signatures(h[keep], sub, num, den, log_sets)
                 yield from packer.add(sigs, owner, keys[chosen], n[chosen])
         yield from packer.flush()
+        yield from _dealt(_one_each(nodes), buckets)
 
     return run
 
 
-_NODE_ROWS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
-_FOUND = pa.schema([*_NODE_ROWS, *PAIRS])
-_FOUND_DDL = "doc_id long, key long, n long, sketch binary, " + PAIRS_DDL
+#: Rows of documents and of distinct keys; n holds the set's size and, above it, the check. Of a key's sets `n` is the least, with its least doc_id, and `most` the largest.
+_MEMBERS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+_NODES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("most", pa.int64()), ("sketch", pa.binary())])
+_FOUND = pa.schema([*_MEMBERS, *(f for f in _NODES if f.name not in _MEMBERS.names), *PAIR_BLOBS])
+_FOUND_DDL = "doc_id long, key long, n long, node long, most long, sketch binary, hot boolean, pairs binary"
+
+
+def _one_each(nodes: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Rows of nodes, one for each key."""
+    table = pa.Table.from_batches(nodes, schema=_NODES).combine_chunks()
+    if not len(table):
+        return pa.RecordBatch.from_pylist([], schema=_NODES)
+    doc, node, n, most = (table.column(i).to_numpy() for i in range(4))
+    order = np.lexsort((doc, n, node))
+    first = np.flatnonzero(np.append(True, node[order][1:] != node[order][:-1]))
+    rows = table.take(pa.array(order[first])).set_column(3, _NODES.field("most"), pa.array(np.maximum.reduceat(most[order], first)))
+    return rows.combine_chunks().to_batches()[0]
+
+
+def _dealt(nodes: pa.RecordBatch, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of nodes as riders of the buckets of their keys, so that all of a key meet in one task."""
+    bucket = (nodes.column(1).to_numpy().view(U64) % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ids, at = np.unique(bucket[order], return_index=True)
+    for k, a, b in zip(ids.tolist(), at, [*at[1:], len(order)], strict=False):
+        yield riders(nodes.take(pa.array(order[a:b])), k)
+
+
+def _padded(rows: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([rows.column(f.name) if f.name in rows.schema.names else pa.nulls(len(rows), f.type) for f in _FOUND], schema=_FOUND)
 
 
 def _find(most: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[pa.RecordBatch] = []
+        nodes: list[pa.RecordBatch] = []
         for rows in split_riders(batches, blobs):
-            none = [pa.nulls(len(rows), f.type) for f in PAIRS]
-            yield pa.RecordBatch.from_arrays([*(rows.column(f.name).cast(f.type) for f in _NODE_ROWS), *none], schema=_FOUND)
-        for pairs in candidates(iter(blobs), most, num, den):
-            none = [pa.nulls(len(pairs), f.type) for f in _NODE_ROWS]
-            yield pa.RecordBatch.from_arrays([*none, *pairs.columns], schema=_FOUND)
+            if "node" in rows.schema.names:
+                nodes.append(rows)
+            else:
+                yield _padded(rows)
+        one = _one_each(nodes)
+        nodes.clear()
+        for i in range(0, len(one), 1024):
+            yield _padded(one.slice(i, 1024))
+        for pairs in candidates(iter(blobs), most, num, den, MOST_DECODED):
+            yield _padded(pair_blobs(pairs))
 
     return run
 
@@ -192,21 +238,21 @@ def shingle_sets(width: int):
     return decode
 
 
-def _checked(width: int):
-    """Rows (component, key, n, degree, text) whose text has that key and size with check; after a repeated doc_id some haven't."""
-    schema = pa.schema([("component", pa.int64()), ("key", pa.int64()), ("degree", pa.int64()), ("payload", pa.binary())])
+def _keyed(width: int):
+    """The key of a text's set, and its size with the check."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            for a, b in slices(offsets, 2 << 20):
-                h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE_WORDS), width)
-                part = batch.slice(a, b - a)
-                rows = pa.RecordBatch.from_arrays([part.column("component"), part.column("key"), part.column("degree"), part.column("text").cast(pa.binary())], schema=schema)
-                keys, check = set_keys(h, at)
-                yield rows.filter(pa.array((keys.view(np.int64) == rows.column(1).to_numpy()) & ((np.diff(at) | (check << 32)) == part.column("n").to_numpy())))
+    @F.arrow_udf("key bigint, n bigint")
+    def keyed(texts: pa.Array) -> pa.Array:
+        data, offsets = text_buffer(texts)
+        out = [(np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))]
+        for a, b in slices(offsets, 2 << 20):
+            h, at = shingle_hashes(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACE_WORDS), width)
+            keys, check = set_keys(h, at)
+            out.append((keys, np.diff(at) | (check << 32)))
+        keys, told = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(told)], names=["key", "n"])
 
-    return run
+    return keyed("text")
 
 
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, most_shared: int = MOST_SHARED, few: int = 256, many: int = 4096, buckets: int | None = None) -> DataFrame:
@@ -220,20 +266,20 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     log_sets = max(1, math.ceil(math.log10(max(10, source.select("doc_id").count()))))
-    buckets = buckets or buckets_for(docs)
+    buckets = buckets or wide_buckets_for(docs)
     packed = source.mapInArrow(lean(_index(width, num, den, buckets, log_sets)), PACKED_DDL)
     found = checkpointed(packed.repartition(buckets, by_bucket()).mapInArrow(lean(_find(most_shared, num, den)), _FOUND_DDL))
 
-    # n holds the set's size and, above it, the check
     members = found.where("key is not null").select("doc_id", "key", "n")
-    own = F.struct("n", "doc_id").alias("own")
-    nodes = found.where("key is not null and n > 0 and doc_id is not null").groupBy("key").agg(F.min(own).alias("own"), F.max("n").alias("most"), F.min(F.struct("n", F.col("sketch").isNull().alias("none"), "sketch")).alias("s"))
-    nodes = checkpointed(nodes.select("key", (F.col("own.n") % (1 << 32)).alias("n"), F.col("own.n").alias("own"), "most", F.col("own.doc_id").alias("doc_id"), F.col("s.sketch").alias("sketch")))
-    groups = checkpointed(probable_groups(found, nodes, num, den, few, many))
+    nodes = found.where("node is not null").select(F.col("node").alias("key"), (F.col("n") % (1 << 32)).alias("n"), F.col("n").alias("own"), "most", "doc_id", "sketch")
+    pairs = found.where("pairs is not null").select("hot", "pairs").mapInArrow(lean(pairs_of_blobs), "hot boolean, a long, b long")
+    groups = checkpointed(probable_groups(pairs, nodes, num, den, few, many))
 
     wanted = checkpointed(groups.join(nodes.select(F.col("key").alias("node"), "doc_id", "own"), "node").select("doc_id", F.col("node").alias("key"), F.col("own").alias("n"), "component", "degree"))
     maybe = source.where(Bitmap(wanted, "doc_id").has(F.xxhash64("doc_id")))  # spares most texts the shuffle
-    sets = checkpointed(maybe.join(wanted, "doc_id").select("component", "key", "n", "degree", "text").mapInArrow(lean(_checked(width)), "component long, key long, degree long, payload binary").dropDuplicates(["key"]))
+    keyed = maybe.withColumn("of", _keyed(width)).select("doc_id", F.col("of.key").alias("key"), F.col("of.n").alias("n"), "text")  # after a repeated doc_id some texts have another key
+    texts = keyed.join(wanted, ["doc_id", "key", "n"]).dropDuplicates(["doc_id", "key", "n"])  # texts are shuffled once, for both
+    sets = checkpointed(texts.select("component", "key", "degree", F.col("text").cast("binary").alias("payload")))
     labels = exact_groups(sets, num, den, decode=shingle_sets(width)).select(F.col("node").alias("key"), F.col("component").alias("label"))
 
     known = nodes.select("key", "own", "doc_id").join(labels, "key", "left").select("key", "own", "doc_id", F.coalesce("label", "key").alias("label"))

@@ -54,16 +54,27 @@ def pack(sigs: np.ndarray, owners: np.ndarray, nodes: np.ndarray, sizes: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(blobs, pa.binary())], schema=PACKED)
 
 
-def unpack(bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket and signature, node, size) of each signature in a blob."""
+def unpack(bucket: int, blob: bytes, least: int = 0, below: int = 1 << 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket and signature, node, size) of each signature in a blob whose 4 bytes lie in that range."""
     n, used = np.frombuffer(blob, dtype="<u4", count=2)
     wide = "<u4" if used > 65535 else "<u2"
     low = np.frombuffer(blob, dtype="<u4", count=n, offset=8)
     index = np.frombuffer(blob, dtype=wide, count=n, offset=8 + 4 * int(n))
     table = np.frombuffer(blob, dtype=NODE, count=used, offset=8 + (4 + np.dtype(wide).itemsize) * int(n))
+    if least > 0 or below < 1 << 32:
+        a, b = (int(np.searchsorted(low, np.uint32(x))) if x < 1 << 32 else len(low) for x in (least, below))  # a blob is in their order
+        low, index = low[a:b], index[a:b]
     return low.astype(U64) | (U64(bucket) << U64(32)), table["node"][index], table["size"][index]
 
 
+def _sliced(bucket: int, blobs: list[bytes], most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The blobs of a bucket in slices of about `most` signatures; those of one signature are in one slice."""
+    total = sum(int(np.frombuffer(x, dtype="<u4", count=1)[0]) for x in blobs)
+    parts = 1 if most is None else max(1, -(-total // most))
+    for i in range(parts):
+        found = [unpack(bucket, x, (i << 32) // parts, ((i + 1) << 32) // parts) for x in blobs]
+        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
 
 def riders(rows: pa.RecordBatch, bucket: int) -> pa.RecordBatch:
     """Other rows that travel with the signatures of a batch: they come out of split_riders in the task of this bucket."""
@@ -91,20 +102,55 @@ PAIRS = pa.schema([("hot", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("
 PAIRS_DDL = "hot boolean, a long, b long, na long, nb long"
 
 
-def candidates(batches: Iterator[pa.RecordBatch], most: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+#: Pairs that a task holds before it drops repeated ones and yields them.
+MOST_PAIRS = 2_000_000
+
+
+def _distinct(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    a, b, na, nb = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((b, a))
+    a, b, na, nb = a[order], b[order], na[order], nb[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(int(new.sum()), dtype=bool)), *(pa.array(x[new].astype(np.int64)) for x in (a.view(np.int64), b.view(np.int64), na, nb))], schema=PAIRS)
+
+
+PAIR_BLOBS = pa.schema([("hot", pa.bool_()), ("pairs", pa.binary())])
+
+
+def pair_blobs(pairs: pa.RecordBatch, most: int = 4096) -> pa.RecordBatch:
+    """Rows of candidates, all hot or none, in blobs of 16 bytes a pair (a, b)."""
+    ab = np.stack([pairs.column(1).to_numpy(), pairs.column(2).to_numpy()]).astype("<i8")
+    blobs = [ab[:, i : i + most].tobytes() for i in range(0, ab.shape[1], most)]
+    return pa.RecordBatch.from_arrays([pa.array(pairs.column(0).slice(0, 1).to_pylist() * len(blobs), pa.bool_()), pa.array(blobs, pa.binary())], schema=PAIR_BLOBS)
+
+
+def pairs_of_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pair_blobs to rows (hot, a, b)."""
+    for batch in batches:
+        for hot, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            a, b = np.frombuffer(blob.as_py(), dtype="<i8").reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), hot)), pa.array(a), pa.array(b)], names=["hot", "a", "b"])
+
+
+def candidates(batches: Iterator[pa.RecordBatch], most: int, num: int, den: int, most_decoded: int | None = None) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (hot false: node a < node b as unsigned, and sizes) of signatures that at most `most` nodes share.
 
     A signature that more nodes share yields a row for each of them instead (hot true: a is the least of its nodes, b a node, nb its size); signatures with the same least node, which near
     copies have many of, yield the rows of one group. Pairs whose sizes rule out den * min >= num * max are dropped.
+    A bucket's signatures are decoded at once, or about most_decoded of them; its pairs are told once for each MOST_PAIRS.
     """
     parts: dict[int, list[bytes]] = {}
     for batch in batches:
         for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             parts.setdefault(k, []).append(blob)
     while parts:
-        k, blobs = parts.popitem()
-        cols = [np.concatenate(x) for x in zip(*(unpack(k, b) for b in blobs), strict=True)]
-        sig, node, size = cols
+        yield from _of_bucket(*parts.popitem(), most, num, den, most_decoded)
+
+
+def _of_bucket(bucket: int, blobs: list[bytes], most: int, num: int, den: int, most_decoded: int | None) -> Iterator[pa.RecordBatch]:
+    found, held = [], 0
+    for sig, node, size in _sliced(bucket, blobs, most_decoded):
         order = np.argsort(sig)
         sig = sig[order]
         same = sig[1:] == sig[:-1]
@@ -130,7 +176,6 @@ def candidates(batches: Iterator[pa.RecordBatch], most: int, num: int, den: int)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hub), dtype=bool)), pa.array(hub.view(np.int64)), pa.array(key.view(np.int64)), pa.array(np.zeros(len(hub), dtype=np.int64)), pa.array(n)], schema=PAIRS)
         some = (shared > 1) & ~hot
         sig, node, size = sig[some], node[some], size[some].astype(np.int64)
-        found = []
         for d in range(1, most):
             if d >= len(sig):
                 break
@@ -141,11 +186,9 @@ def candidates(batches: Iterator[pa.RecordBatch], most: int, num: int, den: int)
             near = np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num
             a, b = a[near], b[near]
             found.append((node[a], node[b], size[a], size[b]))
-        if not found:
-            continue
-        a, b, na, nb = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((b, a))
-        a, b, na, nb = a[order], b[order], na[order], nb[order]
-        new = np.ones(len(a), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(new.sum()), dtype=bool)), *(pa.array(x[new].astype(np.int64)) for x in (a.view(np.int64), b.view(np.int64), na, nb))], schema=PAIRS)
+            held += len(a)
+        if held >= MOST_PAIRS:
+            yield _distinct(found)
+            found, held = [], 0
+    if found:
+        yield _distinct(found)

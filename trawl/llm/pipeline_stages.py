@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, buckets_for, checkpointed, numbered, scratch
+from .common import Bitmap, checkpointed, numbered, scratch, wide_buckets_for
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
 from .mixing import mixed_documents
@@ -40,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the least doc_id (nulls last), and of several rows with that id the first."""
     rows = numbered(docs)
-    groups = ngram_jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), buckets=buckets_for(docs.select("doc_id", "text"))).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    groups = ngram_jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), buckets=wide_buckets_for(docs.select("doc_id", "text"))).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
     many = checkpointed(groups.join(groups.where("row != component_id").select("component_id").distinct(), "component_id", "left_semi"))
     named = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("id")).join(many, "row")
     stay = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("s")).select(F.col("s.row").alias("row"))

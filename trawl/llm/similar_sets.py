@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, lean, slices
+from .common import U64, Bitmap, checkpointed, lean, slices
 from .components import connected_components
 
 Decoder = Callable[[pa.Array], list[np.ndarray]]
@@ -298,7 +298,10 @@ def probable_groups(found: DataFrame, nodes: DataFrame, num: int, den: int, few:
     if fold:  # most pairs meet by chance and end here, so that few carry whole sketches
         first = _told(pairs, nodes.withColumn("sketch", _quarter("sketch")), num, den)
         passed = first.where("near").drop("near")
-    told = _told(passed, nodes, num, den)
+    asked = nodes
+    if fold:  # few nodes have such a pair; only their whole sketches are shuffled
+        asked = checkpointed(nodes.where(Bitmap(passed.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").has(F.xxhash64("key"))))
+    told = _told(passed, asked, num, den)
     edges = checkpointed(told.where("near").select("a", "b").unionByName(warm))
     apart = (first.unionByName(told) if fold else told).where("star and not near").select(F.col("a").alias("grp")).distinct()
     if not apart.limit(1).count():
@@ -322,6 +325,7 @@ def exact_groups(sets: DataFrame, num: int, den: int, few: int = 256, many: int
     open_groups = told.where("not linked").select("component", "first_key").distinct()
     if not open_groups.limit(1).count():
         return connected_components(edges)
-    members = checkpointed(sets.join(open_groups, "component").select(F.col("component").alias("grp"), "key", F.col("first_key").alias("hub"), F.octet_length("payload").cast("long").alias("size"), "degree"))
+    sized = sets.select("component", "key", F.octet_length("payload").cast("long").alias("size"), "degree")
+    members = checkpointed(sized.join(open_groups, "component").select(F.col("component").alias("grp"), "key", F.col("first_key").alias("hub"), "size", "degree"))
     compare = lambda asks: _in_blocks(asks, members.select("grp", "key", "size"), sets.select("key", "payload"), 4 * few, many, _block_exactly(num, den, decode))
     return _resolved(edges, members, compare, few)[0]
