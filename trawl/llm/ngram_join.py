@@ -252,7 +252,7 @@ def _keyed(width: int):
         keys, told = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(told)], names=["key", "n"])
 
-    return keyed("text")
+    return keyed.asNondeterministic()("text")  # else the optimizer asks for keys that aren't null of all texts, before any filter
 
 
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, most_shared: int = MOST_SHARED, few: int = 256, many: int = 4096, buckets: int | None = None) -> DataFrame:
