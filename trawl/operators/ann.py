@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import metric_name
-from .dense import dense_scores, matrix, payload_scores, ranked, scores
+from .dense import against, dense_scores, matrix, payload_scores, ranked
 from .quantize import distances, kmeans, nearest
 
 #: Cells over the square root of the rows, and the share of cells that is probed; measured by the query ann_ivf_recall.
@@ -63,15 +63,16 @@ class InvertedFile:
         def reached(vectors: pd.Series) -> pd.Series:
             return pd.Series(np.concatenate([held[at].sum(axis=1) for at in _probed(np.array(vectors.tolist(), dtype=np.float64), centroids, probes)]))
 
-        def scorer(vectors: list):
-            q = np.array(vectors, dtype=np.float64)
+        def scorer(vectors: pa.Array):
+            q = matrix(vectors).astype(np.float64)
+            each = against(metric, q)
             inside = np.zeros((len(centroids), len(q)), dtype=bool)
             at = np.concatenate(list(_probed(q, centroids, probes)))
             inside[at, np.arange(len(q))[:, None]] = True
 
             def score(column: pa.StructArray) -> np.ndarray:
                 cell, vector = column.flatten()
-                return np.where(inside[cell.to_numpy(zero_copy_only=False)], scores(metric, matrix(vector), q), -np.inf)
+                return np.where(inside[cell.to_numpy(zero_copy_only=False)], each(matrix(vector)), -np.inf)
 
             return score
 

@@ -1,6 +1,6 @@
 """The blocked kernels: products of a batch of records with a block of queries, in Arrow batches, exact top-k, and ranks by counting.
 
-Predicates are applied before. Queries are read in blocks of at most QUERY_BYTES, so what a task gets has a fixed bound; records are scanned once for each block.
+Predicates are applied before. Queries are read in blocks of at most QUERY_BYTES, so what a task gets has a fixed bound; records are scanned once for each block, CELLS of scores at a time.
 A kernel's scorer turns a column of payloads (vectors, token vectors, codes) and a block of queries into a rows x queries array.
 """
 
@@ -20,21 +20,38 @@ from ..schema import RecordError
 
 QUERY_BYTES = 32 << 20
 ROWS = 8192
+#: Cells of rows x queries, or of tokens x query tokens, that a task scores at once; pairs that it emits at once; bytes of a held row of a top-k.
+CELLS, PAIRS, HELD = 1 << 20, 1 << 16, 24
 Scorer = Callable[[pa.Array], np.ndarray]
 
 
-def scores(metric: str, records: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """A rows x queries array of scores, in doubles; higher is better."""
-    x, q = records.astype(np.float64), queries.astype(np.float64)
+def against(metric: str, queries: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Scores of records against these queries: a rows x queries array, in doubles; higher is better."""
+    q = queries.astype(np.float64)
     if metric == "manhattan":
-        return 0.0 - np.stack([np.abs(x - v).sum(axis=1) for v in q], axis=1)
+        return lambda x: 0.0 - np.stack([np.abs(x.astype(np.float64) - v).sum(axis=1) for v in q], axis=1)
     if metric == "euclidean":
-        return 0.0 - np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in q], axis=1)
-    out = x @ q.T
+        return lambda x: 0.0 - np.stack([np.sqrt(((x.astype(np.float64) - v) ** 2).sum(axis=1)) for v in q], axis=1)
     if metric == "cosine":
-        size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
-        out = np.divide(out, size, out=np.zeros_like(out), where=size > 0)
-    return out
+        q = unit(q)
+        return lambda x: unit(x.astype(np.float64)) @ q.T
+    return lambda x: x.astype(np.float64) @ q.T
+
+
+def scores(metric: str, records: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    return against(metric, queries)(records)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, or 0."""
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def settled(s: np.ndarray) -> np.ndarray:
+    """Scores to 40 binary digits: products of equal vectors differ in the last ones by their places in a matrix, but equal rows tie."""
+    m, e = np.frexp(s)
+    return np.ldexp(np.rint(np.ldexp(m, 40)), e - 40)
 
 
 def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -43,81 +60,163 @@ def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return x[:, :dim] if dim else x
 
 
-def vector_scorer(metric: str, queries: list, dim: int | None) -> Scorer:
-    q = np.array([v[:dim] if dim else v for v in queries], dtype=np.float64)
+def vector_scorer(metric: str, queries: pa.Array, dim: int | None) -> Scorer:
+    sizes = pc.unique(queries.value_lengths()).to_pylist()
+    if len(sizes) > 1:
+        raise RecordError(f"query vectors have {sorted(sizes)} elements")
+    q = matrix(queries, dim)
+    score = against(metric, q)
 
-    def score(column: pa.Array) -> np.ndarray:
+    def checked(column: pa.Array) -> np.ndarray:
         x = matrix(column, dim)
         if x.shape[1] != q.shape[1]:
             raise RecordError(f"stored vectors have {x.shape[1]} elements, queries {q.shape[1]}")
-        return scores(metric, x, q)
+        return score(x)
 
-    return score
+    return checked
 
 
-def token_scorer(metric: str, queries: list) -> Scorer:
+def token_scorer(metric: str, queries: pa.Array) -> Scorer:
     """Late interaction: the sum over query tokens of the best score over stored tokens; 0 if either has none."""
-    sizes = np.array([len(t) for t in queries])
-    some = np.flatnonzero(sizes)
-    q = np.array([v for t in queries for v in t], dtype=np.float64)
-    starts = (np.cumsum(sizes) - sizes)[some]
+    sizes = queries.value_lengths().to_numpy(zero_copy_only=False)
+    each = against(metric, matrix(queries.flatten())) if sizes.any() else None
 
     def score(column: pa.Array) -> np.ndarray:
-        n = column.value_lengths().to_numpy(zero_copy_only=False)
-        out, held = np.zeros((len(column), len(queries))), np.flatnonzero(n)
-        if len(held) and len(some):
-            each = scores(metric, matrix(column.flatten()), q)
-            best = np.maximum.reduceat(each, (np.cumsum(n) - n)[held], axis=0)
-            out[np.ix_(held, some)] = np.add.reduceat(best, starts, axis=1)
-        return out
+        n, flat = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten()
+        return best_sums(n, sizes, lambda a, b: each(matrix(flat.slice(a, b - a))))
 
     return score
 
 
+def best_sums(n: np.ndarray, sizes: np.ndarray, each: Callable[[int, int], np.ndarray]) -> np.ndarray:
+    """Rows of n tokens x queries of so many: sums over query tokens of the best over the row's. each(a, b): stored tokens a to b x all query tokens; at most CELLS (or a token's) at a time."""
+    out, held, some = np.zeros((len(n), len(sizes))), np.flatnonzero(n), np.flatnonzero(sizes)
+    if not len(held) or not len(some):
+        return out
+    starts, own = (np.cumsum(sizes) - sizes)[some], n[held]
+    ends, most = np.cumsum(own), max(1, CELLS // int(sizes.sum()))
+    a = 0
+    while a < len(held):
+        first = ends[a] - own[a]
+        b = max(a + 1, int(np.searchsorted(ends, first + most, "right")))
+        if own[a] > most:  # one long row, in pieces
+            best = each(first, first + most).max(axis=0)[None]
+            for t in range(first + most, ends[a], most):
+                best = np.maximum(best, each(t, min(t + most, ends[a])).max(axis=0)[None])
+        elif (own[a:b] == own[a]).all():  # some 15 times as fast
+            best = each(first, ends[b - 1]).reshape(b - a, own[a], -1).max(axis=1)
+        else:
+            best = np.maximum.reduceat(each(first, ends[b - 1]), (ends - own)[a:b] - first, axis=0)
+        out[np.ix_(held[a:b], some)] = np.add.reduceat(best, starts, axis=1)
+        a = b
+    return out
+
+
+class Best:
+    """The k best rows of each query that a task has seen, by score, namespace and id: some k rows for each query are held, however many tie."""
+
+    def __init__(self, k: int, width: int):
+        self.k, self.width = k, width
+        self.least, self.whole = np.full(width, -np.inf), False
+        self.parts: list[tuple] = []
+        self.keys = self.waiting = 0
+        self.most = max(CELLS // 4, k * width)
+
+    def add(self, s: np.ndarray, namespace: pa.Array, id: pa.Array) -> None:
+        if not self.whole and self.k < len(s):
+            self.least = np.maximum(self.least, self._below(np.partition(s, len(s) - self.k, axis=0)[len(s) - self.k]))
+        row, q = np.nonzero((s >= self.least) & (s != -np.inf))
+        if not len(row):
+            return
+        rows, at = np.unique(row, return_inverse=True)
+        self.parts.append((settled(s[row, q]), q.astype(np.int32), at + self.keys, namespace.take(pa.array(rows)), id.take(pa.array(rows))))
+        self.keys, self.waiting = self.keys + len(rows), self.waiting + len(row)
+        if self.waiting > self.most:
+            self.cut()
+
+    @staticmethod
+    def _below(s: np.ndarray) -> np.ndarray:
+        """What a score that settles to s, or to a score that settles as s does, is not below."""
+        return np.where(np.isfinite(s), s - np.abs(s) * 2.0**-38, s)
+
+    def cut(self) -> None:
+        score, query, key = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        names = pa.table([pa.chunked_array([p[i] for p in self.parts]) for i in (3, 4)], names=["namespace", "id"])
+        self.parts.clear()
+        place = np.empty(len(names), dtype=np.int64)
+        place[pc.sort_indices(names, sort_keys=[("namespace", "ascending"), ("id", "ascending")]).to_numpy()] = np.arange(len(names))
+        order = np.lexsort((place[key], -score, query))
+        q = query[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, np.arange(self.width))[q]
+        last = nth == self.k - 1
+        self.least[q[last]] = np.maximum(self.least[q[last]], self._below(score[order[last]]))
+        kept = order[nth < self.k]
+        used, at = np.unique(key[kept], return_inverse=True)
+        names = names.take(pa.array(used)).combine_chunks()
+        self.parts.append((score[kept], query[kept], at, names.column(0).combine_chunks(), names.column(1).combine_chunks()))
+        self.keys, self.waiting, self.whole = len(used), 0, True
+
+    def rows(self, qids: pa.Array, name: str) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self.cut()
+            score, query, key, namespace, id = self.parts[0]
+            yield from _pairs(qids, query, namespace, id, key, score, name)
+
+
+def _pairs(qids: pa.Array, query: np.ndarray, namespace: pa.Array, id: pa.Array, row: np.ndarray, score: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(row), PAIRS):
+        at = pa.array(row[a : a + PAIRS])
+        yield pa.RecordBatch.from_arrays([qids.take(pa.array(query[a : a + PAIRS])), namespace.take(at), id.take(at), pa.array(score[a : a + PAIRS].astype(np.float64))], names=["qid", "namespace", "id", name])
+
+
 def _emitted(make, k: int | None, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, scorer, floor = make()
+        step, best = max(1, min(ROWS, CELLS // len(qids))), Best(k, len(qids)) if k is not None else None
         for whole in batches:
-            for a in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(a, ROWS)
+            for a in range(0, whole.num_rows, step):
+                batch = whole.slice(a, step)
                 s = scorer(batch.column(2))
-                if k is not None and k < len(s):  # rows that tie with the last place stay
-                    least = np.partition(s, len(s) - k, axis=0)[len(s) - k]
-                    row, q = np.nonzero((s >= least) & (s != -np.inf))
-                elif floor is not None:
-                    row, q = np.nonzero(s >= floor)
-                else:
-                    row, q = np.nonzero(s != -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(qids, dtype=object)[q], pa.string()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(s[row, q].astype(np.float64))], names=["qid", "namespace", "id", name])
+                if best is not None:
+                    best.add(s, batch.column(0), batch.column(1))
+                    continue
+                row, q = np.nonzero(s >= floor if floor is not None else s != -np.inf)
+                yield from _pairs(qids, q, batch.column(0), batch.column(1), row, s[row, q], name)
+        if best is not None:
+            yield from best.rows(qids, name)
 
     return run
 
 
-def _blocks(asked: DataFrame, width: int) -> Iterator[list]:
+def _blocks(asked: DataFrame, width: int) -> Iterator[pa.Table]:
     """The rows of asked (qid, ...), in blocks of at most QUERY_BYTES of `width` bytes each."""
     n = asked.count()
     blocks = max(1, -(-n * width // QUERY_BYTES))
     for i in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow().to_pylist()
-        if some:
+        some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        if len(some):
             yield some
 
 
-def payload_scores(records: DataFrame, asked: DataFrame, width: int, scorer: Callable[[list], Scorer], k: int | None = None, name: str = "score", floors: dict[str, float] | None = None) -> DataFrame:
+def _column(some: pa.Table, name: str) -> pa.Array:
+    return some.column(name).combine_chunks()
+
+
+def payload_scores(records: DataFrame, asked: DataFrame, width: int, scorer: Callable[[pa.Array], Scorer], k: int | None = None, name: str = "score", floors: dict[str, float] | None = None) -> DataFrame:
     """records (namespace, id, payload), asked (qid, payload of some `width` bytes) to (qid, namespace, id, name).
 
-    scorer: a block's payloads to its Scorer, made once in each task. All pairs; with k those that may be among the k best of each query; with floors (qid to a score) those
-    that reach them. A score of minus infinity leaves a pair out.
+    scorer: a block's payloads to its Scorer, made once in each task. All pairs; with k those that may be among the k best of each query, of which a task holds and emits k;
+    with floors (qid to a score) those that reach them. A score of minus infinity leaves a pair out.
     """
     spark, out = records.sparkSession, None
     schema = f"qid string, namespace string, id string, {name} double"
-    for some in _blocks(asked, width):
-        shared = spark.sparkContext.broadcast((some, floors))
+    for some in _blocks(asked, width + HELD * (k or 0)):
+        own = np.array([floors.get(q, -np.inf) for q in some.column("qid").to_pylist()]) if floors is not None else None
+        shared = spark.sparkContext.broadcast((some, own))
 
         def make(shared=shared):
-            rows, floors = shared.value
-            floor = np.array([floors.get(r["qid"], -np.inf) for r in rows]) if floors is not None else None
-            return [r["qid"] for r in rows], scorer([r["payload"] for r in rows]), floor
+            rows, floor = shared.value
+            return _column(rows, "qid"), scorer(_column(rows, "payload")), floor
 
         part = records.mapInArrow(_emitted(make, k, name), schema)
         out = part if out is None else out.unionByName(part)
@@ -159,14 +258,14 @@ class Places:
     """A query's candidates in order of rank; before() tells how many rows of a batch come at or before which of them."""
 
     def __init__(self, candidates: list[tuple[float, str, str]]):
-        self.order = sorted((-round(s, DIGITS), ns, i) for s, ns, i in candidates)
+        self.order = sorted((-round(float(settled(s)), DIGITS), ns, i) for s, ns, i in candidates)
         self.values = np.array([s for s, _, _ in self.order])
         self.place = {(ns, i): at for at, (_, ns, i) in enumerate(self.order)}
         self.ids = pa.array([i for _, _, i in self.order], pa.string())
 
     def before(self, score: np.ndarray, namespace: pa.Array, id: pa.Array) -> np.ndarray:
         """Of the rows with a score above 0, how many come after the candidate before and not after each candidate, which counts itself."""
-        score = np.round(score, DIGITS)
+        score = np.round(settled(score), DIGITS)
         low = np.searchsorted(self.values, -score, "left")
         counts = score > 0
         tied = (np.searchsorted(self.values, -score, "right") > low) & counts
@@ -186,8 +285,9 @@ def _counted(places: dict[str, Places], qids: list[str], score_of: Callable[[pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {q: np.zeros(len(places[q].order), dtype=np.int64) for q in qids if q in places}
         for whole in batches:
-            for a in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(a, ROWS)
+            step = max(1, min(ROWS, CELLS // max(1, len(qids))))
+            for a in range(0, whole.num_rows, step):
+                batch = whole.slice(a, step)
                 s = score_of(batch)
                 for j, q in enumerate(qids):
                     if q in total:
@@ -230,13 +330,13 @@ def dense_ranks(records: DataFrame, queries: DataFrame, metric: str, dim: int |
     asked, width = _vectors_of(queries)
     spark, counts = records.sparkSession, None
     for some in _blocks(asked, width + 64 * max(map(len, candidates.values()), default=0)):
-        own = {r["qid"]: candidates[r["qid"]] for r in some if r["qid"] in candidates}
+        own = {q: candidates[q] for q in some.column("qid").to_pylist() if q in candidates}
         shared = spark.sparkContext.broadcast((some, own))
 
         def run(batches, shared=shared):
             asked, own = shared.value
-            scorer = vector_scorer(metric, [r["payload"] for r in asked], dim)
-            return _counted({q: Places(c) for q, c in own.items()}, [r["qid"] for r in asked], lambda b: scorer(b.column(2)))(batches)
+            scorer = vector_scorer(metric, _column(asked, "payload"), dim)
+            return _counted({q: Places(c) for q, c in own.items()}, asked.column("qid").to_pylist(), lambda b: scorer(b.column(2)))(batches)
 
         part = rows.mapInArrow(run, _COUNTS)
         counts = part if counts is None else counts.unionByName(part)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dense import Scorer, matrix, payload_scores, ranked, scores
+from .dense import Scorer, against, best_sums, matrix, payload_scores, ranked
 
 METHODS = {"scalar": "scalar", "int8": "scalar", "binary": "binary", "product": "product", "pq": "product", "two_bit": "two_bit", "twobit": "two_bit"}
 PQ_ROUNDS, PQ_SAMPLE = 20, 65_536
@@ -239,9 +239,9 @@ class Codec:
         scaled = np.clip((x - f["low"]) * f["scale"], 0, 255)
         return np.where(f["scale"] == 0, 128, scaled).astype(np.uint8)
 
-    def scorer(self, metric: str, queries: list) -> Scorer:
+    def scorer(self, metric: str, queries: pa.Array) -> Scorer:
         """Approximate scores of stored codes; the order is what counts."""
-        q, f = np.array(queries, dtype=np.float64), self.fitted
+        q, f = matrix(queries).astype(np.float64), self.fitted
         raw = lambda column: np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
         if self.method == "binary":
             signs = np.where(q > 0, 1.0, -1.0).astype(np.float32)
@@ -252,7 +252,8 @@ class Codec:
         if self.method == "scalar":
             safe = np.where(f["scale"] == 0, 1.0, f["scale"])
             back = lambda codes: np.where(f["scale"] == 0, f["low"], f["low"] + codes / safe).astype(np.float32)
-            return lambda column: scores(metric, back(raw(column)), q)
+            exact = against(metric, q)
+            return lambda column: exact(back(raw(column)))
         tables = np.stack([ProductQuantizer(f["codebooks"]).distances(v) for v in q])  # queries x parts x centroids
 
         def looked_up(column: pa.Array) -> np.ndarray:
@@ -322,22 +323,16 @@ class TokenIndex:
         from .search import check_tokens
 
         asked, width = check_tokens(queries, "codes")
-        codec, dim = self.codec, len(self.codec.fitted["q1"])
+        codec, dim = self.codec, max(1, len(self.codec.fitted["q1"]))
 
-        def scorer(queries: list) -> Scorer:
-            sizes = np.array([len(t) for t in queries])
-            q = codec.encode(np.array([v for t in queries for v in t], dtype=np.float64)).astype(np.float32)
-            starts = np.cumsum(sizes) - sizes
+        def scorer(queries: pa.Array) -> Scorer:
+            sizes = queries.value_lengths().to_numpy(zero_copy_only=False)
+            q = codec.encode(matrix(queries.flatten())).astype(np.float32)
 
             def score(column: pa.Array) -> np.ndarray:
                 held = column.to_pylist()
-                n = np.array([len(c) // dim for c in held])
-                out, some = np.zeros((len(held), len(sizes))), np.flatnonzero(n)
-                if len(some):
-                    x = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(-1, dim).astype(np.float32)
-                    best = np.maximum.reduceat(x @ q.T, (np.cumsum(n) - n)[some], axis=0)
-                    out[some] = np.add.reduceat(best, starts, axis=1)
-                return out
+                x = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(-1, dim)
+                return best_sums(np.array([len(c) // dim for c in held]), sizes, lambda a, b: x[a:b].astype(np.float32) @ q.T)
 
             return score
 
