@@ -3,9 +3,12 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from trawl.operators import dense
 from trawl.operators.dense import Best, _emitted, best_sums, token_scorer
+from trawl.operators.quantize import Codec, ProductQuantizer, TokenIndex
+from trawl.operators.search import search_multi_vector
 
 
 def _tokens(rng, rows, n, d=8):
@@ -61,3 +64,62 @@ def test_a_task_holds_k_rows_of_a_query_whatever_ties():
         want = sorted((-v, f"{i:03}") for v, i in zip(s[:, j], ids) if v != -np.inf)[:7]
         own = got[got.qid == q]
         assert sorted(zip(-own.score, own.id)) == want, q
+
+
+def test_filtered_late_interaction_equals_brute_force(spark):
+    """Only rows that pass the filter count, those without tokens score 0, and equal rows go by id."""
+    rng = np.random.default_rng(4)
+    kept = [rng.standard_normal((n, 4)).astype(np.float32).tolist() for n in (3, 1, 0, 2, 5)]
+    stored = [*kept, *kept, *kept]
+    rows = spark.createDataFrame([("", f"{i:02}", t) for i, t in enumerate(stored)], "namespace string, id string, t array<array<float>>")
+    rows = rows.select("namespace", "id", F.create_map(F.lit("c"), F.col("t")).alias("multi_vectors"), F.parse_json(F.concat(F.lit('{"odd":'), (F.col("id").cast("int") % 2).cast("string"), F.lit("}"))).alias("metadata"))
+    asked = [rng.standard_normal((n, 4)).astype(np.float32).tolist() for n in (2, 4)]
+    top = search_multi_vector(rows, spark.createDataFrame([(str(i), t) for i, t in enumerate(asked)], "qid string, tokens array<array<float>>"), "c", 6, tests={"odd": 1}).collect()
+    want = _brute(stored, asked)
+    for q in (0, 1):
+        order = sorted((-round(want[i, q], 9), f"{i:02}") for i in range(15) if i % 2)[:6]
+        assert [r.id for r in sorted(top, key=lambda r: r["rank"]) if r.qid == str(q)] == [i for _, i in order]
+
+
+def _peak(scorer, column, qids):
+    batch = pa.RecordBatch.from_arrays([pa.array([""] * len(column)), pa.array([f"{i:05}" for i in range(len(column))]), column], names=["namespace", "id", "payload"])
+    tracemalloc.start()
+    out = list(_emitted(lambda: (pa.array([str(i) for i in range(qids)]), scorer, None), 20, "score")(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak, pa.Table.from_batches(out).to_pandas()
+
+
+def test_token_codes_are_bounded_in_memory(monkeypatch):
+    """4,000 rows of 5 coded tokens against 400 queries of 5: what is emitted are the best sums of level products."""
+    rng = np.random.default_rng(5)
+    codec = Codec("two_bit", {"q1": np.full(8, -0.7), "q2": np.zeros(8), "q3": np.full(8, 0.7)})
+    tokens, asked, caught = _tokens(rng, 4000, 5), _tokens(rng, 400, 5), {}
+    monkeypatch.setattr("trawl.operators.quantize.payload_scores", lambda rows, asked, width, scorer, k: caught.update(scorer=scorer))
+    monkeypatch.setattr("trawl.operators.search.check_tokens", lambda queries, space: (queries, 8))
+    TokenIndex(codec, None).scores(None, 20)
+    levels = codec.encode(np.array(tokens.flatten().flatten()).reshape(-1, 8))
+    peak, got = _peak(caught["scorer"](asked), pa.array([r.tobytes() for r in levels.reshape(4000, -1)], pa.binary()), 400)
+    assert peak < 100e6
+    own = codec.encode(np.array(asked[3].as_py())).astype(int)
+    want = (levels.reshape(4000, 5, 8).astype(int) @ own.T).max(axis=1).sum(axis=1)
+    order = sorted((-v, f"{i:05}") for i, v in enumerate(want))[:20]
+    part = got[got.qid == "3"]
+    assert sorted(zip(-part.score, part.id)) == order
+
+
+@pytest.mark.parametrize("method", ["scalar", "binary", "product", "two_bit"])
+def test_codes_are_bounded_in_memory(method):
+    """4,000 codes against 4,000 queries; product codes are compared as by tables of distances to centroids."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 8)).astype(np.float32)
+    fitted = {"scalar": {"low": x.min(axis=0), "scale": 255 / np.ptp(x, axis=0)}, "binary": {}, "product": {"codebooks": rng.standard_normal((4, 16, 2))}, "two_bit": {"q1": np.full(8, -0.7), "q2": np.zeros(8), "q3": np.full(8, 0.7)}}[method]
+    codec, asked = Codec(method, fitted), pa.array(rng.standard_normal((4000, 8)).tolist())
+    codes = codec.encode(x)
+    peak, got = _peak(codec.scorer("cosine", asked), pa.array([r.tobytes() for r in codes], pa.binary()), 4000)
+    assert peak < 100e6 and (got.groupby("qid").size() == 20).all()
+    if method == "product":
+        tables = ProductQuantizer(fitted["codebooks"]).distances(np.array(asked[5].as_py()))
+        want = -tables[np.arange(4), codes].sum(axis=1)
+        part = got[got.qid == "5"].sort_values(["score", "id"], ascending=[False, True])
+        assert np.allclose(part.score, np.sort(want)[::-1][:20])
