@@ -150,8 +150,7 @@ class ProductQuantizer:
     @classmethod
     def train(cls, records: DataFrame, parts: int | None = None, centroids: int = 256, rounds: int = PQ_ROUNDS, sample: int = PQ_SAMPLE) -> ProductQuantizer:
         """Lloyd's rounds from the first vectors in key order, on the first `sample` of them (the documented bound of what the driver holds)."""
-        rows = records.orderBy("namespace", "id").select("vector").limit(sample).toArrow().column("vector").to_pylist()
-        x = np.array(rows, dtype=np.float64)
+        x = matrix(records.orderBy("namespace", "id").select("vector").limit(sample).toArrow().column("vector").combine_chunks()).astype(np.float64)
         if not len(x):
             raise ValueError("there is nothing to train on")
         m = parts or default_parts(x.shape[1])
@@ -254,13 +253,8 @@ class Codec:
             back = lambda codes: np.where(f["scale"] == 0, f["low"], f["low"] + codes / safe).astype(np.float32)
             exact = against(metric, q)
             return lambda column: exact(back(raw(column)))
-        tables = np.stack([ProductQuantizer(f["codebooks"]).distances(v) for v in q])  # queries x parts x centroids
-
-        def looked_up(column: pa.Array) -> np.ndarray:
-            codes = raw(column)
-            return 0.0 - sum(tables[:, j, :][:, codes[:, j]] for j in range(codes.shape[1])).T
-
-        return looked_up
+        parts = np.arange(f["codebooks"].shape[0])  # a query's distance to the centroids of a code: to the vector that they make
+        return lambda column: 0.0 - distances(f["codebooks"][parts, raw(column)].reshape(len(column), -1), q)
 
     def codes(self, records: DataFrame, column: str = "vector") -> DataFrame:
         """records (namespace, id, vector) to (namespace, id, code binary)."""
@@ -292,8 +286,6 @@ def search_quantized(records: DataFrame, queries: DataFrame, method: str, k: int
     count = candidates_for(n, max(k, fetch_k), multiplier or MULTIPLIERS[method])
     asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("vector").alias("payload")).where("payload is not null")
     width = 8 * (asked.agg(F.max(F.size("payload"))).first()[0] or 1)
-    if method == "product":
-        width = max(width, 8 * codec.fitted["codebooks"].shape[0] * codec.fitted["codebooks"].shape[1])
     approximate = payload_scores(stored, asked, width, lambda qs: codec.scorer(metric, qs), count, "approximate")
     return rescored(records, ranked(approximate, "approximate", count), queries, metric, k)
 

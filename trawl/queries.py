@@ -631,8 +631,9 @@ def pq_assign(spark, sf_dir):
 def pq_recall(spark, sf_dir):
     """Recall at 10 of each quantizer's rescored candidates against exact search; no SQL, as codebooks are fitted."""
     rows, asked = dense_records(spark, sf_dir), vector_queries(spark, sf_dir)
-    exact = search(rows, asked, Options(namespace=None))
+    exact = search(rows, asked, Options(namespace=None)).persist()
     said = [(m, round(recall(search_quantized(rows, asked, m), exact), 4)) for m in ("scalar", "binary", "product", "two_bit")]
+    exact.unpersist()
     return spark.createDataFrame(said, "method string, recall double")
 
 
