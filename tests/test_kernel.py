@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trawl.operators import dense
 from trawl.operators.dense import Best, _emitted, best_sums, token_scorer
 from trawl.operators.quantize import Codec, ProductQuantizer, TokenIndex
-from trawl.operators.search import search_multi_vector
+from trawl.operators.search import Options, search, search_multi_vector
 
 
 def _tokens(rng, rows, n, d=8):
@@ -123,3 +123,27 @@ def test_codes_are_bounded_in_memory(method):
         want = -tables[np.arange(4), codes].sum(axis=1)
         part = got[got.qid == "5"].sort_values(["score", "id"], ascending=[False, True])
         assert np.allclose(part.score, np.sort(want)[::-1][:20])
+
+
+def test_spaces_are_scored_in_one_scan(spark):
+    """As a sum over spaces, of pairs with a space in common; without a shuffle of pairs before the top-k."""
+    rng = np.random.default_rng(7)
+    rows, stored = [], {}
+    for i in range(60):
+        a, b = rng.standard_normal((2, 3)).astype(np.float32).tolist()
+        stored[f"{i:02}"] = (a if i % 5 else None, b if i % 2 else None)
+        rows.append(("", f"{i:02}", stored[f"{i:02}"][0], {"rev": b} if i % 2 else None))
+    asked = {"0": {"": [1.0, 0.5, 0.0], "rev": [0.0, 1.0, 1.0]}, "1": {"rev": [1.0, 0.0, -1.0]}}
+    records = spark.createDataFrame(rows, "namespace string, id string, vector array<float>, vectors map<string,array<float>>")
+    queries = spark.createDataFrame(list(asked.items()), "qid string, vectors map<string,array<float>>")
+    cos = lambda u, v: float(np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v))
+    for k in (7, 1000):
+        for name in (None, "rev"):
+            top = search(records, queries, Options(k=k, namespace=None, spaces={"": 0.7, "rev": 0.3}, vector_name=name))
+            assert "HashAggregate" not in top._jdf.queryExecution().executedPlan().toString()
+            got = [(r.qid, r.id, round(r.score, 6)) for r in top.orderBy("qid", "rank").collect()]
+            want = []
+            for q, vs in asked.items():
+                pairs = {i: [w * cos(v, vs[n]) for n, v, w in (("", a, 0.7), ("rev", b, 0.3)) if v is not None and n in vs] for i, (a, b) in stored.items() if name is None or b is not None}
+                want += [(q, i, round(-s, 6)) for s, i in sorted((-sum(p), i) for i, p in pairs.items() if p)[:k]]
+            assert got == want

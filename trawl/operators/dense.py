@@ -240,6 +240,36 @@ def dense_scores(records: DataFrame, queries: DataFrame, metric: str, dim: int |
     return payload_scores(rows, asked, width, lambda vs: vector_scorer(metric, vs, dim), k, "dense", floors)
 
 
+def space_scores(records: DataFrame, queries: DataFrame, spaces: list[tuple[str, float]], metric: str, dim: int | None = None, k: int | None = None) -> DataFrame:
+    """records (namespace, id, and a column of vectors for each space), queries (qid, the same columns), spaces (column, weight) to (qid, namespace, id, dense).
+
+    The weighted sum of the spaces that both have, of pairs that have one in common, in one scan: all, or with k those that may be among the k best of each query.
+    """
+    metric, names = metric_name(metric), [n for n, _ in spaces]
+    packed = lambda *keys: (*keys, F.struct(*names).alias("payload"))
+    asked = queries.select(*packed(F.col("qid").cast("string").alias("qid")))
+    some = asked.agg(*(F.max(F.size(F.col("payload")[n])).alias(n) for n in names)).first()
+    weights = [w for _, w in spaces]
+    return payload_scores(records.select(*packed("namespace", "id")), asked, 8 * max(1, sum(max(0, v or 0) for v in some)), lambda qs: _space_scorer(metric, qs, weights, dim), k, "dense")
+
+
+def _space_scorer(metric: str, queries: pa.StructArray, weights: list[float], dim: int | None) -> Scorer:
+    valid = lambda c: pc.is_valid(c).to_numpy(zero_copy_only=False)
+    parts = [(valid(c), vector_scorer(metric, c.drop_null(), dim) if c.null_count < len(c) else None, w) for c, w in zip(queries.flatten(), weights, strict=True)]
+
+    def score(column: pa.StructArray) -> np.ndarray:
+        out, common = np.zeros((len(column), len(queries))), np.zeros((len(column), len(queries)), dtype=bool)
+        for c, (has, each, weight) in zip(column.flatten(), parts, strict=True):
+            own = valid(c)
+            if each is not None and own.any():
+                out[np.ix_(own, has)] += weight * each(c.drop_null())
+                common |= own[:, None] & has[None, :]
+        out[~common] = -np.inf
+        return out
+
+    return score
+
+
 def ranked(df: DataFrame, by: str, k: int | None, per: str = "qid", name: str = "rank") -> DataFrame:
     """Rows by descending score, then namespace and id, within each query; the first k, or all."""
     order = Window.partitionBy(per).orderBy(F.col(by).desc(), F.col("namespace"), F.col("id"))
