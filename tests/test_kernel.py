@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.operators import dense, mmr
+from trawl.operators import bm25, dense, mmr
 from trawl.operators.dense import Best, _emitted, best_sums, token_scorer
 from trawl.operators.quantize import Codec, ProductQuantizer, TokenIndex
 from trawl.operators.search import Options, search, search_multi_vector
@@ -170,3 +170,22 @@ def test_mmr_by_scans_chooses_as_over_all_rows(spark, monkeypatch, metric, weigh
         picked = mmr.greedy(s[by], lambda j: dense.settled(dense.scores(o.metric, x[by], x[by][j : j + 1])[:, 0]), 6, weight)
         want += [(str(i), n + 1, f"{by[j]:03}", round(s[by[j]], 6)) for n, j in enumerate(picked)]
     assert got == want
+
+
+def test_term_scores_are_made_where_postings_lie(spark, monkeypatch):
+    """Whatever blocks queries come in; neither postings nor pairs are shuffled, so a term of all rows is not one task's."""
+    rng = np.random.default_rng(9)
+    texts = [{f"w{t}": float(rng.integers(1, 9)) / 8 for t in rng.choice(20, 4, replace=False)} | {"all": 0.5} for _ in range(40)]
+    rows = spark.createDataFrame([("", f"{i:02}", t) for i, t in enumerate(texts)], "namespace string, id string, sparse map<string,float>")
+    terms = spark.createDataFrame([(f"q{i % 6}", f"w{i}", 0.25 * (1 + i % 3)) for i in range(24)] + [(f"q{i}", "all", 1.0) for i in range(6)], "qid string, term string, qw double")
+    index = bm25.build_index(rows)
+    df = {w: sum(w in t for t in texts) for t in texts for w in t}
+    average = sum(sum(t.values()) for t in texts) / 40
+    score = lambda t, w: np.log((40 - df[w] + 0.5) / (df[w] + 0.5) + 1) * t[w] * 2.2 / (t[w] + 1.2 * (0.25 + 0.75 * sum(t.values()) / average))
+    want = sorted((r.qid, f"{i:02}", r.term, r.qw, round(score(t, r.term), 6)) for r in terms.collect() for i, t in enumerate(texts) if r.term in t)
+    for size in (32 << 20, 64):
+        monkeypatch.setattr(bm25, "QUERY_BYTES", size)
+        got = bm25.scored_terms(index, terms, digits=6)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert sorted((r.qid, r.id, r.term, r.qw, round(r.score, 6)) for r in got.collect()) == want
