@@ -33,8 +33,16 @@ def against(metric: str, queries: np.ndarray) -> Callable[[np.ndarray], np.ndarr
     if metric == "euclidean":
         return lambda x: 0.0 - np.stack([np.sqrt(((x.astype(np.float64) - v) ** 2).sum(axis=1)) for v in q], axis=1)
     if metric == "cosine":
-        q = unit(q)
-        return lambda x: unit(x.astype(np.float64)) @ q.T
+        length = lambda v: (lambda n: np.where(n == 0, 1.0, n))(np.linalg.norm(v, axis=1))
+        sizes = length(q)[None, :]
+
+        def cosine(x: np.ndarray) -> np.ndarray:  # products are divided, not vectors, so that exact ties stay
+            x = x.astype(np.float64)
+            out = x @ q.T
+            out /= length(x)[:, None] * sizes
+            return out
+
+        return cosine
     return lambda x: x.astype(np.float64) @ q.T
 
 
